@@ -149,25 +149,27 @@ def fit(documents: DataFrame, per_language: int = PER_LANGUAGE, text: str = "tex
     return train(sorted(parts[False] or parts[True], key=order), sorted(parts[True], key=order))
 
 
-def predict(documents: DataFrame, model: Model | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep columns, lang_pred, score and accepted (false where the score is below the calibrated threshold) of each row."""
+def predict(documents: DataFrame, model: Model | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str, str] = ("lang_pred", "score", "accepted")) -> DataFrame:
+    """keep columns, then (by `names`) the language, its score and whether it is accepted (no: the score is below the calibrated threshold)."""
     shared = documents.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages numbers
-    schema = T.StructType([*documents.select(*keep).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
+    schema = T.StructType([*documents.select(*keep).schema.fields, *(T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True))])
+    at = keep.index(text) if text in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
             for lo in range(0, b.num_rows, 300):
                 part = b.slice(lo, 300)
-                texts = as_bytes(part.column(part.num_columns - 1))
+                texts = as_bytes(part.column(at))
                 has = [model is not None and LETTER.search(x.decode("utf-8", "replace")) is not None for x in texts]
                 best, p = model.scores(texts) if model is not None else ([0] * len(texts), [0.0] * len(texts))
                 lang = [model.languages[k] if ok else "und" for k, ok in zip(best, has, strict=True)]
                 score = [float(x) if ok else 0.0 for x, ok in zip(p, has, strict=True)]
                 accepted = [ok and x >= model.reject_below for x, ok in zip(score, has, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())], schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())], schema.names)
 
-    return documents.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    read = documents.select(*keep) if text in keep else documents.select(*keep, F.col(text).alias("__text"))
+    return read.mapInArrow(run, schema)
 
 
 def identified(documents: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:

@@ -89,7 +89,7 @@ def mix(documents: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), most:
     begin = rows.filter("p > 0").select("row_no", "doc_id", "size", "source_no", "whole", "p", leaf.alias("part"))
 
     def level(df: DataFrame, k: int, last: bool) -> DataFrame:
-        def run(key, group: pd.DataFrame) -> pd.DataFrame:
+        def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
             out = round_group(group, unsigned(seed, k, *key), last)
             return out[["row_no", "doc_id", "size", "source_no", "whole", "p", "open"]]
 

@@ -173,7 +173,7 @@ def candidate_links(members: DataFrame, threshold: float, best_only: bool) -> Da
     """
     least = least_estimate(threshold)
 
-    def compare(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         ids, label, n = rows["id"].to_numpy(), rows["label"].to_numpy(), rows["n"].to_numpy(float)
         side = rows["side"].to_numpy(float)
         at = np.arange(len(ids)) if key[1] == key[2] else np.flatnonzero(side == 0)

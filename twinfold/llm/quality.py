@@ -64,7 +64,7 @@ def classified(documents: DataFrame, labels: DataFrame, order: int = ORDER, quan
 def kept(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of documents that the classifier keeps."""
     bad = pinned(classified(documents, labels).filter("not keep").select("doc_id", "n_symbols").distinct())
-    gone = hint_small(bad, bad.count()).select(F.col("doc_id").alias("bad_id"), F.col("n_symbols").alias("bad_symbols"))
+    gone = hint_small(bad, bad.count()).select(F.col("doc_id").alias("__bad_id"), F.col("n_symbols").alias("__bad_symbols"))
     # an id may repeat with other texts: the number of symbols, order-independent and native here, tells them apart
     letters = F.length(F.regexp_replace("text", r"[ \t-\r]+", "")) + F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
-    return documents.join(gone, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (letters == F.col("bad_symbols")), "left_anti")
+    return documents.join(gone, F.col("doc_id").eqNullSafe(F.col("__bad_id")) & (letters == F.col("__bad_symbols")), "left_anti")
