@@ -13,6 +13,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def canonical(value: object) -> str:
@@ -20,7 +21,7 @@ def canonical(value: object) -> str:
     return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), allow_nan=False).encode()).hexdigest()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json_digest(text: pd.Series) -> pd.Series:
     """Digest of a JSON text after canonical re-writing; null stays null."""
     return text.map(lambda x: None if x is None else canonical(json.loads(x)))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 def paired(df: DataFrame, keys: Sequence[str], member: str, values: Sequence[str]) -> DataFrame:
     """One row per key with value_0 and value_1 of each value column, and n_members."""
-    side = lambda v, m: F.max(F.when(F.col(member) == m, F.struct(F.col(v).alias("x"))))["x"].alias(f"{v}_{m}")
+    side = lambda v, m: F.any_value(F.when(F.col(member) == m, F.col(v)), True).alias(f"{v}_{m}")
     return df.groupBy(*keys).agg(F.count("*").alias("n_members"), *(side(v, m) for v in values for m in (0, 1)))
 
 

@@ -166,4 +166,4 @@ def shared_stream(df: DataFrame, group: str, order: Sequence[str], value: str, n
         return pd.DataFrame(out, columns=[group, "mean", "low", "high"])
 
     kind = df.schema[group].dataType.simpleString()
-    return df.select(group, *order, value).groupBy(F.lit(0)).applyInPandas(run, f"{group} {kind}, mean double, low double, high double")
+    return df.select(group, *order, value, F.lit(0).alias("__one")).groupBy("__one").applyInPandas(run, f"{group} {kind}, mean double, low double, high double")
