@@ -109,8 +109,8 @@ def encode(payload: bytes) -> bytes:
 def decode(media: bytes) -> dict:
     """Frames, tags, tables, checksums and ancillary payload of an MPEG audio stream.
 
-    A header counts only if the next frame's header (or the stream's end, or a closing tag) stands where its length says; other bytes
-    are skipped up to the next such place and counted in skipped_bytes. The table's own frame makes no sound and is not counted.
+    A header counts only if another one of its layer and rate (or the stream's end, or a closing tag) stands where its length says, or if
+    it continues a chain of such; other bytes are skipped up to the next such place and counted in skipped_bytes. The table's own frame makes no sound and is not counted.
     """
     end, at, tags = len(media), 0, {}
     while media[at : at + 3] == b"ID3" and end - at >= 10:
@@ -123,18 +123,18 @@ def decode(media: bytes) -> dict:
     out = {"n_frames": 0, "n_samples": 0, "sample_rate": 0, "crc_checked": 0, "crc_errors": 0, "skipped_bytes": 0, "vbr_frames": -1, "vbr_bytes": -1}
     offsets: list[int] = []
     body: list[bytes] = []
-    first, locked = True, False
+    first, locked, stream = True, False, None
     while at < end:
         h = header(media[at : at + 4])
-        if h is None or at + h[0] > end or not (locked or at + h[0] == end or header(media[at + h[0] : at + h[0] + 4])):
+        follows = h and (at + h[0] == end or (n := header(media[at + h[0] : at + h[0] + 4])) is not None and (n[1], n[2], n[5]) == (h[1], h[2], h[5]))
+        if h is None or at + h[0] > end or not (follows or locked and (h[1], h[2], h[5]) == stream):
             to = media.find(b"\xff", at + 1, end)
             to, locked = end if to < 0 else to, False
             out["skipped_bytes"] += to - at
             at = to
             continue
         size, samples, rate, protected, side, layer = h
-        # a frame that another one follows at once keeps the lock; the lock falls when the chain breaks
-        locked = at + size == end or header(media[at + size : at + size + 4]) is not None
+        locked, stream = follows, (samples, rate, layer)  # the lock falls when the chain breaks
         skip = 4 + 2 * protected + side
         found = _table(media[at + 4 + 2 * protected + side : at + size], media[at + 36 : at + 62]) if first and layer == 3 else None
         if protected and layer == 3:
