@@ -203,6 +203,22 @@ def test_folds_and_fit():
     assert np.abs(grad).max() < 1e-6 and w[0] > 1
 
 
+def test_cross_validation_equals_separate_fits(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(240, 2)) * [1, 50] + [0, 9]
+    y = (rng.random(240) < 1 / (1 + np.exp(-1.5 * x[:, 0]))).astype(int)
+    df = spark.createDataFrame([(i, float(a), float(b), int(v), i % 3) for i, ((a, b), v) in enumerate(zip(x, y, strict=True))], ["id", "a", "b", "y", "fold"])
+    got = {r.id: r.p for r in predict.cross_validated(df, ["a", "b"], "y", "fold", ["id"], 3).collect()}
+    for f in range(3):
+        train = np.arange(240) % 3 != f
+        m, s = x[train].mean(axis=0), x[train].std(axis=0)
+        w = predict.fit_logistic((x[train] - m) / s, y[train].astype(float))
+        for i in np.flatnonzero(~train):
+            assert got[i] == pytest.approx(1 / (1 + np.exp(-(((x[i] - m) / s) @ w[:2] + w[2]))), abs=1e-7)
+    one_class = predict.cross_validated(df.withColumn("y", F.lit(1)), ["a"], "y", "fold", ["id"], 3)
+    assert {r.p for r in one_class.collect()} == {None}
+
+
 def test_metrics_with_ties(spark):
     df = spark.createDataFrame([(1, 0.9), (0, 0.9), (1, 0.4), (0, 0.1)], ["y", "p"])
     row = predict.metrics(df, "y", "p").first()

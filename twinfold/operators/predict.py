@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,31 +39,51 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 100)
     return w
 
 
-def cross_validated(df: DataFrame, features: Sequence[str], outcome: str, fold: str, keep: Sequence[str], k: int = 5, c: float = 1.0, clip: float = 1e-9) -> DataFrame:
-    """keep columns, fold, outcome and p: each fold predicted by a model of the others.
+def cross_validated(df: DataFrame, features: Sequence[str], outcome: str, fold: str, keep: Sequence[str], k: int = 5, c: float = 1.0, clip: float = 1e-9, steps: int = 25) -> DataFrame:
+    """keep columns, fold, outcome and p: each fold predicted by a ridge logistic model of the others (see fit_logistic).
 
-    Each training set is one task's matrix: standardised features of the labelled rows. They are a history-level summary; for more rows
-    than a task can hold, fit on aggregated cells. A fold whose training set has one class gets null.
+    Rows never meet in one task: means, deviations, gradients and curvatures are sums over the training rows of all folds at once, a few
+    dozen numbers a fold, and only the Newton step on these sums is taken on the driver. A fold whose training set has one class
+    gets null.
     """
-    held = df.select(*keep, *features, outcome, F.col(fold).alias("fold"))
-    sides = held.withColumn("test_fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        test = rows["fold"] == key[0]
-        train, out = rows[~test], rows.loc[test, [*keep, "fold", outcome]].copy()
-        if train[outcome].nunique() < 2:
-            return out.assign(p=None)
-        x = train[list(features)].to_numpy(float)
-        order = np.lexsort(x.T)  # whatever order the rows came in
-        mean, scale = x.mean(axis=0), x.std(axis=0)
-        scale[scale == 0] = 1
-        w = fit_logistic(((x - mean) / scale)[order], train[outcome].to_numpy(float)[order], c)
-        z = ((rows.loc[test, list(features)].to_numpy(float) - mean) / scale) @ w[:-1] + w[-1]
-        return out.assign(p=np.clip(1 / (1 + np.exp(-z)), clip, 1 - clip))
-
-    kinds = dict(held.dtypes)
-    schema = ", ".join(f"`{c_}` {kinds[c_]}" for c_ in [*keep, "fold", outcome]) + ", p double"
-    return sides.groupBy("test_fold").applyInPandas(run, schema)
+    names = list(features)
+    rows = df.select(*keep, *names, outcome, F.col(fold).cast("int").alias("fold"))
+    # each row teaches the models of all other folds
+    taught = rows.select(*names, F.col(outcome).cast("double").alias("__y"), F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda t: t != F.col("fold"))).alias("__t")).persist()
+    facts = {r["__t"]: r for r in taught.groupBy("__t").agg(F.avg("__y").alias("rate"), *(F.avg(x).alias(f"m{i}") for i, x in enumerate(names)), *(F.stddev_pop(x).alias(f"s{i}") for i, x in enumerate(names))).collect()}
+    usable = [t for t, r in facts.items() if 0 < r["rate"] < 1]
+    d = len(names)
+    mean = {t: [facts[t][f"m{i}"] for i in range(d)] for t in usable}
+    scale = {t: [facts[t][f"s{i}"] or 1.0 for i in range(d)] for t in usable}
+    weight = {t: np.zeros(d + 1) for t in usable}
+
+    def picked(key: Column, values: dict) -> Column:
+        return F.element_at(F.create_map(*(F.lit(x) for t in usable for x in (t, float(values[t])))), key)
+
+    def standard(key: Column) -> list[Column]:
+        return [(F.col(x) - picked(key, {t: mean[t][i] for t in usable})) / picked(key, {t: scale[t][i] for t in usable}) for i, x in enumerate(names)] + [F.lit(1.0)]
+
+    def probability(key: Column) -> Column:
+        z = sum((x * picked(key, {t: weight[t][i] for t in usable}) for i, x in enumerate(standard(key))), F.lit(0.0))
+        return 1 / (1 + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), z))))
+
+    for _ in range(steps if usable else 0):
+        x = [f"__x{i}" for i in range(d + 1)]
+        at = taught.filter(F.col("__t").isin(usable)).select("__t", "__y", *(v.alias(n) for v, n in zip(standard(F.col("__t")), x, strict=True)), probability(F.col("__t")).alias("__p"))
+        curve = [F.sum(F.col(x[i]) * F.col(x[j]) * F.col("__p") * (1 - F.col("__p"))).alias(f"h{i}_{j}") for i in range(d + 1) for j in range(i + 1)]
+        slope = [F.sum(F.col(x[i]) * (F.col("__p") - F.col("__y"))).alias(f"g{i}") for i in range(d + 1)]
+        moved = 0.0
+        for r in at.groupBy("__t").agg(*slope, *curve).collect():  # one row a fold
+            ridge = np.array([1 / c] * d + [0.0])
+            h = np.array([[r[f"h{max(i, j)}_{min(i, j)}"] for j in range(d + 1)] for i in range(d + 1)]) + np.diag(ridge + 1e-12)
+            step = np.linalg.solve(h, np.array([r[f"g{i}"] for i in range(d + 1)]) + ridge * weight[r["__t"]])
+            weight[r["__t"]] = weight[r["__t"]] - step
+            moved = max(moved, float(np.abs(step).max()))
+        if moved < 1e-9:
+            break
+    taught.unpersist()
+    p = F.when(F.col("fold").isin(usable), F.least(F.lit(1 - clip), F.greatest(F.lit(clip), probability(F.col("fold"))))) if usable else F.lit(None).cast("double")
+    return rows.select(*keep, "fold", outcome, p.alias("p"))
 
 
 def metrics(df: DataFrame, outcome: str, p: str, group: Sequence[str] = ()) -> DataFrame:
