@@ -60,5 +60,44 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
 
 
+_MERKLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, lead(coalesce(text, '')) OVER o AS nx, lead(doc_id) OVER o AS nid, first_value(coalesce(text, '')) OVER o AS fx, first_value(doc_id) OVER o AS fid FROM documents WINDOW o AS (ORDER BY doc_id)),
+e AS (SELECT doc_id, coalesce(nid, fid) AS nid, t, substr(t, 1, length(t) - length(t) // 2) || substr(coalesce(nx, fx), 1, length(t) // 2) AS ed FROM d),
+x AS (SELECT doc_id, 'own' AS kind, t FROM e UNION ALL SELECT doc_id, 'edited', ed FROM e),
+p AS (SELECT doc_id, kind, list_transform(string_split(t, chr(10)), lambda q: {'node': md5(q), 'pieces': list_transform(regexp_extract_all(q, '[^.!?]{1,96}[.!?]*|[.!?]+'), lambda y: substr(md5(y), 1, 12))}) AS ps FROM x),
+f AS (SELECT doc_id, kind, regexp_replace(array_to_string(list_transform(ps, lambda q: array_to_string(q.pieces, '') || ':' || q.node), ';'), '([01]);', '\1|', 'g') AS tree, flatten(list_transform(ps, lambda q: q.pieces)) AS leaves FROM p),
+g AS (SELECT doc_id, kind, sha256(array_to_string(list_transform(string_split(tree, '|'), lambda s: sha256(s)), '')) AS root, tree, len(leaves) AS n, leaves FROM f),
+c AS (SELECT doc_id, kind, h, count(*) AS k FROM (SELECT doc_id, kind, unnest(leaves) AS h FROM g) GROUP BY ALL),
+se AS (SELECT a.doc_id, sum(least(a.k, b.k)) AS k FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.h = b.h AND a.kind = 'own' AND b.kind = 'edited' GROUP BY 1),
+sn AS (SELECT a.doc_id, sum(least(a.k, b.k)) AS k FROM c a JOIN e ON e.doc_id = a.doc_id JOIN c b ON b.doc_id = e.nid AND b.h = a.h AND a.kind = 'own' AND b.kind = 'own' GROUP BY 1)
+SELECT e.doc_id, length(e.t) AS n_chars, sha256(e.ed) AS edited_sha256, o.root || '#' || o.tree AS fingerprint, w.root || '#' || w.tree AS edited_fingerprint,
+CASE WHEN o.n + w.n = 0 THEN 1.0 ELSE 2.0::DOUBLE * coalesce(se.k, 0)::DOUBLE / (o.n + w.n) END AS near_edited, CASE WHEN o.n + m.n = 0 THEN 1.0 ELSE 2.0::DOUBLE * coalesce(sn.k, 0)::DOUBLE / (o.n + m.n) END AS near_next, o.root
+FROM e JOIN g o ON o.doc_id = e.doc_id AND o.kind = 'own' JOIN g w ON w.doc_id = e.doc_id AND w.kind = 'edited' JOIN g m ON m.doc_id = e.nid AND m.kind = 'own' LEFT JOIN se ON se.doc_id = e.doc_id LEFT JOIN sn ON sn.doc_id = e.doc_id
+"""
+
+_NEAR = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+e AS (SELECT a AS u, b AS v FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT DISTINCT u AS doc_id, u AS root FROM e UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.doc_id),
+m AS (SELECT doc_id, min(root) AS root FROM r GROUP BY 1)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.root, w.doc_id) AS component_id, w.doc_id = coalesce(m.root, w.doc_id) AS kept FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.doc_id = w.doc_id
+"""
+
+_URLS = r"""
+WITH h AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM h),
+c AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^www\.|:(80|443)$', '') || regexp_replace(path, '(/|\.html)$', '') END AS canonical FROM p),
+spam AS (SELECT DISTINCT canonical FROM c WHERE regexp_matches(host, '(^|[.-])(casino|pills|bets|ads)([.-]|$)')),
+rules(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+f AS (SELECT page_id, max({'n': length(h || p), 'rule': h || p, 'verdict': verdict}) AS best FROM c JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY 1)
+SELECT c.page_id, host, path, best.rule AS rule, CASE WHEN best IS NOT NULL THEN best.verdict WHEN spam.canonical IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, c.canonical FROM c LEFT JOIN f ON f.page_id = c.page_id LEFT JOIN spam ON spam.canonical = c.canonical
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL of the operators that SQL can express; tests/llm compares the others with brute force."""
+    return {"op4_merkle_fingerprint": _MERKLE, "op5_minhash_near_dedup": _NEAR, "op7_url_filter": _URLS}
