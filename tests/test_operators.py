@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinfold.functions import digests, scores, stats, text
-from twinfold.operators import checks, contrasts, design, gates, grouping, joins, ordered, pairs, predict, resample
+from twinfold.operators import checks, contrasts, design, gates, grouping, joins, lineage, ordered, pairs, predict, probes, protocols, resample
 from twinfold.sources import records
 from twinfold.streaming import append
 
@@ -290,3 +290,50 @@ def test_fake_scorer_is_stable(spark):
     scored = append.score_with(rows, append.digest_scorer("example_id", ["x", "y"]), "example_id string, action_logp map<string,double>")
     got = {r.example_id: r.action_logp for r in scored.collect()}
     assert all(math.isclose(sum(map(math.exp, m.values())), 1, rel_tol=0.02) for m in got.values()) and got == {r.example_id: r.action_logp for r in scored.collect()}
+
+
+def test_seal_ignores_order_and_sees_changes(spark):
+    df = spark.createDataFrame([(i, f"v{i}") for i in range(50)], ["id", "v"])
+    first = lineage.seal(df, ["id"]).first()
+    assert first == lineage.seal(df.repartition(7).orderBy("v"), ["id"]).first() and first.unique
+    assert lineage.seal(df.withColumn("v", F.when(F.col("id") == 3, "x").otherwise(F.col("v"))), ["id"]).first().seal != first.seal
+    kept = lineage.with_checksum(df)
+    assert lineage.bad_checksums(kept).count() == 0
+    assert lineage.bad_checksums(kept.withColumn("v", F.when(F.col("id") == 3, "x").otherwise(F.col("v")))).count() == 1
+
+
+def test_stages_must_chain(spark, tmp_path):
+    good = spark.createDataFrame([("dev", 0, "a", "b"), ("gate", 1, "b", "c")], "name string, ord int, input_sha256 string, output_sha256 string")
+    lineage.verify_stages(good)
+    with pytest.raises(checks.ValidationError, match="gate"):
+        lineage.verify_stages(good.withColumn("output_sha256", F.lit("z")))
+    (tmp_path / "x").write_bytes(b"abc")
+    assert lineage.file_digests(spark, str(tmp_path / "x")).first().sha256 == "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"
+
+
+def test_order_contrasts_by_slot(spark):
+    df = spark.createDataFrame([("h", i, j, 4.0 if i == j else -4.0) for i in (0, 1) for j in (0, 1)], ["k", "h", "c", "v"])
+    row = protocols.order_contrasts(df, ["k"], "h", "c", "v").first()
+    assert (row.aligned, row.reversed, row.interaction) == (4.0, -4.0, 8.0)
+
+
+def test_version_selectivity_needs_all_cells(spark):
+    names = ["old_x", "new_x", "old_z", "new_z"]
+    rows = [("a", b, q, float(b == q)) for b in names for q in names] + [("b", b, q, 1.0) for b in names[:2] for q in names]
+    got = {r.h: r for r in protocols.version_selectivity(spark.createDataFrame(rows, ["h", "b", "q", "v"]), "h", "b", "q", "v").collect()}
+    assert got["a"].selectivity == 1.0 and got["b"].selectivity is None and got["b"].selectivity_x == 0.0
+
+
+def test_probe_finds_a_planted_direction(spark):
+    rng = np.random.default_rng(0)
+    rows = [(i, [float(x) for x in rng.normal(size=4) + 4 * (i % 2)], i % 2, ("train", "train", "validation", "test")[(i // 2) % 4]) for i in range(160)]
+    found = probes.probe_layer(spark.createDataFrame(rows, "id int, v array<double>, y int, split string"), "v", "y", "split", (0.01, 1.0))
+    assert found["accuracy"] > 0.95 and found["shuffled"] < 0.9 and found["n_train"] == 80
+
+
+def test_score_helpers(spark):
+    row = spark.range(1).select(
+        scores.semantic_log_mass(F.create_map(F.lit("a"), F.array(*(F.struct(F.lit(0.0).alias("log_probability")) for _ in range(2))))).alias("m"), scores.normalized(F.lit("stale"), {"stale": "historical"}, "none").alias("a"), scores.normalized(F.lit(None).cast("string"), {"stale": "historical"}, "none").alias("b"),
+        scores.inverse_map(F.create_map(F.lit("s"), F.lit("go"), F.lit("r"), F.lit("go")), F.lit("go")).alias("i"), scores.set_key(F.create_map(F.lit("s"), F.lit("x")), F.lit("s"), F.lit("y")).alias("k"), scores.normalized_depth(F.lit(3), F.lit(4)).alias("d"),
+    ).first()
+    assert row.m["a"] == pytest.approx(math.log(2)) and (row.a, row.b, row.i, row.k, row.d) == ("historical", "none", ["r", "s"], {"s": "y"}, 1.0)

@@ -113,3 +113,19 @@ def map_entries_sorted(mapping: Column) -> Column:
 def normalized_depth(layer: Column, layers: Column) -> Column:
     """layer of `layers` as a share of the last one; 0 if there is only one."""
     return F.when(layers > 1, layer / (layers - 1).cast("double")).otherwise(0.0)
+
+
+def semantic_log_mass(surfaces: Column) -> Column:
+    """map<value, array<struct<log_probability>>> of surface forms to map<value, log of their summed probability>."""
+    return F.transform_values(surfaces, lambda k, events: logsumexp(F.transform(events, lambda e: e["log_probability"])))
+
+
+def one_hot(column: Column, levels: list) -> list[Column]:
+    """0.0 / 1.0 columns for each level but the first; null counts as no level."""
+    return [F.coalesce((column == v).cast("double"), F.lit(0.0)) for v in levels[1:]]
+
+
+def normalized(column: Column, aliases: dict[str, str], default: str) -> Column:
+    """Enum values with their aliases replaced, and a default for null."""
+    names = F.create_map(*(F.lit(x) for kv in aliases.items() for x in kv))
+    return F.coalesce(F.element_at(names, column), column, F.lit(default))

@@ -57,8 +57,15 @@ def read_by_suffix(spark: SparkSession, path: str, schema: str | T.StructType) -
 
 
 def read_config(spark: SparkSession, path: str) -> dict:
-    """A JSON document of settings (a few KB, on the driver)."""
-    return json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
+    """A JSON document of settings, or a YAML one where PyYAML is installed (a few KB, on the driver)."""
+    text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+    if not path.endswith((".yaml", ".yml")):
+        return json.loads(text)
+    try:
+        import yaml
+    except ImportError as e:
+        raise NotImplementedError("YAML settings need PyYAML; JSON ones don't") from e
+    return yaml.safe_load(text)
 
 
 def read_tensors(spark: SparkSession, paths: str | list[str], key: str) -> DataFrame:
