@@ -120,11 +120,12 @@ def test_packing_edges(odd, none):
 
 def test_word_cache_keeps_and_forgets():
     asked = []
-    cache = WordCache(lambda words: asked.extend(words) or [w + b"!" for w in words], most=4)
-    for k in range(30):
-        words = [b"often", b"w%d" % k, b"x" * 300]
-        assert cache.values_of(words) == [w + b"!" for w in words]
-    assert asked.count(b"often") < 10 and len(cache.young) + len(cache.old) < 20
+    cache = WordCache(lambda words: asked.extend(words) or [w + b"!" for w in words], most=4, most_bytes=2000)
+    for k in range(60):
+        words = [b"often", b"w%d" % k, b"x" * 300 + b"%d" % k]
+        got = cache.values_of([words, words[:1], []])
+        assert [got[w] for w in words] == [w + b"!" for w in words]
+    assert asked.count(b"often") < 20 and len(cache.young) + len(cache.old) < 20
 
 
 # ---- 2 mixing

@@ -63,32 +63,31 @@ def chunks(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]
         yield start, len(texts)
 
 
-class WordCache(dict):
-    """Word -> value, filled in bulk by `compute(list of words) -> list of values`; emptied when it holds `most` words.
+class WordCache:
+    """Word -> value, filled in bulk by `compute(list of words) -> list of values`.
 
-    Words over 256 bytes are computed each time, so memory is bounded whatever the texts hold.
+    Two generations: when the young one holds `most` words or `most_bytes` of them it becomes the old one, and words that come again move
+    up, so frequent words stay and memory is bounded whatever the texts hold.
     """
 
-    def __init__(self, compute, most: int = 300_000):
-        super().__init__()
-        self.compute, self.most = compute, most
-
-    def values_of(self, words: list[bytes]) -> list:
-        new = list({*words}.difference(self))
-        if not new:
-            return list(map(self.__getitem__, words))
-        found = dict(zip(new, self.compute(new), strict=True))
-        if len(self) + len(new) > self.most:
-            self.clear()
-            return [found[w] if w in found else self.compute([w])[0] for w in words] if len(new) > self.most else self._again(words, found)
-        self.update((w, v) for w, v in found.items() if len(w) <= 256)
-        return [found[w] if len(w) > 256 else self[w] for w in words] if any(len(w) > 256 for w in new) else list(map(self.__getitem__, words))
-
-    def _again(self, words: list[bytes], found: dict) -> list:
-        old = list({*words}.difference(found))
-        found.update(zip(old, self.compute(old), strict=True))
-        self.update((w, v) for w, v in found.items() if len(w) <= 256)
-        return list(map(found.__getitem__, words))
+    def __init__(self, compute, most: int = 120_000, most_bytes: int = 16 << 20):
+        self.compute, self.most, self.most_bytes = compute, most, most_bytes
+        self.young, self.old, self.held = {}, {}, 0  # plain dicts: set.difference is fast only with those
+
+    def values_of(self, texts: list[list[bytes]]) -> dict:
+        """A dict with the value of every word of the texts (lists of words), to be used before the next call."""
+        if len(self.young) > self.most or self.held > self.most_bytes:
+            self.young, self.old, self.held = {}, self.young if self.held <= 4 * self.most_bytes else {}, 0
+        young, old = self.young, self.old
+        missing = set().union(*texts).difference(young)
+        if missing:
+            new = list(missing.difference(old))
+            if len(new) < len(missing):
+                young.update((w, old[w]) for w in missing.difference(new))
+            if new:
+                young.update(zip(new, self.compute(new), strict=True))
+            self.held += sum(map(len, missing))
+        return young
 
 
 def unsigned(seed: str, *parts) -> int:

@@ -13,7 +13,9 @@ repeated ids are ordinary rows (placed once per row). Empty tables give an empty
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordCache, as_bytes, pinned
+from .common import WordCache, as_bytes, chunks, pinned
 
 CAPACITY = 2048
 SALTS = 256
@@ -105,15 +107,71 @@ def best_fit(items: DataFrame, length: str = "length", keys: tuple[str, ...] = (
     return ranked.mapInArrow(place, schema)
 
 
+#: Bytes of plain words: letters A-Z, a-z and the two bytes of Latin-1's letters (not its two signs); marks that may close one.
+_LETTER = np.array([chr(b).isascii() and chr(b).isalpha() or b == 0xC3 or 0x80 <= b <= 0xBF and b not in (0x97, 0xB7) for b in range(256)])
+MARKS = b".,!?;:|$%&*#"
+_MARK = np.isin(np.arange(256), np.frombuffer(MARKS, np.uint8))
+
+
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in byte-level vocabularies: itself where printable, else one from 256 on, in order."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in shown and b != 32]
+    return {b: 256 + i + (b > 32) for i, b in enumerate(hidden)}
+
+
 def tokenizer_words(path: str):
-    """words -> their ids as little-endian unsigned 32-bit integers, for a tokenizer that never merges over ASCII white space."""
-    from tokenizers import Tokenizer
+    """words -> their ids as little-endian unsigned 32-bit integers, for a tokenizer that never merges over ASCII white space.
+
+    A lower-casing byte-level vocabulary with word ends is asked for many plain words in one text: each of their pre-tokens closes with
+    the one id whose entry has the end mark, so the ids can be cut into words again. Other words, or other kinds of vocabulary, are
+    encoded one by one.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core: a pool of threads in each worker only costs memory and CPU
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
+    mark = getattr(tokenizer.model, "end_of_word_suffix", None)
+    encode = lambda words: [array("I", x.ids).tobytes() for x in tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+    if not mark:
+        return encode
+    bare = Tokenizer.from_file(path)
+    bare.normalizer, bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+    closes = np.zeros(max(bare.get_vocab().values()) + 1, dtype=bool)
+    closes[[i for t, i in bare.get_vocab().items() if t.endswith(mark)]] = True
+    letters = byte_letters()
+
+    def of_plain(words: list[bytes], pretokens: np.ndarray, is_ascii: bool) -> list[bytes]:
+        texts = [b" ".join(words[lo : lo + 1000]).decode().lower() for lo in range(0, len(words), 1000)]
+        if not is_ascii:
+            texts = [t.encode().decode("latin-1").translate(letters) for t in texts]
+        for m in MARKS.decode():
+            texts = [t.replace(m, " " + m) for t in texts]
+        ids = np.concatenate([np.array(x.ids, dtype="<u4") for x in bare.encode_batch_fast(texts, add_special_tokens=False)])
+        ends = np.flatnonzero(closes[ids]) + 1
+        if len(ends) != pretokens.sum():
+            raise ValueError("the vocabulary's word ends don't follow its pre-tokens")
+        cut, raw = [0, *(4 * ends[np.cumsum(pretokens) - 1]).tolist()], ids.tobytes()
+        return [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]
 
     def compute(words: list[bytes]) -> list[bytes]:
-        found = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+        flat = np.frombuffer(b" ".join(words) + b" ", dtype=np.uint8)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        end = np.cumsum(size + 1) - 1
+        marked = _MARK[flat[end - 1]]
+        strange = np.add.reduceat(~_LETTER[flat], end - size) - 1 - marked  # less the space and the mark
+        # a lead byte C3 has its continuation, as the text is UTF-8, and no other lead byte is a letter here
+        wide = np.add.reduceat(flat > 127, end - size) > 0
+        pretokens = (size > marked).astype(np.int64) + marked
+        out = np.empty(len(words), dtype=object)
+        for is_ascii in (True, False):
+            at = np.flatnonzero((strange == 0) & (wide != is_ascii))
+            if len(at):
+                out[at] = of_plain([words[k] for k in at.tolist()], pretokens[at], is_ascii)
+        at = np.flatnonzero(strange != 0)
+        if len(at):
+            out[at] = encode([words[k] for k in at.tolist()])
+        return out.tolist()
 
     return compute
 
@@ -123,17 +181,19 @@ def pieces(documents: DataFrame, tokenizer: str, text: str = "text", doc_id: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordCache(tokenizer_words(tokenizer))
-        close = np.array([end_id], dtype="<u4").tobytes()
+        close = array("I", [end_id]).tobytes()
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
+            texts = as_bytes(b.column(1))
+            for lo, hi in chunks(texts):
                 row, piece, start, length, crc = [], [], [], [], []
-                for i, x in enumerate(as_bytes(part.column(1))):
-                    ids = b"".join(cache.values_of(x.split())) + close
-                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        cut = ids[at : at + 4 * capacity]
-                        row.append(i), piece.append(k), start.append(at // 4), length.append(len(cut) // 4), crc.append(zlib.crc32(cut))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                each = [x.split() for x in texts[lo:hi]]
+                ids_of = cache.values_of(each).__getitem__
+                for i, words in enumerate(each):
+                    ids = b"".join(map(ids_of, words)) + close
+                    for k, cut_at in enumerate(range(0, len(ids), 4 * capacity)):
+                        cut = ids[cut_at : cut_at + 4 * capacity]
+                        row.append(i), piece.append(k), start.append(cut_at // 4), length.append(len(cut) // 4), crc.append(zlib.crc32(cut))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     schema = documents.select(F.col(doc_id).alias("doc_id")).schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
     return documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text")).mapInArrow(run, schema)
