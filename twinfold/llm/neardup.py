@@ -6,7 +6,7 @@
 3. b-bit signatures: classes with candidates keep the low BITS bits of K minima, packed into longs. Bit counts of two signatures give
    the collision-corrected similarity (matches - c) / (1 - c) with c = 2**-BITS; candidates more than MARGIN standard errors below the
    threshold go, which loses a link with probability under 1e-4, and so does a set size that rules the threshold out.
-4. Links are confirmed on the full sets. First each class is compared with its most similar earlier candidate; components of these links
+4. Links are confirmed on the full sets. First each class is compared with its most similar candidate; components of these links
    are joined; then all candidates between different components are compared, with no cap. Candidates inside one component can't
    change the result and aren't compared, so a group of m near copies costs about m comparisons, not m * m / 2.
    Buckets are compared in blocks of BLOCK x BLOCK signatures, a hot bucket in many.
@@ -22,14 +22,14 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, chunks, hint_small, mix64, pinned
 
-BANDS, ROWS, K, BITS, MARGIN, BLOCK = 20, 5, 512, 2, 4.0, 256
+BANDS, ROWS, K, BITS, MARGIN, BLOCK = 20, 5, 1024, 2, 4.0, 256
+PAIRS = 100_000  # compared at once
 BASE = 0x5851F42D4C957F2D
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -90,6 +90,14 @@ def minima(shingles: np.ndarray, k: int) -> np.ndarray:
     return (best >> np.uint64(32)).astype(np.uint64)
 
 
+def band_hashes(low: np.ndarray) -> np.ndarray:
+    """A hash for each band of ROWS minima, its number included."""
+    m, h = low[: BANDS * ROWS].reshape(BANDS, ROWS), np.arange(1, BANDS + 1, dtype=np.uint64)
+    for r in range(ROWS):
+        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + m[:, r])
+    return h.view(np.int64)
+
+
 def packed(low: np.ndarray) -> np.ndarray:
     """Low BITS bits of minima, 64 // BITS to a long."""
     per = 64 // BITS
@@ -98,16 +106,14 @@ def packed(low: np.ndarray) -> np.ndarray:
 
 
 def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Collision-corrected similarities of all rows of packed signatures a with all of b, by bit counts."""
-    differing = np.zeros((len(a), len(b)), dtype=np.uint16)
+    """Collision-corrected similarities of packed signatures, row by row, by bit counts."""
     mask = np.uint64(sum(1 << i for i in range(0, 64, BITS)))
-    for w in range(a.shape[1]):
-        x = a[:, w : w + 1].view(np.uint64) ^ b[:, w].view(np.uint64)[None, :]
-        for s in range(1, BITS):
-            x |= x >> np.uint64(s) if s == 1 else (x >> np.uint64(s)) & mask
-        differing += np.bitwise_count(x & mask)
+    x = a.view(np.uint64) ^ b.view(np.uint64)
+    differ = x.copy()
+    for s in range(1, BITS):
+        differ |= x >> np.uint64(s)
     c = 2.0**-BITS
-    return ((1 - differing / K) - c) / (1 - c)
+    return ((1 - np.bitwise_count(differ & mask).sum(axis=1, dtype=np.int64) / K) - c) / (1 - c)
 
 
 def least_estimate(threshold: float) -> float:
@@ -120,7 +126,6 @@ def sketch(documents: DataFrame, width: int, text: str, doc_id: str) -> DataFram
     """doc_id, n_shingles, d1 and d2 (the set's digest; null without shingles) and bands (hashes) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt = np.arange(1, BANDS + 1, dtype=np.uint64)
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
@@ -132,10 +137,7 @@ def sketch(documents: DataFrame, width: int, text: str, doc_id: str) -> DataFram
                         continue
                     digest = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype=np.int64)
                     d1.append(int(digest[0])), d2.append(int(digest[1]))
-                    m, h = minima(s, BANDS * ROWS).reshape(BANDS, ROWS), salt.copy()
-                    for r in range(ROWS):
-                        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + m[:, r])
-                    bands.append(h.view(np.int64))
+                    bands.append(band_hashes(minima(s, BANDS * ROWS)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "d1", "d2", "bands"])
 
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__text"))
@@ -143,14 +145,15 @@ def sketch(documents: DataFrame, width: int, text: str, doc_id: str) -> DataFram
 
 
 def signatures(texts: DataFrame, width: int) -> DataFrame:
-    """id, n, signature (array of longs) of rows (id, text)."""
+    """id, n, signature (its packed bits, then the band hashes, as longs) of rows (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
                 sets = shingle_sets(as_bytes(part.column(1)), width)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, sets), pa.int64()), pa.array([packed(minima(s, K)) for s in sets], pa.list_(pa.int64()))], ["id", "n", "signature"])
+                low = [minima(s, K) for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, sets), pa.int64()), pa.array([np.concatenate([packed(m), band_hashes(m)]) for m in low], pa.list_(pa.int64()))], ["id", "n", "signature"])
 
     return texts.select("id", "text").mapInArrow(run, "id long, n long, signature array<long>")
 
@@ -158,46 +161,101 @@ def signatures(texts: DataFrame, width: int) -> DataFrame:
 def block_rows(members: DataFrame) -> DataFrame:
     """members (bucket, size, id, ...) dealt to blocks: each pair of blocks (i, j) of a bucket gets the members of both.
 
-    side 0 is compared with side 1; in a block pair (i, i) all members are on both sides (side null).
+    side 0 is compared with side 1; in a block pair (i, i) all members are compared with each other (side -1).
     """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(F.col("mine"), j).alias("i"), F.greatest(F.col("mine"), j).alias("j"), F.when(j > F.col("mine"), 0).when(j < F.col("mine"), 1).alias("side")))
+    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(F.col("mine"), j).alias("i"), F.greatest(F.col("mine"), j).alias("j"), F.when(j > F.col("mine"), 0).when(j < F.col("mine"), 1).otherwise(-1).alias("side")))
     return members.withColumn("mine", mine).withColumn("x", F.explode(pairs)).select("bucket", "x.i", "x.j", "x.side", "id", "label", "n", "signature")
 
 
+@lru_cache(1024)
+def _within(m: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of m rows."""
+    return np.triu_indices(m, 1)
+
+
+def block_pairs(start: int, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the pairs of one block: side 0 by side 1, or all pairs where there are no sides (-1)."""
+    if side[0] < 0:
+        x, y = _within(len(side))
+        return x + start, y + start
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    return np.repeat(left, len(right)) + start, np.tile(right, len(left)) + start
+
+
 def candidate_links(members: DataFrame, threshold: float, best_only: bool) -> DataFrame:
     """(a, b) with a < b: candidates of different labels whose estimated similarity may reach the threshold.
 
-    best_only: for each b only its most similar a of the block.
+    A pair that shares several bands is compared in the first of them alone. best_only: for each id only its most similar partner. Blocks
+    are dealt by hash and sorted inside a task, which compares the pairs of many blocks at a time, about PAIRS.
     """
-    least = least_estimate(threshold)
-
-    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        ids, label, n = rows["id"].to_numpy(), rows["label"].to_numpy(), rows["n"].to_numpy(float)
-        side = rows["side"].to_numpy(float)
-        at = np.arange(len(ids)) if key[1] == key[2] else np.flatnonzero(side == 0)
-        to = at if key[1] == key[2] else np.flatnonzero(side == 1)
-        if not len(at) or not len(to):
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "est": np.zeros(0)})
-        signature = np.stack(rows["signature"].to_list()).astype(np.int64)
-        est = estimates(signature[at], signature[to])
-        small, large = np.minimum(n[at][:, None], n[to][None, :]), np.maximum(n[at][:, None], n[to][None, :])
-        ok = (est >= least) & (label[at][:, None] != label[to][None, :]) & (small >= threshold * large - 1e-9)
-        if key[1] == key[2]:
-            ok &= ids[at][:, None] < ids[to][None, :]
-        x, y = np.nonzero(ok)
-        a, b = ids[at][x], ids[to][y]
-        found = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "est": est[x, y]})
-        return found.sort_values(["est", "a"], ascending=[False, True]).drop_duplicates("b") if best_only else found
-
-    found = block_rows(members).groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long, est double")
+    least, columns = least_estimate(threshold), ["a", "b", "est"]
+
+    def compare(rows: list[np.ndarray], signature: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        ids, label, n, bucket = rows
+        small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+        ok = (label[x] != label[y]) & (ids[x] != ids[y]) & (small >= threshold * large - 1e-9)
+        x, y = x[ok], y[ok]
+        bands = signature[:, -BANDS:]
+        ok = bands[x, (bands[x] == bands[y]).argmax(axis=1)] == bucket[x]
+        x, y = x[ok], y[ok]
+        est = estimates(signature[x, :-BANDS], signature[y, :-BANDS])
+        ok = est >= least
+        x, y, est = ids[x[ok]], ids[y[ok]], est[ok]
+        if best_only:
+            node, other, est = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([est, est])
+            order = np.lexsort((other, -est, node))
+            node, other, est = node[order], other[order], est[order]
+            new = np.ones(len(node), dtype=bool)
+            new[1:] = node[1:] != node[:-1]
+            x, y, est = node[new], other[new], est[new]
+        else:
+            x, y = np.minimum(x, y), np.maximum(x, y)
+        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(est)], columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in _with_end(batches):
+            if batch is not None:
+                held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if held is None or not len(held):
+                continue
+            block = np.stack([held[c].to_numpy() for c in ("bucket", "i", "j")])
+            change = np.flatnonzero((block[:, 1:] != block[:, :-1]).any(axis=0)) + 1
+            whole = len(held) if batch is None else int(change[-1]) if len(change) else 0  # the last block may go on
+            if not whole:
+                continue
+            starts = np.concatenate([[0], change[change < whole], [whole]])
+            now, held = held.slice(0, whole), held.slice(whole)
+            rows = [now[c].to_numpy() for c in ("id", "label", "n", "bucket")]
+            side = now["side"].to_numpy()
+            signature = now["signature"].combine_chunks().flatten().to_numpy().reshape(whole, -1)
+            xs, ys, size = [], [], 0
+            for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                x, y = block_pairs(lo, side[lo:hi])
+                xs.append(x), ys.append(y)
+                size += len(x)
+                if size > PAIRS:
+                    yield compare(rows, signature, np.concatenate(xs), np.concatenate(ys))
+                    xs, ys, size = [], [], 0
+            if size:
+                yield compare(rows, signature, np.concatenate(xs), np.concatenate(ys))
+
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = block_rows(members).repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    found = dealt.mapInArrow(run, "a long, b long, est double")
     if best_only:
-        best = found.groupBy("b").agg(F.max(F.struct("est", (-F.col("a")).alias("minus_a"))).alias("x"))
-        return best.select((-F.col("x.minus_a")).alias("a"), "b")
+        best = found.groupBy("a").agg(F.max(F.struct("est", (-F.col("b")).alias("minus"))).alias("x")).select("a", (-F.col("x.minus")).alias("b"))
+        found = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return found.select("a", "b").distinct()
 
 
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
 def confirmed(links: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The links (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
 
