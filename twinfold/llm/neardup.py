@@ -278,18 +278,13 @@ def confirmed(links: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return with_b.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
-    """(id, label): the smallest id that each linked id reaches. start: labels known before, of which links are a refinement.
+def components(links: DataFrame) -> DataFrame:
+    """(id, label): the smallest id that each linked id reaches.
 
     Labels move along links to the smaller one and then jump to their label's label, until nothing changes.
     """
     both = pinned(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
-    labels = both.select(F.col("u").alias("id")).distinct()
-    if start is not None:
-        labels = labels.join(start, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
-    else:
-        labels = labels.withColumn("label", F.col("id"))
-    labels = pinned(labels)
+    labels = pinned(both.select(F.col("u").alias("id")).distinct().withColumn("label", F.col("id")))
     while True:
         near = both.join(labels.select(F.col("id").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("least"))
         moved = labels.join(near.withColumnRenamed("u", "id"), "id", "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("least", "label")).alias("label"))
@@ -313,16 +308,34 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, tex
     source = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     texts = pinned(source.join(hint_small(asked, asked.count(), 2_000_000), "id", "left_semi"))
     signed = pinned(signatures(texts, width))
-    full = pinned(members.join(signed, "id").withColumn("label", F.col("id")))
-    first = confirmed(candidate_links(full, threshold, best_only=True), texts, width, percent)
-    first = pinned(first)
-    labels = components(first)
-    # candidates between what are now different components: buckets that still hold two labels
-    named = full.drop("label").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("bucket")
-    rest = candidate_links(named.join(mixed, "bucket", "left_semi"), threshold, best_only=False)
-    second = pinned(confirmed(rest, texts, width, percent))
-    labels = components(first.unionByName(second), labels)
+    full = pinned(members.join(signed, "id"))
+
+    def across(labels: DataFrame | None) -> DataFrame:
+        """Members, with labels, of the buckets that hold two or more of these."""
+        if labels is None:
+            return full.withColumn("label", F.col("id"))
+        named = full.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        mixed = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("bucket")
+        return named.join(mixed, "bucket", "left_semi")
+
+    def joined(labels: DataFrame | None, best_only: bool) -> tuple[DataFrame, bool]:
+        """The labels after confirming candidates between components, and whether any link was found."""
+        found = pinned(confirmed(candidate_links(across(labels), threshold, best_only), texts, width, percent))
+        if found.isEmpty():
+            return (labels if labels is not None else components(found)), False
+        if labels is None:
+            return components(found), True
+        # links between components, named by their labels: the components of components
+        name = labels.select(F.col("id"), F.col("label").alias("to"))
+        ends = found.join(name.select(F.col("id").alias("a"), F.col("to").alias("x")), "a", "left").join(name.select(F.col("id").alias("b"), F.col("to").alias("y")), "b", "left")
+        top = components(ends.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).distinct()).select(F.col("id").alias("label"), F.col("label").alias("to"))
+        every = labels.unionByName(found.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(labels, "id", "left_anti").withColumn("label", F.col("id")))
+        return pinned(every.join(top, "label", "left").select("id", F.coalesce("to", "label").alias("label"))), True
+
+    labels, more = joined(None, best_only=True)
+    while more:  # components that are linked merge, by half or more in a round
+        labels, more = joined(labels, best_only=True)
+    labels, _ = joined(labels, best_only=False)
     named_classes = classes.select("d1", "d2", "id").join(labels, "id", "left").select("d1", "d2", F.coalesce("label", "id").alias("component_id"))
     component = F.coalesce("component_id", "doc_id")
     joined = rows.drop("bands").join(named_classes, ["d1", "d2"], "left")
