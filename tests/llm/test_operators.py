@@ -395,6 +395,67 @@ def test_kneser_ney_equals_the_book(spark, limit):
     assert sum(p("\2t", c) for c in {*"".join(texts).replace(" ", ""), "\3"}) + p("\2t", "\4") == pytest.approx(1, abs=1e-9)
 
 
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_kneser_ney_across_words_equals_the_book(spark, limit):
+    texts = ["the cat sat on the mat", "a cat\tand  a hat", "that rat sat", "éé the tat tat tat", "", "\n"]
+    order = 3
+    df = spark.createDataFrame([(i, t, i % 2 == 0) for i, t in enumerate(texts)], "doc_id long, text string, target boolean")
+    counts = ngrams.count_grams(df, order, across=True)
+    whole = lambda t: "\3".join(t.split())
+    want = Counter()
+    for t in filter(None, map(whole, texts)):
+        s = "\2" * (order - 1) + t + "\3"
+        want.update(s[k : k + order] for k in range(len(s) - order + 1))
+    assert {r.gram: r.n for r in counts.collect()} == want and sum(r.n_target for r in counts.collect()) == sum(len(whole(t)) + 1 for t in texts[::2] if t.strip())
+    model, vocabulary = ngrams.kneser_ney(counts, order)
+    p = brute_kneser_ney(Counter(filter(None, map(whole, texts))), order, vocabulary)
+    asked = {0: "the cat zebra", 1: "hat\thats", 2: "", 3: None, 4: "日本 the", 5: "cat the zebra", 6: "tat " * 50}
+    scored = {r.doc_id: r for r in ngrams.score(spark.createDataFrame([*asked.items()], "doc_id long, text string"), [(model, vocabulary)], order, ("doc_id",), limit, across=True).collect()}
+    for i, t in asked.items():
+        s = "\2" * (order - 1) + whole(t or "") + "\3"
+        at = range(order - 1, len(s)) if (t or "").strip() else []
+        assert scored[i].n_symbols == len(at) and scored[i].lp0 == pytest.approx(sum(np.log(p(s[k - order + 1 : k], s[k])) for k in at), abs=1e-9)
+    assert scored[0].lp0 != pytest.approx(scored[5].lp0, abs=1e-3)  # the same words in another order
+
+
+def test_windows_of_long_texts_and_small_tables(monkeypatch):
+    monkeypatch.setattr(ngrams, "BLOCK", 7)
+    monkeypatch.setattr(ngrams.WindowCache, "BITS", 2)
+    texts = [b"", b"one two", "x\u00e9\U0001f600 y".encode(), b" ", b"a much longer text than a block, with words", b"z"]
+    got = [("".join(map(chr, s)), int(i)) for symbols, owner, _ in ngrams.runs(texts, 3) for s, i in zip(symbols, owner, strict=True)]
+    want = []
+    for i, x in enumerate(texts):
+        s = "\2\2" + "".join(w + "\3" for w in x.decode().split())
+        want += [(s[k : k + 3], i) for k in range(len(s) - 2)]
+    assert got == want
+
+    class Last:
+        def symbol_scores(self, symbols):
+            return symbols[:, -1].astype(float)
+
+    cache = ngrams.WindowCache([Last(), Last()])
+    for symbols, _, names in [*ngrams.runs(texts, 3)] * 2:
+        assert (cache.scores(symbols, names) == symbols[:, -1:].astype(float)).all()
+
+
+def test_quality_rejects_each_kind_of_junk(spark, tiny, docs):
+    """Words that come over and over, too: most of them, and all of the common ones."""
+    labels = table(spark, tiny, "labels")
+    repeated = ["For", "The", "Der", "Und", "De", "Que", "Les", "This", "That", "With"]
+    clean = [r.text.split() for r in docs.join(labels.filter("quality = 1 and toxic = 0"), "doc_id").filter("lang = 'en' and n_chars > 2000").select("text").orderBy("doc_id").limit(5).collect()]
+    kinds = {
+        "repeat": [" ".join([w] * 200) for w in repeated],
+        "shout": [" ".join(w.upper() + "!!" for w in x) for x in clean],
+        "marks": [" ".join(w + "$$$" for w in x) for x in clean],
+        "pipes": [" | ".join(x) for x in clean],
+    }
+    junk = [(-i - 1, t, "en", kind) for i, (kind, t) in enumerate((k, t) for k, ts in kinds.items() for t in ts)]
+    every = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([j[:3] for j in junk], "doc_id long, text string, lang string"))
+    keep = {r.doc_id: r.keep for r in quality.classified(every, labels).filter("doc_id < 0").collect()}
+    lost = Counter(kind for i, _, _, kind in junk if keep[i])
+    assert lost == {}, [t[:20] for i, t, _, _ in junk if keep[i]]
+
+
 def test_quality_parts_junk_from_clean(spark, tiny, docs):
     labels = table(spark, tiny, "labels")
     pdf = quality.classified(docs, labels).toPandas().merge(labels.toPandas(), on="doc_id")

@@ -1,8 +1,9 @@
-"""Interpolated modified Kneser-Ney models over the symbols of words.
+"""Interpolated modified Kneser-Ney models over the symbols of texts or of words.
 
 A word (between ASCII white space) is read as its characters and a closing symbol; each symbol is predicted from the order - 1 symbols
-before it in the word, padded by an opening symbol. So a word's log probability depends on the word alone, and a text's is a sum over
-its words. Counting: tasks count words, turn them into n-grams, and Spark sums the counts by n-gram. Model: lower orders hold
+before it. With `across` (op8, op10) these run over word borders, from one word's end into the next, and only a text's start is padded by
+an opening symbol: the order of words counts. Without it every word is padded, so a text's log probability is a sum over its words.
+Counting: tasks count windows (or words, turned into n-grams), and Spark sums the counts by n-gram. Model: lower orders hold
 continuation counts; counts, their contexts' totals and the lower order's probabilities meet in joins on the n-gram's context and suffix,
 sharded by them. Scoring: a model of at most `limit` rows (counted) is given to every task as sorted arrays; a larger one is joined with
 the documents' n-grams (`score_by_joins`), with the same result.
@@ -24,6 +25,8 @@ from .common import BROADCAST_ROWS, WordCache, as_bytes, mix64, pinned
 
 OPEN, CLOSE = 2, 3
 FLUSH = 150_000  # distinct words that a task counts before it hands on n-grams
+BLOCK = 1 << 20  # symbols that a task turns into windows at a time
+HELD = 1_000_000  # distinct windows that a task counts before it hands them on
 
 
 def windows(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,7 +48,89 @@ def keys(symbols: np.ndarray) -> np.ndarray:
     return h
 
 
-def count_grams(texts: DataFrame, order: int) -> DataFrame:
+def runs(texts: list[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(symbols, text's number, keys) of all windows of whole texts, words' borders inside them; blocks of about BLOCK symbols.
+
+    Row i of `symbols` (a view) is the window whose key is keys[i]. A longer text goes over several blocks.
+    """
+    pad = chr(OPEN) * (order - 1)
+    spread = mix64(np.arange(1, order + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    held, sizes, first = [], [], 0
+
+    def cut(first: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        flat = np.frombuffer("".join(held).encode("utf-32-le", "replace"), dtype="<u4")
+        n = np.array(sizes, dtype=np.int64)
+        begins = np.cumsum(n + order - 1) - (n + order - 1)
+        whole = np.ones(len(flat), dtype=bool)  # windows that end in a text, not in the next one's padding
+        whole[(begins[:, None] + n[:, None] + np.arange(order - 1)[None, :]).ravel()] = False
+        owner = np.repeat(np.arange(first, first + len(n)), n + order - 1)
+        views = np.lib.stride_tricks.sliding_window_view(flat, order) if len(flat) >= order else np.zeros((0, order), np.uint32)
+        for lo in range(0, len(views), BLOCK):
+            part = flat[lo : lo + BLOCK + order - 1].astype(np.uint64)
+            m = len(part) - order + 1
+            h = part[:m] * spread[0]
+            for k in range(1, order):
+                h += part[k : k + m] * spread[k]
+            keep = np.flatnonzero(whole[lo : lo + m])
+            yield views[lo : lo + m][keep], owner[lo : lo + m][keep], mix64(h[keep])
+
+    held_symbols = 0
+    for i, x in enumerate(texts):
+        words = x.split()
+        text = (b"\3".join(words) + b"\3").decode("utf-8", "replace").replace("\0", "�") if words else ""
+        held += [pad, text]
+        sizes.append(len(text))
+        held_symbols += len(text) + order - 1
+        if held_symbols >= BLOCK:
+            yield from cut(first)
+            held, sizes, first, held_symbols = [], [], i + 1, 0
+    if held:
+        yield from cut(first)
+
+
+def distinct(names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order that sorts names, where each distinct name begins in it, how often it comes)."""
+    order = np.argsort(names)
+    new = np.flatnonzero(np.r_[True, np.diff(names[order]) != 0]) if len(names) else np.zeros(0, np.int64)
+    return order, new, np.diff(np.r_[new, len(names)])
+
+
+def count_runs(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
+    """gram, n, n_target of the windows of whole texts, summed over up to HELD distinct ones of a task."""
+    held, waiting = [], 0  # (keys, grams, n, n_target)
+
+    def merged() -> tuple[np.ndarray, ...]:
+        names, grams, n, t = (np.concatenate(c) for c in zip(*held, strict=True))
+        at, new, _ = distinct(names)
+        return names[at[new]], grams[at[new]], np.add.reduceat(n[at], new), np.add.reduceat(t[at], new)
+
+    def batch(names: np.ndarray, grams: np.ndarray, n: np.ndarray, t: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(names), 100_000):
+            hi = lo + 100_000
+            yield pa.RecordBatch.from_arrays([pa.array(grams[lo:hi].tolist(), pa.string()), pa.array(n[lo:hi]), pa.array(t[lo:hi])], ["gram", "n", "n_target"])
+
+    for b in batches:
+        aimed = np.array(b.column(1).to_pylist(), dtype=bool)
+        for symbols, owner, names in runs(as_bytes(b.column(0)), order):
+            for flag in (False, True):
+                mine = np.flatnonzero(aimed[owner] == flag)
+                if not len(mine):
+                    continue
+                at, new, n = distinct(names[mine])
+                rows = mine[at[new]]
+                held.append((names[rows], np.ascontiguousarray(symbols[rows]).view(f"<U{order}").ravel(), n, n * flag))
+                waiting += len(rows)
+            if waiting > 2 * HELD:
+                held = [merged()]
+                waiting = len(held[0][0])
+                if waiting > HELD:
+                    yield from batch(*held[0])
+                    held, waiting = [], 0
+    if held:
+        yield from batch(*merged())
+
+
+def count_grams(texts: DataFrame, order: int, across: bool = False) -> DataFrame:
     """gram, n, n_target over texts with columns (text, target boolean); n counts all texts, n_target those of the target."""
 
     def grams(seen: Counter, aimed: Counter) -> Iterator[pa.RecordBatch]:
@@ -73,7 +158,10 @@ def count_grams(texts: DataFrame, order: int) -> DataFrame:
         if seen:
             yield from grams(seen, aimed)
 
-    found = texts.select(F.col("text"), F.col("target")).mapInArrow(run, "gram string, n long, n_target long")
+    def across_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from count_runs(batches, order)
+
+    found = texts.select(F.col("text"), F.col("target")).mapInArrow(across_words if across else run, "gram string, n long, n_target long")
     return found.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
 
 
@@ -132,6 +220,10 @@ class Tables:
     def word_scores(self, words: list[bytes]) -> np.ndarray:
         """Natural log probability of each word, its closing symbol included."""
         symbols, word = windows(words, self.order)
+        return np.bincount(word, weights=self.symbol_scores(symbols), minlength=len(words))
+
+    def symbol_scores(self, symbols: np.ndarray) -> np.ndarray:
+        """Natural log probability of the last symbol of each window."""
         score, left = np.zeros(len(symbols)), np.arange(len(symbols))
         for k in range(self.order, 0, -1):
             part = symbols[left, self.order - k :]
@@ -143,7 +235,36 @@ class Tables:
             back, known = look_up(*self.b[k], keys(symbols[left, self.order - k : self.order - 1]))
             score[left[known]] += back[known]
         score[left] -= np.log(self.vocabulary + 1)
-        return np.bincount(word, weights=score, minlength=len(words))
+        return score
+
+
+class WindowCache:
+    """Window's key -> log probability under each model: a table of 2^BITS slots, in which a new window takes its slot from the last one."""
+
+    BITS = 20
+
+    def __init__(self, tables: list[Tables]):
+        self.tables = tables
+        self.names = np.zeros(1 << self.BITS, np.uint64)
+        self.names[0] = ~np.uint64(0)  # no slot holds a key of its own at first
+        self.values = np.zeros((1 << self.BITS, len(tables)))
+
+    def scores(self, symbols: np.ndarray, names: np.ndarray) -> np.ndarray:
+        """A row of log probabilities for each window."""
+        slot = (names >> np.uint64(64 - self.BITS)).astype(np.int64)
+        out = self.values[slot]
+        missing = np.flatnonzero(self.names[slot] != names)
+        if len(missing):
+            at, new, n = distinct(names[missing])
+            rows = missing[at[new]]
+            some = np.ascontiguousarray(symbols[rows])
+            value = np.stack([t.symbol_scores(some) for t in self.tables], axis=1)
+            out[missing[at]] = np.repeat(value, n, axis=0)
+            # windows that share a slot: one of them stays, its name and its values together
+            slots, one = np.unique(slot[rows], return_index=True)
+            self.names[slots], self.values[slots] = names[rows[one]], value[one]
+        return out
+
 
 
 def look_up(names: np.ndarray, values: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,11 +290,11 @@ def tables_of(model: DataFrame, order: int, vocabulary: int) -> Tables:
     return Tables(order, vocabulary, [(np.zeros(0, np.uint64), np.zeros(0))] + [arrays("p", i) for i in range(1, order + 1)], [(np.zeros(0, np.uint64), np.zeros(0))] + [arrays("b", i) for i in range(1, order + 1)])
 
 
-def score(texts: DataFrame, models: list[tuple[DataFrame, int]], order: int, keep: tuple[str, ...], limit: int = BROADCAST_ROWS) -> DataFrame:
+def score(texts: DataFrame, models: list[tuple[DataFrame, int]], order: int, keep: tuple[str, ...], limit: int = BROADCAST_ROWS, across: bool = False) -> DataFrame:
     """keep columns, n_symbols and a log probability lp0 (and lp1 for a second model) of each row's whole text."""
     models = [(pinned(m), v) for m, v in models]
     if sum(m.count() for m, _ in models) > limit:
-        return score_by_joins(texts, models, order, keep)
+        return score_by_joins(texts, models, order, keep, across)
     tables = [tables_of(m, order, v) for m, v in models]
     shared = texts.sparkSession.sparkContext.broadcast(tables)  # at most `limit` rows
     names = [f"lp{i}" for i in range(len(models))]
@@ -199,10 +320,21 @@ def score(texts: DataFrame, models: list[tuple[DataFrame, int]], order: int, kee
                 columns = [pa.array(n, pa.int64()), pa.array([z.real for z in lps], pa.float64()), pa.array([z.imag for z in lps], pa.float64())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns[: 1 + len(names)]], schema.names)
 
-    return texts.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    def across_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WindowCache(shared.value)
+        for b in batches:
+            n, lps = np.zeros(b.num_rows, np.int64), np.zeros((b.num_rows, len(names)))
+            for symbols, owner, known in runs(as_bytes(b.column(b.num_columns - 1)), order):
+                n += np.bincount(owner, minlength=b.num_rows)
+                found = cache.scores(symbols, known)
+                for i in range(len(names)):
+                    lps[:, i] += np.bincount(owner, weights=found[:, i], minlength=b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n), *(pa.array(np.ascontiguousarray(lps[:, i])) for i in range(len(names)))], schema.names)
+
+    return texts.select(*keep, F.col("text").alias("__text")).mapInArrow(across_words if across else run, schema)
 
 
-def score_by_joins(texts: DataFrame, models: list[tuple[DataFrame, int]], order: int, keep: tuple[str, ...]) -> DataFrame:
+def score_by_joins(texts: DataFrame, models: list[tuple[DataFrame, int]], order: int, keep: tuple[str, ...], across: bool = False) -> DataFrame:
     """`score` for models of any size: documents' n-grams, pre-aggregated by document, meet the model's rows in joins."""
     numbered = pinned(texts.select(*keep, "text").withColumn("__row", F.monotonically_increasing_id()))
 
@@ -218,7 +350,17 @@ def score_by_joins(texts: DataFrame, models: list[tuple[DataFrame, int]], order:
                     text = np.ascontiguousarray(symbols[first]).view(f"<U{order}").ravel().tolist()
                     yield pa.RecordBatch.from_arrays([pa.array([row] * len(n), pa.int64()), pa.array(text, pa.string()), pa.array(n)], ["__row", "gram", "n"])
 
-    asked = pinned(numbered.select("__row", "text").mapInArrow(run, "__row long, gram string, n long"))
+    def across_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = b.column(0).to_numpy()
+            for symbols, owner, known in runs(as_bytes(b.column(1)), order):
+                at, new, n = distinct(mix64(known + mix64(owner.astype(np.uint64))))  # a text's windows of one kind are one row
+                for lo in range(0, len(new), 100_000):
+                    some, times = at[new[lo : lo + 100_000]], n[lo : lo + 100_000]
+                    text = np.ascontiguousarray(symbols[some]).view(f"<U{order}").ravel().tolist()
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[owner[some]]), pa.array(text, pa.string()), pa.array(times)], ["__row", "gram", "n"])
+
+    asked = pinned(numbered.select("__row", "text").mapInArrow(across_words if across else run, "__row long, gram string, n long"))
     names = [f"lp{i}" for i in range(len(models))]
     values = asked.select("gram").distinct()
     for name, (model, vocabulary) in zip(names, models, strict=True):

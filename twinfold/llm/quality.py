@@ -1,6 +1,6 @@
 """Quality classifier: perplexity under a Kneser-Ney model of trusted text, thresholded by language-specific quantiles.
 
-The model (see ngrams.py) is trained on all texts that the labels call good and not toxic. Every document gets its perplexity per symbol;
+The model (see ngrams.py) runs across word borders and is trained on all texts that the labels call good and not toxic. Every document gets its perplexity per symbol;
 a language's threshold is `slack` times a high quantile of its trusted documents' (length-smoothed) perplexities, so clean documents stay. Quantiles are
 exact to one part in ACCURACY ranks of all trusted documents; a language without trusted ones takes the quantile over all.
 
@@ -30,8 +30,8 @@ def perplexities(documents: DataFrame, labels: DataFrame, order: int = ORDER, li
     ids = pinned(trusted_ids(labels))
     known = hint_small(ids, ids.count())
     good = documents.filter(F.col("text").isNotNull()).join(known, "doc_id", "left_semi").select("text", F.lit(True).alias("target"))
-    counts = pinned(ngrams.count_grams(good, order))
-    scored = ngrams.score(documents.select("doc_id", "lang", "text"), [ngrams.kneser_ney(counts, order)], order, ("doc_id", "lang"), limit)
+    counts = pinned(ngrams.count_grams(good, order, across=True))
+    scored = ngrams.score(documents.select("doc_id", "lang", "text"), [ngrams.kneser_ney(counts, order)], order, ("doc_id", "lang"), limit, across=True)
     flagged = scored.join(known.withColumn("trusted", F.lit(True)), "doc_id", "left")
     ppl = F.when(F.col("n_symbols") > 0, F.exp(-F.col("lp0") / F.col("n_symbols"))).otherwise(0.0)
     return flagged.select("doc_id", "lang", "n_symbols", ppl.alias("perplexity"), F.coalesce("trusted", F.lit(False)).alias("trusted"))
