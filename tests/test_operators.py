@@ -52,6 +52,22 @@ def test_label_parses(spark):
     assert got == [("yes", "yes"), (None, "yes"), (None, None), (None, None)]
 
 
+def test_whole_texts_of_every_row_are_parsed(spark, tmp_path):
+    import re
+
+    import __spark_entry__ as entry
+
+    texts = ["The answer\nis Élan, and it ends well beyond forty characters!?\n", "thé\nand", "éand the", "the\nand", "a\nthe\nb", "the\u00e9 theé", "and_ the", "日本the", "x.\u0085", " .,\n ", "", None, "AND\x0b;"]
+    spark.createDataFrame([(i, 0, " user ", t) for i, t in enumerate(texts)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    answers = {r.conv_id: (r.answer, r.starts_with) for r in entry.queries()["complete_answer_whole_text"](spark, str(tmp_path)).collect()}
+    labels = {r.conv_id: r.relaxed for r in entry.queries()["strict_relaxed_whole_text"](spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        low = None if t is None else t.lower()
+        hits = [w for w in ("the", "and") if re.search(rf"(?<!\w){w}(?!\w)", t or "")]
+        assert answers[i] == (None if t is None else low.strip("\t\n\x0b\f\r \"'`.,;:!?"), next((c for c in ("The", "And") if (low or "").startswith(c.lower())), None)), t
+        assert labels[i] == (hits[0] if len(hits) == 1 else None), t
+
+
 def test_text_helpers(spark):
     row = spark.range(1).select(
         text.complete_answer(F.lit(' "Paris." ')).alias("answer"), text.after_marker(F.lit("<t>a</t> b"), "</t>", F.lit(False)).alias("after"), text.after_marker(F.lit("no mark"), "</t>", F.lit(False)).alias("open"),

@@ -8,7 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space and edge marks that a complete answer may carry: fixed values.
-EDGE = r"""\s"'`.,;:!?"""
+EDGE = r"""\x09-\x0D\x20"'`.,;:!?"""
+
+#: What a word is made of, in any script.
+LETTER = r"[\p{L}\p{N}_]"
 
 
 def strict_label(text: Column, labels: Sequence[str]) -> Column:
@@ -19,7 +22,7 @@ def strict_label(text: Column, labels: Sequence[str]) -> Column:
 
 def relaxed_label(text: Column, labels: Sequence[str]) -> Column:
     """The one label that stands in the text as a whole word; null if none or several do."""
-    found = F.filter(F.array(*map(F.lit, labels)), lambda w: F.regexp_like(text, F.concat(F.lit(r"(?<!\w)"), w, F.lit(r"(?!\w)"))))
+    found = F.filter(F.array(*map(F.lit, labels)), lambda w: F.regexp_like(text, F.concat(F.lit(f"(?<!{LETTER})"), w, F.lit(f"(?!{LETTER})"))))
     return F.when(F.size(found) == 1, F.get(found, 0))
 
 
@@ -31,7 +34,7 @@ def label_class(text: Column, labels: Sequence[str], correct: Column) -> Column:
 
 def complete_answer(text: Column) -> Column:
     """The text in lower case without white space and marks at its edges."""
-    return F.lower(F.regexp_replace(text, rf"^[{EDGE}]+|[{EDGE}]+$", ""))
+    return F.lower(F.regexp_replace(text, rf"^[{EDGE}]+|[{EDGE}]+\z", ""))
 
 
 def after_marker(text: Column, marker: str, truncated: Column) -> Column:

@@ -166,6 +166,26 @@ def complete_answer_parse(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("conv_id", "turn", text.complete_answer(F.col("t")).alias("answer"), text.prefix_candidate(F.col("t"), ["The", "And"]).alias("starts_with"))
 
 
+@query(
+    r"""WITH h AS (SELECT conv_id, turn, role, regexp_matches(text, '(^|[^\p{L}\p{N}_])the([^\p{L}\p{N}_]|\z)') AS a, regexp_matches(text, '(^|[^\p{L}\p{N}_])and([^\p{L}\p{N}_]|\z)') AS b FROM conversations)
+    SELECT conv_id, turn, CASE WHEN trim(role) IN ('user', 'assistant') THEN trim(role) END AS strict, CASE WHEN a AND NOT b THEN 'the' WHEN b AND NOT a THEN 'and' END AS relaxed FROM h"""
+)
+def strict_relaxed_whole_text(spark: SparkSession, sf: str) -> DataFrame:
+    """strict_relaxed_parse over whole texts: nothing is deleted, accents and line ends count."""
+    c = table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", text.strict_label(F.col("role"), ["user", "assistant"]).alias("strict"), text.relaxed_label(F.col("text"), ["the", "and"]).alias("relaxed"))
+
+
+@query(
+    r"""SELECT conv_id, turn, lower(regexp_replace(regexp_replace(text, '^[\x09-\x0D\x20"''`.,;:!?]+', ''), '[\x09-\x0D\x20"''`.,;:!?]+\z', '')) AS answer, CASE WHEN starts_with(lower(text), 'the') THEN 'The' WHEN starts_with(lower(text), 'and') THEN 'And' END AS starts_with
+    FROM conversations"""
+)
+def complete_answer_whole_text(spark: SparkSession, sf: str) -> DataFrame:
+    """complete_answer_parse over the whole text of every row."""
+    c = table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", text.complete_answer(F.col("text")).alias("answer"), text.prefix_candidate(F.col("text"), ["The", "And"]).alias("starts_with"))
+
+
 @query(f"WITH {_MARGINS} SELECT vec_id, CASE WHEN hit THEN 'correct' WHEN margin > -0.1 THEN 'near' WHEN label > 7 THEN 'outside' ELSE 'far' END AS kind FROM margins", uses="candidates")
 def error_taxonomy(spark: SparkSession, sf: str) -> DataFrame:
     m = candidates(spark, sf).withColumn("margin", scores.competitor_margin(F.col("v"), F.col("answer")))
