@@ -474,6 +474,17 @@ def test_model_edges(odd, none, no_labels, spark):
     assert lmscore.scored(none, no_labels).count() == 0 and lmscore.scored(odd, no_labels).count() == odd.count()
 
 
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_lm_score_depends_on_the_order_of_words(spark, limit):
+    texts = ["the cat sat on the mat and the cat ran", "the mat sat on the cat and ran the cat", "on on on the the the", "cat the and sat mat ran"]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in lmscore.scored(df, labels, limit=limit).collect()}
+    assert got[0].n_symbols == got[1].n_symbols and got[0].target_loss < got[1].target_loss - 1e-3 and got[0].background_loss != pytest.approx(got[1].background_loss, abs=1e-3)
+    limited = {r.doc_id: r.score for r in lmscore.scored(df, labels, limit=10**6 - limit).collect()}
+    assert all(limited[i] == pytest.approx(r.score, abs=1e-9) for i, r in got.items())
+
+
 def test_lm_score_prefers_the_target(spark, tiny, docs):
     labels = table(spark, tiny, "labels")
     pdf = lmscore.scored(docs, labels).toPandas().merge(labels.toPandas(), on="doc_id")

@@ -25,9 +25,9 @@ def scored(documents: DataFrame, labels: DataFrame, order: int = ORDER, limit: i
     ids = pinned(trusted_ids(labels))
     aimed = hint_small(ids, ids.count()).withColumn("target", F.lit(True))
     texts = documents.select("doc_id", "text").join(aimed, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    counts = pinned(ngrams.count_grams(texts, order))
+    counts = pinned(ngrams.count_grams(texts, order, across=True))
     background, vocabulary = ngrams.kneser_ney(counts.select("gram", "n"), order)
     target, _ = ngrams.kneser_ney(counts.select("gram", F.col("n_target").alias("n")), order, vocabulary)
-    rows = ngrams.score(documents.select("doc_id", "text"), [(target, vocabulary), (background, vocabulary)], order, ("doc_id",), limit)
+    rows = ngrams.score(documents.select("doc_id", "text"), [(target, vocabulary), (background, vocabulary)], order, ("doc_id",), limit, across=True)
     loss = [F.when(F.col("n_symbols") > 0, -F.col(c) / F.col("n_symbols")).otherwise(0.0) for c in ("lp0", "lp1")]
     return rows.select("doc_id", "n_symbols", loss[0].alias("target_loss"), loss[1].alias("background_loss"), (loss[0] - loss[1]).alias("score"))
