@@ -282,7 +282,7 @@ def brute_components(rows, width, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-def test_near_duplicates_equal_brute_force(spark):
+def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(5)
     base = [f"w{x}" for x in rng.integers(0, 5000, 300)]
     rows = []
@@ -293,12 +293,10 @@ def test_near_duplicates_equal_brute_force(spark):
         rows.append((1000 - i, " ".join(w).upper() if i % 5 == 0 else "\n".join(w)))
     rows += [(2000 + i, rows[3][1]) for i in range(20)] + [(3000, ""), (3001, None), (3002, "one two"), (3003, "ONE  two"), (3004, "two one")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    old, neardup.BLOCK = neardup.BLOCK, 32  # several blocks a bucket
-    try:
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, 3, 85).collect()}
-    finally:
-        neardup.BLOCK = old
-    assert got == brute_components(rows, 3, 85)
+    want = brute_components(rows, 3, 85)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, 3, 85).collect()} == want
+    monkeypatch.setattr(neardup, "BLOCK", 12), monkeypatch.setattr(neardup, "WIDE", 30), monkeypatch.setattr(neardup, "PAIRS", 500)  # several blocks a bucket
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, 3, 85).collect()} == want
 
 
 def test_near_duplicates_of_the_table(docs, local):

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +21,17 @@ BROADCAST_ROWS = 4_000_000
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Make sure that checkpoint() has a folder: the cluster's spark.checkpoint.dir, or a temporary one where none is set."""
+    """Make sure that checkpoint() has a folder: the cluster's spark.checkpoint.dir, or on a single machine a temporary one.
+
+    On a cluster a folder must be named: a machine's own folder can't be read by the others.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="spark-checkpoints-")
         atexit.register(shutil.rmtree, where, True)
     sc.setCheckpointDir(where)
@@ -42,6 +48,17 @@ def hint_small(df: DataFrame, rows: int, limit: int = 200_000) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """Names for helper columns that no column has, whatever its case."""
+    lower = {x.lower() for x in taken}
+    out = []
+    for name in names:
+        while name.lower() in lower:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
