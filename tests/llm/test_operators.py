@@ -106,8 +106,26 @@ def test_plain_words_have_the_tokenizers_ids():
 
     words = [w.encode() for w in ["it's", "don't,", "ÉCOLE", "Straße!!", "x'S", "A", "...", "a<|endoftext|>b", "éa", "abc123", "µm", "×a", "ÿÿ", "İ", "a.b", "|", "!!", "e\u0301a", "日本", "\u00a0x"]]
     tokenizer = Tokenizer.from_file(tokenizer_path())
-    want = [np.array(tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes() for w in words]
-    assert packing.tokenizer_words(tokenizer_path())(words) == want
+    words += [w.encode() for w in ["", "a***", "au,&&&", "(a)", "--", "x-y_z", "ÀÞ×÷ß", "à…", "naïve.", "a'", "'tis", "|>", "a<", "Ü", "é"]]
+    want = [tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in words]
+    for some in (words, words[:1], [w for w in words if w.isalpha()], [b"", b"A", b""]):
+        ids, n = packing.tokenizer_words(tokenizer_path())(some)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [want[words.index(w)] for w in some]
+
+
+def test_word_ids_keep_and_forget():
+    asked = []
+
+    def compute(words):
+        asked.extend(words)
+        return np.array([b for w in words for b in w], "<u4"), np.array([len(w) for w in words], np.int64)
+
+    known = packing.WordIds(compute, most=4, most_bytes=2000)
+    for k in range(60):
+        words = [b"often", b"", b"w%d" % k, b"x" * 300 + b"%d" % k]
+        ids, first, n = known.of(words)
+        assert [bytes(ids[a : a + b].astype(np.uint8)) for a, b in zip(first, n, strict=True)] == words
+    assert asked.count(b"often") < 20 and len(known.young["slot"]) + len(known.old["slot"]) < 20
 
 
 def test_packing_edges(odd, none):

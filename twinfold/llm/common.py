@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import re
 import shutil
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: ASCII white space, the complement of the word class [^\x20\x09-\x0D]; bytes.split() cuts at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,6 +22,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A table is handed to every task only up to so many rows; beyond, the operators join instead.
 BROADCAST_ROWS = 4_000_000
 
+#: Rows and bytes of an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
+
 
 def shared_checkpoints(spark: SparkSession) -> None:
     """Make sure that checkpoint() has a folder: the cluster's spark.checkpoint.dir, or on a single machine a temporary one.
@@ -43,6 +49,36 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """df.mapInArrow(run, schema) with bounded memory: small batches, and workers that give back what a task leaves free.
+
+    Workers live on from stage to stage; what their allocators hold would stay with each executor. The session's batch settings are kept
+    where they are smaller than these.
+    """
+    conf = df.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = re.sub(r"\D", "", conf.get(name)) or "0"
+        if not 0 < int(now) <= most:
+            conf.set(name, str(most))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(task, schema)
+
+
+def give_back() -> None:
+    """Free pages of this process's allocators go back to the machine (glibc; elsewhere only Arrow's)."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def hint_small(df: DataFrame, rows: int, limit: int = 200_000) -> DataFrame:
     """df with a broadcast hint if its counted rows are few; otherwise Spark is left to choose another join."""
     return F.broadcast(df) if rows <= limit else df

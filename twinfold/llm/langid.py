@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, mix64
+from .common import as_bytes, mapped, mix64
 
 BUCKETS, DIM, ORDERS = 1 << 14, 16, (2, 3, 4)
 PER_LANGUAGE = 500
@@ -140,7 +140,7 @@ def fit(documents: DataFrame, per_language: int = PER_LANGUAGE, text: str = "tex
                 at.append(found.astype(np.int32)), share.append((n / max(1, n.sum())).astype(np.float32))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(share, pa.list_(pa.float32()))], ["lang", "checks", "at", "share"])
 
-    rows = drawn.select("lang", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1).alias("checks"), "text").mapInArrow(run, schema).toArrow()
+    rows = mapped(drawn.select("lang", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1).alias("checks"), "text"), run, schema).toArrow()
     parts: dict[bool, list] = {True: [], False: []}
     for y, c, at, share in zip(rows["lang"].to_pylist(), rows["checks"].to_pylist(), rows["at"], rows["share"], strict=True):
         if len(at):
@@ -169,7 +169,7 @@ def predict(documents: DataFrame, model: Model | None, text: str = "text", keep:
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())], schema.names)
 
     read = documents.select(*keep) if text in keep else documents.select(*keep, F.col(text).alias("__text"))
-    return read.mapInArrow(run, schema)
+    return mapped(read, run, schema)
 
 
 def identified(documents: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:

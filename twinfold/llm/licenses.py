@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes
+from .common import as_bytes, mapped
 
 #: The contract's phrases and labels: fixed values.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -185,7 +185,7 @@ def scan_licenses(documents: DataFrame, base: dict[str, str] = BASE, templates:
             ]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *columns], schema.names)
 
-    return documents.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return mapped(documents.select(*keep, F.col(text).alias("__text")), run, schema)
 
 
 def scanned(documents: DataFrame) -> DataFrame:

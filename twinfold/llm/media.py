@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes
+from .common import as_bytes, mapped
 
 # Fixed values of ISO 11172-3 / 13818-3: bitrates in kbit/s by (MPEG-1?, layer), index 1 to 14; sampling rates by version.
 BITRATES = {
@@ -198,7 +198,7 @@ def encode_audio(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
                 media = [encode(x.ljust(n, b" ")) for x, n in zip(texts, sizes, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(map(len, texts), pa.int64()), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], schema.names)
 
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return mapped(df.select(*keep, F.col(text).alias("__text")), run, schema)
 
 
 def parse_audio(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -223,7 +223,7 @@ def parse_audio(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("d
                 columns += [pa.array([r[c] for r in read], pa.int64()) for c in counts]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns, pa.array([r["offsets"] for r in read], pa.list_(pa.int64()))], schema.names)
 
-    return df.select(*keep, F.col(media).alias("__media")).mapInArrow(run, schema)
+    return mapped(df.select(*keep, F.col(media).alias("__media")), run, schema)
 
 
 def feature(read: dict) -> str:

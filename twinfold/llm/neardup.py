@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, chunks, fresh, hint_small, mix64, pinned
+from .common import as_bytes, chunks, fresh, hint_small, mapped, mix64, pinned
 
 ROWS, K, BITS, MARGIN, MISSED = 5, 1024, 2, 4.0, 1e-5
 BLOCK, WIDE = 256, 1024  # members of a block
@@ -188,7 +188,7 @@ def sketch(rows: DataFrame, width: int, bands: int) -> DataFrame:
                     found.append(band_hashes(minima(s, bands * ROWS), bands))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "t", "n_shingles", "d1", "d2", "bands"])
 
-    return rows.select("doc_id", "t", "text").mapInArrow(run, "doc_id long, t binary, n_shingles long, d1 long, d2 long, bands array<long>")
+    return mapped(rows.select("doc_id", "t", "text"), run, "doc_id long, t binary, n_shingles long, d1 long, d2 long, bands array<long>")
 
 
 def signed(rows: DataFrame, width: int) -> DataFrame:
@@ -203,7 +203,7 @@ def signed(rows: DataFrame, width: int) -> DataFrame:
                 found = [packed(minima(s, K)) for s in shingle_sets(as_bytes(part.column(at)), width)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(pa.int64()))], names)
 
-    return rows.mapInArrow(run, rows.select("*").schema.add("signature", T.ArrayType(T.LongType())))
+    return mapped(rows, run, rows.select("*").schema.add("signature", T.ArrayType(T.LongType())))
 
 
 # ---- inside a task: the links of whole blocks
@@ -314,7 +314,7 @@ def linked(dealt: DataFrame, width: int, percent: int) -> DataFrame:
             held = held.slice(begin) if begin < size else None
 
     rows = dealt.select("key", "side", "bucket", "node", "label", "n", "bands", "signature", "text")
-    return rows.repartition("key").sortWithinPartitions("key", "side").mapInArrow(run, "a long, b long")
+    return mapped(rows.repartition("key").sortWithinPartitions("key", "side"), run, "a long, b long")
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, WordCache, as_bytes, mix64, pinned
+from .common import BROADCAST_ROWS, as_bytes, mapped, mix64, pinned, WordCache
 
 OPEN, CLOSE = 2, 3
 FLUSH = 150_000  # distinct words that a task counts before it hands on n-grams
@@ -161,7 +161,7 @@ def count_grams(texts: DataFrame, order: int, across: bool = False) -> DataFrame
     def across_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from count_runs(batches, order)
 
-    found = texts.select(F.col("text"), F.col("target")).mapInArrow(across_words if across else run, "gram string, n long, n_target long")
+    found = mapped(texts.select(F.col("text"), F.col("target")), across_words if across else run, "gram string, n long, n_target long")
     return found.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
 
 
@@ -331,7 +331,7 @@ def score(texts: DataFrame, models: list[tuple[DataFrame, int]], order: int, kee
                     lps[:, i] += np.bincount(owner, weights=found[:, i], minlength=b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n), *(pa.array(np.ascontiguousarray(lps[:, i])) for i in range(len(names)))], schema.names)
 
-    return texts.select(*keep, F.col("text").alias("__text")).mapInArrow(across_words if across else run, schema)
+    return mapped(texts.select(*keep, F.col("text").alias("__text")), across_words if across else run, schema)
 
 
 def score_by_joins(texts: DataFrame, models: list[tuple[DataFrame, int]], order: int, keep: tuple[str, ...], across: bool = False) -> DataFrame:
@@ -360,7 +360,7 @@ def score_by_joins(texts: DataFrame, models: list[tuple[DataFrame, int]], order:
                     text = np.ascontiguousarray(symbols[some]).view(f"<U{order}").ravel().tolist()
                     yield pa.RecordBatch.from_arrays([pa.array(rows[owner[some]]), pa.array(text, pa.string()), pa.array(times)], ["__row", "gram", "n"])
 
-    asked = pinned(numbered.select("__row", "text").mapInArrow(across_words if across else run, "__row long, gram string, n long"))
+    asked = pinned(mapped(numbered.select("__row", "text"), across_words if across else run, "__row long, gram string, n long"))
     names = [f"lp{i}" for i in range(len(models))]
     values = asked.select("gram").distinct()
     for name, (model, vocabulary) in zip(names, models, strict=True):

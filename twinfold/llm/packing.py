@@ -15,17 +15,18 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordCache, as_bytes, chunks, pinned
+from .common import as_bytes, chunks, mapped, pinned
 
 CAPACITY = 2048
 SALTS = 256
@@ -104,35 +105,55 @@ def best_fit(items: DataFrame, length: str = "length", keys: tuple[str, ...] = (
             each = np.maximum(run[:, 2], 1)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(run[:, 3] + ahead // each), pa.array(run[:, 4] + ahead % each * size)], schema.names)
 
-    return ranked.mapInArrow(place, schema)
+    return mapped(ranked, place, schema)
 
 
-#: Bytes of plain words: letters A-Z, a-z and the two bytes of Latin-1's letters (not its two signs); marks that may close one.
-_LETTER = np.array([chr(b).isascii() and chr(b).isalpha() or b == 0xC3 or 0x80 <= b <= 0xBF and b not in (0x97, 0xB7) for b in range(256)])
-MARKS = b".,!?;:|$%&*#"
-_MARK = np.isin(np.arange(256), np.frombuffer(MARKS, np.uint8))
+#: Classes of bytes in plain words: 1 for letters (A-Z, a-z and the two bytes of Latin-1's letters, not its two signs), 2 for marks, 0 for all else.
+#: Not marks: the apostrophe, which may begin a pre-token of letters, and <, which may begin a special token.
+_CLASS = np.array([1 if chr(b).isascii() and chr(b).isalpha() or b == 0xC3 or 0x80 <= b <= 0xBF and b not in (0x97, 0xB7) else 2 if chr(b) in "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~" else 0 for b in range(256)], dtype=np.uint8)
+SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
 
-def byte_letters() -> dict[int, int]:
-    """The letter that stands for each byte in byte-level vocabularies: itself where printable, else one from 256 on, in order."""
+def byte_letters() -> np.ndarray:
+    """The letter's code point that stands for each byte in byte-level vocabularies: itself where printable, else one from 256 on, in order."""
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    hidden = [b for b in range(256) if b not in shown and b != 32]
-    return {b: 256 + i + (b > 32) for i, b in enumerate(hidden)}
+    out = np.arange(256, dtype="<u4")
+    hidden = [b for b in range(256) if b not in shown]
+    out[hidden] = 256 + np.arange(len(hidden))
+    out[32] = 32  # the space parts pre-tokens
+    return out
 
 
-def tokenizer_words(path: str):
-    """words -> their ids as little-endian unsigned 32-bit integers, for a tokenizer that never merges over ASCII white space.
+def ragged(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs values[start : start + size], one after another."""
+    ends = np.cumsum(size)
+    return values[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - size), size)]
 
-    A lower-casing byte-level vocabulary with word ends is asked for many plain words in one text: each of their pre-tokens closes with
-    the one id whose entry has the end mark, so the ids can be cut into words again. Other words, or other kinds of vocabulary, are
-    encoded one by one.
+
+def as_list(column: pa.LargeBinaryArray) -> list[bytes]:
+    """The values of a column without nulls."""
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1].tolist() if len(column) else [0]
+    raw = column.buffers()[2].to_pybytes() if column.buffers()[2] else b""
+    return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def tokenizer_words(path: str) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
+    """words -> (ids of all words, number of ids of each), for a tokenizer that never merges over ASCII white space.
+
+    A lower-casing byte-level vocabulary with word ends is asked for many plain words in one text: each of their pre-tokens (a run of
+    letters, or of marks) closes with the one id whose entry has the end mark, so the ids can be cut into words again. Other words, or
+    other kinds of vocabulary, are encoded one by one.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core: a pool of threads in each worker only costs memory and CPU
     from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
     mark = getattr(tokenizer.model, "end_of_word_suffix", None)
-    encode = lambda words: [array("I", x.ids).tobytes() for x in tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+
+    def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+        return np.fromiter((i for x in found for i in x), dtype="<u4"), np.fromiter(map(len, found), np.int64, len(found))
+
     if not mark:
         return encode
     bare = Tokenizer.from_file(path)
@@ -141,62 +162,121 @@ def tokenizer_words(path: str):
     closes[[i for t, i in bare.get_vocab().items() if t.endswith(mark)]] = True
     letters = byte_letters()
 
-    def of_plain(words: list[bytes], pretokens: np.ndarray, is_ascii: bool) -> list[bytes]:
-        texts = [b" ".join(words[lo : lo + 1000]).decode().lower() for lo in range(0, len(words), 1000)]
-        if not is_ascii:
-            texts = [t.encode().decode("latin-1").translate(letters) for t in texts]
-        for m in MARKS.decode():
-            texts = [t.replace(m, " " + m) for t in texts]
+    def of_plain(flat: np.ndarray, pretokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As encode, of plain words with a space after each; pretokens: how many each of them has."""
+        kind = _CLASS[flat]
+        upper = (flat >= 65) & (flat <= 90)
+        upper[1:] |= (flat[:-1] == 0xC3) & (flat[1:] >= 0x80) & (flat[1:] <= 0x9E)
+        flat = flat + upper * np.uint8(32)
+        flat = np.insert(flat, np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] != 0) & (kind[:-1] != 0)) + 1, 32)
+        cuts = np.flatnonzero(flat == 32)[999::1000] + 1
+        texts = [x.tobytes().decode("utf-32-le") for x in np.split(letters[flat], cuts)]
         ids = np.concatenate([np.array(x.ids, dtype="<u4") for x in bare.encode_batch_fast(texts, add_special_tokens=False)])
-        ends = np.flatnonzero(closes[ids]) + 1
-        if len(ends) != pretokens.sum():
+        ends = np.r_[0, np.flatnonzero(closes[ids]) + 1]
+        if len(ends) != pretokens.sum() + 1:
             raise ValueError("the vocabulary's word ends don't follow its pre-tokens")
-        cut, raw = [0, *(4 * ends[np.cumsum(pretokens) - 1]).tolist()], ids.tobytes()
-        return [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+        return ids, np.diff(ends[np.cumsum(pretokens)], prepend=0)
 
-    def compute(words: list[bytes]) -> list[bytes]:
+    def compute(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         flat = np.frombuffer(b" ".join(words) + b" ", dtype=np.uint8)
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        end = np.cumsum(size + 1) - 1
-        marked = _MARK[flat[end - 1]]
-        strange = np.add.reduceat(~_LETTER[flat], end - size) - 1 - marked  # less the space and the mark
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        begin = np.cumsum(size) - size
+        kind = _CLASS[flat]
+        strange = np.add.reduceat(kind == 0, begin) > 1  # more than the space
         # a lead byte C3 has its continuation, as the text is UTF-8, and no other lead byte is a letter here
-        wide = np.add.reduceat(flat > 127, end - size) > 0
-        pretokens = (size > marked).astype(np.int64) + marked
-        out = np.empty(len(words), dtype=object)
-        for is_ascii in (True, False):
-            at = np.flatnonzero((strange == 0) & (wide != is_ascii))
-            if len(at):
-                out[at] = of_plain([words[k] for k in at.tolist()], pretokens[at], is_ascii)
-        at = np.flatnonzero(strange != 0)
-        if len(at):
-            out[at] = encode([words[k] for k in at.tolist()])
-        return out.tolist()
+        starts = kind != 0
+        starts[1:] &= kind[1:] != kind[:-1]
+        starts[begin] = kind[begin] != 0
+        pretokens = np.add.reduceat(starts, begin, dtype=np.int64)
+        plain = np.flatnonzero(~strange)
+        if len(plain) == len(words):
+            return of_plain(flat, pretokens)
+        odd = np.flatnonzero(strange)
+        a = of_plain(flat[np.repeat(~strange, size)], pretokens[plain]) if len(plain) else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+        b = encode([words[k] for k in odd.tolist()])
+        ids, n = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+        order = np.argsort(np.concatenate([plain, odd]))
+        return ragged(ids, (np.cumsum(n) - n)[order], n[order]), n[order]
 
     return compute
 
 
+class WordIds:
+    """Words' ids, filled in bulk by `compute`, as arrays.
+
+    Two generations: when the young one holds `most` words or `most_bytes` of them it becomes the old one, and words that come again move
+    up, so frequent words stay and memory is bounded whatever the texts hold.
+    """
+
+    def __init__(self, compute: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 150_000, most_bytes: int = 8 << 20):
+        self.compute, self.most, self.most_bytes = compute, most, most_bytes
+        self.young, self.old = self.empty(), self.empty()
+
+    @staticmethod
+    def empty() -> dict:
+        return {"slot": {}, "bytes": 0, "n": [np.zeros(0, np.int64)], "ids": [np.zeros(0, "<u4")]}
+
+    @staticmethod
+    def flat(g: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first of each slot, number of each slot)."""
+        for c in ("n", "ids"):
+            g[c] = [np.concatenate(g[c])] if len(g[c]) > 1 else g[c]
+        n = g["n"][0]
+        return g["ids"][0], np.cumsum(n) - n, n
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, number): word i has ids[first[i] : first[i] + number[i]]. The words must differ."""
+        if len(self.young["slot"]) > self.most or self.young["bytes"] > self.most_bytes:
+            self.young, self.old = self.empty(), self.young if self.young["bytes"] <= 4 * self.most_bytes else self.empty()
+        g, many = self.young, len(words)
+        slot = np.fromiter(map(g["slot"].get, words, repeat(-1)), np.int64, many)
+        missing = np.flatnonzero(slot < 0)
+        if len(missing):
+            some = [words[k] for k in missing.tolist()]
+            before = np.fromiter(map(self.old["slot"].get, some, repeat(-1)), np.int64, len(some))
+            had, new = before >= 0, before < 0
+            ids, first, n = self.flat(self.old)
+            kept = before[had]
+            parts = [(ragged(ids, first[kept], n[kept]), n[kept])]
+            if new.any():
+                parts.append(self.compute([some[k] for k in np.flatnonzero(new).tolist()]))
+            at = missing[np.r_[np.flatnonzero(had), np.flatnonzero(new)]]
+            slot[at] = len(g["slot"]) + np.arange(len(at))
+            g["slot"].update(zip([words[k] for k in at.tolist()], slot[at].tolist(), strict=True))
+            g["bytes"] += sum(map(len, some))
+            for ids, n in parts:
+                g["ids"].append(ids), g["n"].append(n)
+        ids, first, n = self.flat(g)
+        return ids, first[slot], n[slot]
+
+
 def pieces(documents: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each document's ids, closed by end_id; only longer documents are cut, at multiples of capacity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(tokenizer_words(tokenizer))
-        close = array("I", [end_id]).tobytes()
+        known = WordIds(tokenizer_words(tokenizer))
         for b in batches:
             texts = as_bytes(b.column(1))
-            for lo, hi in chunks(texts):
-                row, piece, start, length, crc = [], [], [], [], []
-                each = [x.split() for x in texts[lo:hi]]
-                ids_of = cache.values_of(each).__getitem__
-                for i, words in enumerate(each):
-                    ids = b"".join(map(ids_of, words)) + close
-                    for k, cut_at in enumerate(range(0, len(ids), 4 * capacity)):
-                        cut = ids[cut_at : cut_at + 4 * capacity]
-                        row.append(i), piece.append(k), start.append(cut_at // 4), length.append(len(cut) // 4), crc.append(zlib.crc32(cut))
+            for lo, hi in chunks(texts, 2 << 20):
+                words = pc.split_pattern(pa.array([x.translate(SPACES) for x in texts[lo:hi]], pa.large_binary()), " ")  # empty words have no ids
+                each = words.flatten().dictionary_encode()
+                ids, first, n = known.of(as_list(each.dictionary))
+                word = each.indices.to_numpy()
+                many = np.add.reduceat(n[word], words.offsets.to_numpy()[:-1] - words.offsets[0].as_py())  # a text has one word at least, if an empty one
+                # the closing id is one more word at each text's end
+                word = np.insert(word, np.cumsum(np.diff(words.offsets.to_numpy())), len(n))
+                ids, first, n = np.r_[ids, np.array([end_id], "<u4")], np.r_[first, len(ids)], np.r_[n, 1]
+                flat = memoryview(ragged(ids, first[word], n[word]).astype("<u4").tobytes())
+                row, piece, start, length, crc, at = [], [], [], [], [], 0
+                for i, size in enumerate((many + 1).tolist()):
+                    for k, cut_at in enumerate(range(0, size, capacity)):
+                        cut = min(capacity, size - cut_at)
+                        row.append(i), piece.append(k), start.append(cut_at), length.append(cut), crc.append(zlib.crc32(flat[4 * (at + cut_at) : 4 * (at + cut_at + cut)]))
+                    at += size
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     schema = documents.select(F.col(doc_id).alias("doc_id")).schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
-    return documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text")).mapInArrow(run, schema)
+    return mapped(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text")), run, schema)
 
 
 def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
