@@ -238,6 +238,38 @@ def test_audio_damage_and_tags():
     assert media.crc16(b"") == 0xFFFF
 
 
+@pytest.mark.parametrize("word", [b"TAG", b"ID3\4\0\0\0\0\0\1", media.HEADS[96], b"\xff\xfa", b"Xing", b"VBRI"])
+def test_audio_payloads_that_look_like_audio(word):
+    for n in (192, 960, 1152):
+        for at in [0, *range(max(0, n - 200), n - len(word) + 1)]:
+            payload = (b"a" * at + word).ljust(n, b"b")
+            read = media.decode(media.encode(payload))
+            assert read["payload"] == payload and read["skipped_bytes"] == 0 and read["crc_errors"] == 0 and "title" not in read["tags"]
+
+
+def test_audio_query_equals_a_plain_computation(spark, odd):
+    """feature, digests and sizes of the query against the bytes of `encode`, walked frame by frame."""
+    texts = {r.doc_id: r.text for r in odd.collect() if r.doc_id is not None} | {90: "a" * 89 + "TAG" + "b" * 50, 91: "x" * 5000}
+    df = docs_frame(spark, [(i, t, "en", "s") for i, t in texts.items()])
+    for r in media.media_digests(df).collect():
+        raw = (texts[r.doc_id] or "").encode()
+        payload = raw.ljust(max(1, -(-len(raw) // 192)) * 192, b" ")
+        stream = media.encode(payload)
+        at = 10 + (stream[6] << 21 | stream[7] << 14 | stream[8] << 7 | stream[9]) + 576  # behind the tag and the table's frame
+        offsets, data = [], b""
+        while at < len(stream):
+            kbps = (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)[(stream[at + 2] >> 4) - 1]
+            offsets.append(at)
+            data += stream[at + 23 : at + 3 * kbps]
+            at += 3 * kbps
+        assert at == len(stream) and data[: len(payload)] == payload
+        seek = zlib.crc32(",".join(map(str, offsets)).encode())
+        audio = len(stream) - offsets[0] + 576
+        assert r.feature == f"mp3 frames={len(offsets)} samples={1152 * len(offsets)}/48000 vbr={len(offsets)}/{audio} crc={len(offsets) + 1}-0 skipped=0 seek={seek:08x}"
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert (r.media_bytes, r.media_sha256) == (len(stream), hashlib.sha256(stream).hexdigest())
+
+
 # ---- 4 fingerprints
 
 

@@ -26,7 +26,13 @@ from .common import as_bytes, mapped, mix64
 
 BUCKETS, DIM, ORDERS = 1 << 14, 16, (2, 3, 4)
 PER_LANGUAGE = 500
-LETTER = re.compile(r"[^\W\d_]")
+MAYBE = re.compile(r"[^\W\d_]")  # letters, and numerals that aren't decimal digits
+
+
+def has_letter(text: str) -> bool:
+    """Whether the text has a character of the Unicode categories L*."""
+    return any(m[0].isalpha() for m in MAYBE.finditer(text))
+
 
 
 def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +167,7 @@ def predict(documents: DataFrame, model: Model | None, text: str = "text", keep:
             for lo in range(0, b.num_rows, 300):
                 part = b.slice(lo, 300)
                 texts = as_bytes(part.column(at))
-                has = [model is not None and LETTER.search(x.decode("utf-8", "replace")) is not None for x in texts]
+                has = [model is not None and has_letter(x.decode("utf-8", "replace")) for x in texts]
                 best, p = model.scores(texts) if model is not None else ([0] * len(texts), [0.0] * len(texts))
                 lang = [model.languages[k] if ok else "und" for k, ok in zip(best, has, strict=True)]
                 score = [float(x) if ok else 0.0 for x, ok in zip(p, has, strict=True)]

@@ -110,26 +110,30 @@ def decode(media: bytes) -> dict:
     """Frames, tags, tables, checksums and ancillary payload of an MPEG audio stream.
 
     A header counts only if another one of its layer and rate (or the stream's end, or a closing tag) stands where its length says, or if
-    it continues a chain of such; other bytes are skipped up to the next such place and counted in skipped_bytes. The table's own frame makes no sound and is not counted.
+    it continues a chain of such; other bytes are skipped up to the next such place and counted in skipped_bytes. Bytes "TAG" 128 before
+    the end are a closing tag only where no frame covers them: a frame that reaches to the very end holds them as data. The table's own
+    frame makes no sound and is not counted.
     """
     end, at, tags = len(media), 0, {}
     while media[at : at + 3] == b"ID3" and end - at >= 10:
         size = media[at + 6] << 21 | media[at + 7] << 14 | media[at + 8] << 7 | media[at + 9]
         tags |= _tag(media[at + 10 : at + 10 + size], media[at + 3])
         at += 10 + size + (10 if media[at + 5] & 0x10 else 0)
-    if end - at >= 128 and media[end - 128 : end - 125] == b"TAG":
-        tags.setdefault("title", media[end - 125 : end - 95].rstrip(b"\0 ").decode("latin-1"))
-        end -= 128
+    closing = end - 128 if end - at >= 128 and media[end - 128 : end - 125] == b"TAG" else -1
     out = {"n_frames": 0, "n_samples": 0, "sample_rate": 0, "crc_checked": 0, "crc_errors": 0, "skipped_bytes": 0, "vbr_frames": -1, "vbr_bytes": -1}
     offsets: list[int] = []
     body: list[bytes] = []
     first, locked, stream = True, False, None
     while at < end:
+        if at == closing:
+            tags.setdefault("title", media[end - 125 : end - 95].rstrip(b"\0 ").decode("latin-1"))
+            break
         h = header(media[at : at + 4])
-        follows = h and (at + h[0] == end or (n := header(media[at + h[0] : at + h[0] + 4])) is not None and (n[1], n[2], n[5]) == (h[1], h[2], h[5]))
+        follows = h and (at + h[0] in (end, closing) or (n := header(media[at + h[0] : at + h[0] + 4])) is not None and (n[1], n[2], n[5]) == (h[1], h[2], h[5]))
         if h is None or at + h[0] > end or not (follows or locked and (h[1], h[2], h[5]) == stream):
             to = media.find(b"\xff", at + 1, end)
             to, locked = end if to < 0 else to, False
+            to = closing if at < closing < to else to
             out["skipped_bytes"] += to - at
             at = to
             continue
