@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinfold.llm import langid, licenses, lmscore, media, merkle, mixing, neardup, ngrams, packing, quality, urls
-from twinfold.llm.common import WordCache, table
+from twinfold.llm.common import table
 from twinfold.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, bucket int, size string, __salt string"
@@ -136,16 +136,6 @@ def test_packing_edges(odd, none):
     assert packing.pack(none, tokenizer_path()).count() == 0
 
 
-def test_word_cache_keeps_and_forgets():
-    asked = []
-    cache = WordCache(lambda words: asked.extend(words) or [w + b"!" for w in words], most=4, most_bytes=2000)
-    for k in range(60):
-        words = [b"often", b"w%d" % k, b"x" * 300 + b"%d" % k]
-        got = cache.values_of([words, words[:1], []])
-        assert [got[w] for w in words] == [w + b"!" for w in words]
-    assert asked.count(b"often") < 20 and len(cache.young) + len(cache.old) < 20
-
-
 # ---- 2 mixing
 
 
@@ -397,93 +387,115 @@ def test_subwords_stay_inside_words():
 # ---- 8 and 10: n-gram models
 
 
-def brute_kneser_ney(words, order, vocabulary):
-    """p(symbol | context) by the book, on dictionaries."""
-    grams = Counter()
-    for w, n in words.items():
-        s = "\2" * (order - 1) + w + "\3"
-        for k in range(order - 1, len(s)):
-            grams[s[k - order + 1 : k + 1]] += n
+def whole(text):
+    """A text as its symbols, without the padding."""
+    words = (text or "").encode().split()
+    return (b"\3".join(words) + b"\3").decode().replace("\0", "�") if words else ""
+
+
+def brute_kneser_ney(texts, order, symbols=None):
+    """Log probability of a whole text by the book, on dictionaries; symbols: texts whose symbols share the uniform part."""
+    grams, pad = Counter(), "\2" * (order - 1)
+    for s in filter(None, map(whole, texts)):
+        grams.update((pad + s)[k : k + order] for k in range(len(s)))
     levels = {order: grams}
     for k in range(order - 1, 0, -1):
         levels[k] = Counter(g[-k:] for g in {h[-k - 1 :] for h in grams})
     cuts = {k: ngrams.discounts(*(sum(n == i for n in c.values()) for i in (1, 2, 3, 4))) for k, c in levels.items()}
-
-    def p(context, symbol, k=order):
-        if k == 0:
-            return 1 / (vocabulary + 1)
-        context = context[len(context) - k + 1 :]
-        own = {g: n for g, n in levels[k].items() if g[:-1] == context}
-        if not own:
-            return p(context, symbol, k - 1)
-        total, d = sum(own.values()), lambda n: cuts[k][min(n, 3) - 1]
-        n = own.get(context + symbol, 0)
-        return (n - d(n) if n else 0) / total + sum(map(d, own.values())) / total * p(context, symbol, k - 1)
-
-    return p
-
-
-@pytest.mark.parametrize("limit", [10**6, 0])
-def test_kneser_ney_equals_the_book(spark, limit):
-    texts = ["the cat sat on the mat", "a cat and a hat", "that rat sat", "éé the tat tat tat"]
-    order = 3
-    df = spark.createDataFrame([(i, t, True) for i, t in enumerate(texts)], "doc_id long, text string, target boolean")
-    counts = ngrams.count_grams(df, order)
-    model, vocabulary = ngrams.kneser_ney(counts, order)
-    p = brute_kneser_ney(Counter(w for t in texts for w in t.split()), order, vocabulary)
-    asked = [(0, "the cat zebra"), (1, "hat\thats"), (2, ""), (3, None), (4, "日本 the")]
-    scored = ngrams.score(spark.createDataFrame(asked, "doc_id long, text string"), [(model, vocabulary)], order, ("doc_id",), limit)
-    for r in scored.collect():
-        want, n = 0.0, 0
-        for w in (dict(asked)[r.doc_id] or "").split():
-            s = "\2" * (order - 1) + w + "\3"
-            for k in range(order - 1, len(s)):
-                want, n = want + np.log(p(s[k - order + 1 : k], s[k])), n + 1
-        assert r.n_symbols == n and r.lp0 == pytest.approx(want, abs=1e-9)
-    assert sum(p("\2t", c) for c in {*"".join(texts).replace(" ", ""), "\3"}) + p("\2t", "\4") == pytest.approx(1, abs=1e-9)
-
-
-@pytest.mark.parametrize("limit", [10**6, 0])
-def test_kneser_ney_across_words_equals_the_book(spark, limit):
-    texts = ["the cat sat on the mat", "a cat\tand  a hat", "that rat sat", "éé the tat tat tat", "", "\n"]
-    order = 3
-    df = spark.createDataFrame([(i, t, i % 2 == 0) for i, t in enumerate(texts)], "doc_id long, text string, target boolean")
-    counts = ngrams.count_grams(df, order, across=True)
-    whole = lambda t: "\3".join(t.split())
-    want = Counter()
-    for t in filter(None, map(whole, texts)):
-        s = "\2" * (order - 1) + t + "\3"
-        want.update(s[k : k + order] for k in range(len(s) - order + 1))
-    assert {r.gram: r.n for r in counts.collect()} == want and sum(r.n_target for r in counts.collect()) == sum(len(whole(t)) + 1 for t in texts[::2] if t.strip())
-    model, vocabulary = ngrams.kneser_ney(counts, order)
-    p = brute_kneser_ney(Counter(filter(None, map(whole, texts))), order, vocabulary)
-    asked = {0: "the cat zebra", 1: "hat\thats", 2: "", 3: None, 4: "日本 the", 5: "cat the zebra", 6: "tat " * 50}
-    scored = {r.doc_id: r for r in ngrams.score(spark.createDataFrame([*asked.items()], "doc_id long, text string"), [(model, vocabulary)], order, ("doc_id",), limit, across=True).collect()}
-    for i, t in asked.items():
-        s = "\2" * (order - 1) + whole(t or "") + "\3"
-        at = range(order - 1, len(s)) if (t or "").strip() else []
-        assert scored[i].n_symbols == len(at) and scored[i].lp0 == pytest.approx(sum(np.log(p(s[k - order + 1 : k], s[k])) for k in at), abs=1e-9)
-    assert scored[0].lp0 != pytest.approx(scored[5].lp0, abs=1e-3)  # the same words in another order
-
-
-def test_windows_of_long_texts_and_small_tables(monkeypatch):
+    total, cut = defaultdict(int), defaultdict(float)
+    for k, c in levels.items():
+        for g, n in c.items():
+            total[k, g[:-1]] += n
+            cut[k, g[:-1]] += cuts[k][min(n, 3) - 1]
+    vocabulary = max(1, len(set("".join(map(whole, symbols))) if symbols is not None else levels[1]))
+
+    def p(gram):
+        k = len(gram)
+        below = p(gram[1:]) if k > 1 else 1 / (vocabulary + 1)
+        if not total[k, gram[:-1]]:
+            return below
+        n = levels[k].get(gram, 0)
+        return ((n - cuts[k][min(n, 3) - 1] if n else 0) + cut[k, gram[:-1]] * below) / total[k, gram[:-1]]
+
+    def log_probability(text):
+        s = whole(text)
+        return sum(np.log(p((pad + s)[k : k + order])) for k in range(len(s)))
+
+    log_probability.p = p
+    return log_probability
+
+
+TEXTS = ["the cat sat on the mat", "a cat\tand  a hat", "that rat sat", "éé the tat tat tat", "", "\n", "the mat sat on the cat", None, "tat " * 50, "日本\0 the"]
+
+
+@pytest.mark.parametrize("size", [None, 30])
+def test_kneser_ney_equals_the_book(spark, monkeypatch, size):
+    if size:  # many chunks, blocks and full slots
+        for name, value in (("CHUNK", size), ("BLOCK", 7), ("SLOTS", 3), ("HELD", 5), ("TARGETS", 0)):
+            monkeypatch.setattr(ngrams, name, value)
+    df = spark.createDataFrame([*enumerate(TEXTS)], "doc_id long, text string")
+    ids = spark.createDataFrame([(i,) for i in range(0, 10, 3)], "doc_id long")
+    for order in (1, 3):
+        both = brute_kneser_ney(TEXTS[::3], order, TEXTS), brute_kneser_ney(TEXTS, order)
+        got = {r.doc_id: r for r in ngrams.score(df, ids, order, ("n_target", "n"), vocabulary="n").collect()}
+        for i, t in enumerate(TEXTS):
+            assert got[i].n_symbols == len(whole(t)) and got[i].target == (i % 3 == 0)
+            assert (got[i].lp0, got[i].lp1) == pytest.approx([f(t) for f in both], abs=1e-9), t
+    assert sum(both[1].p("\2t" + c) for c in set("".join(map(whole, TEXTS))) | {"\4"}) == pytest.approx(1, abs=1e-9)
+
+
+def test_texts_in_another_order_are_noticed():
+    values = ngrams.Values(np.array([5, 1 << 60], np.uint64), np.zeros((2, 1)))
+    assert values.of(np.array([1 << 60, 5, 5], np.uint64)).tolist() == [1, 0, 0]
+    for v in (values, ngrams.Values(np.zeros(0, np.uint64), np.zeros((0, 1)))):
+        with pytest.raises(ValueError, match="order"):
+            v.of(np.array([7], np.uint64))
+
+
+def test_windows_of_long_texts(monkeypatch):
     monkeypatch.setattr(ngrams, "BLOCK", 7)
-    monkeypatch.setattr(ngrams.WindowCache, "BITS", 2)
     texts = [b"", b"one two", "x\u00e9\U0001f600 y".encode(), b" ", b"a much longer text than a block, with words", b"z"]
-    got = [("".join(map(chr, s)), int(i)) for symbols, owner, _ in ngrams.runs(texts, 3) for s, i in zip(symbols, owner, strict=True)]
-    want = []
-    for i, x in enumerate(texts):
-        s = "\2\2" + "".join(w + "\3" for w in x.decode().split())
-        want += [(s[k : k + 3], i) for k in range(len(s) - 2)]
+    got = [("".join(map(chr, part[a : a + 3])), int(i)) for part, at, owner, _ in ngrams.runs(texts, 3) for a, i in zip(at, owner, strict=True)]
+    want = [(s[k : k + 3], i) for i, x in enumerate(texts) for s in ["\2\2" + whole(x.decode())] for k in range(len(s) - 2)]
     assert got == want
 
-    class Last:
-        def symbol_scores(self, symbols):
-            return symbols[:, -1].astype(float)
 
-    cache = ngrams.WindowCache([Last(), Last()])
-    for symbols, _, names in [*ngrams.runs(texts, 3)] * 2:
-        assert (cache.scores(symbols, names) == symbols[:, -1:].astype(float)).all()
+def test_quality_equals_brute_force(docs, local, spark, tiny):
+    """Perplexities, language means, quantiles and thresholds of every row of a table."""
+    labels = table(spark, tiny, "labels")
+    worst = labels.toPandas().groupby("doc_id").agg({"quality": "min", "toxic": "max"})
+    good = set(worst[(worst.quality == 1) & (worst.toxic.fillna(0) == 0)].index)
+    lp = brute_kneser_ney([t for i, t in zip(local.doc_id, local.text, strict=True) if i in good], quality.ORDER)
+    pdf = local[["doc_id", "lang", "text"]].copy()
+    pdf["n"] = [len(whole(t)) for t in pdf.text]
+    pdf["loss"] = [-lp(t) for t in pdf.text]
+    trusted = pdf[pdf.doc_id.isin(good) & (pdf.n > 0)]
+    mean = {k: g.loss.sum() / g.n.sum() for k, g in trusted.groupby("lang")}
+    overall = trusted.loss.sum() / trusted.n.sum()
+    pdf["judged"] = [np.exp((x + quality.PRIOR * mean.get(k, overall)) / (n + quality.PRIOR)) if n else 0.0 for x, n, k in zip(pdf.loss, pdf.n, pdf.lang, strict=True)]
+    rank = lambda v: sorted(v)[int(np.ceil(quality.QUANTILE * len(v))) - 1] * quality.SLACK
+    trusted = pdf[pdf.doc_id.isin(good) & (pdf.n > 0)]
+    cut = {k: rank(g.judged) for k, g in trusted.groupby("lang")}
+    got = quality.classified(docs, labels).toPandas().set_index("doc_id")
+    for r in pdf.itertuples():
+        g, threshold = got.loc[r.doc_id], cut.get(r.lang, rank(trusted.judged))
+        assert g.n_symbols == r.n and g.trusted == (r.doc_id in good)
+        assert (g.perplexity, g.judged, g.threshold) == pytest.approx((np.exp(r.loss / r.n) if r.n else 0.0, r.judged, threshold), rel=1e-8)
+        assert g.keep == (r.judged <= threshold) or abs(r.judged - threshold) < 1e-7
+
+
+def test_lm_score_equals_brute_force(docs, local, spark, tiny):
+    labels = table(spark, tiny, "labels")
+    worst = labels.toPandas().groupby("doc_id").agg({"quality": "min", "toxic": "max"})
+    good = set(worst[(worst.quality == 1) & (worst.toxic.fillna(0) == 0)].index)
+    target = brute_kneser_ney([t for i, t in zip(local.doc_id, local.text, strict=True) if i in good], lmscore.ORDER, local.text)
+    background = brute_kneser_ney(local.text, lmscore.ORDER)
+    got = lmscore.scored(docs, labels).toPandas().set_index("doc_id")
+    for i, t in zip(local.doc_id, local.text, strict=True):
+        n = max(1, len(whole(t)))
+        want = -target(t) / n, -background(t) / n
+        g = got.loc[i]
+        assert (g.target_loss, g.background_loss, g.score) == pytest.approx((*want, want[0] - want[1]), abs=1e-8)
 
 
 def test_quality_rejects_each_kind_of_junk(spark, tiny, docs):
@@ -522,15 +534,12 @@ def test_model_edges(odd, none, no_labels, spark):
     assert lmscore.scored(none, no_labels).count() == 0 and lmscore.scored(odd, no_labels).count() == odd.count()
 
 
-@pytest.mark.parametrize("limit", [10**6, 0])
-def test_lm_score_depends_on_the_order_of_words(spark, limit):
+def test_lm_score_depends_on_the_order_of_words(spark):
     texts = ["the cat sat on the mat and the cat ran", "the mat sat on the cat and ran the cat", "on on on the the the", "cat the and sat mat ran"]
     df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
     labels = spark.createDataFrame([(0, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r for r in lmscore.scored(df, labels, limit=limit).collect()}
+    got = {r.doc_id: r for r in lmscore.scored(df, labels).collect()}
     assert got[0].n_symbols == got[1].n_symbols and got[0].target_loss < got[1].target_loss - 1e-3 and got[0].background_loss != pytest.approx(got[1].background_loss, abs=1e-3)
-    limited = {r.doc_id: r.score for r in lmscore.scored(df, labels, limit=10**6 - limit).collect()}
-    assert all(limited[i] == pytest.approx(r.score, abs=1e-9) for i, r in got.items())
 
 
 def test_lm_score_prefers_the_target(spark, tiny, docs):

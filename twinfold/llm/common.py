@@ -19,9 +19,6 @@ from pyspark.sql.types import StructType
 #: ASCII white space, the complement of the word class [^\x20\x09-\x0D]; bytes.split() cuts at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: A table is handed to every task only up to so many rows; beyond, the operators join instead.
-BROADCAST_ROWS = 4_000_000
-
 #: Rows and bytes of an Arrow batch.
 BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
 
@@ -116,33 +113,6 @@ def chunks(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]
         yield start, len(texts)
 
 
-class WordCache:
-    """Word -> value, filled in bulk by `compute(list of words) -> list of values`.
-
-    Two generations: when the young one holds `most` words or `most_bytes` of them it becomes the old one, and words that come again move
-    up, so frequent words stay and memory is bounded whatever the texts hold.
-    """
-
-    def __init__(self, compute, most: int = 120_000, most_bytes: int = 16 << 20):
-        self.compute, self.most, self.most_bytes = compute, most, most_bytes
-        self.young, self.old, self.held = {}, {}, 0  # plain dicts: set.difference is fast only with those
-
-    def values_of(self, texts: list[list[bytes]]) -> dict:
-        """A dict with the value of every word of the texts (lists of words), to be used before the next call."""
-        if len(self.young) > self.most or self.held > self.most_bytes:
-            self.young, self.old, self.held = {}, self.young if self.held <= 4 * self.most_bytes else {}, 0
-        young, old = self.young, self.old
-        missing = set().union(*texts).difference(young)
-        if missing:
-            new = list(missing.difference(old))
-            if len(new) < len(missing):
-                young.update((w, old[w]) for w in missing.difference(new))
-            if new:
-                young.update(zip(new, self.compute(new), strict=True))
-            self.held += sum(map(len, missing))
-        return young
-
-
 def unsigned(seed: str, *parts) -> int:
     """A stable 63-bit seed."""
     import zlib

@@ -4,8 +4,9 @@ Two Kneser-Ney models of one order (see ngrams.py), a target model of trusted do
 one vocabulary: the symbols of all documents. A document's score is its cross-entropy per symbol under the target less that under the
 background; low scores are like the target. All documents are counted, in one pass for both models.
 
-Nulls: null or empty text has no symbols and score 0. Repeated rows are counted and scored one by one. Without a target text the target
-model has no counts and gives each symbol the uniform probability.
+Nulls: null or empty text has no symbols and score 0; a null id is never a target. Repeated rows are counted and scored one by one.
+Without a target text the target model has no counts and gives each symbol the uniform probability. Very long texts are read in blocks.
+Only the named columns are read, whatever the others are called. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -14,20 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .common import hint_small, pinned
 from .quality import trusted_ids
 
 ORDER = 5
 
 
-def scored(documents: DataFrame, labels: DataFrame, order: int = ORDER, limit: int = ngrams.BROADCAST_ROWS) -> DataFrame:
+def scored(documents: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, n_symbols, target_loss, background_loss (per symbol) and score of each row."""
-    ids = pinned(trusted_ids(labels))
-    aimed = hint_small(ids, ids.count()).withColumn("target", F.lit(True))
-    texts = documents.select("doc_id", "text").join(aimed, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    counts = pinned(ngrams.count_grams(texts, order, across=True))
-    background, vocabulary = ngrams.kneser_ney(counts.select("gram", "n"), order)
-    target, _ = ngrams.kneser_ney(counts.select("gram", F.col("n_target").alias("n")), order, vocabulary)
-    rows = ngrams.score(documents.select("doc_id", "text"), [(target, vocabulary), (background, vocabulary)], order, ("doc_id",), limit, across=True)
+    rows = ngrams.score(documents, trusted_ids(labels), order, ("n_target", "n"), vocabulary="n")
     loss = [F.when(F.col("n_symbols") > 0, -F.col(c) / F.col("n_symbols")).otherwise(0.0) for c in ("lp0", "lp1")]
     return rows.select("doc_id", "n_symbols", loss[0].alias("target_loss"), loss[1].alias("background_loss"), (loss[0] - loss[1]).alias("score"))

@@ -1,78 +1,67 @@
-"""Interpolated modified Kneser-Ney models over the symbols of texts or of words.
-
-A word (between ASCII white space) is read as its characters and a closing symbol; each symbol is predicted from the order - 1 symbols
-before it. With `across` (op8, op10) these run over word borders, from one word's end into the next, and only a text's start is padded by
-an opening symbol: the order of words counts. Without it every word is padded, so a text's log probability is a sum over its words.
-Counting: tasks count windows (or words, turned into n-grams), and Spark sums the counts by n-gram. Model: lower orders hold
-continuation counts; counts, their contexts' totals and the lower order's probabilities meet in joins on the n-gram's context and suffix,
-sharded by them. Scoring: a model of at most `limit` rows (counted) is given to every task as sorted arrays; a larger one is joined with
-the documents' n-grams (`score_by_joins`), with the same result.
+"""Interpolated modified Kneser-Ney models over the symbols of whole texts, scored by sharded count joins.
+
+A text is read as its symbols, with one closing symbol behind each word (words stand between ASCII white space); each symbol is predicted
+from the order - 1 symbols before it, over word borders too, and a text's start is padded by opening symbols: the order of words counts.
+
+1. Rows are dealt to chunks of consecutive rows, about CHUNK bytes of text each. Tasks count the windows (n-grams of the highest order)
+   of a chunk, so n-grams are aggregated before they are shuffled: a row for each chunk and n-gram, with a count over all texts and one
+   over target texts.
+2. The sums over all chunks are the models' counts. Lower orders hold continuation counts; counts, their contexts' totals and the lower
+   order's probabilities meet in joins on the n-gram's context and suffix, sharded by them. All models share these joins: an n-gram
+   that a model hasn't counted gets its probability by the same recursion, from its context's weight and the lower order.
+3. Probabilities are joined back to the chunks' n-grams and meet the chunk's texts, which are summed up in a stream.
+
+Nothing of a model goes through the driver or is broadcast, whatever its size. Texts are read twice, in steps 1 and 3, and must have the same order
+both times: pass a table or a checkpoint. A text whose n-gram has no probability raises.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, as_bytes, mapped, mix64, pinned, WordCache
+from .common import as_bytes, hint_small, mapped, mix64, pinned
 
 OPEN, CLOSE = 2, 3
-FLUSH = 150_000  # distinct words that a task counts before it hands on n-grams
-BLOCK = 1 << 20  # symbols that a task turns into windows at a time
-HELD = 1_000_000  # distinct windows that a task counts before it hands them on
+CHUNK = 16 << 20  # bytes of text in a chunk, about
+BLOCK = 1 << 18  # symbols that a task turns into windows at a time
+HELD = 500_000  # distinct windows that a task counts before it hands them on
+SLOTS = 19  # log2 of a task's table of windows
+TARGETS = 1_000_000  # ids of target texts are broadcast up to so many (8 bytes each)
 
 
-def windows(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, word's number): a row of `order` symbols for each symbol predicted, a word's closing one included."""
-    decoded = [w.decode("utf-8", "replace").replace("\0", "�") for w in words]
-    sizes = np.array([len(x) + 1 for x in decoded], dtype=np.int64)
-    pad = chr(OPEN) * (order - 1)
-    flat = np.frombuffer("".join([pad + x + chr(CLOSE) for x in decoded]).encode("utf-32-le", "replace"), dtype="<u4")
-    word = np.repeat(np.arange(len(words)), sizes)
-    at = np.arange(sizes.sum()) + word * (order - 1)  # a window starts order - 1 before its last symbol
-    return flat[at[:, None] + np.arange(order)[None, :]], word
+# ---- inside a task: windows and tables of them
 
 
-def keys(symbols: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each row of symbols."""
-    h = np.full(len(symbols), symbols.shape[1], dtype=np.uint64)
-    for k in range(symbols.shape[1]):
-        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + symbols[:, k].astype(np.uint64))
-    return h
+def runs(texts: list[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(symbols, at, owner, names) of all windows of whole texts, in blocks of about BLOCK symbols; a longer text goes over several.
 
-
-def runs(texts: list[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(symbols, text's number, keys) of all windows of whole texts, words' borders inside them; blocks of about BLOCK symbols.
-
-    Row i of `symbols` (a view) is the window whose key is keys[i]. A longer text goes over several blocks.
+    Window i is symbols[at[i] : at[i] + order], of text owner[i], and has the 64-bit name names[i].
     """
     pad = chr(OPEN) * (order - 1)
     spread = mix64(np.arange(1, order + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
     held, sizes, first = [], [], 0
 
-    def cut(first: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def cut(first: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         flat = np.frombuffer("".join(held).encode("utf-32-le", "replace"), dtype="<u4")
         n = np.array(sizes, dtype=np.int64)
         begins = np.cumsum(n + order - 1) - (n + order - 1)
         whole = np.ones(len(flat), dtype=bool)  # windows that end in a text, not in the next one's padding
         whole[(begins[:, None] + n[:, None] + np.arange(order - 1)[None, :]).ravel()] = False
         owner = np.repeat(np.arange(first, first + len(n)), n + order - 1)
-        views = np.lib.stride_tricks.sliding_window_view(flat, order) if len(flat) >= order else np.zeros((0, order), np.uint32)
-        for lo in range(0, len(views), BLOCK):
-            part = flat[lo : lo + BLOCK + order - 1].astype(np.uint64)
+        for lo in range(0, len(flat) - order + 1, BLOCK):
+            part = flat[lo : lo + BLOCK + order - 1]
             m = len(part) - order + 1
-            h = part[:m] * spread[0]
+            wide = part.astype(np.uint64)
+            h = wide[:m] * spread[0]
             for k in range(1, order):
-                h += part[k : k + m] * spread[k]
-            keep = np.flatnonzero(whole[lo : lo + m])
-            yield views[lo : lo + m][keep], owner[lo : lo + m][keep], mix64(h[keep])
+                h += wide[k : k + m] * spread[k]
+            at = np.flatnonzero(whole[lo : lo + m])
+            yield part, at, owner[lo + at], np.maximum(mix64(h[at]), np.uint64(1))
 
     held_symbols = 0
     for i, x in enumerate(texts):
@@ -95,108 +84,117 @@ def distinct(names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, new, np.diff(np.r_[new, len(names)])
 
 
-def count_runs(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
-    """gram, n, n_target of the windows of whole texts, summed over up to HELD distinct ones of a task."""
-    held, waiting = [], 0  # (keys, grams, n, n_target)
-
-    def merged() -> tuple[np.ndarray, ...]:
-        names, grams, n, t = (np.concatenate(c) for c in zip(*held, strict=True))
-        at, new, _ = distinct(names)
-        return names[at[new]], grams[at[new]], np.add.reduceat(n[at], new), np.add.reduceat(t[at], new)
+class Counts:
+    """Counts of windows: a table in which a window keeps the slot that it came to first, and a list of those that found theirs taken."""
 
-    def batch(names: np.ndarray, grams: np.ndarray, n: np.ndarray, t: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for lo in range(0, len(names), 100_000):
-            hi = lo + 100_000
-            yield pa.RecordBatch.from_arrays([pa.array(grams[lo:hi].tolist(), pa.string()), pa.array(n[lo:hi]), pa.array(t[lo:hi])], ["gram", "n", "n_target"])
+    def __init__(self, order: int):
+        self.order, self.shift = order, np.uint64(64 - SLOTS)
+        self.names = np.zeros(1 << SLOTS, np.uint64)  # 0: free
+        self.n, self.t = np.zeros((2, 1 << SLOTS), np.int64)
+        self.symbols = np.zeros((1 << SLOTS, order), "<u4")
+        self.others: list[tuple[np.ndarray, ...]] = []
+        self.held = 0
 
-    for b in batches:
-        aimed = np.array(b.column(1).to_pylist(), dtype=bool)
-        for symbols, owner, names in runs(as_bytes(b.column(0)), order):
-            for flag in (False, True):
-                mine = np.flatnonzero(aimed[owner] == flag)
-                if not len(mine):
-                    continue
-                at, new, n = distinct(names[mine])
-                rows = mine[at[new]]
-                held.append((names[rows], np.ascontiguousarray(symbols[rows]).view(f"<U{order}").ravel(), n, n * flag))
-                waiting += len(rows)
-            if waiting > 2 * HELD:
-                held = [merged()]
-                waiting = len(held[0][0])
-                if waiting > HELD:
-                    yield from batch(*held[0])
-                    held, waiting = [], 0
-    if held:
-        yield from batch(*merged())
-
-
-def count_grams(texts: DataFrame, order: int, across: bool = False) -> DataFrame:
-    """gram, n, n_target over texts with columns (text, target boolean); n counts all texts, n_target those of the target."""
-
-    def grams(seen: Counter, aimed: Counter) -> Iterator[pa.RecordBatch]:
-        words = list(seen)
-        for lo in range(0, len(words), 50_000):
-            some = words[lo : lo + 50_000]
-            symbols, word = windows(some, order)
-            _, first, group = np.unique(keys(symbols), return_index=True, return_inverse=True)
-            n = np.bincount(group, weights=np.array([seen[w] for w in some], float)[word])
-            t = np.bincount(group, weights=np.array([aimed[w] for w in some], float)[word])
-            text = np.ascontiguousarray(symbols[first]).view(f"<U{order}").ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(text.tolist(), pa.string()), pa.array(n.astype(np.int64)), pa.array(t.astype(np.int64))], ["gram", "n", "n_target"])
+    def add(self, part: np.ndarray, at: np.ndarray, names: np.ndarray, aimed: np.ndarray) -> None:
+        slot = (names >> self.shift).astype(np.int64)
+        missing = np.flatnonzero(self.names[slot] != names)
+        if len(missing):
+            order, new, _ = distinct(names[missing])
+            rows = missing[order[new]]
+            rows = rows[self.names[slot[rows]] == 0]
+            slots, one = np.unique(slot[rows], return_index=True)
+            rows = rows[one]
+            self.names[slots], self.symbols[slots] = names[rows], part[at[rows][:, None] + np.arange(self.order)]
+            self.held += len(rows)
+            missing = missing[self.names[slot[missing]] != names[missing]]
+            if len(missing):
+                order, new, n = distinct(names[missing])
+                rows = missing[order[new]]
+                self.others.append((names[rows], part[at[rows][:, None] + np.arange(self.order)], n, np.add.reduceat(aimed[missing[order]].astype(np.int64), new)))
+                self.held += len(rows)
+                free = np.ones(len(slot), dtype=bool)
+                free[missing] = False
+                slot, aimed = slot[free], aimed[free]
+        self.n += np.bincount(slot, minlength=len(self.n))
+        if aimed.any():
+            self.t += np.bincount(slot[aimed], minlength=len(self.n))
+        if len(self.others) > 64:
+            self.others = [self.merged()]
+
+    def merged(self) -> tuple[np.ndarray, ...]:
+        names, symbols, n, t = (np.concatenate(c) for c in zip(*self.others, strict=True))
+        order, new, _ = distinct(names)
+        return names[order[new]], symbols[order[new]], np.add.reduceat(n[order], new), np.add.reduceat(t[order], new)
+
+    def rows(self, chunk: int) -> Iterator[pa.RecordBatch]:
+        """chunk, name, gram, n, n_target of all windows; a window may have several rows."""
+        used = np.flatnonzero(self.names)
+        parts = [(self.names[used], self.symbols[used], self.n[used], self.t[used]), *([self.merged()] if self.others else [])]
+        for names, symbols, n, t in parts:
+            grams = np.ascontiguousarray(symbols).view(f"<U{self.order}").ravel()
+            for lo in range(0, len(names), 20_000):
+                hi = lo + 20_000
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names[lo:hi]), chunk)), pa.array(names[lo:hi].view(np.int64)), pa.array(grams[lo:hi].tolist(), pa.string()), pa.array(n[lo:hi]), pa.array(t[lo:hi])], ["chunk", "name", "gram", "n", "n_target"])
+
+
+class Values:
+    """Window's name -> a row of values."""
+
+    def __init__(self, names: np.ndarray, values: np.ndarray):
+        self.shift = np.uint64(64 - SLOTS)
+        self.names, one = np.unique(names, return_index=True)
+        self.values = values[one]
+        self.at = np.zeros(1 << SLOTS, np.int64)
+        self.at[(self.names >> self.shift).astype(np.int64)] = np.arange(len(self.names))
+
+    def of(self, names: np.ndarray) -> np.ndarray:
+        """The rows' numbers."""
+        if not len(names):
+            return np.zeros(0, np.int64)
+        if not len(self.names):
+            raise ValueError("texts came in another order than before: pass a table or a checkpoint")
+        found = self.at[(names >> self.shift).astype(np.int64)]
+        left = np.flatnonzero(self.names[found] != names)
+        if len(left):
+            found[left] = np.minimum(np.searchsorted(self.names, names[left]), len(self.names) - 1)
+            if (self.names[found[left]] != names[left]).any():
+                raise ValueError("texts came in another order than before: pass a table or a checkpoint")
+        return found
+
+
+# ---- on Spark
+
+
+def chunk_of(documents: DataFrame, text: str) -> Column:
+    """A number for each run of consecutive rows of a partition: as many rows, a power of two, as hold CHUNK bytes on average."""
+    facts = documents.agg(F.count("*").alias("n"), F.sum(F.octet_length(text)).alias("size")).first()
+    rows = CHUNK * facts["n"] // max(1, facts["size"] or 1)
+    return F.shiftright(F.monotonically_increasing_id(), max(0, min(20, rows.bit_length() - 1)))
+
+
+def count_grams(texts: DataFrame, order: int) -> DataFrame:
+    """chunk, name, gram, n, n_target over rows (chunk, text, target boolean) that come chunk by chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, aimed = Counter(), Counter()
+        counts, chunk = Counts(order), None
         for b in batches:
-            for x, t in zip(as_bytes(b.column(0)), b.column(1).to_pylist(), strict=True):
-                words = x.split()
-                seen.update(words)
-                if t:
-                    aimed.update(words)
-                if len(seen) > FLUSH:
-                    yield from grams(seen, aimed)
-                    seen, aimed = Counter(), Counter()
-        if seen:
-            yield from grams(seen, aimed)
-
-    def across_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from count_runs(batches, order)
-
-    found = mapped(texts.select(F.col("text"), F.col("target")), across_words if across else run, "gram string, n long, n_target long")
-    return found.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-
-
-def kneser_ney(counts: DataFrame, order: int, vocabulary: int | None = None) -> tuple[DataFrame, int]:
-    """(model, vocabulary) from highest-order counts (gram, n): rows (kind, k, gram, value).
-
-    kind p: log10-free natural log probability of a k-gram's last symbol; kind b: log weight of the lower order after a context of k - 1
-    symbols. vocabulary: symbols that share the last order's uniform part (one more stands for all others); those counted, if not given.
-    """
-    top = counts.filter("n > 0").select(F.lit(order).alias("k"), "gram", F.col("n").cast("long").alias("n"))
-    tails = top.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.substring("gram", order - k, k + 1).alias("longer")) for k in range(1, order)))).alias("x")).select("x.*").distinct() if order > 1 else None
-    lower = tails.groupBy("k", F.expr("substring(longer, 2)").alias("gram")).agg(F.count("*").alias("n")) if order > 1 else top.limit(0)
-    levels = pinned(top.unionByName(lower))
-    facts = levels.groupBy("k").agg(F.count("*").alias("grams"), *(F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4))).collect()  # one row an order
-    vocabulary = vocabulary or max([1, *(r["grams"] for r in facts if r["k"] == 1)])
-    cut = {r["k"]: discounts(*(r[f"n{i}"] for i in (1, 2, 3, 4))) for r in facts}
-    context = F.expr("substring(gram, 1, k - 1)")
-
-    def discount(n: Column) -> Column:
-        d = F.lit(0.0)
-        for k, (d1, d2, d3) in cut.items():
-            d = F.when(F.col("k") == k, F.when(n == 1, d1).when(n == 2, d2).otherwise(d3)).otherwise(d)
-        return d
-
-    totals = pinned(levels.groupBy("k", context.alias("context")).agg(F.sum("n").alias("total"), (F.sum(discount(F.col("n"))) / F.sum("n")).alias("weight")))
-    shares = levels.withColumn("context", context).join(totals, ["k", "context"]).select("k", "gram", ((F.col("n") - discount(F.col("n"))) / F.col("total")).alias("own"), "weight")
-    p = shares.filter("k = 1").select("gram", (F.col("own") + F.col("weight") / (vocabulary + 1)).alias("p"))
-    model = p.select(F.lit(1).alias("k"), "gram", "p")
-    for k in range(2, order + 1):
-        below = p.select(F.col("gram").alias("suffix"), F.col("p").alias("q"))
-        p = shares.filter(F.col("k") == k).withColumn("suffix", F.expr("substring(gram, 2)")).join(below, "suffix").select("gram", (F.col("own") + F.col("weight") * F.col("q")).alias("p"))
-        p = pinned(p)
-        model = model.unionByName(p.select(F.lit(k).alias("k"), "gram", "p"))
-    rows = model.select(F.lit("p").alias("kind"), "k", "gram", F.log("p").alias("value"))
-    return rows.unionByName(totals.select(F.lit("b").alias("kind"), "k", F.col("context").alias("gram"), F.log("weight").alias("value"))), vocabulary
+            of = b.column(0).to_numpy()
+            borders = [*np.flatnonzero(np.r_[True, of[1:] != of[:-1]]).tolist(), len(of)]
+            for lo, hi in zip(borders[:-1], borders[1:], strict=True):
+                if chunk != of[lo] or counts.held > HELD:
+                    if chunk is not None:
+                        yield from counts.rows(chunk)
+                    counts, chunk = Counts(order), int(of[lo])
+                aimed = np.array(b.column(2).slice(lo, hi - lo).to_pylist(), dtype=bool)
+                for part, at, owner, names in runs(as_bytes(b.column(1).slice(lo, hi - lo)), order):
+                    counts.add(part, at, names, aimed[owner])
+                    if counts.held > 2 * HELD:  # within a long text
+                        yield from counts.rows(chunk)
+                        counts = Counts(order)
+        if chunk is not None:
+            yield from counts.rows(chunk)
+
+    return mapped(texts.select("chunk", "text", "target"), run, "chunk long, name long, gram string, n long, n_target long")
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -208,170 +206,89 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), i) for d, i in zip(found, (0.95, 1.9, 2.9), strict=True))
 
 
-@dataclass
-class Tables:
-    """A model as sorted arrays, for the tasks."""
-
-    order: int
-    vocabulary: int
-    p: list[tuple[np.ndarray, np.ndarray]]
-    b: list[tuple[np.ndarray, np.ndarray]]
-
-    def word_scores(self, words: list[bytes]) -> np.ndarray:
-        """Natural log probability of each word, its closing symbol included."""
-        symbols, word = windows(words, self.order)
-        return np.bincount(word, weights=self.symbol_scores(symbols), minlength=len(words))
-
-    def symbol_scores(self, symbols: np.ndarray) -> np.ndarray:
-        """Natural log probability of the last symbol of each window."""
-        score, left = np.zeros(len(symbols)), np.arange(len(symbols))
-        for k in range(self.order, 0, -1):
-            part = symbols[left, self.order - k :]
-            value, hit = look_up(*self.p[k], keys(part))
-            score[left[hit]] += value[hit]
-            left = left[~hit]
-            if not len(left):
-                break
-            back, known = look_up(*self.b[k], keys(symbols[left, self.order - k : self.order - 1]))
-            score[left[known]] += back[known]
-        score[left] -= np.log(self.vocabulary + 1)
-        return score
-
-
-class WindowCache:
-    """Window's key -> log probability under each model: a table of 2^BITS slots, in which a new window takes its slot from the last one."""
-
-    BITS = 20
-
-    def __init__(self, tables: list[Tables]):
-        self.tables = tables
-        self.names = np.zeros(1 << self.BITS, np.uint64)
-        self.names[0] = ~np.uint64(0)  # no slot holds a key of its own at first
-        self.values = np.zeros((1 << self.BITS, len(tables)))
-
-    def scores(self, symbols: np.ndarray, names: np.ndarray) -> np.ndarray:
-        """A row of log probabilities for each window."""
-        slot = (names >> np.uint64(64 - self.BITS)).astype(np.int64)
-        out = self.values[slot]
-        missing = np.flatnonzero(self.names[slot] != names)
-        if len(missing):
-            at, new, n = distinct(names[missing])
-            rows = missing[at[new]]
-            some = np.ascontiguousarray(symbols[rows])
-            value = np.stack([t.symbol_scores(some) for t in self.tables], axis=1)
-            out[missing[at]] = np.repeat(value, n, axis=0)
-            # windows that share a slot: one of them stays, its name and its values together
-            slots, one = np.unique(slot[rows], return_index=True)
-            self.names[slots], self.values[slots] = names[rows[one]], value[one]
-        return out
-
-
-
-def look_up(names: np.ndarray, values: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(names):
-        return np.zeros(len(asked)), np.zeros(len(asked), dtype=bool)
-    at = np.minimum(np.searchsorted(names, asked), len(names) - 1)
-    return values[at], names[at] == asked
-
-
-def tables_of(model: DataFrame, order: int, vocabulary: int) -> Tables:
-    """The model's rows as arrays; the caller has counted them."""
-    rows = model.toArrow()
-    kind, k, gram, value = (rows[c].to_numpy(zero_copy_only=False) for c in ("kind", "k", "gram", "value"))
-
-    def arrays(name: str, i: int) -> tuple[np.ndarray, np.ndarray]:
-        here = (kind == name) & (k == i)
-        n = i - (name == "b")
-        symbols = np.frombuffer("".join(gram[here]).encode("utf-32-le", "replace"), dtype="<u4").reshape(int(here.sum()), n)
-        h = keys(symbols)
-        order_ = np.argsort(h)
-        return h[order_], value[here].astype(np.float64)[order_]
-
-    return Tables(order, vocabulary, [(np.zeros(0, np.uint64), np.zeros(0))] + [arrays("p", i) for i in range(1, order + 1)], [(np.zeros(0, np.uint64), np.zeros(0))] + [arrays("b", i) for i in range(1, order + 1)])
-
+def kneser_ney(counts: DataFrame, order: int, models: Sequence[str], vocabulary: str | None = None) -> DataFrame:
+    """counts (gram, and a count for each of `models`) with lp0, lp1 ...: the natural log probability of the gram's last symbol in each model.
 
-def score(texts: DataFrame, models: list[tuple[DataFrame, int]], order: int, keep: tuple[str, ...], limit: int = BROADCAST_ROWS, across: bool = False) -> DataFrame:
-    """keep columns, n_symbols and a log probability lp0 (and lp1 for a second model) of each row's whole text."""
-    models = [(pinned(m), v) for m, v in models]
-    if sum(m.count() for m, _ in models) > limit:
-        return score_by_joins(texts, models, order, keep, across)
-    tables = [tables_of(m, order, v) for m, v in models]
-    shared = texts.sparkSession.sparkContext.broadcast(tables)  # at most `limit` rows
-    names = [f"lp{i}" for i in range(len(models))]
-    schema = T.StructType([*texts.select(*keep).schema.fields, T.StructField("n_symbols", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in names)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = shared.value
-
-        def compute(words: list[bytes]) -> list[complex]:
-            found = [np.concatenate([t.word_scores(words[lo : lo + 50_000]) for lo in range(0, len(words), 50_000)]) for t in tables]
-            return (found[0] + 1j * (found[1] if len(found) > 1 else 0)).tolist()
+    vocabulary: the model whose counted symbols share the last order's uniform part (one more stands for all others); its own, if not given.
+    """
+    top = counts.select(F.lit(order).alias("k"), "gram", *models)
+    levels = top
+    if order > 1:
+        ends = F.array(*(F.struct(F.lit(k).alias("k"), F.substring("gram", order - k, k + 1).alias("longer")) for k in range(1, order)))
+        tails = top.select(F.explode(ends).alias("x"), *((F.col(m) > 0).cast("long").alias(m) for m in models)).groupBy("x.k", "x.longer").agg(*(F.max(m).alias(m) for m in models))
+        levels = top.unionByName(tails.groupBy("k", F.expr("substring(longer, 2)").alias("gram")).agg(*(F.sum(m).alias(m) for m in models)))
+    levels = pinned(levels)
+    facts = levels.groupBy("k").agg(*(F.count_if(F.col(m) > 0).alias(f"{m} all") for m in models), *(F.count_if(F.col(m) == i).alias(f"{m} {i}") for m in models for i in (1, 2, 3, 4))).collect()  # one row an order
+    cut = {m: {r["k"]: discounts(*(r[f"{m} {i}"] for i in (1, 2, 3, 4))) for r in facts} for m in models}
+    symbols = {m: max([1, *(r[f"{m} all"] for r in facts if r["k"] == 1)]) for m in models}
+
+    def discount(m: str) -> Column:
+        d, n = F.lit(0.0), F.col(m)
+        for k, (d1, d2, d3) in cut[m].items():
+            d = F.when(F.col("k") == k, F.when(n <= 0, 0.0).when(n == 1, d1).when(n == 2, d2).otherwise(d3)).otherwise(d)
+        return d
 
-        cache = WordCache(compute)
-        for b in batches:
-            for lo in range(0, b.num_rows, 300):
-                part = b.slice(lo, 300)
-                n, lps = [], []
-                each = [x.split() for x in as_bytes(part.column(part.num_columns - 1))]
-                lp_of = cache.values_of(each).__getitem__
-                for words in each:
-                    n.append(len(b"".join(words).decode("utf-8", "replace")) + len(words))
-                    lps.append(sum(map(lp_of, words), 0j))
-                columns = [pa.array(n, pa.int64()), pa.array([z.real for z in lps], pa.float64()), pa.array([z.imag for z in lps], pa.float64())]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns[: 1 + len(names)]], schema.names)
-
-    def across_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WindowCache(shared.value)
-        for b in batches:
-            n, lps = np.zeros(b.num_rows, np.int64), np.zeros((b.num_rows, len(names)))
-            for symbols, owner, known in runs(as_bytes(b.column(b.num_columns - 1)), order):
-                n += np.bincount(owner, minlength=b.num_rows)
-                found = cache.scores(symbols, known)
-                for i in range(len(names)):
-                    lps[:, i] += np.bincount(owner, weights=found[:, i], minlength=b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n), *(pa.array(np.ascontiguousarray(lps[:, i])) for i in range(len(names)))], schema.names)
+    context = F.expr("substring(gram, 1, k - 1)")
+    totals = levels.groupBy("k", context.alias("context")).agg(*(F.sum(m).alias(f"total_{m}") for m in models), *(F.sum(discount(m)).alias(f"cut_{m}") for m in models))
+    own = [F.when(F.col(m) > 0, (F.col(m) - discount(m)) / F.col(f"total_{m}")).otherwise(0.0).alias(f"own_{m}") for m in models]
+    weight = [F.when(F.col(f"total_{m}") > 0, F.col(f"cut_{m}") / F.col(f"total_{m}")).otherwise(1.0).alias(f"weight_{m}") for m in models]
+    shares = pinned(levels.withColumn("context", context).join(totals, ["k", "context"]).select("k", "gram", *own, *weight))
+    p = shares.filter("k = 1").select("gram", *((F.col(f"own_{m}") + F.col(f"weight_{m}") / (symbols[vocabulary or m] + 1)).alias(f"p_{m}") for m in models))
+    for k in range(2, order + 1):
+        below = p.select(F.col("gram").alias("suffix"), *(F.col(f"p_{m}").alias(f"q_{m}") for m in models))
+        here = shares.filter(F.col("k") == k).withColumn("suffix", F.expr("substring(gram, 2)")).join(below, "suffix")
+        p = here.select("gram", *((F.col(f"own_{m}") + F.col(f"weight_{m}") * F.col(f"q_{m}")).alias(f"p_{m}") for m in models))
+    return p.select("gram", *(F.log(f"p_{m}").alias(f"lp{i}") for i, m in enumerate(models)))
 
-    return mapped(texts.select(*keep, F.col("text").alias("__text")), across_words if across else run, schema)
 
+def score(documents: DataFrame, targets: DataFrame, order: int, models: Sequence[str], keep: tuple[str, ...] = ("doc_id",), vocabulary: str | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """keep columns, target, n_symbols and the log probabilities lp0, lp1 ... of each row's whole text in the models of `models`.
 
-def score_by_joins(texts: DataFrame, models: list[tuple[DataFrame, int]], order: int, keep: tuple[str, ...], across: bool = False) -> DataFrame:
-    """`score` for models of any size: documents' n-grams, pre-aggregated by document, meet the model's rows in joins."""
-    numbered = pinned(texts.select(*keep, "text").withColumn("__row", F.monotonically_increasing_id()))
+    models: "n" (of all texts) and "n_target" (of the texts of targets.doc_id, distinct ids). Null text has no symbols; a null id is no target.
+    """
+    ids = pinned(targets.select(F.col("doc_id").alias("id"), F.lit(True).alias("target")))
+    n = ids.count()
+    rows = documents.select(F.struct(*keep).alias("kept"), F.col(doc_id).alias("id"), F.col(text).alias("text"), chunk_of(documents, text).alias("chunk"))
+    flagged = rows.join(hint_small(ids, n, TARGETS), "id", "left").select("chunk", "kept", F.coalesce("target", F.lit(False)).alias("target"), "text")
+    # a join of two large sides deals rows anew: then their chunks are put together again
+    found = pinned(count_grams(flagged if n <= TARGETS else flagged.repartition("chunk").sortWithinPartitions("chunk"), order))
+    sums = pinned(found.groupBy("gram").agg(F.min("name").alias("name"), F.sum("n").alias("n"), F.sum("n_target").alias("n_target")))
+    values = kneser_ney(sums.select("gram", *models), order, models, vocabulary).join(sums.select("gram", "name"), "gram").drop("gram")
+    lps = [f"lp{i}" for i in range(len(models))]
+    asked = found.select("chunk", "name").join(values, "name")
+    kinds = flagged.schema
+    both = asked.select("chunk", F.lit(None).cast(kinds["kept"].dataType).alias("kept"), F.lit(None).cast("boolean").alias("target"), F.lit(None).cast("string").alias("text"), "name", *lps)
+    texts = flagged.select("chunk", "kept", "target", "text", F.lit(None).cast("long").alias("name"), *(F.lit(None).cast("double").alias(c) for c in lps))
+    # a chunk's probabilities come first: their target is null
+    dealt = both.unionByName(texts).repartition("chunk").sortWithinPartitions("chunk", F.col("target").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, names, rows, values = None, [], [], None
         for b in batches:
-            for row, x in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
-                seen = Counter(x.split())
-                if seen:
-                    words = list(seen)
-                    symbols, word = windows(words, order)
-                    _, first, group = np.unique(keys(symbols), return_index=True, return_inverse=True)
-                    n = np.bincount(group, weights=np.array([seen[w] for w in words], float)[word]).astype(np.int64)
-                    text = np.ascontiguousarray(symbols[first]).view(f"<U{order}").ravel().tolist()
-                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(n), pa.int64()), pa.array(text, pa.string()), pa.array(n)], ["__row", "gram", "n"])
-
-    def across_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = b.column(0).to_numpy()
-            for symbols, owner, known in runs(as_bytes(b.column(1)), order):
-                at, new, n = distinct(mix64(known + mix64(owner.astype(np.uint64))))  # a text's windows of one kind are one row
-                for lo in range(0, len(new), 100_000):
-                    some, times = at[new[lo : lo + 100_000]], n[lo : lo + 100_000]
-                    text = np.ascontiguousarray(symbols[some]).view(f"<U{order}").ravel().tolist()
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[owner[some]]), pa.array(text, pa.string()), pa.array(times)], ["__row", "gram", "n"])
-
-    asked = pinned(mapped(numbered.select("__row", "text"), across_words if across else run, "__row long, gram string, n long"))
-    names = [f"lp{i}" for i in range(len(models))]
-    values = asked.select("gram").distinct()
-    for name, (model, vocabulary) in zip(names, models, strict=True):
-        lp = F.lit(-float(np.log(vocabulary + 1)))
-        for k in range(1, order + 1):
-            own = model.filter((F.col("kind") == "p") & (F.col("k") == k)).select(F.col("gram").alias("__g"), F.col("value").alias(f"p{k}"))
-            back = model.filter((F.col("kind") == "b") & (F.col("k") == k)).select(F.col("gram").alias("__c"), F.col("value").alias(f"b{k}"))
-            values = values.join(own, F.expr(f"substring(gram, {order - k + 1}, {k})") == F.col("__g"), "left").drop("__g")
-            values = values.join(back, F.expr(f"substring(gram, {order - k + 1}, {k - 1})") == F.col("__c"), "left").drop("__c")
-            lp = F.coalesce(F.col(f"p{k}"), F.coalesce(F.col(f"b{k}"), F.lit(0.0)) + lp)
-        values = values.withColumn(name, lp).drop(*(f"{x}{k}" for x in "pb" for k in range(1, order + 1)))
-    summed = asked.join(values, "gram").groupBy("__row").agg(F.sum("n").alias("n_symbols"), *(F.sum(F.col("n") * F.col(c)).alias(c) for c in names))
-    out = numbered.join(summed, "__row", "left")
-    return out.select(*keep, F.coalesce("n_symbols", F.lit(0)).alias("n_symbols"), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in names))
+            of, is_text = b.column(0).to_numpy(), b.column(2).is_valid().to_numpy(zero_copy_only=False)
+            borders = [*np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (is_text[1:] != is_text[:-1])]).tolist(), len(of)]
+            for lo, hi in zip(borders[:-1], borders[1:], strict=True):
+                part = b.slice(lo, hi - lo)
+                if chunk != of[lo]:
+                    chunk, names, rows, values = of[lo], [], [], None
+                if not is_text[lo]:
+                    names.append(part.column(4).to_numpy().view(np.uint64))
+                    rows.append(np.stack([part.column(5 + i).to_numpy() for i in range(len(lps))], axis=1))
+                    continue
+                if values is None:
+                    values = Values(np.concatenate([np.zeros(0, np.uint64), *names]), np.concatenate([np.zeros((0, len(lps))), *rows]))
+                    names, rows = [], []
+                n, sums = np.zeros(hi - lo, np.int64), np.zeros((len(lps), hi - lo))
+                for _, _, owner, known in runs(as_bytes(part.column(3)), order):
+                    n += np.bincount(owner, minlength=hi - lo)
+                    at = values.of(known)
+                    for i in range(len(lps)):
+                        sums[i] += np.bincount(owner, weights=values.values[at, i], minlength=hi - lo)
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(n), *map(pa.array, sums)], ["kept", "target", "n_symbols", *lps])
+
+    schema = dealt.select("kept", "target").schema.add("n_symbols", "long")
+    for c in lps:
+        schema = schema.add(c, "double")
+    out = mapped(dealt.select("chunk", "kept", "target", "text", "name", *lps), run, schema)
+    taken = [f"kept.{c}" for c in keep]
+    return out.select(*taken, "target", "n_symbols", *lps)

@@ -1,11 +1,13 @@
 """Quality classifier: perplexity under a Kneser-Ney model of trusted text, thresholded by language-specific quantiles.
 
-The model (see ngrams.py) runs across word borders and is trained on all texts that the labels call good and not toxic. Every document gets its perplexity per symbol;
-a language's threshold is `slack` times a high quantile of its trusted documents' (length-smoothed) perplexities, so clean documents stay. Quantiles are
-exact to one part in ACCURACY ranks of all trusted documents; a language without trusted ones takes the quantile over all.
+The model (see ngrams.py) runs across word borders and is trained on all texts that the labels call good and not toxic. Every document
+gets its perplexity per symbol by sharded count joins; a language's threshold is `slack` times a high quantile of its trusted documents'
+(length-smoothed) perplexities, so clean documents stay. Quantiles are exact to one part in ACCURACY ranks of all trusted documents; a
+language without trusted ones takes the quantile over all.
 
 Nulls: null or empty text has no symbols, perplexity 0 and is kept; a null language is a language of its own; rows without id are
 never trusted. Repeated rows are scored one by one; contradictory labels of an id count as its worst. Without trusted text all is kept.
+Very long texts are read in blocks. Only the named columns are read, whatever the others are called. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .common import hint_small, pinned
+from .common import fresh, hint_small, pinned
 
 ORDER, QUANTILE, SLACK, ACCURACY, PRIOR = 4, 0.99, 1.15, 10_000, 200
 
@@ -25,24 +27,19 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return worst.filter("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
 
 
-def perplexities(documents: DataFrame, labels: DataFrame, order: int = ORDER, limit: int = ngrams.BROADCAST_ROWS) -> DataFrame:
-    """doc_id, lang, n_symbols, perplexity, trusted of each row."""
-    ids = pinned(trusted_ids(labels))
-    known = hint_small(ids, ids.count())
-    good = documents.filter(F.col("text").isNotNull()).join(known, "doc_id", "left_semi").select("text", F.lit(True).alias("target"))
-    counts = pinned(ngrams.count_grams(good, order, across=True))
-    scored = ngrams.score(documents.select("doc_id", "lang", "text"), [ngrams.kneser_ney(counts, order)], order, ("doc_id", "lang"), limit, across=True)
-    flagged = scored.join(known.withColumn("trusted", F.lit(True)), "doc_id", "left")
+def perplexities(documents: DataFrame, labels: DataFrame, order: int = ORDER, keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
+    """keep columns, n_symbols, perplexity, trusted of each row."""
+    scored = ngrams.score(documents, trusted_ids(labels), order, ("n_target",), keep)
     ppl = F.when(F.col("n_symbols") > 0, F.exp(-F.col("lp0") / F.col("n_symbols"))).otherwise(0.0)
-    return flagged.select("doc_id", "lang", "n_symbols", ppl.alias("perplexity"), F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    return scored.select(*keep, "n_symbols", ppl.alias("perplexity"), F.col("target").alias("trusted"))
 
 
-def classified(documents: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, slack: float = SLACK, prior: int = PRIOR) -> DataFrame:
-    """doc_id, lang, n_symbols, perplexity, trusted, judged, threshold (null without trusted text) and keep of each row.
+def classified(documents: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, slack: float = SLACK, prior: int = PRIOR, keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
+    """keep columns (lang among them), n_symbols, perplexity, trusted, judged, threshold (null without trusted text) and keep of each row.
 
     judged is the perplexity with `prior` more symbols of the language's mean: a short text needs more evidence to go.
     """
-    rows = pinned(perplexities(documents, labels, order))
+    rows = pinned(perplexities(documents, labels, order, keep))
     trusted = rows.filter("trusted and n_symbols > 0").withColumn("loss", F.log("perplexity") * F.col("n_symbols"))
     mean = F.sum("loss") / F.sum("n_symbols")
     overall = trusted.agg(mean.alias("mean")).first()["mean"]
@@ -58,13 +55,14 @@ def classified(documents: DataFrame, labels: DataFrame, order: int = ORDER, quan
     anyone = trusted.agg(cut.alias("cut")).first()["cut"]
     threshold = F.coalesce("own", F.lit(anyone).cast("double"))
     joined = with_language(rows, trusted.groupBy("lang").agg(cut.alias("own")))
-    return joined.select("doc_id", "lang", "n_symbols", "perplexity", "trusted", "judged", threshold.alias("threshold"), F.coalesce(F.col("judged") <= threshold, F.lit(True)).alias("keep"))
+    return joined.select(*keep, "n_symbols", "perplexity", "trusted", "judged", threshold.alias("threshold"), F.coalesce(F.col("judged") <= threshold, F.lit(True)).alias("keep"))
 
 
 def kept(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of documents that the classifier keeps."""
-    bad = pinned(classified(documents, labels).filter("not keep").select("doc_id", "n_symbols").distinct())
-    gone = hint_small(bad, bad.count()).select(F.col("doc_id").alias("__bad_id"), F.col("n_symbols").alias("__bad_symbols"))
-    # an id may repeat with other texts: the number of symbols, order-independent and native here, tells them apart
-    letters = F.length(F.regexp_replace("text", r"[ \t-\r]+", "")) + F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
-    return documents.join(gone, F.col("doc_id").eqNullSafe(F.col("__bad_id")) & (letters == F.col("__bad_symbols")), "left_anti")
+    """The rows of documents that the classifier keeps; a row is known by its id, language and the digest of its text."""
+    digest, i, lang, t = fresh(documents.columns, "text_md5", "bad_id", "bad_lang", "bad_md5")
+    keyed = documents.withColumn(digest, F.unhex(F.md5("text")))
+    found = classified(keyed.select("doc_id", "lang", "text", F.col(digest).alias("md5")), labels, keep=("doc_id", "lang", "md5"))
+    bad = pinned(found.filter("not keep").select(F.col("doc_id").alias(i), F.col("lang").alias(lang), F.col("md5").alias(t)).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col(i)) & F.col("lang").eqNullSafe(F.col(lang)) & (F.col(digest) == F.col(t))
+    return keyed.join(hint_small(bad, bad.count()), same, "left_anti").select(*documents.columns)
