@@ -47,9 +47,18 @@ def test_softmax_and_mass(spark):
 
 
 def test_label_parses(spark):
-    df = spark.createDataFrame([(" yes ",), ("say yes now",), ("yes or no",), ("yesterday",)], ["t"])
+    df = spark.createDataFrame([(" yes ",), ("say yes now",), ("yes or no",), ("yesterday",), ("yes\n",), ("\tyes",), ("\u00a0yes\u2003\r\n",), ("yes.",)], ["t"])
     got = [tuple(r) for r in df.select(text.strict_label(F.col("t"), ["yes", "no"]), text.relaxed_label(F.col("t"), ["yes", "no"])).collect()]
-    assert got == [("yes", "yes"), (None, "yes"), (None, None), (None, None)]
+    assert got == [("yes", "yes"), (None, "yes"), (None, None), (None, None), ("yes", "yes"), ("yes", "yes"), ("yes", "yes"), (None, "yes")]
+    row = spark.createDataFrame([("is it a.b (c)? axb", ["a.b", "x"])], ["t", "labels"]).select(
+        text.relaxed_label(F.col("t"), F.col("labels")).alias("dot"), text.relaxed_label(F.col("t"), ["(c)?", "no"]).alias("marks"), text.label_class(F.lit("yes\n"), ["yes", "no"], F.lit("yes")).alias("ended"),
+        text.label_class(F.lit("yes"), ["yes", "no"], F.lit("yes"), F.lit(False)).alias("cut"), text.label_class(F.lit("no"), ["yes", "no"], F.lit("yes"), F.lit(True)).alias("wrong"),
+        text.after_marker(F.lit("think</t>\nyes<end>\n"), "</t>", F.lit(False), "<end>").alias("after"), text.first_case({"a": F.lit(None).cast("boolean"), "b": F.lit(True), "c": F.lit(True)}, "d").alias("first"),
+        text.tags({"a": F.lit(True), "b": F.lit(None).cast("boolean"), "c": F.lit(True)}).alias("tags"), text.common_prefix(F.repeat(F.lit("ab"), 1_200_000), F.repeat(F.lit("ab"), 1_200_000)).alias("long"),
+        text.name_value_distance(F.array(*map(F.lit, ["Previously", ",", " Al", "ma", "’s", " badge", " was", " am", "ber", "."])), F.lit("Alma"), F.lit("amber")).alias("distance"),
+        text.utc_stamp(F.lit("2026-01-31 12:00:00").cast("timestamp")).alias("stamp"),
+    ).first()
+    assert tuple(row) == ("a.b", "(c)?", "correct", "invalid", "wrong", "yes", "b", "a+c", 2_400_000, 3, "2026-01-31T12:00:00Z")
 
 
 def test_whole_texts_of_every_row_are_parsed(spark, tmp_path):
@@ -64,7 +73,7 @@ def test_whole_texts_of_every_row_are_parsed(spark, tmp_path):
     for i, t in enumerate(texts):
         low = None if t is None else t.lower()
         hits = [w for w in ("the", "and") if re.search(rf"(?<!\w){w}(?!\w)", t or "")]
-        assert answers[i] == (None if t is None else low.strip("\t\n\x0b\f\r \"'`.,;:!?"), next((c for c in ("The", "And") if (low or "").startswith(c.lower())), None)), t
+        assert answers[i] == (None if t is None else low.strip().strip("\"'`.,;:!? "), next((c for c in ("The", "And") if (low or "").startswith(c.lower())), None)), t
         assert labels[i] == (hits[0] if len(hits) == 1 else None), t
 
 
@@ -162,7 +171,7 @@ def test_gates(spark):
 def test_exact_bootstrap_is_numpys(spark):
     x = np.random.default_rng(1).normal(size=37)
     rng = np.random.default_rng(81004)
-    want = np.quantile(x[rng.integers(37, size=(2000, 37))].mean(axis=1), [0.0125, 0.9875])
+    want = np.quantile(x[rng.integers(37, size=(2000, 37))].mean(axis=1), [(1 - 0.975) / 2, (1 + 0.975) / 2])
     got = resample.exact_interval(x, level=0.975)
     assert (got["low"], got["high"]) == tuple(want)
     old, resample.CHUNK = resample.CHUNK, 37 * 7

@@ -2,44 +2,67 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space and edge marks that a complete answer may carry: fixed values.
-EDGE = r"""\x09-\x0D\x20"'`.,;:!?"""
+#: White space of any script, and edge marks that a complete answer may carry: fixed values.
+WHITE = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+EDGE = r"""\x20"'`.,;:!?"""
 
 #: What a word is made of, in any script.
 LETTER = r"[\p{L}\p{N}_]"
 
 
-def strict_label(text: Column, labels: Sequence[str]) -> Column:
-    """The text itself if, trimmed, it is one of the labels."""
-    t = F.trim(text)
-    return F.when(t.isin(*labels), t)
+def stripped(text: Column) -> Column:
+    """The text without white space at its edges, line ends and tabs included."""
+    return F.regexp_replace(text, rf"^[{WHITE}]+|[{WHITE}]+\z", "")
 
 
-def relaxed_label(text: Column, labels: Sequence[str]) -> Column:
-    """The one label that stands in the text as a whole word; null if none or several do."""
-    found = F.filter(F.array(*map(F.lit, labels)), lambda w: F.regexp_like(text, F.concat(F.lit(f"(?<!{LETTER})"), w, F.lit(f"(?!{LETTER})"))))
+def _labels(labels: Sequence[str] | Column) -> Column:
+    return labels if isinstance(labels, Column) else F.array(*map(F.lit, labels))
+
+
+def strict_label(text: Column, labels: Sequence[str] | Column) -> Column:
+    """The text itself if, stripped, it is one of the labels (a list, or an array of the row)."""
+    t = stripped(text)
+    return F.when(F.array_contains(_labels(labels), t), t)
+
+
+def relaxed_label(text: Column, labels: Sequence[str] | Column) -> Column:
+    """The one label that stands in the text as a whole word; null if none or several do. Labels are words as they stand, not patterns."""
+    plain = lambda w: F.regexp_replace(w, r"([^\p{L}\p{N}_\s])", r"\\$1")
+    found = F.filter(_labels(labels), lambda w: F.regexp_like(text, F.concat(F.lit(f"(?<!{LETTER})"), plain(w), F.lit(f"(?!{LETTER})"))))
     return F.when(F.size(found) == 1, F.get(found, 0))
 
 
-def label_class(text: Column, labels: Sequence[str], correct: Column) -> Column:
-    """correct, wrong or invalid by the strict label."""
+def label_class(text: Column, labels: Sequence[str] | Column, correct: Column, terminated: Column | None = None) -> Column:
+    """correct, wrong or invalid by the strict label; a text whose generation didn't end by itself is invalid."""
     t = strict_label(text, labels)
+    t = t if terminated is None else F.when(terminated, t)
     return F.when(t.isNull(), "invalid").when(t == correct, "correct").otherwise("wrong")
 
 
 def complete_answer(text: Column) -> Column:
-    """The text in lower case without white space and marks at its edges."""
-    return F.lower(F.regexp_replace(text, rf"^[{EDGE}]+|[{EDGE}]+\z", ""))
+    """The text in lower case without white space at its edges and, within these, without marks and spaces."""
+    return F.lower(F.regexp_replace(stripped(text), rf"^[{EDGE}]+|[{EDGE}]+\z", ""))
+
+
+def after_marker(text: Column, marker: str, truncated: Column, end: str = "") -> Column:
+    """What follows the last marker, stripped and without the end token; null if there is no marker or the text was truncated."""
+    tail = F.substring_index(text, marker, -1)
+    return F.when(F.contains(text, F.lit(marker)) & ~truncated, stripped(F.replace(tail, F.lit(end)) if end else tail))
+
 
+def first_case(cases: Mapping[str, Column], otherwise: str) -> Column:
+    """The name of the first case that holds, in order: an error taxonomy. Null conditions don't hold."""
+    return F.coalesce(*(F.when(c, F.lit(n)) for n, c in cases.items()), F.lit(otherwise))
 
-def after_marker(text: Column, marker: str, truncated: Column) -> Column:
-    """What follows the last marker; null if there is none or the text was truncated."""
-    return F.when(F.contains(text, F.lit(marker)) & ~truncated, F.trim(F.substring_index(text, marker, -1)))
+
+def tags(cases: Mapping[str, Column], between: str = "+") -> Column:
+    """The names of all cases that hold, in order, joined; empty if none does."""
+    return F.concat_ws(between, *(F.when(c, F.lit(n)) for n, c in cases.items()))
 
 
 def prefix_candidate(text: Column, candidates: Sequence[str]) -> Column:
@@ -65,15 +88,15 @@ def span_distance(start: Column, end: Column, position: Column) -> Column:
 
 def replace_first(text: Column, old: Column, new: Column) -> Column:
     """text with the first occurrence of old replaced."""
-    at = F.locate_col(text, old) if hasattr(F, "locate_col") else F.instr(text, old)
+    at = F.instr(text, old)
     return F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1), new, F.substring(text, at + F.length(old), F.length(text)))).otherwise(text)
 
 
 def common_prefix(a: Column, b: Column) -> Column:
     """Length of the longest common prefix, by halving."""
     n = F.least(F.length(a), F.length(b))
-    steps = F.array(*(F.lit(1 << k) for k in range(20, -1, -1)))
-    return F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= n) & (F.substring(a, F.lit(1), at + s) == F.substring(b, F.lit(1), at + s)), at + s).otherwise(at))
+    steps = F.array(*(F.lit(1 << k) for k in range(30, -1, -1)))  # any length that a string can have
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when((s <= n - at) & (F.substring(a, at + 1, s) == F.substring(b, at + 1, s)), at + s).otherwise(at))
 
 
 def changed_middle(a: Column, b: Column) -> Column:
@@ -82,3 +105,22 @@ def changed_middle(a: Column, b: Column) -> Column:
     rest_a, rest_b = F.substring(a, p + 1, F.length(a)), F.substring(b, p + 1, F.length(b))
     s = common_prefix(F.reverse(rest_a), F.reverse(rest_b))
     return F.substring(rest_b, F.lit(1), F.length(rest_b) - s)
+
+
+def name_value_distance(pieces: Column, name: Column, value: Column) -> Column:
+    """Tokens strictly between the last token of a name and the first of a value; null if either isn't there.
+
+    pieces: the tokens' own strings. The name ends with the first token that completes it; so does the value, which begins with the last
+    token from which it is still whole.
+    """
+    n = F.size(pieces)
+    joined = lambda start, length: F.array_join(F.slice(pieces, start, length), "")
+    ends = lambda word: F.get(F.filter(F.sequence(F.lit(0), n), lambda k: F.contains(joined(F.lit(1), k), word)), 0)
+    value_start = lambda end: F.array_max(F.filter(F.sequence(F.lit(0), end - 1), lambda k: F.contains(joined(k + 1, end - k), value)))
+    return F.when(ends(name).isNotNull() & (ends(value) > 0), value_start(ends(value)) - ends(name))
+
+
+def utc_stamp(time: Column | None = None) -> Column:
+    """A timestamp (or now) as 2026-01-31T12:00:00Z."""
+    at = F.current_timestamp() if time is None else time
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -147,43 +147,44 @@ def role_contrasts(spark: SparkSession, sf: str) -> DataFrame:
     return candidates(spark, sf).select("vec_id", *(r6(x, n) for n, x in found.items()))
 
 
-@query(
-    r"""SELECT conv_id, turn, CASE WHEN trim(role) IN ('user', 'assistant') THEN trim(role) END AS strict,
-    CASE WHEN CAST(regexp_matches(text, '\bthe\b') AS INTEGER) + CAST(regexp_matches(text, '\band\b') AS INTEGER) = 1 THEN CASE WHEN regexp_matches(text, '\bthe\b') THEN 'the' ELSE 'and' END END AS relaxed
-    FROM (SELECT conv_id, turn, role, regexp_replace(text, '[^ -~]', '', 'g') AS text FROM conversations)"""
+#: White space of any script, as in functions/text.py.
+_WHITE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_STRIP = rf"regexp_replace(regexp_replace({{0}}, '^{_WHITE.replace('{', '{{').replace('}', '}}')}+', ''), '{_WHITE.replace('{', '{{').replace('}', '}}')}+\z', '')"
+_LABELS = (
+    r"""WITH h AS (SELECT conv_id, turn, """ + _STRIP.format("chr(9) || role || chr(10)") + r""" AS role, regexp_matches(text, '(^|[^\p{L}\p{N}_])the([^\p{L}\p{N}_]|\z)') AS a, regexp_matches(text, '(^|[^\p{L}\p{N}_])and([^\p{L}\p{N}_]|\z)') AS b FROM conversations)
+    SELECT conv_id, turn, CASE WHEN role IN ('user', 'assistant') THEN role END AS strict, CASE WHEN a AND NOT b THEN 'the' WHEN b AND NOT a THEN 'and' END AS relaxed"""
 )
+_ANSWERS = r"""SELECT conv_id, turn, lower(regexp_replace(regexp_replace(t, '^[\x20"''`.,;:!?]+', ''), '[\x20"''`.,;:!?]+\z', '')) AS answer, CASE WHEN starts_with(lower(text), 'the') THEN 'The' WHEN starts_with(lower(text), 'and') THEN 'And' END AS starts_with
+    FROM (SELECT *, """ + _STRIP.format("text") + r""" AS t FROM conversations)"""
+
+
+def _labelled(spark: SparkSession, sf: str) -> DataFrame:
+    """Roles with a tab before and a line end behind, parsed strictly; texts searched for one of two words."""
+    c = table(spark, sf, "conversations").withColumn("role", F.concat(F.lit("\t"), "role", F.lit("\n")))
+    return c.select("conv_id", "turn", text.strict_label(F.col("role"), ["user", "assistant"]).alias("strict"), text.relaxed_label(F.col("text"), ["the", "and"]).alias("relaxed"), text.label_class(F.col("role"), ["user", "assistant"], F.lit("user"), F.col("turn") < 3).alias("label"))
+
+
+@query(_LABELS + ", CASE WHEN role IS NULL OR turn >= 3 OR role NOT IN ('user', 'assistant') THEN 'invalid' WHEN role = 'user' THEN 'correct' ELSE 'wrong' END AS label FROM h")
 def strict_relaxed_parse(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "conversations").withColumn("text", F.regexp_replace("text", "[^ -~]", ""))
-    return c.select("conv_id", "turn", text.strict_label(F.col("role"), ["user", "assistant"]).alias("strict"), text.relaxed_label(F.col("text"), ["the", "and"]).alias("relaxed"))
+    return _labelled(spark, sf)
 
 
-@query(
-    r"""SELECT conv_id, turn, lower(regexp_replace(regexp_replace(t, '^[\s"''`.,;:!?]+', ''), '[\s"''`.,;:!?]+$', '')) AS answer, CASE WHEN starts_with(lower(t), 'the') THEN 'The' WHEN starts_with(lower(t), 'and') THEN 'And' END AS starts_with
-    FROM (SELECT conv_id, turn, substr(text, 1, 40) AS t FROM conversations WHERE regexp_matches(substr(text, 1, 40), '^[ -~]*\z'))"""
-)
+@query(_ANSWERS)
 def complete_answer_parse(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "conversations").select("conv_id", "turn", F.substring("text", 1, 40).alias("t")).filter(F.regexp_like("t", F.lit(r"^[ -~]*\z")))
-    return c.select("conv_id", "turn", text.complete_answer(F.col("t")).alias("answer"), text.prefix_candidate(F.col("t"), ["The", "And"]).alias("starts_with"))
+    c = table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", text.complete_answer(F.col("text")).alias("answer"), text.prefix_candidate(F.col("text"), ["The", "And"]).alias("starts_with"))
 
 
-@query(
-    r"""WITH h AS (SELECT conv_id, turn, role, regexp_matches(text, '(^|[^\p{L}\p{N}_])the([^\p{L}\p{N}_]|\z)') AS a, regexp_matches(text, '(^|[^\p{L}\p{N}_])and([^\p{L}\p{N}_]|\z)') AS b FROM conversations)
-    SELECT conv_id, turn, CASE WHEN trim(role) IN ('user', 'assistant') THEN trim(role) END AS strict, CASE WHEN a AND NOT b THEN 'the' WHEN b AND NOT a THEN 'and' END AS relaxed FROM h"""
-)
+@query(_LABELS + " FROM h")
 def strict_relaxed_whole_text(spark: SparkSession, sf: str) -> DataFrame:
-    """strict_relaxed_parse over whole texts: nothing is deleted, accents and line ends count."""
-    c = table(spark, sf, "conversations")
-    return c.select("conv_id", "turn", text.strict_label(F.col("role"), ["user", "assistant"]).alias("strict"), text.relaxed_label(F.col("text"), ["the", "and"]).alias("relaxed"))
+    """strict_relaxed_parse without the class of the label."""
+    return _labelled(spark, sf).drop("label")
 
 
-@query(
-    r"""SELECT conv_id, turn, lower(regexp_replace(regexp_replace(text, '^[\x09-\x0D\x20"''`.,;:!?]+', ''), '[\x09-\x0D\x20"''`.,;:!?]+\z', '')) AS answer, CASE WHEN starts_with(lower(text), 'the') THEN 'The' WHEN starts_with(lower(text), 'and') THEN 'And' END AS starts_with
-    FROM conversations"""
-)
+@query(_ANSWERS)
 def complete_answer_whole_text(spark: SparkSession, sf: str) -> DataFrame:
-    """complete_answer_parse over the whole text of every row."""
-    c = table(spark, sf, "conversations")
-    return c.select("conv_id", "turn", text.complete_answer(F.col("text")).alias("answer"), text.prefix_candidate(F.col("text"), ["The", "And"]).alias("starts_with"))
+    """The same as complete_answer_parse, under its former name."""
+    return complete_answer_parse(spark, sf)
 
 
 @query(f"WITH {_MARGINS} SELECT vec_id, CASE WHEN hit THEN 'correct' WHEN margin > -0.1 THEN 'near' WHEN label > 7 THEN 'outside' ELSE 'far' END AS kind FROM margins", uses="candidates")
