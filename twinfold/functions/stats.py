@@ -1,7 +1,7 @@
 """Order statistics as aggregates. Three trimmed means and three medians exist because reports use all of them; pick by name.
 
-Each aggregate takes a numeric column and ignores nulls. Groups must fit one task's memory only for those built on `collect_list`
-(trimmed means, upper median, p95): they are per-history or per-condition summaries; for global ones over huge tables, use quantiles.
+Each aggregate takes a numeric column and ignores nulls. Those built on `collect_list` (trimmed means, upper median, p95) are for the few
+rows of a history or cell; `operators.ordered.order_statistics` has the same for groups of any size.
 """
 
 from __future__ import annotations

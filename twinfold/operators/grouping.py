@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def two_level_mean(df: DataFrame, group: Sequence[str], history: str, value: str) -> DataFrame:
@@ -45,6 +46,13 @@ def transitions(df: DataFrame, keys: Sequence[str], before: str, after: str) ->
     return df.groupBy(*keys, before, after).agg(F.count("*").alias("n"))
 
 
+def struct_means(df: DataFrame, keys: Sequence[str], column: str, fields: Mapping[str, str]) -> DataFrame:
+    """Means of fields of a list of structs (or of one struct): name -> field."""
+    several = isinstance(df.schema[column].dataType, T.ArrayType)
+    each = df.select(*keys, F.explode(column).alias("__s") if several else F.col(column).alias("__s"))
+    return each.groupBy(*keys).agg(*(F.avg(F.col(f"__s.{f}").cast("double")).alias(n) for n, f in fields.items()))
+
+
 def lowest_group(df: DataFrame, group: str, rate: str) -> DataFrame:
     """The group of the smallest rate; the first name on a tie."""
     return df.agg(F.min(F.struct(F.col(rate).alias("r"), F.col(group).alias("g"))).alias("x")).select(F.col("x.g").alias(group), F.col("x.r").alias(rate))
@@ -66,8 +74,9 @@ def trace_numbers(numbers: DataFrame, literals: DataFrame) -> DataFrame:
     Values are rounded half-even at each number of decimals that a literal has, so the match is an equi-join on (decimals, rounded).
     """
     decimals = F.coalesce(F.length(F.nullif(F.regexp_extract("text", r"\.(\d+)$", 1), F.lit(""))), F.lit(0))
-    asked = literals.select("text", decimals.alias("d"), F.col("text").cast("decimal(38,10)").alias("key"))
+    asked = literals.select("text", decimals.alias("d"), F.col("text").cast("double").alias("key"))
     forms = numbers.select("path", F.explode(F.array(F.col("value"), F.when(F.col("value").between(0, 1), F.col("value") * 100))).alias("v")).filter("v is not null")
-    steps = asked.select("d").distinct()
-    rounded = forms.crossJoin(F.broadcast(steps)).withColumn("key", F.expr("case " + " ".join(f"when d = {k} then cast(bround(v, {k}) as decimal(38,10))" for k in range(0, 10)) + " end"))
-    return asked.join(rounded.select("path", "d", "key"), ["d", "key"], "left").groupBy("text").agg(F.sort_array(F.collect_set("path")).alias("paths"))
+    steps = sorted(r[0] for r in asked.select("d").distinct().collect())  # the few numbers of decimals
+    keys = F.array(*(F.struct(F.lit(k).alias("d"), F.bround("v", k).alias("key")) for k in steps)) if steps else F.array().cast("array<struct<d:int,key:double>>")
+    rounded = forms.select("path", F.explode(keys).alias("x")).select("path", "x.d", (F.col("x.key") + 0.0).alias("key"))  # no negative zero
+    return asked.join(rounded, ["d", "key"], "left").groupBy("text").agg(F.sort_array(F.collect_set("path")).alias("paths"))

@@ -58,10 +58,26 @@ def metadata_of(df: DataFrame, history: str, columns: Sequence[str]) -> DataFram
 
 
 def proper_prefixes(candidates: DataFrame, key: str, tokens: str) -> DataFrame:
-    """(shorter, longer) keys where one token list is a proper prefix of another; equi-joined on the first token, never crossed."""
-    a = candidates.select(F.col(key).alias("shorter"), F.col(tokens).alias("a"), F.get(F.col(tokens), 0).alias("first"))
-    b = candidates.select(F.col(key).alias("longer"), F.col(tokens).alias("b"), F.get(F.col(tokens), 0).alias("first"))
-    return a.join(b, "first").filter((F.size("a") < F.size("b")) & (F.slice("b", F.lit(1), F.size("a")) == F.col("a"))).select("shorter", "longer")
+    """(shorter, longer) keys where one token list is a proper prefix of another: each list's own prefixes, joined on the whole prefix."""
+    a = candidates.select(F.col(key).alias("shorter"), F.col(tokens).alias("prefix"))
+    own = F.transform(F.sequence(F.lit(1), F.size(tokens) - 1), lambda n: F.slice(tokens, F.lit(1), n))
+    b = candidates.filter(F.size(tokens) > 1).select(F.col(key).alias("longer"), F.explode(own).alias("prefix"))
+    return a.join(b, "prefix").select("shorter", "longer")
+
+
+def with_legend(df: DataFrame, legend: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """All rows of df with the legend's columns (roles, token texts) where it has any; raises if it has a key twice."""
+    checks.enforce([checks.unique(legend, keys, "legend_keys")])
+    return df.join(legend, list(keys), "left")
+
+
+def sealed_with(rows: DataFrame, sealed: DataFrame, history: str, expected: int, digest: str, digest_now: str) -> DataFrame:
+    """New rows with their history's sealed rows' digest; raises unless each has `expected` sealed rows of one stored digest that is `digest_now`'s."""
+    counted = sealed.groupBy(history).agg(F.count("*").alias("__n"), F.count_distinct(digest).alias("__kinds"), F.any_value(digest).alias(digest))
+    joined = rows.join(counted, history, "left")
+    bad = joined.filter(~F.coalesce((F.col("__n") == expected) & (F.col("__kinds") == 1) & (F.col(digest) == F.col(digest_now)), F.lit(False)))
+    checks.enforce([checks.Check("sealed", bad)])
+    return joined.drop("__n", "__kinds")
 
 
 def first_histories(df: DataFrame, history: str, order: str, k: int) -> DataFrame:

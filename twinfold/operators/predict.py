@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import sums_before
+from .ordered import sums_before, with_bucket
 
 
 def greedy_folds(sizes: dict, k: int) -> dict:
@@ -42,50 +42,95 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 100)
 def cross_validated(df: DataFrame, features: Sequence[str], outcome: str, fold: str, keep: Sequence[str], k: int = 5, c: float = 1.0, clip: float = 1e-9, steps: int = 25) -> DataFrame:
     """keep columns, fold, outcome and p: each fold predicted by a ridge logistic model of the others (see fit_logistic).
 
-    Rows never meet in one task: means, deviations, gradients and curvatures are sums over the training rows of all folds at once, a few
-    dozen numbers a fold, and only the Newton step on these sums is taken on the driver. A fold whose training set has one class
-    gets null.
+    Rows never meet in one task: means, deviations, gradients and curvatures are sums over one copy of the rows, a few dozen numbers a
+    fold (a fold's model takes the rows of all others), and only the Newton step on these sums is taken on the driver. A fold whose
+    training set has one class gets null.
     """
-    names = list(features)
-    rows = df.select(*keep, *names, outcome, F.col(fold).cast("int").alias("fold"))
-    # each row teaches the models of all other folds
-    taught = rows.select(*names, F.col(outcome).cast("double").alias("__y"), F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda t: t != F.col("fold"))).alias("__t")).persist()
-    facts = {r["__t"]: r for r in taught.groupBy("__t").agg(F.avg("__y").alias("rate"), *(F.avg(x).alias(f"m{i}") for i, x in enumerate(names)), *(F.stddev_pop(x).alias(f"s{i}") for i, x in enumerate(names))).collect()}
-    usable = [t for t, r in facts.items() if 0 < r["rate"] < 1]
-    d = len(names)
-    mean = {t: [facts[t][f"m{i}"] for i in range(d)] for t in usable}
-    scale = {t: [facts[t][f"s{i}"] or 1.0 for i in range(d)] for t in usable}
+    names, d = list(features), len(features)
+    centre = df.agg(*(F.avg(x).alias(f"m{i}") for i, x in enumerate(names))).first()
+    x = [f"__x{i}" for i in range(d + 1)]
+    moved = [(F.col(c) - F.lit(float(centre[f"m{i}"] or 0.0))).alias(x[i]) for i, c in enumerate(names)]
+    rows = df.select(*keep, outcome, F.col(fold).cast("int").alias("fold"), F.col(outcome).cast("double").alias("__y"), *moved, F.lit(1.0).alias(x[d]))
+    at = rows.select("fold", "__y", *x).persist()
+    others = lambda t, v: F.sum(F.when(F.col("fold") != t, v))
+    facts = at.agg(*(others(t, v).alias(f"{n}_{t}") for t in range(k) for n, v in [("n", F.lit(1.0)), ("y", F.col("__y")), *((f"s{i}", F.col(x[i])) for i in range(d)), *((f"q{i}", F.col(x[i]) * F.col(x[i])) for i in range(d))])).first()
+    usable = [t for t in range(k) if facts[f"n_{t}"] and 0 < facts[f"y_{t}"] < facts[f"n_{t}"]]
+    mean = {t: np.array([facts[f"s{i}_{t}"] / facts[f"n_{t}"] for i in range(d)]) for t in usable}
+    scale = {t: np.sqrt(np.maximum(0.0, np.array([facts[f"q{i}_{t}"] / facts[f"n_{t}"] for i in range(d)]) - mean[t] ** 2)) for t in usable}
+    scale = {t: np.where(v > 1e-12 * (1 + np.abs(mean[t])), v, 1.0) for t, v in scale.items()}
+    # standardised features are `turn` times the centred ones and 1
+    turn = {t: np.vstack([np.hstack([np.diag(1 / scale[t]), (-mean[t] / scale[t])[:, None]]), np.eye(d + 1)[d:]]) for t in usable}
     weight = {t: np.zeros(d + 1) for t in usable}
 
-    def picked(key: Column, values: dict) -> Column:
-        return F.element_at(F.create_map(*(F.lit(x) for t in usable for x in (t, float(values[t])))), key)
-
-    def standard(key: Column) -> list[Column]:
-        return [(F.col(x) - picked(key, {t: mean[t][i] for t in usable})) / picked(key, {t: scale[t][i] for t in usable}) for i, x in enumerate(names)] + [F.lit(1.0)]
-
-    def probability(key: Column) -> Column:
-        z = sum((x * picked(key, {t: weight[t][i] for t in usable}) for i, x in enumerate(standard(key))), F.lit(0.0))
+    def probability(t: int) -> Column:
+        z = sum((F.col(c) * F.lit(float(w)) for c, w in zip(x, weight[t] @ turn[t], strict=True)), F.lit(0.0))
         return 1 / (1 + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), z))))
 
     for _ in range(steps if usable else 0):
-        x = [f"__x{i}" for i in range(d + 1)]
-        at = taught.filter(F.col("__t").isin(usable)).select("__t", "__y", *(v.alias(n) for v, n in zip(standard(F.col("__t")), x, strict=True)), probability(F.col("__t")).alias("__p"))
-        curve = [F.sum(F.col(x[i]) * F.col(x[j]) * F.col("__p") * (1 - F.col("__p"))).alias(f"h{i}_{j}") for i in range(d + 1) for j in range(i + 1)]
-        slope = [F.sum(F.col(x[i]) * (F.col("__p") - F.col("__y"))).alias(f"g{i}") for i in range(d + 1)]
-        moved = 0.0
-        for r in at.groupBy("__t").agg(*slope, *curve).collect():  # one row a fold
+        scored = at.select("fold", "__y", *x, *(probability(t).alias(f"__p{t}") for t in usable))
+        slope = [others(t, F.col(x[i]) * (F.col(f"__p{t}") - F.col("__y"))).alias(f"g{i}_{t}") for t in usable for i in range(d + 1)]
+        curve = [others(t, F.col(x[i]) * F.col(x[j]) * F.col(f"__p{t}") * (1 - F.col(f"__p{t}"))).alias(f"h{i}_{j}_{t}") for t in usable for i in range(d + 1) for j in range(i + 1)]
+        sums, moves = scored.agg(*slope, *curve).first(), 0.0
+        for t in usable:
             ridge = np.array([1 / c] * d + [0.0])
-            h = np.array([[r[f"h{max(i, j)}_{min(i, j)}"] for j in range(d + 1)] for i in range(d + 1)]) + np.diag(ridge + 1e-12)
-            step = np.linalg.solve(h, np.array([r[f"g{i}"] for i in range(d + 1)]) + ridge * weight[r["__t"]])
-            weight[r["__t"]] = weight[r["__t"]] - step
-            moved = max(moved, float(np.abs(step).max()))
-        if moved < 1e-9:
+            h = turn[t] @ np.array([[sums[f"h{max(i, j)}_{min(i, j)}_{t}"] for j in range(d + 1)] for i in range(d + 1)]) @ turn[t].T + np.diag(ridge + 1e-12)
+            step = np.linalg.solve(h, turn[t] @ np.array([sums[f"g{i}_{t}"] for i in range(d + 1)]) + ridge * weight[t])
+            weight[t] = weight[t] - step
+            moves = max(moves, float(np.abs(step).max()))
+        if moves < 1e-9:
             break
-    taught.unpersist()
-    p = F.when(F.col("fold").isin(usable), F.least(F.lit(1 - clip), F.greatest(F.lit(clip), probability(F.col("fold"))))) if usable else F.lit(None).cast("double")
+    at.unpersist()
+    p = F.lit(None).cast("double")
+    for t in usable:
+        p = F.when(F.col("fold") == t, F.least(F.lit(1 - clip), F.greatest(F.lit(clip), probability(t)))).otherwise(p)
     return rows.select(*keep, "fold", outcome, p.alias("p"))
 
 
+def grouped_folds(df: DataFrame, group: str, k: int) -> DataFrame:
+    """(group, fold): whole groups to k folds of like sizes, the largest first, each to the lightest fold.
+
+    Groups of one size are dealt at once, so the driver sees the counts of sizes and not the groups: in order of size the fold loads are
+    filled up; which group of a size goes where is settled by its rank. The same as `greedy_folds` but for groups of one size.
+    """
+    sizes = df.groupBy(group).agg(F.count("*").alias("__size"))
+    counts = sorted(((r["__size"], r["n"]) for r in sizes.groupBy("__size").agg(F.count("*").alias("n")).collect()), reverse=True)  # one row a size
+    load, starts = [0] * k, []  # (size, rank from which, fold)
+    for size, n in counts:
+        rank, left = 0, n
+        while left:
+            low = min(load)
+            level = [t for t in range(k) if load[t] == low]
+            above = min((load[t] for t in range(k) if load[t] > low), default=None)
+            rounds = max(1, left // len(level)) if above is None else max(1, min(left // len(level), -(-(above - low) // size)))
+            for t in level[: left if rounds == 1 else None]:
+                starts.append((size, rank, rank + rounds, t))
+                rank, left, load[t] = rank + rounds, left - rounds, load[t] + size * rounds
+    placed = with_bucket(sizes, [], group, "__place")
+    ranked = sums_before(placed, ["__size"], F.col("__place"), [F.col(group)], {"__rank": F.lit(1)})
+    runs = df.sparkSession.createDataFrame(starts, "__s long, __from long, __to long, fold int")
+    return ranked.join(runs, (F.col("__size") == F.col("__s")) & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to"))).select(group, "fold")
+
+
+def log_loss(outcome: Column, p: Column) -> Column:
+    y = outcome.cast("double")
+    return -(y * F.log(p) + (1 - y) * F.log(1 - p))
+
+
+def incremental_gain(df: DataFrame, group: str, outcome: str, base: str, more: str) -> DataFrame:
+    """(group, gain): how much lower the mean log loss of a richer model is, history by history."""
+    return df.groupBy(group).agg(F.avg(log_loss(F.col(outcome), F.col(base)) - log_loss(F.col(outcome), F.col(more))).alias("gain"))
+
+
+def compared(df: DataFrame, sets: dict[str, Sequence[str]], outcome: str, group: str, keep: Sequence[str], k: int = 5, c: float = 1.0) -> DataFrame:
+    """keep columns, group, outcome and p_<name> of each predictor set, all over the same folds of whole groups."""
+    folds = df.join(grouped_folds(df, group, k), group)
+    out = None
+    for name, features in sets.items():
+        found = cross_validated(folds, features, outcome, "fold", [*keep, group], k, c).withColumnRenamed("p", f"p_{name}")
+        out = found.drop("fold") if out is None else out.join(found.select(*keep, f"p_{name}"), list(keep))
+    return out
+
+
 def metrics(df: DataFrame, outcome: str, p: str, group: Sequence[str] = ()) -> DataFrame:
     """n, prevalence, AUROC (ties count half), Brier score, log loss and prevalence-only log loss.
 

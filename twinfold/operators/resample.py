@@ -1,9 +1,10 @@
 """Resampling over histories.
 
 Portable forms draw by md5 in plain column expressions: draw d's slot i takes the row numbered md5(seed:d:i) mod n, so any SQL engine can
-repeat them. Rows are numbered once; draws x n slots are generated per row of a bounded summary (one row per history) and joined on the
-number, then averaged with map-side aggregation. Exact forms repeat numpy's streams in one Arrow task per statistic: their input is one
-number per history in a stated order, which is part of the result. numpy fills row by row, so exact draws run in chunks of bounded memory.
+repeat them. Rows are numbered once, by sums over buckets of their order; draws x n slots are generated from a group's size and joined on the
+number, then averaged with map-side aggregation. Exact forms repeat numpy's streams, which one generator fills in order: their input is one
+number per history (8 bytes), a group in one Arrow task, in a stated order that is part of the result. Their draws run in chunks of
+bounded memory. For groups that one task can't hold, use the portable forms.
 """
 
 from __future__ import annotations
@@ -12,16 +13,20 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import sums_before, with_bucket
+
 CHUNK = 1 << 22  # numbers drawn at once
 
 
 def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """df with i (0 and up within the group, by `order`) and n, the group's rows."""
-    by = Window.partitionBy(*group)
-    return df.withColumn("i", (F.row_number().over(by.orderBy(*order)) - 1).cast("long")).withColumn("n", F.count("*").over(by))
+    """df with i (0 and up within the group, by `order`) and n, the group's rows. Ranks are sums over buckets of the order, so no task holds a group."""
+    placed = with_bucket(df, group, order[0], "__place")
+    ranked = sums_before(placed, group, F.col("__place"), [F.col(c) for c in order], {"i": F.lit(1).cast("long")}).drop("__place")
+    sizes = df.groupBy(*group).agg(F.count("*").alias("n"))
+    return ranked.join(sizes, list(group)) if group else ranked.crossJoin(F.broadcast(sizes))
 
 
 def md5_number(*parts: Column) -> Column:

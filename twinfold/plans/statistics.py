@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores, stats, text
-from ..operators import design, gates, grouping, predict, resample
+from ..operators import design, gates, grouping, ordered, predict, resample
 from ..sources.records import flatten_json
 from .base import candidates, cells, families, family_pairs, pairs, query, r6, table
 
@@ -58,12 +58,12 @@ _TRIM = "s AS (SELECT condition, effect, row_number() OVER (PARTITION BY conditi
 
 @query(f"WITH {_TRIM} SELECT condition, round(avg(effect), 6) AS trimmed FROM s WHERE i >= floor(n * 0.1) AND i < n - floor(n * 0.1) GROUP BY 1", uses="cells pairs")
 def trimmed_mean_both(spark: SparkSession, sf: str) -> DataFrame:
-    return pairs(spark, sf).groupBy("condition").agg(r6(stats.trimmed_mean(F.col("effect")), "trimmed"))
+    return ordered.order_statistics(pairs(spark, sf), ["condition"], "effect").select("condition", r6("trimmed", "trimmed"))
 
 
 @query(f"WITH {_TRIM} SELECT condition, round(avg(effect), 6) AS trimmed FROM s WHERE i >= floor(n * 0.1) AND i < ceil(n * 0.9) GROUP BY 1", uses="cells pairs")
 def trimmed_mean_asym(spark: SparkSession, sf: str) -> DataFrame:
-    return pairs(spark, sf).groupBy("condition").agg(r6(stats.trimmed_mean_asymmetric(F.col("effect")), "trimmed"))
+    return ordered.order_statistics(pairs(spark, sf), ["condition"], "effect").select("condition", r6("trimmed_asymmetric", "trimmed"))
 
 
 @query(
@@ -71,8 +71,8 @@ def trimmed_mean_asym(spark: SparkSession, sf: str) -> DataFrame:
     uses="cells pairs",
 )
 def upper_median(spark: SparkSession, sf: str) -> DataFrame:
-    x = F.col("effect")
-    return pairs(spark, sf).groupBy("condition").agg(r6(stats.upper_median(x), "upper_median"), r6(stats.p95_element(x), "p95"), r6(F.median(x), "median"))
+    found = ordered.order_statistics(pairs(spark, sf), ["condition"], "effect").select("condition", r6("upper_median", "upper_median"), r6("p95", "p95"))
+    return found.join(pairs(spark, sf).groupBy("condition").agg(r6(F.median("effect"), "median")), "condition")
 
 
 @query("SELECT condition, round(quantile_cont(effect, 0.25), 6) AS q25, round(quantile_cont(effect, 0.75), 6) AS q75, round(avg(CAST(effect > 0 AS DOUBLE)), 6) AS fraction_positive FROM pairs GROUP BY 1", uses="cells pairs")
@@ -326,8 +326,8 @@ def auroc_brier_logloss(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def grouped_cv(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "source", F.log1p("n_chars").alias("size"), *((F.col("lang") == x).cast("double").alias(x) for x in ("de", "es", "fr")))
-    rows = docs.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id").withColumn("fold", predict.hashed_fold(F.col("source"), 5, "cv"))
-    return predict.cross_validated(rows, ["size", "de", "es", "fr"], "quality", "fold", ["doc_id", "source"])
+    rows = docs.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    return predict.cross_validated(rows.join(predict.grouped_folds(rows, "source", 5), "source"), ["size", "de", "es", "fr"], "quality", "fold", ["doc_id", "source"])
 
 
 @query(
