@@ -129,3 +129,8 @@ def normalized(column: Column, aliases: dict[str, str], default: str) -> Column:
     """Enum values with their aliases replaced, and a default for null."""
     names = F.create_map(*(F.lit(x) for kv in aliases.items() for x in kv))
     return F.coalesce(F.element_at(names, column), column, F.lit(default))
+
+
+def axis_of(name: Column) -> Column:
+    """The axis that a field's name ends with: current_x is of axis x."""
+    return F.right(name, F.lit(1))

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .checks import enforce, rule
+
 
 def cell_mean(when: Column, value: str) -> Column:
     """Mean of value over a history's rows in a cell; null if it has none."""
@@ -90,3 +92,28 @@ def parts_against_whole(parts: DataFrame, whole: DataFrame, keys: Sequence[str],
     """Sum of the parts by key, joined with the whole, and their difference."""
     summed = parts.groupBy(*keys).agg(F.sum(value).alias("parts"))
     return summed.join(whole.select(*keys, F.col(value).alias("whole")), list(keys)).withColumn("difference", F.col("parts") - F.col("whole"))
+
+
+def status_metric(df: DataFrame, rules: Mapping[tuple[str, str], tuple[str, str]], condition: str, field: str, status: str, name: str = "metric") -> DataFrame:
+    """df with the metric's name that a condition and an edited field stand for; raises if a row's semantic status isn't the one they imply.
+
+    rules: (condition, field) -> (metric, expected status). A row that no rule knows raises, too.
+    """
+    here = lambda c, f: (F.col(condition) == c) & (F.col(field) == f)
+    metric = F.coalesce(*(F.when(here(c, f), F.lit(m)) for (c, f), (m, _) in rules.items()))
+    expected = F.coalesce(*(F.when(here(c, f), F.lit(s)) for (c, f), (_, s) in rules.items()))
+    enforce([rule(df, "semantic_status", F.col(status) == expected)])
+    return df.withColumn(name, metric)
+
+
+def construction_differences(df: DataFrame, keys: Sequence[str], construction: str, names: Sequence[str], value: str) -> DataFrame:
+    """Each construction's mean and, for every two of them in order, the first less the second: columns a_minus_b."""
+    wide = pivot_cells(df, keys, construction, {n: n for n in names}, value)
+    return wide.select("*", *((F.col(a) - F.col(b)).alias(f"{a}_minus_{b}") for i, a in enumerate(names) for b in names[i + 1 :]))
+
+
+def late_fractions(df: DataFrame, site: str, layer: str, value: str) -> DataFrame:
+    """Mean by site and layer, and its fraction of the site's last layer's mean (null where that is 0)."""
+    means = df.groupBy(site, layer).agg(F.avg(value).alias("mean"))
+    late = means.groupBy(site).agg(F.max_by("mean", layer).alias("late"))
+    return means.join(late, site).select(site, layer, "mean", F.try_divide("mean", "late").alias("fraction"))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from itertools import permutations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import set_key
 from .ordered import sums_before
+from .pinning import pinned
 
 
 def grid(spark: SparkSession, factors: Mapping[str, Sequence], replicates: int = 1) -> DataFrame:
@@ -81,3 +83,93 @@ def split_groups(df: DataFrame, group: str, shares: Sequence[tuple[str, float]],
 def first_cell_sample(df: DataFrame, cells: Sequence[str], order: str) -> DataFrame:
     """The first row of each cell."""
     return df.groupBy(*cells).agg(F.min_by(F.struct(*(c for c in df.columns if c not in cells)), order).alias("__x")).select(*cells, "__x.*")
+
+
+def crossed(df: DataFrame, factors: Mapping[str, Sequence]) -> DataFrame:
+    """Each row of df in every combination of the factors' levels (a protocol's few)."""
+    return reduce(lambda d, kv: d.withColumn(kv[0], F.explode(F.array(*map(F.lit, kv[1])))), factors.items(), df)
+
+
+def derived_states(states: Column, action: Column, historical: Column, current: Column, actions: Sequence[str]) -> dict[str, Column]:
+    """A history's states from its factors: four states rotated by (2 action + 2 historical + current) mod 4, two to each of two actions.
+
+    policy maps states to actions; `current` calls for action number `action`; one old value implies the other action (wrong), one the same
+    (correct). historical and current are order bits; the stratum is aligned where they agree.
+    """
+    turn = (2 * action + 2 * historical + current) % 4
+    turned = F.concat(F.slice(states, turn + 1, 4 - turn), F.slice(states, F.lit(1), turn))
+    at = lambda i: F.get(turned, i)
+    policy = F.map_from_arrays(turned, F.array(*(F.lit(actions[i // 2]) for i in range(4))))
+    return {
+        "states": turned, "policy": policy, "current": at(2 * action), "other_current": at((2 * action + 2) % 4), "old_correct": at(2 * action + 1), "old_wrong": at(2 * (1 - action)),
+        "answer": F.element_at(F.array(*map(F.lit, actions)), action + 1), "stratum": F.when(historical == current, "aligned").otherwise("reversed"),
+    }
+
+
+def balanced_value(number: Column, role: Column, values: Sequence[str], roles: int) -> Column:
+    """The value of a role in a numbered history: each value has each role equally often over len(values) histories, and a history's roles differ.
+
+    A cyclic Latin square: role r of history i takes value (i + r * step) mod len(values); step keeps roles apart.
+    """
+    n = len(values)
+    if roles > n:
+        raise ValueError("more roles than values")
+    return F.element_at(F.array(*map(F.lit, values)), (F.pmod(number + role * (n // roles), F.lit(n)) + 1).cast("int"))
+
+
+def fractional_allocation(pair: Column, attribute: Column, first: Sequence[Sequence[int]]) -> dict[str, Column]:
+    """A half fraction of pair x attribute x orientation x relation: orientation (pair + attribute) mod 2, relation 0 for the attributes that
+    `first` lists for the pair, else 1."""
+    listed = F.get(F.array(*(F.array(*map(F.lit, x)) for x in first)), pair.cast("int"))
+    return {"orientation": (pair + attribute) % 2, "relation": F.when(F.array_contains(listed, attribute), 0).otherwise(1)}
+
+
+def fresh_signatures(df: DataFrame, index: str, signature: Callable[[Column, Column], Column], used: DataFrame, attempts: int = 1000) -> DataFrame:
+    """(index, attempt, signature): each row's first attempt whose signature is neither used nor taken by a row before it.
+
+    Rejection sampling for all rows at once: each proposes its next attempt, a signature goes to the smallest index that has asked for it,
+    and who loses one goes on. That is the result of drawing row by row. used: a column `signature`. Raises if a row runs out of attempts.
+    """
+    asked = df.select(index, F.lit(0).alias("attempt"))
+    while True:
+        proposed = asked.select(index, "attempt", signature(F.col(index), F.col("attempt")).alias("signature"))
+        first = proposed.groupBy("signature").agg(F.min(index).alias("__first"))
+        barred = used.select("signature", F.lit(True).alias("__used")).distinct()
+        judged = proposed.join(first, "signature").join(barred, "signature", "left").withColumn("__lost", (F.col(index) != F.col("__first")) | F.col("__used").isNotNull()).persist()
+        facts = judged.agg(F.count_if(F.col("__lost")).alias("lost"), F.max("attempt").alias("most")).first()
+        if not facts["lost"]:
+            return judged.select(index, "attempt", "signature")
+        if facts["most"] >= attempts:
+            raise ValueError(f"no fresh signature in {attempts} attempts")
+        asked = pinned(judged.select(index, (F.col("attempt") + F.col("__lost").cast("int")).alias("attempt")))
+        judged.unpersist()
+
+
+def partition_ids(df: DataFrame, group: str, size: int, seed: str) -> DataFrame:
+    """(group, part): the `size` groups that come first by a seeded md5 are `discovery`, the others `heldout`."""
+    names = df.select(group).distinct().withColumn("__k", F.md5(F.concat(F.lit(seed + ":"), F.col(group).cast("string"))))
+    ranked = sums_before(names, [], F.substring("__k", 1, 3), [F.col("__k"), F.col(group)], {"__r": F.lit(1)})
+    return ranked.select(group, F.when(F.col("__r") < size, "discovery").otherwise("heldout").alias("part"))
+
+
+def split_weighted(df: DataFrame, group: str, weights: Sequence[tuple[str, int]], seed: str) -> DataFrame:
+    """(group, part): all groups, by a seeded md5, in parts of floor(n * weight / total); the first parts take one more each of what is left."""
+    names = df.select(group).distinct().withColumn("__k", F.md5(F.concat(F.lit(seed + ":"), F.col(group).cast("string"))))
+    n, total = F.col("__n"), sum(w for _, w in weights)
+    floors = [F.floor(n * w / F.lit(total)) for _, w in weights]
+    left = n - sum(floors[1:], floors[0])
+    part, end = F.lit(None).cast("string"), F.lit(0)
+    ranked = sums_before(names, [], F.substring("__k", 1, 3), [F.col("__k"), F.col(group)], {"__r": F.lit(1)}).crossJoin(F.broadcast(names.agg(F.count("*").alias("__n"))))
+    for i, (name, _) in enumerate(weights):
+        end = end + floors[i] + F.when(left > i, 1).otherwise(0)
+        part = F.coalesce(part, F.when(F.col("__r") < end, name))
+    return ranked.select(group, part.alias("part"))
+
+
+def exact_partition(ids: Sequence[str], size: int, seed: int) -> tuple[list[str], list[str]]:
+    """The partition by numpy's generator, whose one stream is part of the result: for a protocol's list of histories."""
+    names = sorted(set(ids))
+    if not 1 <= size < len(names):
+        raise ValueError("the first part must leave at least one id")
+    np.random.default_rng(seed).shuffle(names)
+    return names[:size], names[size:]

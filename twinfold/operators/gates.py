@@ -7,6 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .checks import forbidden_columns
+from .grouping import distinct_prompts
+
 
 def cell_gate(cells: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     """cells with a boolean for each rule (null counts as failed), `passes` (all of them) and `failed` (names, in order)."""
@@ -71,3 +74,38 @@ def next_step(plan: DataFrame, step: str = "id", status: str = "status", deps: s
     done = plan.filter(F.col(status) == "done").select(F.col(step).alias("need"), F.lit(True).alias("ok"))
     ready = needs.join(done, "need", "left").groupBy(step, order).agg(F.bool_and(F.col("need").isNull() | F.coalesce("ok", F.lit(False))).alias("ready"))
     return ready.filter("ready").orderBy(order, step).limit(1).select(step)
+
+
+def semantic_gate(prompts: DataFrame, condition: str, signature: Sequence[str], correct: str, margin: str, conditions: Sequence[str], margin_conditions: Sequence[str] | None = None, least: float = 0.99) -> DataFrame:
+    """Each condition's accuracy and mean margin over unique prompts, and whether it passes: accuracy of at least `least`, margin above 0.
+
+    A prompt whose diagnostics differ between its rows raises. margin_conditions: where the margin decides; everywhere that it exists, if
+    not given. Conditions outside `conditions` are left out; those without a prompt fail.
+    """
+    unique = distinct_prompts(prompts.filter(F.col(condition).isin(*conditions)), [condition, *signature], [correct, margin])
+    cells = unique.groupBy(condition).agg(F.count("*").alias("prompts"), F.avg(F.col(correct).cast("double")).alias("accuracy"), F.avg(margin).alias("margin"))
+    asked = prompts.sparkSession.createDataFrame([(c,) for c in conditions], f"{condition} string")
+    decides = F.lit(True) if margin_conditions is None else F.col(condition).isin(*margin_conditions)
+    return cell_gate(asked.join(cells, condition, "left"), {"accuracy_ok": F.col("accuracy") >= least, "margin_ok": F.when(decides & F.col("margin").isNotNull(), F.col("margin") > 0).otherwise(True)})
+
+
+def deep_chain_gate(cells: DataFrame, depth: str, accuracies: Sequence[str], least: float = 0.98, per_depth: int = 8, extra: int = 3) -> DataFrame:
+    """Each depth by itself: it has per_depth * (depth + extra) cells, and all of them reach every accuracy."""
+    worst = [F.min(a).alias(a) for a in accuracies]
+    found = cells.groupBy(depth).agg(F.count("*").alias("cells"), *worst)
+    return cell_gate(found, {"cells_ok": F.col("cells") == per_depth * (F.col(depth) + extra)} | {f"{a}_ok": F.col(a) >= least for a in accuracies})
+
+
+def task_gate(rows: DataFrame, task: str, accuracy: str, tasks: Sequence[str], least: float = 0.97, forbidden: Sequence[str] = ()) -> DataFrame:
+    """Each task's pooled accuracy and decision; a task without rows fails. Rows that carry causal fields raise."""
+    forbidden_columns(rows, forbidden)
+    asked = rows.sparkSession.createDataFrame([(t,) for t in tasks], f"{task} string")
+    found = rows.groupBy(task).agg(F.count("*").alias("n"), F.avg(F.col(accuracy).cast("double")).alias("accuracy"))
+    return cell_gate(asked.join(found, task, "left"), {"accuracy_ok": F.col("accuracy") >= least})
+
+
+def pair_of_thresholds(rows: DataFrame, kind: str, kinds: tuple[str, str], accuracy: str, least: tuple[float, float]) -> DataFrame:
+    """One row: the accuracies of two kinds of rows (direct and overwrite) and whether each reaches its threshold."""
+    mean = lambda k: F.avg(F.when(F.col(kind) == k, F.col(accuracy).cast("double")))
+    found = rows.agg(*(mean(k).alias(f"{k}_accuracy") for k in kinds))
+    return cell_gate(found, {f"{k}_ok": F.col(f"{k}_accuracy") >= t for k, t in zip(kinds, least, strict=True)})

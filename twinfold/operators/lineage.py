@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import platform
 from collections.abc import Sequence
+from importlib import metadata
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.digests import native_hash
+from ..functions.digests import canonical, native_hash
+from ..functions.text import utc_stamp
 from .checks import ValidationError
 
 
@@ -45,3 +48,23 @@ def verify_stages(stages: DataFrame) -> None:
     broken = a.join(b, F.col("b.ord") == F.col("a.ord") + 1).filter(~F.col("b.input_sha256").eqNullSafe(F.col("a.output_sha256"))).select("b.name").orderBy("b.ord").collect()
     if broken:
         raise ValidationError("broken lineage at " + ", ".join(r["name"] for r in broken))
+
+
+def code_hash(spark: SparkSession, paths: Sequence[str]) -> str:
+    """One digest of a list of files: of their canonical {path: sha256} document. Paths are as given."""
+    found = {p: file_digests(spark, p).first()["sha256"] for p in paths}  # a project's few files
+    return canonical(dict(sorted(found.items())))
+
+
+def provenance(spark: SparkSession, config: dict, dataset: str | None = None, packages: Sequence[str] = ("pyspark", "numpy", "pandas", "pyarrow")) -> dict:
+    """What a result was made with: time, settings, the dataset's digest, seed, versions and the session's cluster."""
+    versions = {}
+    for p in packages:
+        try:
+            versions[p] = metadata.version(p)
+        except metadata.PackageNotFoundError:
+            versions[p] = None
+    return {
+        "timestamp_utc": spark.range(1).select(utc_stamp().alias("t")).first()["t"], "config": config, "dataset_sha256": file_digests(spark, dataset).first()["sha256"] if dataset else None, "seed": config.get("seed"),
+        "packages": versions, "python": platform.python_version(), "spark": spark.version, "master": spark.sparkContext.master,
+    }

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scores import js_divergence, softmax
+
 
 def paired(df: DataFrame, keys: Sequence[str], member: str, values: Sequence[str]) -> DataFrame:
     """One row per key with value_0 and value_1 of each value column, and n_members."""
@@ -70,3 +72,28 @@ def mean_of_directions(df: DataFrame, keys: Sequence[str], direction: str, value
     """Mean over rows within a direction, then over the two directions; null unless both are there."""
     inner = df.groupBy(*keys, direction).agg(F.avg(value).alias("__x"))
     return inner.groupBy(*keys).agg(F.when(F.count("__x") == 2, F.avg("__x")).alias(value))
+
+
+def local_relevance(baseline: Column, edited: Column, baseline_other: Column, edited_other: Column, source: Column, replacement: Column) -> Column:
+    """R_easy_local: the edit's identity transfer on the easy question about its own entity, less that on the other entity's."""
+    return identity_transfer(baseline, edited, source, replacement)["effect"] - identity_transfer(baseline_other, edited_other, source, replacement)["effect"]
+
+
+def accuracy_delta(correct_0: Column, correct_1: Column) -> Column:
+    """1, 0 or -1: right at member 0 but not 1, no change, the reverse."""
+    return correct_0.cast("int") - correct_1.cast("int")
+
+
+def fixed_competitor_margin(baseline: Column, edited: Column, answer: Column) -> dict[str, Column]:
+    """Decision margins of arrays of scores: each against its own strongest competitor, and the edited one against the baseline's (first on ties)."""
+    others = lambda v: F.transform(v, lambda x, i: F.when(i != answer, x))
+    best = lambda v: F.array_max(F.filter(others(v), lambda x: x.isNotNull()))
+    first = F.array_position(others(baseline), best(baseline)).cast("int") - 1
+    at = F.get(edited, answer)
+    return {"margin_before": F.get(baseline, answer) - best(baseline), "margin_after": at - best(edited), "margin_fixed": at - F.get(edited, first)}
+
+
+def js_change(baseline: Column, edited: Column, first: Column, second: Column) -> dict[str, Column]:
+    """Divergence between two score arrays' distributions, and the changes of two of their probabilities (0-based places)."""
+    p, q = softmax(baseline), softmax(edited)
+    return {"js": js_divergence(p, q), "delta_first": F.get(q, first) - F.get(p, first), "delta_second": F.get(q, second) - F.get(p, second)}

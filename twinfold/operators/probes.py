@@ -5,51 +5,102 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .checks import ValidationError
+from .ordered import sums_before
+from .predict import grouped_folds
+
 
 def accuracy(df: DataFrame, label: str) -> float:
     return df.agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0] or 0.0
 
 
-def probe_layer(df: DataFrame, vector: str, label: str, split: str, strengths: Sequence[float] = (0.01, 0.1, 1.0, 10.0), seed: int = 0) -> dict:
-    """Strength (the first best on `validation`), accuracy on `test` of a fit on `train`, the same with shuffled labels, and chance.
-
-    The shuffled null permutes labels by a seeded hash within the training split, so it is the same at any partitioning.
-    """
-    rows = df.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"), F.col(label).cast("double").alias("label"), F.col(split).alias("split"), F.xxhash64(F.col(vector).cast("string"), F.lit(seed)).alias("__h")).persist()
-    train, validation, test = (rows.filter(F.col("split") == s) for s in ("train", "validation", "test"))
+def standardized(df: DataFrame, train: DataFrame) -> DataFrame:
+    """df's features less the training rows' means, by their deviations (of the population)."""
     n = train.count()
-    if not n or train.select("label").distinct().count() < 2:
-        rows.unpersist()
-        return {"strength": None, "accuracy": None, "shuffled": None, "chance": None, "n_train": n}
+    model = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(train)
+    found = model.transform(df).drop("raw")
+    # Spark divides by the sample's deviation
+    wide = ElementwiseProduct(scalingVec=Vectors.dense([(n / max(1, n - 1)) ** 0.5] * len(model.mean)), inputCol="scaled", outputCol="features")
+    return wide.transform(found.withColumnRenamed("features", "scaled")).drop("scaled")
+
+
+def fit(data: DataFrame, strength: float, n: int):
+    """Multinomial regression with a penalty of |w|^2 / (2 strength) on the summed loss."""
+    return LogisticRegression(regParam=1 / (strength * n), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-8).fit(data.select("features", "label"))
+
+
+def permuted(train: DataFrame, seed: int) -> DataFrame:
+    """train with its labels permuted: a row takes the label of the row whose rank by one seeded hash is its own by another."""
+    a = sums_before(train.withColumn("__h", F.md5(F.concat_ws(":", "__id", F.lit(seed)))), [], F.substring("__h", 1, 2), [F.col("__h"), F.col("__id")], {"__r": F.lit(1)})
+    b = sums_before(train.withColumn("__h", F.md5(F.concat_ws(":", F.lit(seed), "__id"))), [], F.substring("__h", 1, 2), [F.col("__h"), F.col("__id")], {"__r": F.lit(1)})
+    return a.drop("label", "__h").join(b.select("__r", "label"), "__r").drop("__r")
 
-    def fit(data: DataFrame, c: float):
-        return LogisticRegression(regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-8).fit(data.select("features", "label"))
 
-    best, strength = -1.0, None
+def probe_layer(df: DataFrame, vector: str, label: str, split: str, strengths: Sequence[float] = (0.01, 0.1, 1.0, 10.0), seed: int = 0, key: str | None = None) -> dict:
+    """Strength (the first best on `validation`), accuracy on `test` of a fit on `train`, the same with permuted labels, and chance.
+
+    Features are standardised by the training rows. The null permutes the training labels by seeded hashes of `key` (of the vector, if not
+    given), so it is the same at any partitioning.
+    """
+    own = F.col(key).cast("string") if key else F.md5(F.col(vector).cast("string"))
+    raw = df.select(array_to_vector(F.col(vector).cast("array<double>")).alias("raw"), F.col(label).cast("double").alias("label"), F.col(split).alias("split"), own.alias("__id"))
+    n = raw.filter("split = 'train'").count()
+    prior = raw.filter("split = 'train'").groupBy("label").count().collect()
+    if not n or len(prior) < 2:
+        return {"strength": None, "accuracy": None, "shuffled": None, "chance": None, "n_train": n}
+    rows = standardized(raw, raw.filter("split = 'train'")).persist()
+    train, validation, test = (rows.filter(F.col("split") == s) for s in ("train", "validation", "test"))
+    best, strength, kept = -1.0, None, None
     for c in strengths:
-        found = accuracy(fit(train, c).transform(validation), "label")
+        model = fit(train, c, n)
+        found = accuracy(model.transform(validation), "label")
         if found > best:
-            best, strength = found, c
-    # the null: each row takes the label that stands where its hash ranks
-    prior = train.groupBy("label").count().orderBy("label").collect()
-    edges, at = [], 0
-    for r in prior:
-        at += r["count"]
-        edges.append((at / n, r["label"]))
-    draw = F.pmod("__h", F.lit(1 << 20)) / float(1 << 20)
-    null_label = F.lit(edges[-1][1])
-    for edge, value in reversed(edges[:-1]):
-        null_label = F.when(draw < edge, value).otherwise(null_label)
-    shuffled = train.withColumn("label", null_label)
-    out = {"strength": strength, "accuracy": accuracy(fit(train, strength).transform(test), "label"), "shuffled": accuracy(fit(shuffled, strength).transform(test), "label"), "chance": max(r["count"] for r in prior) / n, "n_train": n}
+            best, strength, kept = found, c, model
+    null = fit(permuted(train, seed), strength, n)
+    out = {"strength": strength, "accuracy": accuracy(kept.transform(test), "label"), "shuffled": accuracy(null.transform(test), "label"), "chance": max(r["count"] for r in prior) / n, "n_train": n}
     rows.unpersist()
     return out
 
 
+def grouped_probes(df: DataFrame, keys: Sequence[str], cells: Sequence[tuple], vector: str, label: str, group: str, folds: int = 5, strength: float = 1.0) -> DataFrame:
+    """One row per cell (a protocol's few query x slot x layer combinations): out-of-fold accuracy, balanced accuracy and log loss.
+
+    Whole groups are dealt to folds; each fold is predicted by a fit on the standardised rows of the others. A training fold that lacks a
+    class raises.
+    """
+    fold_of = grouped_folds(df, group, folds).persist()
+    out = []
+    for cell in cells:
+        here = df
+        for k, v in zip(keys, cell, strict=True):
+            here = here.filter(F.col(k) == v)
+        names = sorted(r[0] for r in here.select(label).distinct().collect())  # the candidates
+        place = F.array_position(F.array(*map(F.lit, names)), F.col(label)) - 1
+        rows = here.join(fold_of, group).select(array_to_vector(F.col(vector).cast("array<double>")).alias("raw"), place.cast("double").alias("label"), "fold").persist()
+        predicted = None
+        for f in range(folds):
+            train = rows.filter(F.col("fold") != f)
+            if train.select("label").distinct().count() < len(names):
+                raise ValidationError(f"a training fold misses a class at {cell}")
+            both = standardized(rows, train)
+            found = fit(both.filter(F.col("fold") != f), strength, train.count()).transform(both.filter(F.col("fold") == f)).select("label", "prediction", vector_to_array("probability").alias("p"))
+            predicted = found if predicted is None else predicted.unionByName(found)
+        hit = (F.col("prediction") == F.col("label")).cast("double")
+        per = predicted.groupBy("label").agg(F.count("*").alias("n"), F.sum(hit).alias("hits"), F.sum(-F.log(F.greatest(F.lit(1e-15), F.get("p", F.col("label").cast("int"))))).alias("loss"))
+        r = per.agg(F.sum("n").alias("n"), (F.sum("hits") / F.sum("n")).alias("accuracy"), F.avg(F.col("hits") / F.col("n")).alias("balanced"), (F.sum("loss") / F.sum("n")).alias("loss")).first()
+        out.append((*cell, r["n"], r["accuracy"], r["balanced"], r["loss"]))
+        rows.unpersist()
+    fold_of.unpersist()
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    return df.sparkSession.createDataFrame(out, f"{kinds}, n long, accuracy double, balanced_accuracy double, log_loss double")
+
+
 def probe_curve(df: DataFrame, layer: str, layers: Sequence[int], vector: str, label: str, split: str, **options) -> DataFrame:
     """One row per layer (a protocol's few layers): see probe_layer."""
     rows = [(k, *(f(x) if x is not None else None for f, x in zip((float, float, float, float, int), probe_layer(df.filter(F.col(layer) == k), vector, label, split, **options).values(), strict=True))) for k in layers]

@@ -10,9 +10,12 @@ from ..operators import pairs as pair_ops
 from .base import candidates, cells, families, family_pairs, pairs, query, r6, table, turns
 
 
-@query("SELECT history, condition, round(effect, 6) AS effect FROM pairs", uses="cells pairs")
+@query("SELECT history, condition, round(effect, 6) AS effect, round(-effect, 6) AS shift FROM pairs", uses="cells pairs")
 def pair_decision_shift(spark: SparkSession, sf: str) -> DataFrame:
-    return pairs(spark, sf).select("history", "condition", r6("effect", "effect"))
+    """effect: edited less baseline. shift: how much more a baseline leans to the wrong action, whose score the pair changes (the correct one's stays 0)."""
+    p = pair_ops.paired(cells(spark, sf), ["history", "condition"], "member", ["score"])
+    lean = lambda m: F.create_map(F.lit("wrong"), F.col(f"score_{m}"), F.lit("correct"), F.lit(0.0))
+    return p.select("history", "condition", r6(F.col("score_1") - F.col("score_0"), "effect"), r6(pair_ops.decision_shift(lean(0), lean(1), F.lit("wrong"), F.lit("correct")), "shift"))
 
 
 @query(
@@ -237,7 +240,8 @@ def paired_effect_difference(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT c_custkey, n_name, r_name, round(c_acctbal, 2) AS c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def history_metadata_lookup(spark: SparkSession, sf: str) -> DataFrame:
     nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
-    return table(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("c_custkey", "n_name", "r_name", F.round("c_acctbal", 2).alias("c_acctbal"))
+    named = table(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return joins.metadata_of(named, "c_custkey", ["n_name", "r_name", "c_acctbal"]).withColumn("c_acctbal", F.round("c_acctbal", 2))
 
 
 @query(

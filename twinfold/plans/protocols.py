@@ -134,11 +134,11 @@ def mean_of_directions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def probe_curve(spark: SparkSession, sf: str) -> DataFrame:
-    """Two slices of the embeddings as layers; splits by md5 of the id."""
+    """Four slices of the embeddings, all of their numbers, as layers; splits by md5 of the id."""
     rows = table(spark, sf, "embeddings").select("vec_id", "label", "embedding", predict.hashed_fold(F.col("vec_id"), 10, "probe").alias("fold"))
     split = F.when(F.col("fold") < 6, "train").when(F.col("fold") < 8, "validation").otherwise("test")
-    long = rows.select("vec_id", "label", split.alias("split"), F.explode(F.sequence(F.lit(0), F.lit(1))).alias("layer"), "embedding").withColumn("vector", F.slice("embedding", F.col("layer") * 16 + 1, F.lit(16)))
-    return probes.probe_curve(long, "layer", [0, 1], "vector", "label", "split", strengths=(0.1, 10.0))
+    long = rows.select("vec_id", "label", split.alias("split"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("layer"), "embedding").withColumn("vector", F.slice("embedding", F.col("layer") * 16 + 1, F.lit(16)))
+    return probes.probe_curve(long, "layer", [0, 1, 2, 3], "vector", "label", "split", key="vec_id")
 
 
 @query("SELECT vec_id, CASE WHEN answer = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_1, CASE WHEN answer = 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_2 FROM candidates", uses="candidates")

@@ -21,7 +21,7 @@ def two_level_rate(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT lang, source, text_id, n_chars FROM (SELECT lang, source, md5(text) AS text_id, max(n_chars) AS n_chars FROM documents GROUP BY ALL)")
 def unique_prompt_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("lang", "source", F.md5("text").alias("text_id"), "n_chars")
-    return docs.groupBy("lang", "source", "text_id").agg(F.max("n_chars").alias("n_chars"))
+    return grouping.distinct_prompts(docs, ["lang", "source", "text_id"], ["n_chars"])
 
 
 @query(

@@ -8,11 +8,15 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import stripped
+from ..operators.ordered import sums_before, with_bucket
+
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str | T.StructType) -> DataFrame:
     """Records of JSON lines. Blank lines are skipped; a malformed or truncated one raises."""
@@ -110,28 +114,42 @@ def recover_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) ->
 
 
 def flatten_json(df: DataFrame, text: str, keep: Sequence[str] = ()) -> DataFrame:
-    """(keep, path, value) of all numbers in JSON texts, as dotted paths."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-
-    def walk(x: object, path: str) -> Iterator[tuple[str, float]]:
-        if isinstance(x, dict):
-            for k, v in x.items():
-                yield from walk(v, f"{path}.{k}" if path else k)
-        elif isinstance(x, list):
-            for i, v in enumerate(x):
-                yield from walk(v, f"{path}[{i}]")
-        elif isinstance(x, (int, float)) and not isinstance(x, bool):
-            yield path, float(x)
+    """(keep, path, value) of all numbers in JSON texts, as dotted paths; malformed texts raise, null ones have none.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(*r[:-1], p, v) for r in b.itertuples(index=False) for p, v in (walk(json.loads(r[-1]), "") if r[-1] is not None else ())]
-            yield pd.DataFrame(rows, columns=[*keep, "path", "value"])
-
-    schema = T.StructType([*df.select(*keep).schema.fields, T.StructField("path", T.StringType()), T.StructField("value", T.DoubleType())])
-    return df.select(*keep, text).mapInPandas(run, schema)
+    Texts become variants, which are exploded level by level as deep as any of them goes.
+    """
+    spark = df.sparkSession
+    level = df.select(*keep, F.lit("").alias("__path"), F.parse_json(text).alias("__v"))
+    kind = F.regexp_extract(F.schema_of_variant("__v"), r"^\w+", 0)
+    number = F.try_variant_get("__v", "$", "double")
+    numeric = kind.isin("BIGINT", "DOUBLE", "DECIMAL", "FLOAT")
+    nested = kind.isin("OBJECT", "ARRAY")
+    found = [level.filter(numeric).select(*keep, F.col("__path").alias("path"), number.alias("value"))]
+    while True:
+        level = level.filter(nested)
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        rows = level.lateralJoin(spark.tvf.variant_explode(F.col("__v").outer()))
+        path = F.when(F.col("key").isNull(), F.concat("__path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(F.col("__path") == "", F.col("key")).otherwise(F.concat_ws(".", "__path", "key"))
+        level = rows.select(*keep, path.alias("__path"), F.col("value").alias("__v"))
+        found.append(level.filter(numeric).select(*keep, F.col("__path").alias("path"), number.alias("value")))
+
+
+def plan_blocks(lines: DataFrame, order: str = "ord", text: str = "line", fields: Sequence[str] = ("status", "owner", "claimed_at", "deps", "source", "done-when")) -> DataFrame:
+    """(id, ord, each field, deps as an array) of a Markdown plan: blocks begin with "### id", fields are "- name: value" lines; the last of a name counts.
+
+    Lines are numbered by `order`; a line belongs to the last header before it, found by a running count over ranges of the order.
+    """
+    header = F.regexp_extract(text, r"^### +(\S+)\b", 1)
+    field = [F.regexp_extract(text, r"^- (" + "|".join(fields) + r"):\s*(.*)$", i) for i in (1, 2)]
+    marked = lines.select(order, F.nullif(header, F.lit("")).alias("id"), F.nullif(field[0], F.lit("")).alias("field"), stripped(field[1]).alias("value"))
+    placed = with_bucket(marked.filter("id is not null or field is not null"), [], order, "__place")
+    counted = sums_before(placed, [], F.col("__place"), [F.col(order)], {"__before": F.col("id").isNotNull().cast("long")})
+    block = F.col("__before") + F.col("id").isNotNull().cast("long")
+    last = lambda f: F.max_by(F.when(F.col("field") == f, F.col("value")), F.when(F.col("field") == f, F.col(order)))
+    found = counted.withColumn("__block", block).filter("__block > 0").groupBy("__block").agg(F.max("id").alias("id"), F.min(order).alias(order), *(last(f).alias(f) for f in fields))
+    deps = F.filter(F.split(F.coalesce("deps", F.lit("")), r"[,\s]+"), lambda d: ~d.isin("", "—", "-"))
+    return found.drop("__block").withColumn("deps", deps)
 
 
 def to_markdown(summary: DataFrame, decimals: int = 3) -> str:
@@ -145,6 +163,8 @@ def to_latex(summary: DataFrame, decimals: int = 3) -> str:
 
 
 def _table(summary: DataFrame, decimals: int, start: str, between: str, end: str, rule: str) -> str:
-    show = lambda x: "" if x is None else f"{x:.{decimals}f}" if isinstance(x, float) else str(x)
+    marks = {"|": "\\|"} if start else {c: "\\" + c for c in "&%$#_{}"}  # what would end a cell or begin a command
+    plain = str.maketrans(marks | {"\n": " "})
+    show = lambda x: "" if x is None else f"{x:.{decimals}f}" if isinstance(x, float) else str(x).translate(plain)
     head, *rows = [start + between.join(map(show, r)) + end for r in [summary.columns, *summary.collect()]]
     return "\n".join([head, rule, *rows])

@@ -1,7 +1,8 @@
 """Scores arrive as JSON-lines files and are appended once per example: the streaming form of a resumable scoring loop.
 
-Exactly-once comes from the query's checkpoint and from a merge in each micro-batch: records whose id has been appended, or that the
-dataset doesn't have, are not appended again. A run is complete when as many ids are there as the dataset has.
+Exactly-once comes from the query's checkpoint and from a merge in each micro-batch, so no state grows with the stream: records whose id
+has been appended, that repeat one of their batch or that the dataset doesn't have are set aside with the reason, or stop the query. A run
+is complete when as many ids are there as the dataset has.
 """
 
 from __future__ import annotations
@@ -9,32 +10,55 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.checks import Check, enforce
+from ..operators.lineage import with_checksum
+
 Scorer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
-def stream_scores(spark: SparkSession, folder: str, schema: str, key: str = "example_id") -> DataFrame:
-    """The stream of score records, the first of each id."""
-    return spark.readStream.schema(schema).json(folder).dropDuplicates([key])
+def stream_scores(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The stream of score records."""
+    return spark.readStream.schema(schema).json(folder)
+
+
+def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:  # the first batch finds no table
+        if not any(x in str(e) for x in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")):
+            raise
+        return None
+
 
+def append_once(spark: SparkSession, folder: str, schema: str, dataset: DataFrame, out: str, checkpoint: str, key: str = "example_id", strict: bool = False) -> StreamingQuery:
+    """Start a query that appends known, new records to `out` (Parquet, with a checksum for each); it stops when the folder's files are read.
 
-def append_once(spark: SparkSession, folder: str, schema: str, dataset: DataFrame, out: str, checkpoint: str, key: str = "example_id") -> StreamingQuery:
-    """Start a query that appends known, new records to `out` (Parquet); it stops when the folder's files are read."""
+    Other records go to `<out>_rejected` with their reason (unknown or repeated); if `strict`, they stop the query before the batch is appended.
+    Of the sink only the key column is read.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
-        known = batch.join(dataset.select(key).distinct(), key, "left_semi")
-        try:
-            done = spark.read.parquet(out).select(key)
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            done = known.select(key).limit(0)
-        known.join(done, key, "left_anti").write.mode("append").parquet(out)
-
-    return stream_scores(spark, folder, schema, key).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        done = _read_or_none(spark, out)
+        known = dataset.select(key).distinct().withColumn("__known", F.lit(True))
+        old = (done.select(key) if done is not None else batch.select(key).limit(0)).distinct().withColumn("__done", F.lit(True))
+        in_batch = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*batch.columns)))
+        judged = batch.withColumn("__n", in_batch).join(known, key, "left").join(old, key, "left")
+        reason = F.when(F.col("__known").isNull(), "unknown").when(F.col("__done").isNotNull() | (F.col("__n") > 1), "repeated")
+        judged = judged.select(*batch.columns, reason.alias("reason")).persist()
+        bad = judged.filter("reason is not null")
+        if strict:
+            enforce([Check("unknown_or_repeated", bad)])
+        # a batch that is run again replaces its rejects and finds its records done: neither is there twice
+        bad.write.mode("overwrite").parquet(f"{out}_rejected/batch={number}")
+        with_checksum(judged.filter("reason is null").drop("reason")).write.mode("append").parquet(out)
+        judged.unpersist()
+
+    return stream_scores(spark, folder, schema).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def is_complete(scores: DataFrame, dataset: DataFrame, key: str = "example_id") -> bool:
