@@ -196,6 +196,13 @@ def test_mixing_levels_and_edges(spark, odd, none, monkeypatch):
     assert words == got.taken.sum()
 
 
+def test_mix_carries_columns_of_any_name(spark):
+    rows = [(i % 3 or None, "one two three", "s", 777, "mine", i) for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, number long, copies string, of_row long")
+    got = mixing.apply_mix(df).collect()
+    assert sum(3 for _ in got) == 27 and {(r.number, r.copies) for r in got} == {(777, "mine")} and {r.of_row for r in got} == set(range(9))
+
+
 # ---- 3 media
 
 
@@ -352,6 +359,41 @@ def test_near_duplicate_edges(odd, none):
     assert kept.columns == odd.columns and kept.filter("doc_id = 5").count() == 0 and kept.filter("doc_id is null").count() == 1
 
 
+def test_copies_without_an_id_and_repeated_ids(spark):
+    """Null-id copies leave one row, an id may have several texts, and of repeated rows one stays; helper names may be taken."""
+    a, b = "one two three four five six seven", "another text of seven words or so"
+    rows = [(None, a), (None, a), (7, b), (7, a + " eight nine"), (7, b), (8, ""), (8, ""), (None, None)]
+    df = spark.createDataFrame([(i, t, "kept", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, text_md5 string, gone_id long")
+    got = sorted(((r.doc_id, r.text) for r in neardup.deduplicated(df, 3, 85).collect()), key=str)
+    assert got == sorted([(None, a), (7, b), (7, a + " eight nine"), (8, ""), (8, ""), (None, None)], key=str)
+    assert {r.component_id for r in neardup.near_duplicates(df, 3, 85).collect()} == {None, 7, 8}
+
+
+def test_texts_hashed_in_parts(monkeypatch):
+    texts = [b"", b"a b", b"word " * 30, b"x" * 500 + b"  y " + b"z" * 90, b" lead", b"\n\t", b"q" * 300]
+    whole = neardup.shingle_sets(texts, 2)
+    monkeypatch.setattr(neardup, "PART", 40)
+    neardup._powers.cache_clear()
+    parts = neardup.shingle_sets(texts, 2)
+    neardup._powers.cache_clear()
+    assert all(np.array_equal(x, y) for x, y in zip(whole, parts, strict=True))
+
+
+def test_links_are_found_at_the_threshold(spark):
+    """Recall of links just above the threshold over many pairs of documents."""
+    rng, rows = np.random.default_rng(8), []
+    for i in range(300):
+        w = [f"w{x}" for x in rng.integers(0, 10**6, 103)]
+        other = list(w)
+        for k in rng.choice(np.arange(0, 99, 6), 3, replace=False):
+            other[k + 2] = f"e{i}_{k}"  # three shingles go, three come: 98 of 104 are shared in the end
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(other))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows, 3, 83)
+    assert sum(want[2 * i + 1][1] == 2 * i for i in range(300)) > 250
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, 3, 83).collect()} == want
+
+
 def test_estimates_are_near_the_truth():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
@@ -523,6 +565,17 @@ def test_quality_parts_junk_from_clean(spark, tiny, docs):
     assert 1 - pdf[pdf.quality == 0].keep.mean() > 0.5  # junk that repeats common words reads well to an n-gram model
 
 
+def test_quality_keeps_odd_rows(odd, none, no_labels, spark):
+    key = lambda r: str(tuple(r))
+    assert sorted(map(key, quality.kept(odd, no_labels).collect())) == sorted(map(key, odd.collect()))  # no trusted text: all is kept
+    labels = spark.createDataFrame([(1, 1, 0), (4, 1, 0), (5, 0, 1)], "doc_id long, quality int, toxic int")
+    kept = quality.kept(odd, labels)
+    assert kept.columns == odd.columns and {2, 3, 8} <= {r.doc_id for r in kept.collect()} and quality.kept(none, labels).count() == 0
+    junk = docs_frame(spark, [(1, "the cat sat on the mat and the dog ran " * 20, "en", "s"), (9, "|$|$ " * 300, "en", "s"), (9, "the cat sat on the mat " * 9, "en", "s"), (9, "|$|$ " * 300, "de", "s")])
+    left = sorted((r.doc_id, r.lang, r.text[:3]) for r in quality.kept(junk, spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")).collect())
+    assert left == [(1, "en", "the"), (9, "en", "the")]  # one id, several texts and languages: each row is judged by itself
+
+
 def test_model_edges(odd, none, no_labels, spark):
     assert {r.keep for r in quality.classified(odd, no_labels).collect()} == {True}
     labels = spark.createDataFrame([(4, 1, 0), (None, 1, 0), (1, 1, None), (1, 0, 0)], "doc_id long, quality int, toxic int")

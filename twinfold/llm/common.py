@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
 import re
-import shutil
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -16,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.pinning import pinned, shared_checkpoints
+
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "WORD", "as_bytes", "chunks", "fresh", "hint_small", "mapped", "mix64", "pinned", "shared_checkpoints", "table", "unsigned"]
+
 #: ASCII white space, the complement of the word class [^\x20\x09-\x0D]; bytes.split() cuts at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -23,29 +24,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
 
 
-def shared_checkpoints(spark: SparkSession) -> None:
-    """Make sure that checkpoint() has a folder: the cluster's spark.checkpoint.dir, or on a single machine a temporary one.
-
-    On a cluster a folder must be named: a machine's own folder can't be read by the others.
-    """
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="spark-checkpoints-")
-        atexit.register(shutil.rmtree, where, True)
-    sc.setCheckpointDir(where)
-
-
-def pinned(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once, in the shared checkpoint folder: lost executors cannot take them along."""
-    shared_checkpoints(df.sparkSession)
-    return df.checkpoint()
-
-
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
     """df.mapInArrow(run, schema) with bounded memory: small batches, and workers that give back what a task leaves free.
 

@@ -6,8 +6,10 @@ them has none or a whole copy; the move's odds keep each document's expectation,
 source (salted, about LEAF documents each) leave at most one fractional document; these residuals meet in groups of FAN, level by
 level, until one per source is left, which is rounded by a coin. So a source misses its target by less than one document.
 
-Nulls: a null source is a source of its own, last in order; null text has size 0 and takes nothing. Repeated rows are mixed one by one.
-Seeds come from the source, level and group, and ties are ordered, so reruns agree. Empty tables give empty results.
+Nulls: a null source is a source of its own, last in order; null text has size 0 and takes nothing. Repeated rows and ids are mixed one by
+one: rows are known by their number in the table. Seeds come from the source, level and group, and ties are ordered, so reruns over a table
+agree. Very long texts are ordinary rows of many words. Only the named columns are read; all others are carried along. Empty tables give
+empty results.
 """
 
 from __future__ import annotations
@@ -16,10 +18,11 @@ import random
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, hint_small, pinned, unsigned
+from ..operators.ordered import sums_before, with_bucket
+from .common import WORD, fresh, hint_small, pinned, unsigned
 
 LEAF, FAN, MOST = 2000, 200, 3.0
 _LEVEL = "row_no long, doc_id {id}, size long, source_no int, whole int, p double, open boolean"
@@ -29,20 +32,23 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), most:
     """source, source_no (by code point, null last), source_size and target for a table of (source, size) rows.
 
     Targets share all words by weight, repeated over the sources; one above `most` times its source stops there and the excess is shared
-    again. In the order of most * source_size / weight the stopped sources come first, so one cumulative pass finds them. The table has
-    one row per source.
+    again. In the order of most * source_size / weight the stopped sources come first, so running sums find them. Numbers and sums go by
+    buckets, so sources may be many (domains, say).
     """
-    one = Window.partitionBy(F.lit(0))
     base = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    numbered = base.withColumn("source_no", F.row_number().over(one.orderBy(F.col("source").asc_nulls_last())) - 1)
-    weighted = numbered.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), F.col("source_no") % len(weights) + 1)).withColumn("cap", F.col("source_size") * F.lit(most))
-    by = one.orderBy((F.col("cap") / F.col("w")).asc(), "source_no")
-    ahead = by.rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.sum("source_size").over(one) - F.coalesce(F.sum("cap").over(ahead), F.lit(0.0))) / (F.sum("w").over(one) - F.coalesce(F.sum("w").over(ahead), F.lit(0.0)))
+    named = with_bucket(base.filter("source is not null"), [], "source", "place")
+    numbered = sums_before(named, [], F.col("place"), [F.col("source")], {"source_no": F.lit(1)}).drop("place")
+    n = base.agg(F.count("source").alias("source_no"))  # one row
+    numbered = numbered.unionByName(base.filter("source is null").crossJoin(F.broadcast(n))).withColumn("source_no", F.col("source_no").cast("int"))
+    weighted = numbered.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), F.col("source_no") % len(weights) + 1)).withColumn("cap", F.col("source_size") * F.lit(most)).withColumn("ratio", F.col("cap") / F.col("w"))
+    ahead = sums_before(with_bucket(weighted, [], "ratio", "place"), [], F.col("place"), [F.col("ratio"), F.col("source_no")], {"cap_ahead": F.col("cap"), "w_ahead": F.col("w")})
+    whole = weighted.agg(F.sum("source_size").alias("all_size"), F.sum("w").alias("all_w"))  # one row
+    level = (F.col("all_size") - F.col("cap_ahead")) / (F.col("all_w") - F.col("w_ahead"))
     # a source stops if, with all before it stopped, its share by weight is still above its cap; from the first that doesn't, all share alike
-    found = weighted.withColumn("level", level).withColumn("stops", F.col("level") * F.col("w") > F.col("cap"))
-    free = F.min(F.when(~F.col("stops"), F.struct(F.col("cap") / F.col("w"), "source_no", "level"))).over(one)["level"]
-    return found.withColumn("target", F.coalesce(F.least(F.col("cap"), free * F.col("w")), F.col("cap"))).select("source", "source_no", "source_size", "n_docs", "target")
+    found = ahead.crossJoin(F.broadcast(whole)).withColumn("level", level).withColumn("stops", F.col("level") * F.col("w") > F.col("cap"))
+    first = found.agg(F.min(F.when(~F.col("stops"), F.struct("ratio", "source_no", "level")))["level"].alias("free"))  # one row
+    target = F.coalesce(F.least(F.col("cap"), F.col("free") * F.col("w")), F.col("cap"))
+    return found.crossJoin(F.broadcast(first)).select("source", "source_no", "source_size", "n_docs", target.alias("target"))
 
 
 def round_group(rows: pd.DataFrame, seed: int, last: bool) -> pd.DataFrame:
@@ -70,7 +76,7 @@ def round_group(rows: pd.DataFrame, seed: int, last: bool) -> pd.DataFrame:
 
 
 def mix(documents: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), most: float = MOST, seed: str = "mix", text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """doc_id, row_no (the row's number where ids repeat), source, size, source_size, target and copies (whole) of each row."""
+    """doc_id, row_no (the row's number in the table), source, size, source_size, target and copies (whole) of each row."""
     spark = documents.sparkSession
     sized = documents.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     sized = pinned(sized.withColumn("row_no", F.monotonically_increasing_id()))  # pinned: the numbers stay
@@ -85,7 +91,7 @@ def mix(documents: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), most:
     rows = rows.withColumn("whole", F.floor("f").cast("int")).withColumn("p", F.col("f") - F.floor("f"))
     kind = sized.schema["doc_id"].dataType.simpleString()
     schema = _LEVEL.format(id=kind)
-    leaf = F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("n_docs") / LEAF)).cast("int")
+    leaf = F.pmod(F.xxhash64("row_no"), F.ceil(F.col("n_docs") / LEAF)).cast("int")
     begin = rows.filter("p > 0").select("row_no", "doc_id", "size", "source_no", "whole", "p", leaf.alias("part"))
 
     def level(df: DataFrame, k: int, last: bool) -> DataFrame:
@@ -102,7 +108,7 @@ def mix(documents: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), most:
         if parts <= 1:
             break
         parts, k = -(-parts // FAN), k + 1
-        begin = now.filter("open").select("row_no", "doc_id", "size", "source_no", "whole", "p", F.pmod(F.xxhash64("doc_id", "size", F.lit(k)), F.lit(parts)).cast("int").alias("part"))
+        begin = now.filter("open").select("row_no", "doc_id", "size", "source_no", "whole", "p", F.pmod(F.xxhash64("row_no", F.lit(k)), F.lit(parts)).cast("int").alias("part"))
     rounded = done[0]
     for x in done[1:]:
         rounded = rounded.unionByName(x)
@@ -117,17 +123,15 @@ def mixture(documents: DataFrame) -> DataFrame:
     return mix(documents).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
-def apply_mix(documents: DataFrame, **options) -> DataFrame:
-    """The rows of documents, each as often as the mix takes it.
+def apply_mix(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """The rows of documents, each as often as the mix takes it. Columns of any name are carried along as they are.
 
-    Rows of equal id and size are told apart by their order among equals, so repeated rows are safe: equals are spread over their copies.
+    Rows are known by their number in the table, so repeated rows and ids are safe. documents is read twice and must come in the same order
+    both times (a table, or a checkpoint); a row that isn't where it was raises.
     """
-    keys = ["doc_id", "__size"]
-    taken = mix(documents, **options).groupBy("doc_id", "source", F.col("size").alias("__size")).agg(F.array_sort(F.collect_list("copies")).alias("__copies"))
-    sized = documents.withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    order = Window.partitionBy(*keys, "source").orderBy(F.xxhash64("text"), "text")
-    numbered = sized.withColumn("__k", F.row_number().over(order) - 1)
-    a, b = numbered.alias("a"), taken.alias("b")
-    on = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.__size") == F.col("b.__size"))
-    joined = a.join(b, on).select("a.*", F.get("b.__copies", F.col("a.__k")).alias("__n"))
-    return joined.filter("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*documents.columns)
+    number, copies, copy, row, i = fresh(documents.columns, "number", "copies", "copy", "of_row", "of_id")
+    mixed = pinned(mix(documents, text=text, doc_id=doc_id, **options).select(F.col("row_no").alias(row), F.col("doc_id").alias(i), F.col("copies").alias(copies)))
+    joined = documents.withColumn(number, F.monotonically_increasing_id()).join(hint_small(mixed, mixed.count(), 1_000_000), F.col(number) == F.col(row), "left")
+    same = F.col(row).isNotNull() & F.col(doc_id).eqNullSafe(F.col(i))
+    taken = joined.withColumn(copies, F.when(same, F.col(copies)).otherwise(F.raise_error(F.lit("rows came in another order than before: pass a table or a checkpoint")).cast("int")))
+    return taken.filter(F.col(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*documents.columns)

@@ -37,6 +37,7 @@ from .common import as_bytes, chunks, fresh, hint_small, mapped, mix64, pinned
 
 ROWS, K, BITS, MARGIN, MISSED = 5, 1024, 2, 4.0, 1e-5
 BLOCK, WIDE = 256, 1024  # members of a block
+COMMON = 200  # copies of a set that rows join by broadcast: there is at most one such class in so many rows
 MOST_SHINGLES = 4_000_000  # of a block, about
 PAIRS = 32_000  # compared at once
 PART = 1 << 18
@@ -421,16 +422,23 @@ def groups(documents: DataFrame, width: int, percent: int, text: str = "text", d
     source = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.unhex(F.md5(F.col(text))).alias("t"), F.col(text).alias("text"))
     rows = pinned(sketch(source, width, bands_for(percent / 100)).withColumn("row", F.monotonically_increasing_id()))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "t", "row")).alias("best")
-    found = rows.filter("d1 is not null").groupBy("d1", "d2").agg(best, F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    classes = pinned(found.select("d1", "d2", "best", F.col("best.t").alias("t"), "n", "bands").withColumn("node", F.monotonically_increasing_id()))
+    found = rows.filter("d1 is not null").groupBy("d1", "d2").agg(best, F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = pinned(found.select("d1", "d2", "best", "copies", F.col("best.t").alias("t"), "n", "bands").withColumn("node", F.monotonically_increasing_id()))
     labels = class_labels(candidate_nodes(classes, source, width), width, percent)
     linked_ = classes.select("node", "d1", "d2", "best").join(labels.withColumnRenamed("id", "node"), "node")
     heads = linked_.groupBy("label").agg(F.min("best").alias("head"))
     named = linked_.join(heads, "label").select("d1", "d2", "head")
-    every = classes.select("d1", "d2", "best").join(named, ["d1", "d2"], "left").select("d1", "d2", F.coalesce("head", "best").alias("head"))
-    joined = rows.select("doc_id", "t", "n_shingles", "row", "d1", "d2").join(every, ["d1", "d2"], "left")
-    alone = F.col("d1").isNull()
-    return joined.select("doc_id", "t", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"), (alone | (F.col("row") == F.col("head.row"))).alias("first"))
+    every = pinned(classes.select("d1", "d2", "best", "copies").join(named, ["d1", "d2"], "left").select("d1", "d2", "copies", F.coalesce("head", "best").alias("head")))
+    # rows without a shingle need no class, and classes of many copies are few: neither meet in one task
+    common = every.filter(F.col("copies") > COMMON).drop("copies")
+    common = hint_small(common, common.count())
+    own = rows.select("doc_id", "t", "n_shingles", "row", "d1", "d2")
+    alone = own.filter("d1 is null").withColumn("head", F.lit(None).cast(every.schema["head"].dataType))
+    some = own.filter("d1 is not null")
+    rest = some.join(common.select("d1", "d2"), ["d1", "d2"], "left_anti").join(every.filter(F.col("copies") <= COMMON).drop("copies"), ["d1", "d2"])
+    joined = rest.unionByName(some.join(common, ["d1", "d2"])).unionByName(alone)
+    void = F.col("d1").isNull()
+    return joined.select("doc_id", "t", "n_shingles", F.when(void, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"), (void | (F.col("row") == F.col("head.row"))).alias("first"))
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
