@@ -7,7 +7,8 @@ calibrates the softmax's temperature and the score below which a prediction is r
 BUCKETS numbers a document, and predicts all documents in their partitions; the model is BUCKETS x languages numbers.
 
 Nulls: a null text, or one without a letter, is `und` with score 0 and rejected. Rows with null id or label teach nothing. If no row can
-teach, everything is `und`. Repeated rows are predicted one by one.
+teach, everything is `und`. Repeated rows are predicted one by one, very long texts whole. Only the named columns are read; `keep` columns
+are carried along whatever they are called. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 from .common import as_bytes, mapped, mix64
 
 BUCKETS, DIM, ORDERS = 1 << 14, 16, (2, 3, 4)
-PER_LANGUAGE = 500
+PER_LANGUAGE, MOST_LANGUAGES = 500, 500
 MAYBE = re.compile(r"[^\W\d_]")  # letters, and numerals that aren't decimal digits
 
 
@@ -126,15 +127,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(documents: DataFrame, per_language: int = PER_LANGUAGE, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Model | None:
-    """A model learned from text and language of documents that are not held out."""
+def fit(documents: DataFrame, per_language: int = PER_LANGUAGE, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", most_languages: int = MOST_LANGUAGES) -> Model | None:
+    """A model learned from text and language of documents that are not held out: about `per_language` of each of the `most_languages` commonest."""
     fold = F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
     known = documents.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter((fold != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}  # one row a language
     if not counts:
         return None
     share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, per_language / n))])
-    drawn = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
+    drawn = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)) * (1 << 20))
     schema = "lang string, checks boolean, at array<int>, share array<float>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

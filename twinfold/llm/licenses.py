@@ -6,7 +6,8 @@ over tokens; a text carries the license where the automaton accepts a run of its
 longest mandatory phrase stands in the text, so texts without it cost one substring search.
 
 Base phrases are plain word sequences, counted at all places. score is the share of a text's words inside accepted regions and base
-phrases. Null text is empty: no words, no labels, score 0. Rows are scanned one by one, whole.
+phrases. Null text is empty: no words, no labels, score 0. Rows are scanned one by one, whole, very long ones too; repeated rows give
+repeated results. Only the named columns are read, whatever the others are called. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -25,21 +26,40 @@ from .common import as_bytes, mapped
 #: The contract's phrases and labels: fixed values.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Public license wordings as templates: fixed values.
+#: Public license wordings as templates: fixed values. Whole licenses have their usual names; -header and -notice stand for texts that refer
+#: to a license, -grant for a license's first sentence alone.
+_AS_IS = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall {{1-8}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+_MIT_GRANT = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"
+_ISC_GRANT = "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"
+_ISC_REST = "the software is provided as is and {{1-8}} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall {{1-8}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
+_BSD_GRANT = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+_BSD_TWO = "[[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD_THIRD = "[[3]] neither the name of {{1-12}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_BSD_REST = "this software is provided by {{1-12}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {{1-12}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
 TEMPLATES = {
-    "mit-notice": "[[this work is]] [[released]] [[licensed]] under the mit license",
-    "mit": "permission is hereby granted [[free of charge]] to any person obtaining a copy of this software and associated documentation files {{0-3}} to deal in the software without restriction",
-    "apache-2.0-notice": "licensed under the apache license version 2 [[0]] [[the license you may not use this file except in compliance with the license]]",
-    "gpl-3.0-notice": "[[this work is]] licensed under the gnu general public license version 3 [[or any later version]]",
-    "gpl-notice": "under the terms of the gnu [[lesser]] general public license as published by the free software foundation",
-    "cc-by-nc-4.0-notice": "licensed under [[a]] [[the]] cc by nc 4 0 [[license]]",
-    "cc-by-nc-4.0": "[[this work is]] licensed under a creative commons attribution noncommercial 4 0 international license",
-    "cc-by-4.0": "[[this work is]] licensed under a creative commons attribution 4 0 international license",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "mpl-2.0-notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "0bsd": f"{_ISC_GRANT} {_ISC_REST}",
     "all-rights-reserved": "copyright [[c]] {{1-8}} all rights reserved",
-}
+    "apache-2.0-header": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at [[http]] [[https]] www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    "apache-2.0-notice": "licensed under the apache license version 2 [[0]]",
+    "bsd-2-clause": f"{_BSD_GRANT} {_BSD_TWO} {_BSD_REST}",
+    "bsd-3-clause": f"{_BSD_GRANT} {_BSD_TWO} {_BSD_THIRD} {_BSD_REST}",
+    "bsd-grant": _BSD_GRANT,
+    "cc-by-4.0-notice": "[[this work is]] licensed under a creative commons attribution 4 0 international license",
+    "cc-by-nc-4.0-notice": "[[this work is]] licensed under a creative commons attribution noncommercial 4 0 international license",
+    "cc-by-nc-notice": "licensed under [[a]] [[the]] cc by nc 4 0 [[license]]",
+    "gpl-header": "[[this]] {{0-3}} is free software you can redistribute it and or modify it under the terms of the gnu [[lesser]] [[affero]] general public license as published by the free software foundation either version {{1-2}} of the license or at your option any later version {{1-4}} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu [[lesser]] [[affero]] general public license for more details",
+    "gpl-3.0-notice": "[[this work is]] licensed under the gnu general public license version 3 [[or any later version]]",
+    "gpl-notice": "under the terms of the gnu [[lesser]] [[affero]] general public license as published by the free software foundation",
+    "isc": f"{_ISC_GRANT} provided that the above copyright notice and this permission notice appear in all copies {_ISC_REST}",
+    "isc-grant": _ISC_GRANT,
+    "mit": f"[[the]] [[mit]] [[license]] {_MIT_GRANT} including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software {_AS_IS}",
+    "mit-grant": _MIT_GRANT,
+    "mit-notice": "[[this work is]] [[released]] [[licensed]] under the mit license",
+    "mpl-2.0-header": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at [[http]] [[https]] mozilla org mpl 2 0",
+    "mpl-2.0-notice": "subject to the terms of the mozilla public license v 2 0",
+    "unlicense": f"this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law {_AS_IS}",
+    "zlib": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions [[1]] the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required [[2]] altered source versions must be plainly marked as such and must not be misrepresented as being the original software [[3]] this notice may not be removed or altered from any source distribution",
+}
 
 #: Bytes that end a word, and A-Z: the word class [^\x00-\x2F\x3A-\x60\x7B-\x7F] over lower-cased text.
 _CUT = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 48 or 58 <= c <= 96 or 123 <= c <= 127 else c for c in range(256))

@@ -4,11 +4,13 @@ Bulk-synchronous best-fit: documents (pieces) are range-sorted by length, larges
 documents of one length and sweeps the gaps for successors: each document goes to the smallest gap that holds it; which document of
 the run gets which gap is settled by its rank within the run. Then gaps are updated and the next length follows. Lengths are integers up
 to the capacity, so both sorted orders are run-length coded: the sweep sees at most `capacity` runs of documents, however many documents
-there are. Spark counts the runs, ranks the documents (salted, so that a length that a third of all rows share is split) and places
-them; only the counts by length come to the driver.
+there are. The sweep over these runs is done on the driver (a superstep of its own in Spark for each of 2,048 lengths would take longer
+than all other work); Spark counts the runs, ranks the documents (salted by rows, so that a length that a third of all rows share is split)
+and places them. Only the counts by length come to the driver.
 
 The result is the one of sequential best-fit-decreasing. Nulls: null text is empty, and a document always has its closing id. Null or
-repeated ids are ordinary rows (placed once per row). Empty tables give an empty result.
+repeated ids are ordinary rows (placed once per row). Very long texts are cut into pieces. Only the named columns are read, whatever the
+others are called. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -26,10 +28,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks, mapped, pinned
+from ..operators.ordered import sums_before
+from .common import as_bytes, chunks, fresh, mapped, pinned
 
 CAPACITY = 2048
-SALTS = 256
+PER_SALT = 20_000  # rows that are ranked together, about
 
 
 def plan_supersteps(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -72,8 +75,8 @@ def plan_supersteps(counts: dict[int, int], capacity: int) -> list[tuple[int, in
     return runs
 
 
-def best_fit(items: DataFrame, length: str = "length", keys: tuple[str, ...] = ("doc_id", "piece"), capacity: int = CAPACITY) -> DataFrame:
-    """items with sequence_id (0 and up) and offset (gapless within a sequence). Lengths must be 1 to capacity; keys order equal lengths.
+def best_fit(items: DataFrame, length: str = "length", capacity: int = CAPACITY) -> DataFrame:
+    """items with sequence_id (0 and up) and offset (gapless within a sequence). Lengths must be 1 to capacity; rows of one length are alike.
 
     items is read twice: pass a pinned table.
     """
@@ -86,11 +89,13 @@ def best_fit(items: DataFrame, length: str = "length", keys: tuple[str, ...] = (
     shared = items.sparkSession.sparkContext.broadcast(table[order])  # bounded by the capacity, not by the documents
     stride = np.int64(1 << 44)
 
-    salted = items.withColumn("__salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int"))
-    before = Window.partitionBy(length).orderBy("__salt")  # at most SALTS rows for each length
-    starts = salted.groupBy(length, "__salt").agg(F.count("*").alias("__n")).withColumn("__start", F.sum("__n").over(before) - F.col("__n")).drop("__n")
-    within = Window.partitionBy(length, "__salt").orderBy(*(F.col(k).asc_nulls_last() for k in keys))
-    ranked = salted.join(starts, [length, "__salt"]).withColumn("__rank", F.col("__start") + F.row_number().over(within) - 1).select(*items.columns, "__rank")
+    salt, start, rank_, number = fresh(items.columns, "salt", "start", "rank", "number")
+    parts = max(1, sum(counts.values()) // PER_SALT)  # a length may have most of the rows: it is split like all of them
+    salted = items.withColumn(number, F.monotonically_increasing_id()).withColumn(salt, F.pmod(F.xxhash64(number), F.lit(parts)).cast("int"))
+    sizes = salted.groupBy(length, salt).agg(F.count("*").alias(start))
+    starts = sums_before(sizes, [length], F.floor(F.col(salt) / 256), [F.col(salt)], {rank_: F.col(start)}).select(F.col(length), F.col(salt), F.col(rank_).alias(start))
+    within = Window.partitionBy(length, salt).orderBy(number)
+    ranked = salted.join(starts, [length, salt]).withColumn(rank_, F.col(start) + F.row_number().over(within) - 1).select(*items.columns, rank_)
     schema = items.select("*").schema.add("sequence_id", "long").add("offset", "long")
     at = items.columns.index(length)
 
@@ -147,7 +152,7 @@ def tokenizer_words(path: str) -> Callable[[list[bytes]], tuple[np.ndarray, np.n
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core: a pool of threads in each worker only costs memory and CPU
     from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-    tokenizer = Tokenizer.from_file(path)
+    tokenizer = Tokenizer.from_file(path)  # one for both ways: its pages are most of a worker's memory
     mark = getattr(tokenizer.model, "end_of_word_suffix", None)
 
     def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -156,10 +161,11 @@ def tokenizer_words(path: str) -> Callable[[list[bytes]], tuple[np.ndarray, np.n
 
     if not mark:
         return encode
-    bare = Tokenizer.from_file(path)
-    bare.normalizer, bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
-    closes = np.zeros(max(bare.get_vocab().values()) + 1, dtype=bool)
-    closes[[i for t, i in bare.get_vocab().items() if t.endswith(mark)]] = True
+    full, bare = (tokenizer.normalizer, tokenizer.pre_tokenizer), (normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit())
+    vocabulary = tokenizer.get_vocab()
+    closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+    closes[[i for t, i in vocabulary.items() if t.endswith(mark)]] = True
+    del vocabulary
     letters = byte_letters()
 
     def of_plain(flat: np.ndarray, pretokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,7 +177,11 @@ def tokenizer_words(path: str) -> Callable[[list[bytes]], tuple[np.ndarray, np.n
         flat = np.insert(flat, np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] != 0) & (kind[:-1] != 0)) + 1, 32)
         cuts = np.flatnonzero(flat == 32)[999::1000] + 1
         texts = [x.tobytes().decode("utf-32-le") for x in np.split(letters[flat], cuts)]
-        ids = np.concatenate([np.array(x.ids, dtype="<u4") for x in bare.encode_batch_fast(texts, add_special_tokens=False)])
+        tokenizer.normalizer, tokenizer.pre_tokenizer = bare
+        try:
+            ids = np.concatenate([np.array(x.ids, dtype="<u4") for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        finally:
+            tokenizer.normalizer, tokenizer.pre_tokenizer = full
         ends = np.r_[0, np.flatnonzero(closes[ids]) + 1]
         if len(ends) != pretokens.sum() + 1:
             raise ValueError("the vocabulary's word ends don't follow its pre-tokens")
@@ -281,4 +291,4 @@ def pieces(documents: DataFrame, tokenizer: str, text: str = "text", doc_id: str
 
 def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """All documents in sequences of at most capacity ids: one row per piece with sequence_id and offset."""
-    return best_fit(pinned(pieces(documents, tokenizer, capacity=capacity)), capacity=capacity, keys=("doc_id", "piece", "ids_crc32"))
+    return best_fit(pinned(pieces(documents, tokenizer, capacity=capacity)), capacity=capacity)

@@ -2,12 +2,13 @@
 
 A list holds rules (host, path) with a verdict and whole canonical urls that are blocked. Each distinct url gives its keys: for every
 suffix of its host at a label's border, and every length that a listed path has, the host suffix with the path's first characters; and
-its canonical form. The keys are tested against a split-block Bloom filter (a table of 256-bit blocks, 8 bits per key, one per word) by a
-join on the block's number; only keys that pass reach the join with the list itself, which removes the false positives. All of it are
-DataFrame operations; the filter's table has one row per block, and Spark broadcasts it only below its own size threshold.
+its canonical form. The keys are tested against a split-block Bloom filter (a table of 256-bit blocks, 8 bits per key, one per word) on the
+block's number, where the pages are read: the filter's blocks are counted and sent to the executors up to BLOCKS_SENT of them. Only keys
+that pass are shuffled and reach the join with the list itself, which removes the false positives. All of it are DataFrame operations.
 
 Nulls: a url that is null or has no "://" has empty host and path, no key, and the default verdict. Repeated urls are judged once and
-joined back to all their rows. An empty list lets everything pass. Other columns of the pages are not read.
+joined back to all their rows; very long urls are ordinary ones. An empty list lets everything pass, empty pages give an empty result.
+Other columns of the pages are not read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -17,12 +18,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import hint_small, pinned
+
 #: The contract's rules, (verdict, host, path): fixed values.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: Words of a host that put a page's canonical url on the default list.
 SPAM_WORDS = ("casino", "pills", "bets", "ads")
 #: Odd multipliers of the eight words of a block, one bit each (fixed values of the split-block Bloom filter of the Parquet format).
 SALT = (0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31)
+BLOCKS_SENT = 200_000  # blocks (32 bytes each) that are sent to every executor at most; a larger filter is joined
 KEYS_PER_BLOCK = 20  # 12.8 bits per key: about 0.4 % false positives
 
 
@@ -63,7 +67,7 @@ def may_hold(candidates: DataFrame, filter_table: DataFrame, blocks: int, key: s
     """The candidates that the filter passes: all listed ones and a few others."""
     h = F.xxhash64(key)
     asked = candidates.select("*", _block(h, blocks).alias("block"), *(x.alias(f"b{i}") for i, x in enumerate(_bits(h))))
-    hit = asked.join(filter_table, "block")
+    hit = asked.join(hint_small(filter_table, blocks, BLOCKS_SENT), "block")  # where it is sent, candidates are tested before any shuffle
     for i in range(8):
         hit = hit.filter(F.col(f"w{i}").bitwiseAND(F.col(f"b{i}")) != 0)
     return hit.select(*candidates.columns)
@@ -83,7 +87,7 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, url: str = "url
     """
     lengths = [r[0] for r in rules.select("path_length").distinct().collect()]  # the few lengths of the listed paths
     host, path = host_path(F.col("url"))
-    urls = pages.select(F.col(url).alias("url")).filter(F.col("url").isNotNull()).distinct().select("url", host.alias("host"), path.alias("path")).filter("host != ''")
+    urls = pages.select(F.col(url).alias("url")).filter(F.col("url").isNotNull()).select("url", host.alias("host"), path.alias("path")).filter("host != ''")
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     heads = F.array_distinct(F.array(*(F.substring("path", 1, n) for n in lengths))) if lengths else F.array(F.lit(None).cast("string"))
@@ -92,8 +96,10 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, url: str = "url
     asked = urls.select("url", F.explode(F.concat(keys, own)).alias("k")).select("url", "k.key", "k.kind").filter("key is not null")
 
     entries = rules.select("key", F.lit("rule").alias("kind"), "verdict").unionByName(listed.select(F.col("canonical").alias("key"), F.lit("listed").alias("kind"), F.lit("block").alias("verdict"))).filter("key is not null").distinct()
+    entries = pinned(entries)
     table, blocks = bloom(entries)
-    hits = may_hold(asked, table, blocks).join(entries, ["key", "kind"])
+    # urls are made distinct only once the filter has taken out most keys
+    hits = may_hold(asked, table, blocks).distinct().join(entries, ["key", "kind"])
     longest = F.max(F.when(F.col("kind") == "rule", F.struct(F.length("key").alias("n"), "key", "verdict")))
     found = hits.groupBy("url").agg(longest.alias("rule"), F.bool_or(F.col("kind") == "listed").alias("listed"))
     shown = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"))
@@ -111,5 +117,6 @@ def spam_list(pages: DataFrame, words: Sequence[str] = SPAM_WORDS) -> DataFrame:
     return pages.select(canonical(host, path).alias("canonical"), host.alias("h")).filter(F.col("h").rlike(pattern)).select("canonical").distinct()
 
 
-def judged_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    return judge(pages, rule_table(spark, RULES), spam_list(pages)).select("page_id", "host", "path", "rule", "verdict", "canonical")
+def judged_pages(spark: SparkSession, pages: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """The contract's columns. listed: a column `canonical` of blocked urls; of hosts with a spam word among the pages, if not given."""
+    return judge(pages, rule_table(spark, RULES), spam_list(pages) if listed is None else listed).select("page_id", "host", "path", "rule", "verdict", "canonical")
