@@ -4,6 +4,9 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from twinfold.llm.common import pinned, table
 
@@ -24,6 +27,45 @@ def test_stages_keep_columns_and_take_effect(spark, tiny):
     assert (packed.groupby("sequence_id")["length"].sum() <= 2048).all()
 
 
+@pytest.fixture(scope="module")
+def odd(spark, tiny):
+    """The table's rows among odd ones, with further columns of names that the stages use themselves."""
+    long = " ".join(f"word{i % 701} talks." for i in range(20_000))
+    rows = [(1, "the cat sat on the mat and then it slept", "en", "s1"), (-2, None, None, None), (-3, "", "en", "s1"), (-4, long, "en", "s2"), (-4, long, "en", "s2"), (None, "no id but words of a text here", "en", "s1"), (None, "no id but words of a text here", "en", "s1"), (-6, "éà ñandú\n\n\nüber", "de", None), (-7, "1234 !!", "en", "s3"), (-8, " \t\n", "en", "s3")]
+    names = ("size", "kept", "number", "copies", "text_md5", "score", "accepted", "salt")
+    extra = [F.lit(k).alias(c) for k, c in enumerate(names)]
+    some = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return pinned(table(spark, tiny, "documents").unionByName(some).select("*", *extra))
+
+
+def test_stages_carry_odd_rows(spark, tiny, odd):
+    docs = odd
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = pinned(stage(spark, docs, tiny))
+        assert docs.columns == odd.columns
+        assert docs.agg(*(F.count_distinct(c).alias(c) for c in odd.columns[5:])).first() == tuple(1 for _ in odd.columns[5:])  # as they were
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, tiny).toPandas()
+    assert (packed.groupby("sequence_id")["length"].sum() <= 2048).all() and not packed.doc_id.isin([-2, -3, -7, -8]).any()
+
+
+def test_each_stage_by_itself_on_odd_and_empty_tables(spark, tiny, odd):
+    few = pinned(odd.filter("doc_id is null or doc_id < 0"))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, pinned(odd.limit(0)), tiny).count() == 0, name
+        got = stage(spark, few, tiny)
+        ids = [r.doc_id for r in got.select("doc_id").collect()]
+        if name == "language ID":
+            assert set(ids) <= {None, -4, -6}
+        elif name == "quality classifier":
+            assert {-2, -3, -8} <= set(ids)
+        elif name == "MinHash near-dedup":
+            assert sorted(map(str, ids)) == sorted(map(str, [-2, -3, -4, None, -6, -7, -8]))
+        elif name == "mixing sources":
+            assert not {-2, -3, -8} & set(ids) and all(ids.count(i) <= 6 for i in ids)
+        else:
+            assert len([i for i in ids if i == -2]) == 1 and set(ids) == {None, -2, -3, -4, -6, -7, -8}
+
+
 def test_run_is_the_stages_in_order(spark, tiny):
     assert corpus_pipeline.run(spark, tiny).count() > 0
     assert [n.split()[0] for n, _ in corpus_pipeline.STAGES] == ["language", "quality", "MinHash", "mixing", "best-fit"]
