@@ -196,6 +196,19 @@ def test_json_flattening_and_plans(spark):
     assert records.to_markdown(spark.createDataFrame([("a|b\nc", 1)], ["n", "v"])).splitlines()[-1] == r"| a\|b c | 1 |"
 
 
+def test_chunks_and_canonical_files(spark, tmp_path):
+    for k, n in enumerate((3, 2)):
+        np.savez(tmp_path / f"chunk_{k}.npz", h=np.arange(n * 2, dtype=np.float16).reshape(n, 2) + 10 * k)
+    rows = records.read_tensors(spark, [str(tmp_path / f"chunk_{k}.npz") for k in (1, 0)], "h")
+    assert [(r.ord, r.vector[0]) for r in records.aligned_tensors(rows, 5).orderBy("ord").collect()] == [(0, 0.0), (1, 2.0), (2, 4.0), (3, 10.0), (4, 12.0)]
+    with pytest.raises(ValueError, match="5 activation rows"):
+        records.aligned_tensors(rows, 6)
+    out = tmp_path / "rows"
+    records.write_jsonl(spark.range(50).repartition(7).select(F.col("id").alias("z"), F.lit(None).cast("string").alias("a")), str(out), order="z")
+    parts = list(out.glob("part-*"))
+    assert len(parts) == 1 and parts[0].read_text().splitlines()[:2] == ['{"a":null,"z":0}', '{"a":null,"z":1}']
+
+
 def test_settings_and_provenance(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"seed": 4}')
     (tmp_path / "x.py").write_bytes(b"abc")

@@ -28,13 +28,17 @@ def with_line_numbers(df: DataFrame, order: str = "ord") -> DataFrame:
     return df.withColumn(order, F.monotonically_increasing_id())
 
 
-def write_jsonl(df: DataFrame, path: str, exclusive: bool = True) -> None:
-    """JSON lines with sorted keys; an existing path raises unless told otherwise. Non-finite numbers raise."""
+def write_jsonl(df: DataFrame, path: str, exclusive: bool = True, order: str | None = None) -> None:
+    """JSON lines with sorted keys; an existing path raises unless told otherwise. Non-finite numbers raise.
+
+    order: write one file in the order of this column, the canonical form of a table that one task can write; else a file for each partition.
+    """
     doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
     checked = df
     for c in doubles:
         bad = F.isnan(c) | (F.abs(F.col(c)) == float("inf"))
         checked = checked.withColumn(c, F.when(bad, F.raise_error(F.lit(f"{c} is not finite")).cast("double")).otherwise(F.col(c)))
+    checked = checked if order is None else checked.coalesce(1).sortWithinPartitions(order)
     checked.select(*sorted(df.columns)).write.mode("errorifexists" if exclusive else "overwrite").option("ignoreNullFields", "false").json(path)
 
 
@@ -89,6 +93,19 @@ def read_tensors(spark: SparkSession, paths: str | list[str], key: str) -> DataF
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, "path string, row long, vector array<float>")
 
 
+def aligned_tensors(tensors: DataFrame, expected: int) -> DataFrame:
+    """Rows of read_tensors with `ord`, their place over all chunks in order of the chunks' names; raises unless there are `expected` of them.
+
+    The offsets are sums over one row a chunk.
+    """
+    chunks = tensors.groupBy("path").agg(F.count("*").alias("n"))
+    placed = sums_before(with_bucket(chunks, [], "path", "__place"), [], F.col("__place"), [F.col("path")], {"offset": F.col("n")})
+    found = chunks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if found != expected:
+        raise ValueError(f"{found} activation rows for {expected} records")
+    return tensors.join(placed.select("path", "offset"), "path").select("path", "row", (F.col("offset") + F.col("row")).alias("ord"), "vector")
+
+
 def discover(spark: SparkSession, folder: str, allow: Sequence[str], deny: Sequence[str] = ()) -> DataFrame:
     """(path, length) of files under a folder whose names have an allowed word and no denied one; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
