@@ -298,6 +298,10 @@ def test_merkle_buckets_and_edges(spark, odd, none):
     few = spark.createDataFrame([(i, f"t{i}") for i in (5, 3, 9, 9, 1, 7, 20, 11)] + [(None, "last")], "doc_id long, text string")
     got = [(r.doc_id, r.next_text) for r in merkle.with_next(few, rows_per_bucket=2).collect()]
     assert sorted(got, key=str) == sorted([(1, "t3"), (3, "t5"), (5, "t7"), (7, "t9"), (9, "t9"), (9, "t11"), (11, "t20"), (20, "last"), (None, "t1")], key=str)
+    hot = [(7, f"seven {i}") for i in range(60)] + [(None, "copy")] * 25 + [(None, f"void {i}") for i in range(20)] + [(i, f"t{i % 4}") for i in (1, 2, 3, 3, 8, 9, 12, 30, 31)]
+    order = sorted(hot, key=lambda r: (r[0] is None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest() if r[0] in (7, None) else "", r[1]))
+    got = Counter(tuple(r) for r in merkle.with_next(spark.createDataFrame(hot, "doc_id long, text string"), rows_per_bucket=4).collect())
+    assert got == Counter((*r, order[(k + 1) % len(order)][1]) for k, r in enumerate(order))  # one id and null ids over several ranges
     pdf = merkle.fingerprints(odd).toPandas()
     assert len(pdf) == odd.count() and pdf[pdf.doc_id == 2].near_edited.tolist() == [1.0]
     assert merkle.fingerprints(none).count() == 0

@@ -6,12 +6,15 @@ ends in 0 or 1 (one in eight), wherever it stands, so an edit moves no other sec
 entries, and the root hashes the sections' nodes. Equal roots mean equal texts; differing sections, paragraphs and pieces locate edits.
 
 The fingerprint is one string: `root#sections`, sections joined by `|`, paragraphs by `;`, each `pieces:node` with 12 hex digits a piece.
-Null text is empty; an empty text has one empty paragraph. Null ids sort last; rows of equal id sort by text; repeated rows are kept.
+Null text is empty; an empty text has one empty paragraph. Ids are whole numbers; null ids sort last; rows of equal id sort by text (by its
+md5 first where they fill several ranges); repeated rows are kept. Very long texts are one value each, as in the table. Only the named
+columns are read, whatever the others are called. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -76,28 +79,40 @@ def differing_sections(a: Column, b: Column) -> Column:
 def with_next(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """doc_id, text (null: empty) and next_text, that of the next row by ascending doc_id; after the last comes the first.
 
-    Ids are dealt into ranges of about equal rows; a range's texts are shuffled once and ordered inside it, and the first row of each
-    range is also sent to the range before, so no range depends on another task.
+    Ids (whole numbers) are dealt into ranges of about equal rows; a range's texts are shuffled once and ordered inside it, and the first
+    row of each range is also sent to the range before, so no range depends on another task. An id that would fill ranges by itself has one
+    of its own, and like that of the null ids it is split by the texts' md5, by which its rows then come. There are at most 16,384 ranges
+    before that: of a larger table they are larger.
     """
-    spark = documents.sparkSession
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ids = rows.select("doc_id")
+    ids = rows.select(F.col("doc_id").cast("long").alias("doc_id"))
     n = ids.count()
     ranges = max(1, min(1 << 14, math.ceil(n / rows_per_bucket)))
-    edges = ids.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.2 / ranges) if ranges > 1 else []
-    edges = sorted({int(x) for x in edges})
+    found = ids.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.2 / ranges) if ranges > 1 else []
+    found = Counter(int(x) for x in found)
+    edges = sorted({*found, *(x + 1 for x, times in found.items() if times > 1)})
     bounds = F.split(F.lit(",".join(map(str, edges))), ",").cast("array<bigint>") if edges else F.array().cast("array<bigint>")
     steps = [1 << k for k in range(len(edges).bit_length() - 1, -1, -1)] if edges else []
     # the number of edges that are not above the id, by halving
     bucket = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= F.col("doc_id"), at + step).otherwise(at)) if steps else F.lit(0)
     last = len(edges) + 1  # null ids have a range of their own, the last
     dealt = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), last).otherwise(bucket))
-    first = dealt.groupBy("bucket").agg(F.min("doc_id").alias("first_id")).withColumn("before", F.lag("bucket").over(Window.partitionBy(F.lit(0)).orderBy("bucket")))
-    top = first.agg(F.max("bucket").alias("top"))
-    heads = first.crossJoin(F.broadcast(top)).select("bucket", "first_id", F.coalesce("before", "top").alias("before"))  # one row a range, at most 16,386
-    head_rows = dealt.withColumnRenamed("bucket", "own").join(hint_small(heads, ranges), (F.col("own") == F.col("bucket")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "text", F.col("before").alias("bucket"), F.lit(1).alias("guest"))
-    both = dealt.select("doc_id", "text", "bucket", F.lit(0).alias("guest")).unionByName(head_rows)
-    order = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").asc_nulls_last(), "text")
+    one_id = F.min("doc_id").eqNullSafe(F.max("doc_id"))
+    parts = F.when(one_id, F.ceil(F.count("*") / (2 * rows_per_bucket))).otherwise(1).cast("int")
+    sizes = dealt.groupBy("bucket").agg(parts.alias("parts"))
+    md5 = F.md5("text")
+    part = F.floor(F.conv(F.substring(md5, 1, 6), 16, 10).cast("long") * F.col("parts") / F.lit(1 << 24)).cast("int")
+    split = F.col("parts") > 1
+    dealt = dealt.join(hint_small(sizes, ranges), "bucket").select("doc_id", "text", "bucket", F.when(split, part).otherwise(0).alias("part"), F.when(split, md5).alias("digest"))
+    first = dealt.groupBy("bucket", "part").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.max(F.struct("bucket", "part")).alias("own"))  # one row a range
+    ordered = first.withColumn("before", F.lag("own").over(Window.partitionBy(F.lit(0)).orderBy("bucket", "part")))
+    top = first.agg(F.max("own").alias("top"))
+    heads = ordered.crossJoin(F.broadcast(top)).select(F.col("bucket").alias("of_bucket"), F.col("part").alias("of_part"), "first", F.coalesce("before", "top").alias("before"))
+    same = (F.col("bucket") == F.col("of_bucket")) & (F.col("part") == F.col("of_part")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("digest").eqNullSafe(F.col("first.digest"))
+    guests = dealt.join(hint_small(heads, ranges), same).select("doc_id", "text", "before.bucket", "before.part", "digest", F.lit(1).alias("guest"))
+    guests = guests.filter("digest is null").unionByName(guests.filter("digest is not null").dropDuplicates(["bucket", "part", "digest"]))  # copies are alike
+    both = dealt.withColumn("guest", F.lit(0)).unionByName(guests)
+    order = Window.partitionBy("bucket", "part").orderBy("guest", F.col("doc_id").asc_nulls_last(), "digest", "text")
     following = both.withColumn("next_text", F.lead("text").over(order)).filter("guest = 0")
     return following.select("doc_id", "text", "next_text")
 
