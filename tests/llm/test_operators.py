@@ -197,6 +197,24 @@ def test_mixing_levels_and_edges(spark, odd, none, monkeypatch):
     assert words == got.taken.sum()
 
 
+def test_targets_of_many_sources_equal_sharing_again_and_again(spark):
+    rng = np.random.default_rng(12)
+    sizes = {f"site-{i:03d}.example": int(x) for i, x in enumerate(np.exp(rng.normal(4, 2, 90)))} | {None: 50, "": 0}
+    got = {r.source: (r.source_no, r.source_size, r.target) for r in mixing.targets(spark.createDataFrame([*sizes.items()], "source string, size long")).collect()}
+    names = sorted((x for x in sizes if x is not None), key=lambda x: x.encode()) + [None]
+    w, total, capped = {x: (1, 2, 3)[i % 3] for i, x in enumerate(names)}, sum(sizes.values()), set()
+    while True:
+        free = [x for x in names if x not in capped]
+        left = total - sum(3 * sizes[x] for x in capped)
+        target = {x: left * w[x] / sum(w[y] for y in free) for x in free}
+        over = {x for x in free if target[x] > 3 * sizes[x]}
+        if not over:
+            break
+        capped |= over
+    for i, x in enumerate(names):
+        assert got[x] == (i, sizes[x], pytest.approx(3 * sizes[x] if x in capped else target[x]))
+
+
 def test_mix_carries_columns_of_any_name(spark):
     rows = [(i % 3 or None, "one two three", "s", 777, "mine", i) for i in range(9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, number long, copies string, of_row long")
@@ -418,18 +436,15 @@ def test_language_held_out_accuracy(docs, local):
     assert (held.lang_pred == held.lang).mean() > 0.95 and pdf.score.between(0, 1).all() and pdf.accepted.mean() > 0.98
 
 
-def test_predictions_equal_brute_force(docs, local, spark):
-    """Each prediction and score of a table, and of odd texts, computed word by word with plain integers."""
-    model = langid.fit(docs, 40)
-    mask = (1 << 64) - 1
+def brute_language(model):
+    """text -> (language, score, accepted) word by word with plain integers."""
+    mask, known = (1 << 64) - 1, {}
 
     def mix(x):
         x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
         x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
         return x ^ x >> 31
 
-    known = {}
-
     def buckets(word):
         if word not in known:
             marked, out = b" " + word + b" ", []
@@ -442,17 +457,24 @@ def test_predictions_equal_brute_force(docs, local, spark):
             known[word] = out
         return known[word]
 
-    texts = [*local.text[:60], "a", "½ ² ①", "ⅷ", "éà ½", "日本語", "", None, "1 2 3", "ª"]
-    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
-    for r in langid.predict(df, model).collect():
-        text = texts[r.doc_id] or ""
-        if not any(unicodedata.category(ch)[0] == "L" for ch in text):
-            assert (r.lang_pred, r.score, r.accepted) == ("und", 0.0, False), text
-            continue
+    def predict(text):
+        if not any(unicodedata.category(ch)[0] == "L" for ch in text or ""):
+            return "und", 0.0, False
         at = [b for w in text.encode().lower().split() for b in buckets(w)]
-        z = (sum(model.logits[b] for b in at) / len(at) + model.bias) / model.temperature
+        z = (model.logits[at].sum(axis=0) / len(at) + model.bias) / model.temperature
         p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
-        assert (r.lang_pred, r.accepted) == (model.languages[int(p.argmax())], bool(p.max() >= model.reject_below)) and r.score == pytest.approx(p.max(), abs=1e-9)
+        return model.languages[int(p.argmax())], p.max(), bool(p.max() >= model.reject_below)
+
+    return predict
+
+
+def test_predictions_equal_brute_force(docs, local, spark):
+    """Each prediction and score of a table, and of odd texts."""
+    model = langid.fit(docs, 40)
+    want, texts = brute_language(model), [*local.text[:60], "a", "½ ² ①", "ⅷ", "éà ½", "日本語", "", None, "1 2 3", "ª"]
+    for r in langid.predict(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), model).collect():
+        lang, score, accepted = want(texts[r.doc_id])
+        assert (r.lang_pred, r.accepted) == (lang, accepted) and r.score == pytest.approx(score, abs=1e-9), texts[r.doc_id]
 
 
 def test_language_edges(docs, odd, none):
@@ -544,28 +566,32 @@ def test_windows_of_long_texts(monkeypatch):
     assert got == want
 
 
-def test_quality_equals_brute_force(docs, local, spark, tiny):
-    """Perplexities, language means, quantiles and thresholds of every row of a table."""
-    labels = table(spark, tiny, "labels")
-    worst = labels.toPandas().groupby("doc_id").agg({"quality": "min", "toxic": "max"})
+def brute_quality(pdf, labels):
+    """pdf (doc_id, lang, text) with n, loss, judged, threshold, trusted and keep of each row, by the book and by sorting."""
+    worst = labels.groupby("doc_id").agg({"quality": "min", "toxic": "max"})
     good = set(worst[(worst.quality == 1) & (worst.toxic.fillna(0) == 0)].index)
-    lp = brute_kneser_ney([t for i, t in zip(local.doc_id, local.text, strict=True) if i in good], quality.ORDER)
-    pdf = local[["doc_id", "lang", "text"]].copy()
-    pdf["n"] = [len(whole(t)) for t in pdf.text]
-    pdf["loss"] = [-lp(t) for t in pdf.text]
-    trusted = pdf[pdf.doc_id.isin(good) & (pdf.n > 0)]
-    mean = {k: g.loss.sum() / g.n.sum() for k, g in trusted.groupby("lang")}
-    overall = trusted.loss.sum() / trusted.n.sum()
+    lp = brute_kneser_ney([t for i, t in zip(pdf.doc_id, pdf.text, strict=True) if i in good], quality.ORDER)
+    pdf = pdf[["doc_id", "lang", "text"]].copy()
+    pdf["n"], pdf["loss"], pdf["trusted"] = [len(whole(t)) for t in pdf.text], [-lp(t) for t in pdf.text], pdf.doc_id.isin(good)
+    known = pdf.trusted & (pdf.n > 0)
+    mean = {k: g.loss.sum() / g.n.sum() for k, g in pdf[known].groupby("lang")}
+    overall = pdf[known].loss.sum() / pdf[known].n.sum()
     pdf["judged"] = [np.exp((x + quality.PRIOR * mean.get(k, overall)) / (n + quality.PRIOR)) if n else 0.0 for x, n, k in zip(pdf.loss, pdf.n, pdf.lang, strict=True)]
     rank = lambda v: sorted(v)[int(np.ceil(quality.QUANTILE * len(v))) - 1] * quality.SLACK
-    trusted = pdf[pdf.doc_id.isin(good) & (pdf.n > 0)]
-    cut = {k: rank(g.judged) for k, g in trusted.groupby("lang")}
+    cut = {k: rank(g.judged) for k, g in pdf[known].groupby("lang")}
+    pdf["threshold"] = [cut.get(k, rank(pdf[known].judged)) for k in pdf.lang]
+    return pdf.assign(keep=pdf.judged <= pdf.threshold)
+
+
+def test_quality_equals_brute_force(docs, local, spark, tiny):
+    """Perplexities, language means, quantiles and thresholds of every row of a table."""
+    labels = table(spark, tiny, "labels")
     got = quality.classified(docs, labels).toPandas().set_index("doc_id")
-    for r in pdf.itertuples():
-        g, threshold = got.loc[r.doc_id], cut.get(r.lang, rank(trusted.judged))
-        assert g.n_symbols == r.n and g.trusted == (r.doc_id in good)
-        assert (g.perplexity, g.judged, g.threshold) == pytest.approx((np.exp(r.loss / r.n) if r.n else 0.0, r.judged, threshold), rel=1e-8)
-        assert g.keep == (r.judged <= threshold) or abs(r.judged - threshold) < 1e-7
+    for r in brute_quality(local, labels.toPandas()).itertuples():
+        g = got.loc[r.doc_id]
+        assert g.n_symbols == r.n and g.trusted == r.trusted
+        assert (g.perplexity, g.judged, g.threshold) == pytest.approx((np.exp(r.loss / r.n) if r.n else 0.0, r.judged, r.threshold), rel=1e-8)
+        assert g.keep == r.keep or abs(r.judged - r.threshold) < 1e-7
 
 
 def test_lm_score_equals_brute_force(docs, local, spark, tiny):

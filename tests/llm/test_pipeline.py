@@ -8,7 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from test_operators import brute_components, brute_language, brute_quality
+from twinfold.llm import langid, mixing
 from twinfold.llm.common import pinned, table
+from twinfold.llm.queries import tokenizer_path
 
 ROOT = Path(__file__).resolve().parents[2]
 
@@ -27,6 +30,44 @@ def test_stages_keep_columns_and_take_effect(spark, tiny):
     assert (packed.groupby("sequence_id")["length"].sum() <= 2048).all()
 
 
+def test_stages_equal_brute_force(spark, tiny):
+    """What each stage keeps of what it got, and how tightly the last one packs, computed without Spark."""
+    from tokenizers import Tokenizer
+
+    labels = table(spark, tiny, "labels").toPandas()
+    docs = table(spark, tiny, "documents")
+    for name, stage in corpus_pipeline.STAGES:
+        before, out = docs.toPandas(), pinned(stage(spark, docs, tiny))
+        ids = [r.doc_id for r in out.select("doc_id").collect()]
+        if name == "language ID":
+            want = brute_language(langid.fit(docs))
+            assert sorted(ids) == sorted(i for i, t in zip(before.doc_id, before.text, strict=True) if want(t)[2])
+        elif name == "quality classifier":
+            found = brute_quality(before, labels)
+            assert sorted(ids) == sorted(found[found.keep].doc_id)
+        elif name == "MinHash near-dedup":
+            assert sorted(ids) == sorted(i for i, (_, c) in brute_components(list(zip(before.doc_id, before.text, strict=True)), 5, 80).items() if c == i)
+        elif name == "mixing sources":
+            size = {i: len(t.split()) for i, t in zip(before.doc_id, before.text, strict=True)}
+            target = {r.source: r.target for r in mixing.targets(docs.select("source", F.regexp_count("text", F.lit(r"\S+")).alias("size"))).collect()}
+            for source, rows in before.groupby("source"):
+                assert abs(sum(size[i] * ids.count(i) for i in rows.doc_id) - target[source]) <= max(size[i] for i in rows.doc_id)
+        else:
+            tokenizer = Tokenizer.from_file(tokenizer_path())
+            lengths, gaps = [], []
+            for t in before.text:
+                n = len(tokenizer.encode(t, add_special_tokens=False).ids) + 1
+                lengths += [2048] * (n // 2048) + [n % 2048] * (n % 2048 > 0)
+            for n in sorted(lengths, reverse=True):  # sequential best fit
+                fit = min((g for g in gaps if g >= n), default=None)
+                if fit is not None:
+                    gaps.remove(fit)
+                gaps.append((2048 if fit is None else fit) - n)
+            rows = out.toPandas()
+            assert sorted(rows["length"]) == sorted(lengths) and rows.sequence_id.nunique() == len(gaps)
+        docs = out
+
+
 @pytest.fixture(scope="module")
 def odd(spark, tiny):
     """The table's rows among odd ones, with further columns of names that the stages use themselves."""

@@ -35,11 +35,12 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), most:
     again. In the order of most * source_size / weight the stopped sources come first, so running sums find them. Numbers and sums go by
     buckets, so sources may be many (domains, say).
     """
-    base = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+    base = pinned(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")))
     named = with_bucket(base.filter("source is not null"), [], "source", "place")
     numbered = sums_before(named, [], F.col("place"), [F.col("source")], {"source_no": F.lit(1)}).drop("place")
     n = base.agg(F.count("source").alias("source_no"))  # one row
     numbered = numbered.unionByName(base.filter("source is null").crossJoin(F.broadcast(n))).withColumn("source_no", F.col("source_no").cast("int"))
+    numbered = pinned(numbered)
     weighted = numbered.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), F.col("source_no") % len(weights) + 1)).withColumn("cap", F.col("source_size") * F.lit(most)).withColumn("ratio", F.col("cap") / F.col("w"))
     ahead = sums_before(with_bucket(weighted, [], "ratio", "place"), [], F.col("place"), [F.col("ratio"), F.col("source_no")], {"cap_ahead": F.col("cap"), "w_ahead": F.col("w")})
     whole = weighted.agg(F.sum("source_size").alias("all_size"), F.sum("w").alias("all_w"))  # one row
