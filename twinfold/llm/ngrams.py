@@ -280,21 +280,23 @@ def score(documents: DataFrame, targets: DataFrame, order: int, models: Sequence
     asked = found.select("chunk", "name").join(values, "name")
     texts = texts_of_chunks(flagged)
     kinds = {f.name: f.dataType for f in texts.schema}
-    both = asked.select("chunk", *(F.lit(None).cast(kinds[c]).alias(c) for c in ("kept", "target", "sizes", "texts")), "name", *lps)
-    # a chunk's probabilities come first: they have no texts
-    every = both.unionByName(texts.select("*", F.lit(None).cast("long").alias("name"), *(F.lit(None).cast("double").alias(c) for c in lps)))
-    dealt = every.repartition("chunk").sortWithinPartitions("chunk", F.col("texts").isNotNull())
+    # one number orders chunks and, within them, probabilities (even) before texts (odd): Spark sorts it by radix
+    place = F.shiftleft("chunk", 1)
+    both = asked.select(place.alias("place"), *(F.lit(None).cast(kinds[c]).alias(c) for c in ("kept", "target", "sizes", "texts")), "name", *lps)
+    every = both.unionByName(texts.select((place + 1).alias("place"), "kept", "target", "sizes", "texts", F.lit(None).cast("long").alias("name"), *(F.lit(None).cast("double").alias(c) for c in lps)))
+    dealt = every.repartition(F.shiftright("place", 1)).sortWithinPartitions("place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, names, rows, values = None, [], [], None
         for b in batches:
-            of, is_text = b.column(0).to_numpy(), b.column(4).is_valid().to_numpy(zero_copy_only=False)
-            borders = [*np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (is_text[1:] != is_text[:-1])]).tolist(), len(of)]
+            at = b.column(0).to_numpy()
+            of, is_text = at >> 1, at & 1
+            borders = [*np.flatnonzero(np.r_[True, at[1:] != at[:-1]]).tolist(), len(at)]
             for lo, hi in zip(borders[:-1], borders[1:], strict=True):
                 part = b.slice(lo, hi - lo)
                 if chunk != of[lo]:
                     chunk, names, rows, values = of[lo], [], [], None
-                if not is_text[lo]:
+                if not is_text[lo]:  # probabilities
                     names.append(part.column(5).to_numpy().view(np.uint64))
                     rows.append(np.stack([part.column(6 + i).to_numpy() for i in range(len(lps))], axis=1))
                     continue
@@ -309,14 +311,14 @@ def score(documents: DataFrame, targets: DataFrame, order: int, models: Sequence
                     n, sums = np.zeros(many, np.int64), np.zeros((len(lps), many))
                     for _, _, owner, known in runs([raw[a:z] for a, z in zip([0, *ends], ends, strict=False)], order):
                         n += np.bincount(owner, minlength=many)
-                        at = values.of(known)
+                        rank = values.of(known)
                         for i in range(len(lps)):
-                            sums[i] += np.bincount(owner, weights=values.values[at, i], minlength=many)
+                            sums[i] += np.bincount(owner, weights=values.values[rank, i], minlength=many)
                     yield pa.RecordBatch.from_arrays([part.column(1)[k].values, part.column(2)[k].values, pa.array(n), *map(pa.array, sums)], ["kept", "target", "n_symbols", *lps])
 
     schema = flagged.select("kept", "target").schema.add("n_symbols", "long")
     for c in lps:
         schema = schema.add(c, "double")
-    out = mapped(dealt.select("chunk", "kept", "target", "sizes", "texts", "name", *lps), run, schema)
+    out = mapped(dealt.select("place", "kept", "target", "sizes", "texts", "name", *lps), run, schema)
     taken = [f"kept.{c}" for c in keep]
     return out.select(*taken, "target", "n_symbols", *lps)
