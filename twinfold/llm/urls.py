@@ -98,8 +98,8 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, url: str = "url
     entries = rules.select("key", F.lit("rule").alias("kind"), "verdict").unionByName(listed.select(F.col("canonical").alias("key"), F.lit("listed").alias("kind"), F.lit("block").alias("verdict"))).filter("key is not null").distinct()
     entries = pinned(entries)
     table, blocks = bloom(entries)
-    # urls are made distinct only once the filter has taken out most keys
-    hits = may_hold(asked, table, blocks).distinct().join(entries, ["key", "kind"])
+    # urls meet only behind the filter and the list, in an aggregation that repeated ones don't change
+    hits = may_hold(asked, table, blocks).join(hint_small(entries, entries.count()), ["key", "kind"])
     longest = F.max(F.when(F.col("kind") == "rule", F.struct(F.length("key").alias("n"), "key", "verdict")))
     found = hits.groupBy("url").agg(longest.alias("rule"), F.bool_or(F.col("kind") == "listed").alias("listed"))
     shown = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"))
