@@ -21,7 +21,7 @@ __all__ = ["BATCH_BYTES", "BATCH_ROWS", "WORD", "as_bytes", "chunks", "fresh", "
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows and bytes of an Arrow batch.
-BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
 
 
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:

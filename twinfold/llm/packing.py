@@ -218,7 +218,7 @@ class WordIds:
     up, so frequent words stay and memory is bounded whatever the texts hold.
     """
 
-    def __init__(self, compute: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 150_000, most_bytes: int = 8 << 20):
+    def __init__(self, compute: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 60_000, most_bytes: int = 4 << 20):
         self.compute, self.most, self.most_bytes = compute, most, most_bytes
         self.young, self.old = self.empty(), self.empty()
 
@@ -267,7 +267,7 @@ def pieces(documents: DataFrame, tokenizer: str, text: str = "text", doc_id: str
         known = WordIds(tokenizer_words(tokenizer))
         for b in batches:
             texts = as_bytes(b.column(1))
-            for lo, hi in chunks(texts, 2 << 20):
+            for lo, hi in chunks(texts):
                 words = pc.split_pattern(pa.array([x.translate(SPACES) for x in texts[lo:hi]], pa.large_binary()), " ")  # empty words have no ids
                 each = words.flatten().dictionary_encode()
                 ids, first, n = known.of(as_list(each.dictionary))
