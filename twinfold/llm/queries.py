@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licenses, lmscore, media, merkle, mixing, neardup, packing, quality, urls
+from . import divergence, langid, licenses, lmscore, media, merkle, mixing, neardup, online, packing, quality, repair, urls
 from .common import table
 
 
@@ -56,6 +56,18 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged_pages(spark, table(spark, sf_dir, "pages"))
 
 
+def op11_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return online.pack_online(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
 
@@ -97,7 +109,22 @@ f AS (SELECT page_id, max({'n': length(h || p), 'rule': h || p, 'verdict': verdi
 SELECT c.page_id, host, path, best.rule AS rule, CASE WHEN best IS NOT NULL THEN best.verdict WHEN spam.canonical IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, c.canonical FROM c LEFT JOIN f ON f.page_id = c.page_id LEFT JOIN spam ON spam.canonical = c.canonical
 """
 
+_DIVERGENCE = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+o AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM o GROUP BY ALL HAVING count(DISTINCT id) >= 30),
+l AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM o SEMI JOIN k USING (lang, term) GROUP BY ALL),
+s AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS n FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL),
+p AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS c, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (s.n + 5 * l.v) AS p, 1 + 1000000000::HUGEINT * (k.n + 5) // (l.n + 5 * l.v) AS q FROM s JOIN l ON l.lang = s.lang JOIN k ON k.lang = s.lang LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r) WHERE part = 'pair' OR rank <= 50
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the operators that SQL can express; tests/llm compares the others with brute force."""
-    return {"op4_merkle_fingerprint": _MERKLE, "op5_minhash_near_dedup": _NEAR, "op7_url_filter": _URLS}
+    return {"op4_merkle_fingerprint": _MERKLE, "op5_minhash_near_dedup": _NEAR, "op7_url_filter": _URLS, "op12_source_divergence": _DIVERGENCE}
