@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, chunks, mapped
-from .packing import WordIds, as_list, ragged
+from .packing import _CLASS, WordIds, as_list, byte_letters, ragged
 
 CAPACITY = 2048
 OPEN = 2_000  # open windows of a task, 16 MB of ids at most
@@ -170,9 +170,11 @@ def units(texts: list[bytes]) -> pa.DictionaryArray:
 def text_ids(path: str, end_id: int) -> Callable[[list[bytes]], list[np.ndarray]]:
     """texts -> the ids of each by a byte-level tokenizer, with end_id behind them."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
+    full, bare, letters = tokenizer.pre_tokenizer, pre_tokenizers.WhitespaceSplit(), byte_letters()
+    space = chr(256 + 32)  # the letter of a space's byte
     sizes = np.zeros(tokenizer.get_vocab_size(), dtype=np.int64)
     for token, i in tokenizer.get_vocab(with_added_tokens=False).items():
         sizes[i] = len(token)  # a letter stands for a byte
@@ -180,33 +182,51 @@ def text_ids(path: str, end_id: int) -> Callable[[list[bytes]], list[np.ndarray]
     def encode(texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, dtype="<u4") for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def of_plain(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """As compute, of units that begin and end a pre-token wherever they stand: many in one text, whose ids are cut by their bytes."""
-        ids = np.concatenate(encode([(b" " + b" ".join(words[k : k + 1000])).decode() for k in range(0, len(words), 1000)]))
+    def cut(texts: list[str], words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As compute, of words that are joined in texts with a space ahead of each: the ids are cut by their bytes."""
+        ids = np.concatenate(encode(texts))
         ends, want = np.cumsum(sizes[ids]), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        cut = np.searchsorted(ends, want)
-        if (ends[cut] != want).any():
+        at = np.searchsorted(ends, want)
+        if (ends[at] != want).any():
             raise ValueError("the vocabulary's ids don't follow its pre-tokens")
-        return ids, np.diff(cut + 1, prepend=0)
+        return ids, np.diff(at + 1, prepend=0)
+
+    def of_letters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Of units of letters alone: each is one pre-token, so the pattern isn't asked."""
+        texts = [letters[np.frombuffer(b" ".join(words[k : k + 1000]), np.uint8)].tobytes().decode("utf-32-le") for k in range(0, len(words), 1000)]
+        tokenizer.pre_tokenizer = bare
+        try:
+            return cut([space + x.replace(" ", " " + space) for x in texts], words)
+        finally:
+            tokenizer.pre_tokenizer = full
+
+    def of_plain(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Of units that begin and end a pre-token wherever they stand."""
+        return cut([(b" " + b" ".join(words[k : k + 1000])).decode() for k in range(0, len(words), 1000)], words)
+
+    def of_odd(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = encode([text_of(w) for w in words])
+        return np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
 
     def compute(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         flat = np.frombuffer(b" ".join(words) + b" ", dtype=np.uint8)
         size = np.fromiter(map(len, words), np.int64, len(words))
         begin = np.cumsum(size + 1) - size - 1
-        odd = (size == 0) | (flat[begin] >= 0xFD) | (np.add.reduceat(flat == 0xFE, begin) > 0) | (flat[begin + size - 1] <= 32)
-        for k in np.flatnonzero(~odd & (flat[begin + size - 1] >= 0x80)).tolist():
-            odd[k] = words[k].endswith(_ENDS)
-        parts, order = [], np.r_[np.flatnonzero(~odd), np.flatnonzero(odd)]
-        if not odd.all():
-            try:
-                parts.append(of_plain([words[k] for k in np.flatnonzero(~odd).tolist()]))
-            except UnicodeDecodeError:
-                odd, order = np.ones(len(words), bool), np.arange(len(words))
-        if odd.any():
-            found = encode([text_of(words[k]) for k in np.flatnonzero(odd).tolist()])
-            parts.append((np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))))
+        kind = np.where((size == 0) | (flat[begin] >= 0xFD) | (np.add.reduceat(flat == 0xFE, begin) > 0) | (flat[begin + size - 1] <= 32), 2, 1)
+        kind[(np.add.reduceat(_CLASS[flat] != 1, begin) == 1) & (kind == 1)] = 0  # the space behind it alone
+        for k in np.flatnonzero((kind == 1) & (flat[begin + size - 1] >= 0x80)).tolist():
+            kind[k] += words[k].endswith(_ENDS)
+        parts, order = [], []
+        for which, run in enumerate((of_letters, of_plain, of_odd)):
+            at = np.flatnonzero(kind == which)
+            if len(at):
+                try:
+                    parts.append(run([words[k] for k in at.tolist()]))
+                except UnicodeDecodeError:  # not UTF-8: one by one
+                    parts.append(of_odd([words[k] for k in at.tolist()]))
+                order.append(at)
         ids, n = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-        back = np.argsort(order)
+        back = np.argsort(np.concatenate(order))
         return ragged(ids, (np.cumsum(n) - n)[back], n[back]), n[back]
 
     def text_of(unit: bytes) -> str:
