@@ -123,11 +123,46 @@ def complete_units(lines: DataFrame, key: str, expected: Column) -> DataFrame:
     return lines.join(found, key, "left_semi")
 
 
-def recover_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> tuple[DataFrame, DataFrame]:
-    """(good records, raw text of lines that don't parse): a truncated tail is set aside with its bytes, not lost."""
+def file_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, size, block, place, value) of all lines: their file, its bytes, the start of their split of it, increasing numbers, and the line.
+
+    Lines end at "\\n" alone, so a line's bytes and one more are what it takes of its file; block and place order a file's lines.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path)
+    meta = F.col("_metadata")
+    return lines.select(meta["file_path"].alias("path"), meta["file_size"].alias("size"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("place"), "value")
+
+
+def open_tails(lines: DataFrame) -> DataFrame:
+    """(path, block, place, offset, value) of the files of `file_lines` whose last line has no line end: the bytes behind the last one.
+
+    A file's lines with one byte each for their ends make one byte more than the file has. One row per file and task is shuffled.
+    """
+    last = F.max_by(F.struct("block", "place", "value"), F.struct("block", "place")).alias("last")
+    files = lines.groupBy("path").agg(F.max("size").alias("size"), F.sum(F.octet_length("value") + F.lit(1).cast("long")).alias("taken"), last)
+    return files.filter("taken = size + 1").select("path", "last.block", "last.place", (F.col("size") - F.octet_length("last.value")).alias("offset"), "last.value")
+
+
+def recover_jsonl(spark: SparkSession, path: str | list[str], schema: str | T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(records, tails): what an interrupted writer left behind a file's last line end is set aside, even if it parses.
+
+    tails: path, offset (its first byte's place), length, sha256, value and bytes of each file's fragment, nothing changed. Every line with an end
+    is a record: one that doesn't parse raises, wherever it stands; blank ones are skipped.
+    """
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    text = spark.read.text(path).filter(F.trim("value") != "").select(F.from_json("value", T.StructType([*kind.fields, T.StructField("_raw", T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_raw"}).alias("r"), "value")
-    return text.filter("r._raw is null").select("r.*").drop("_raw"), text.filter("r._raw is not null").select("value")
+    lines = file_lines(spark, path)
+    tails = open_tails(lines)
+    ended = lines.join(tails.select("path", "block", "place"), ["path", "block", "place"], "left_anti").filter(F.trim("value") != "")
+    records = ended.select(F.from_json("value", kind, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    raw = F.col("value").cast("binary")
+    return records, tails.select("path", "offset", F.octet_length("value").cast("long").alias("length"), F.sha2(raw, 256).alias("sha256"), "value", raw.alias("bytes"))
+
+
+def text_tail(text: Column) -> Column:
+    """Of a text: struct(offset, length, sha256) of the bytes behind its last line end; null where there are none."""
+    tail = F.substring_index(text, "\n", -1)
+    n = F.octet_length(tail).cast("long")
+    return F.when(n > 0, F.struct((F.octet_length(text) - n).alias("offset"), n.alias("length"), F.sha2(tail.cast("binary"), 256).alias("sha256")))
 
 
 def flatten_json(df: DataFrame, text: str, keep: Sequence[str] = ()) -> DataFrame:

@@ -1,8 +1,9 @@
 """Scores arrive as JSON-lines files and are appended once per example: the streaming form of a resumable scoring loop.
 
-Exactly-once comes from the query's checkpoint and from a merge in each micro-batch, so no state grows with the stream: records whose id
-has been appended, that repeat one of their batch or that the dataset doesn't have are set aside with the reason, or stop the query. A run
-is complete when as many ids are there as the dataset has.
+Each micro-batch is a folder of its own under the sink, `batch=<number>`, and so are its rejects. A batch that is run again after a crash
+replaces its own folders and compares its records with those of other batches alone, so rows and rejects are those of a run without a
+crash, wherever it broke off. No state grows with the stream: the sink is dealt by a hash of the key, and a batch reads the key column of those
+parts that its keys fall in. `runs` adds a manifest, a ledger of batches and phases.
 """
 
 from __future__ import annotations
@@ -17,16 +18,19 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.checks import Check, enforce
 from ..operators.lineage import with_checksum
+from ..operators.pinning import pinned
 
 Scorer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
+PARTS = 64  # of the sink, by a hash of the key
+
 
 def stream_scores(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """The stream of score records."""
     return spark.readStream.schema(schema).json(folder)
 
 
-def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
     except AnalysisException as e:  # the first batch finds no table
@@ -35,28 +39,54 @@ def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+def judged(batch: DataFrame, dataset: DataFrame, done: DataFrame | None, number: int, key: str) -> DataFrame:
+    """The batch's records with their part of the sink and `reason`: unknown to the dataset, or repeated in this batch or in another one.
+
+    done: the sink; its rows of this batch are an earlier try of it and don't count. Of equal keys in a batch the first by a hash of the record is kept.
+    """
+    part = F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")
+    in_batch = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*batch.columns), F.to_json(F.struct(*batch.columns))))
+    rows = pinned(batch.withColumn("part", part).withColumn("__n", in_batch))
+    known = dataset.select(key).distinct().withColumn("__known", F.lit(True))
+    found = rows.join(known, key, "left")
+    if done is None:
+        found = found.withColumn("__done", F.lit(None).cast("boolean"))
+    else:
+        parts = [r[0] for r in rows.select("part").distinct().collect()]  # PARTS at most
+        other = done.filter((F.col("batch") != number) & F.col("part").isin(*parts)).select(key).distinct().withColumn("__done", F.lit(True))
+        found = found.join(other, key, "left")
+    reason = F.when(F.col("__known").isNull(), "unknown").when(F.col("__done").isNotNull() | (F.col("__n") > 1), "repeated")
+    return pinned(found.select(*batch.columns, "part", reason.alias("reason")))
+
+
+def write_rows(rows: DataFrame, out: str, number: int) -> None:
+    """The batch's good records, with a checksum for each (over batch and part too, which readers see); an earlier try of the batch is replaced."""
+    with_checksum(rows.drop("reason").withColumn("batch", F.lit(int(number)))).drop("batch").write.mode("overwrite").partitionBy("part").parquet(f"{out}/batch={number}")
+
+
+def write_rejects(rows: DataFrame, out: str, number: int) -> None:
+    rows.drop("part").write.mode("overwrite").parquet(f"{out}_rejected/batch={number}")
+
+
+def append_batch(batch: DataFrame, number: int, dataset: DataFrame, out: str, key: str, strict: bool) -> DataFrame:
+    """Write one batch; gives its judged records. If strict, bad ones raise before anything is written."""
+    rows = judged(batch, dataset, read_or_none(batch.sparkSession, out), number, key)
+    bad = rows.filter("reason is not null")
+    if strict:
+        enforce([Check("unknown_or_repeated", bad)])
+    write_rejects(bad, out, number)
+    write_rows(rows.filter("reason is null"), out, number)
+    return rows
+
+
 def append_once(spark: SparkSession, folder: str, schema: str, dataset: DataFrame, out: str, checkpoint: str, key: str = "example_id", strict: bool = False) -> StreamingQuery:
     """Start a query that appends known, new records to `out` (Parquet, with a checksum for each); it stops when the folder's files are read.
 
     Other records go to `<out>_rejected` with their reason (unknown or repeated); if `strict`, they stop the query before the batch is appended.
-    Of the sink only the key column is read.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        done = _read_or_none(spark, out)
-        known = dataset.select(key).distinct().withColumn("__known", F.lit(True))
-        old = (done.select(key) if done is not None else batch.select(key).limit(0)).distinct().withColumn("__done", F.lit(True))
-        in_batch = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*batch.columns)))
-        judged = batch.withColumn("__n", in_batch).join(known, key, "left").join(old, key, "left")
-        reason = F.when(F.col("__known").isNull(), "unknown").when(F.col("__done").isNotNull() | (F.col("__n") > 1), "repeated")
-        judged = judged.select(*batch.columns, reason.alias("reason")).persist()
-        bad = judged.filter("reason is not null")
-        if strict:
-            enforce([Check("unknown_or_repeated", bad)])
-        # a batch that is run again replaces its rejects and finds its records done: neither is there twice
-        bad.write.mode("overwrite").parquet(f"{out}_rejected/batch={number}")
-        with_checksum(judged.filter("reason is null").drop("reason")).write.mode("append").parquet(out)
-        judged.unpersist()
+        append_batch(batch, number, dataset, out, key, strict)
 
     return stream_scores(spark, folder, schema).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
