@@ -44,9 +44,26 @@ def label_class(text: Column, labels: Sequence[str] | Column, correct: Column, t
     return F.when(t.isNull(), "invalid").when(t == correct, "correct").otherwise("wrong")
 
 
+def folded(text: Column) -> Column:
+    """The text with its cases folded: what differs in case alone, "Straße" and "STRASSE" too, becomes equal.
+
+    Upper case, then lower case; the final sigma is like the others, and the dotless i stays apart from the dotted one. (The sigma is
+    translated between the two: lower(upper(x)) by itself would be planned as lower(x).)
+    """
+    dotless = "\u0131"
+    kept = F.transform(F.split(text, dotless, -1), lambda x: F.lower(F.translate(F.upper(x), "\u03a3", "\u03c3")))
+    return F.array_join(kept, dotless)
+
+
 def complete_answer(text: Column) -> Column:
-    """The text in lower case without white space at its edges and, within these, without marks and spaces."""
-    return F.lower(F.regexp_replace(stripped(text), rf"^[{EDGE}]+|[{EDGE}]+\z", ""))
+    """The text, cases folded, without white space at its edges and, within these, without marks and spaces."""
+    return folded(F.regexp_replace(stripped(text), rf"^[{EDGE}]+|[{EDGE}]+\z", ""))
+
+
+def answer_class(text: Column, correct: Column, stale: Column) -> Column:
+    """correct, stale or other, by the complete answer; the expected ones are brought to the same form. Null is other."""
+    answer = complete_answer(text)
+    return F.when(answer == complete_answer(correct), "correct").when(answer == complete_answer(stale), "stale").otherwise("other")
 
 
 def after_marker(text: Column, marker: str, truncated: Column, end: str = "") -> Column:

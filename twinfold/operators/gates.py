@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .checks import forbidden_columns
+from .checks import Check, constant, enforce, forbidden_columns, not_empty, rule
 from .grouping import distinct_prompts
 
 
@@ -35,8 +35,35 @@ def behavior_rules(historical: str = "historical", **columns: str) -> dict[str,
 
 
 def natural_rules() -> dict[str, Column]:
-    """Full-vocabulary and candidate accuracy, mean rank and margin over the stale value."""
-    return {"full_ok": F.col("full_vocab_accuracy") >= 0.99, "candidate_ok": F.col("candidate_accuracy") >= 0.99, "rank_ok": F.col("mean_rank") <= 1.01, "margin_ok": F.col("stale_margin") > 0}
+    """Full-vocabulary and candidate accuracy, mean rank, and margin over the stale value, which decides only where there is such a value."""
+    return {"full_ok": F.col("full_vocab_accuracy") >= 0.99, "candidate_ok": F.col("candidate_accuracy") >= 0.99, "rank_ok": F.col("mean_rank") <= 1.01, "margin_ok": F.col("stale_margin").isNull() | (F.col("stale_margin") > 0)}
+
+
+def natural_gate(rows: DataFrame, cell: Sequence[str], expected: DataFrame, signature: Sequence[str], full: str = "full", right: str = "right", rank: str = "rank", margin: str = "margin", target_rank: str | None = None, parsed: str | None = None, rules: Mapping[str, Column] | None = None) -> DataFrame:
+    """One row per cell: its unique prompts, accuracies, ranks, parse rate and stale margin, the rules, `passes` and `failed`.
+
+    A prompt (signature) counts once in each cell that has it, and its diagnostics must agree over all its rows. The cells must be those of
+    `expected`, no more and no fewer. Accuracies must be 0 or 1, ranks 1 or more, and numbers finite. margin (over the stale value),
+    target_rank and parsed may be null: then they don't count. What is violated raises with its number of cases.
+    """
+    more = [x for x in (target_rank, parsed) if x]
+    diagnostics = [full, right, rank, margin, *more]
+    numbers = [F.col(x).cast("double") for x in diagnostics]
+    there = rows.select(*cell).distinct()
+    zero_one = lambda x: F.col(x).cast("double").isin(0.0, 1.0)
+    ranks = F.col(rank) >= 1 if not target_rank else (F.col(rank) >= 1) & (F.col(target_rank).isNull() | (F.col(target_rank) >= 1))
+    on = lambda a, b: [a[c].eqNullSafe(b[c]) for c in cell]
+    enforce([
+        not_empty(rows), rule(rows, "accuracy_or_rank", zero_one(full) & zero_one(right) & ranks),
+        rule(rows, "finite", ~F.exists(F.array(*numbers), lambda x: F.coalesce(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(False)))),
+        constant(rows, signature, diagnostics), Check("missing_cells", expected.join(there, on(expected, there), "left_anti")), Check("unexpected_cells", there.join(expected, on(there, expected), "left_anti")),
+    ])
+    unique = distinct_prompts(rows, [*cell, *signature], diagnostics)
+    mean = lambda x: F.avg(F.col(x).cast("double"))
+    some = [mean(target_rank).alias("mean_target_rank"), F.max(target_rank).alias("max_target_rank")] if target_rank else []
+    some += [mean(parsed).alias("parse_rate")] if parsed else []
+    cells = unique.groupBy(*cell).agg(F.count("*").alias("prompts"), mean(full).alias("full_vocab_accuracy"), mean(right).alias("candidate_accuracy"), mean(rank).alias("mean_rank"), mean(margin).alias("stale_margin"), *some)
+    return cell_gate(cells, rules or natural_rules())
 
 
 def prefix_gate(cells: DataFrame, keys: Sequence[str], depth: str, passes: str = "passes") -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .pinning import pinned
+
 
 def sums_before(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column], sums: Mapping[str, Column]) -> DataFrame:
     """df with, for each name, the sum of its column over all rows that come earlier (0 for the first).
@@ -51,10 +53,19 @@ def with_bucket(df: DataFrame, keys: Sequence[str], column: str, name: str = "bu
     return df.join(facts, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys], "left").select(*df.columns, place.alias(name))
 
 
+def with_range(df: DataFrame, keys: Sequence[str], column: str, name: str = "bucket") -> DataFrame:
+    """df with a number that is monotone in a column within each key, for `sums_before`: its rows' range of (keys, column).
+
+    The ranges are Spark's, taken from a sample of the rows, so there are as many as partitions and a hot key has several; only rows of
+    one value can't be parted. They are drawn once: the rows are pinned.
+    """
+    return pinned(df.repartitionByRange(*keys, column).withColumn(name, F.spark_partition_id()))
+
+
 def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """keys, value, n (rows of this value), below (rows of smaller ones), total: values are counted first, so a hot value is one row."""
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    ranked = sums_before(with_bucket(counted, keys, value, "__place"), keys, F.col("__place"), [F.col(value)], {"below": F.col("n")}).drop("__place")
+    counted = with_range(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n")), keys, value, "__place")
+    ranked = sums_before(counted, keys, F.col("__place"), [F.col(value)], {"below": F.col("n")}).drop("__place")
     total = counted.groupBy(*keys).agg(F.sum("n").alias("total"))
     return ranked.join(total, list(keys)) if keys else ranked.crossJoin(F.broadcast(total))
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import sums_before, with_bucket
+from .ordered import sums_before, with_range
+from .pinning import pinned
+from .resample import bootstrap_interval
 
 
 def greedy_folds(sizes: dict, k: int) -> dict:
@@ -39,51 +42,103 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 100)
     return w
 
 
-def cross_validated(df: DataFrame, features: Sequence[str], outcome: str, fold: str, keep: Sequence[str], k: int = 5, c: float = 1.0, clip: float = 1e-9, steps: int = 25) -> DataFrame:
-    """keep columns, fold, outcome and p: each fold predicted by a ridge logistic model of the others (see fit_logistic).
+def _sums(rows: DataFrame, run, length: int) -> np.ndarray:
+    """The sum over all rows of a vector that run(features, outcome, fold) gives for each batch: one vector a task, added up by Spark."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(length)
+        for b in batches:
+            columns = [c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns]
+            if len(columns[0]):
+                total += run(np.column_stack(columns[2:]), columns[0], columns[1].astype(int))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(length, dtype=np.int32)), pa.array(total)], ["pos", "value"])
+
+    out = np.zeros(length)
+    for r in rows.mapInArrow(task, "pos int, value double").groupBy("pos").agg(F.sum("value").alias("value")).collect():  # `length` rows
+        out[r["pos"]] = r["value"]
+    return out
+
+
+def fitted(rows: DataFrame, sets: Mapping[str, Sequence[str]], k: int, c: float = 1.0, steps: int = 25) -> dict[tuple[str, int], np.ndarray | None]:
+    """(set, fold) -> weights of the set's features, intercept last, of a ridge logistic model (see fit_logistic) of the other folds' rows.
 
-    Rows never meet in one task: means, deviations, gradients and curvatures are sums over one copy of the rows, a few dozen numbers a
-    fold (a fold's model takes the rows of all others), and only the Newton step on these sums is taken on the driver. A fold whose
-    training set has one class gets null.
+    rows: columns __y, __fold and the features of all sets, pinned; rows with a null are left out. All folds and sets are fitted together: a
+    Newton step is one scan, in which each task adds up gradients and curvatures in numpy and gives one vector, and only the summed
+    vector reaches the driver. A model whose training rows have one class is None.
     """
-    names, d = list(features), len(features)
-    centre = df.agg(*(F.avg(x).alias(f"m{i}") for i, x in enumerate(names))).first()
-    x = [f"__x{i}" for i in range(d + 1)]
-    moved = [(F.col(c) - F.lit(float(centre[f"m{i}"] or 0.0))).alias(x[i]) for i, c in enumerate(names)]
-    rows = df.select(*keep, outcome, F.col(fold).cast("int").alias("fold"), F.col(outcome).cast("double").alias("__y"), *moved, F.lit(1.0).alias(x[d]))
-    at = rows.select("fold", "__y", *x).persist()
-    others = lambda t, v: F.sum(F.when(F.col("fold") != t, v))
-    facts = at.agg(*(others(t, v).alias(f"{n}_{t}") for t in range(k) for n, v in [("n", F.lit(1.0)), ("y", F.col("__y")), *((f"s{i}", F.col(x[i])) for i in range(d)), *((f"q{i}", F.col(x[i]) * F.col(x[i])) for i in range(d))])).first()
-    usable = [t for t in range(k) if facts[f"n_{t}"] and 0 < facts[f"y_{t}"] < facts[f"n_{t}"]]
-    mean = {t: np.array([facts[f"s{i}_{t}"] / facts[f"n_{t}"] for i in range(d)]) for t in usable}
-    scale = {t: np.sqrt(np.maximum(0.0, np.array([facts[f"q{i}_{t}"] / facts[f"n_{t}"] for i in range(d)]) - mean[t] ** 2)) for t in usable}
-    scale = {t: np.where(v > 1e-12 * (1 + np.abs(mean[t])), v, 1.0) for t, v in scale.items()}
-    # standardised features are `turn` times the centred ones and 1
-    turn = {t: np.vstack([np.hstack([np.diag(1 / scale[t]), (-mean[t] / scale[t])[:, None]]), np.eye(d + 1)[d:]]) for t in usable}
-    weight = {t: np.zeros(d + 1) for t in usable}
-
-    def probability(t: int) -> Column:
-        z = sum((F.col(c) * F.lit(float(w)) for c, w in zip(x, weight[t] @ turn[t], strict=True)), F.lit(0.0))
-        return 1 / (1 + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), z))))
-
-    for _ in range(steps if usable else 0):
-        scored = at.select("fold", "__y", *x, *(probability(t).alias(f"__p{t}") for t in usable))
-        slope = [others(t, F.col(x[i]) * (F.col(f"__p{t}") - F.col("__y"))).alias(f"g{i}_{t}") for t in usable for i in range(d + 1)]
-        curve = [others(t, F.col(x[i]) * F.col(x[j]) * F.col(f"__p{t}") * (1 - F.col(f"__p{t}"))).alias(f"h{i}_{j}_{t}") for t in usable for i in range(d + 1) for j in range(i + 1)]
-        sums, moves = scored.agg(*slope, *curve).first(), 0.0
-        for t in usable:
-            ridge = np.array([1 / c] * d + [0.0])
-            h = turn[t] @ np.array([[sums[f"h{max(i, j)}_{min(i, j)}_{t}"] for j in range(d + 1)] for i in range(d + 1)]) @ turn[t].T + np.diag(ridge + 1e-12)
-            step = np.linalg.solve(h, turn[t] @ np.array([sums[f"g{i}_{t}"] for i in range(d + 1)]) + ridge * weight[t])
-            weight[t] = weight[t] - step
-            moves = max(moves, float(np.abs(step).max()))
-        if moves < 1e-9:
+    names = list(dict.fromkeys(x for features in sets.values() for x in features))
+    rows = rows.select("__y", "__fold", *names).dropna()
+    d = len(names)
+
+    def powers(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> np.ndarray:
+        each = np.column_stack([np.ones(len(y)), y, x])
+        return np.stack([each[fold == t].sum(axis=0) for t in range(k)]).ravel()
+
+    first = _sums(rows, powers, k * (d + 2)).reshape(k, d + 2)
+    others = first.sum(axis=0) - first
+    usable = [t for t in range(k) if 0 < others[t, 1] < others[t, 0]]
+    found: dict[tuple[str, int], np.ndarray | None] = {(s, t): None for s in sets for t in range(k)}
+    if not usable or not first[:, 0].sum():
+        return found
+    centre = first[:, 2:].sum(axis=0) / first[:, 0].sum()
+    squares = _sums(rows, lambda x, y, fold: np.stack([((x - centre)[fold == t] ** 2).sum(axis=0) for t in range(k)]).ravel(), k * d).reshape(k, d)
+    mean = others[:, 2:] / np.maximum(others[:, :1], 1) - centre
+    scale = np.sqrt(np.maximum(0.0, (squares.sum(axis=0) - squares) / np.maximum(others[:, :1], 1) - mean**2))
+    scale = np.where(scale > 1e-12 * (1 + np.abs(mean)), scale, 1.0)
+    at = {s: [names.index(x) for x in features] for s, features in sets.items()}
+    models = [(s, t) for s in sets for t in usable]
+    weight = {m: np.zeros(len(at[m[0]]) + 1) for m in models}
+    starts = np.cumsum([0] + [len(weight[m]) * (len(weight[m]) + 1) for m in models])
+
+    def slopes(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> np.ndarray:
+        parts = []
+        for s, t in models:
+            rest = fold != t
+            a = np.column_stack([(x[rest][:, at[s]] - centre[at[s]] - mean[t, at[s]]) / scale[t, at[s]], np.ones(rest.sum())])
+            p = 1 / (1 + np.exp(-np.clip(a @ weight[s, t], -35, 35)))
+            parts += [a.T @ (p - y[rest]), ((a * (p * (1 - p))[:, None]).T @ a).ravel()]
+        return np.concatenate(parts)
+
+    for _ in range(steps):
+        sums, moved = _sums(rows, slopes, starts[-1]), 0.0
+        for m, lo, hi in zip(models, starts, starts[1:], strict=False):
+            n = len(weight[m])
+            ridge = np.array([1 / c] * (n - 1) + [0.0])
+            step = np.linalg.solve(sums[lo + n : hi].reshape(n, n) + np.diag(ridge + 1e-12), sums[lo : lo + n] + ridge * weight[m])
+            weight[m] = weight[m] - step
+            moved = max(moved, float(np.abs(step).max()))
+        if moved < 1e-9:
             break
-    at.unpersist()
-    p = F.lit(None).cast("double")
-    for t in usable:
-        p = F.when(F.col("fold") == t, F.least(F.lit(1 - clip), F.greatest(F.lit(clip), probability(t)))).otherwise(p)
-    return rows.select(*keep, "fold", outcome, p.alias("p"))
+    for s, t in models:
+        w = weight[s, t][:-1] / scale[t, at[s]]
+        found[s, t] = np.append(w, weight[s, t][-1] - w @ (centre + mean[t])[at[s]])
+    return found
+
+
+def scored(df: DataFrame, sets: Mapping[str, Sequence[str]], outcome: str, fold: str, keep: Sequence[str], k: int = 5, c: float = 1.0, clip: float = 1e-9, steps: int = 25) -> DataFrame:
+    """keep columns, fold, outcome and p_<set> of each predictor set: every fold predicted by a model of the others.
+
+    Rows with a null feature are left out of fits and get null, and so does a fold whose training rows have one class.
+    """
+    names = list(dict.fromkeys(x for features in sets.values() for x in features))
+    renamed = {x: f"__x{i}" for i, x in enumerate(names)}
+    rows = pinned(df.select(*keep, outcome, F.col(fold).cast("int").alias("fold"), F.col(fold).cast("int").alias("__fold"), F.col(outcome).cast("double").alias("__y"), *(F.col(x).cast("double").alias(n) for x, n in renamed.items())))
+    weights = fitted(rows, {s: [renamed[x] for x in features] for s, features in sets.items()}, k, c, steps)
+
+    def probability(s: str) -> Column:
+        p = F.lit(None).cast("double")
+        for t in range(k):
+            if (w := weights[s, t]) is not None:
+                z = sum((F.col(renamed[x]) * F.lit(float(v)) for x, v in zip(sets[s], w, strict=False)), F.lit(float(w[-1])))
+                p = F.when(F.col("fold") == t, F.least(F.lit(1 - clip), F.greatest(F.lit(clip), 1 / (1 + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), z))))))).otherwise(p)
+        return F.when(F.coalesce(*renamed.values()).isNotNull() & ~F.exists(F.array(*renamed.values()), lambda v: v.isNull()), p)
+
+    return rows.select(*keep, "fold", outcome, *(probability(s).alias(f"p_{s}") for s in sets))
+
+
+def cross_validated(df: DataFrame, features: Sequence[str], outcome: str, fold: str, keep: Sequence[str], k: int = 5, c: float = 1.0, clip: float = 1e-9, steps: int = 25) -> DataFrame:
+    """keep columns, fold, outcome and p: `scored` for one predictor set."""
+    return scored(df, {"": features}, outcome, fold, keep, k, c, clip, steps).withColumnRenamed("p_", "p")
 
 
 def grouped_folds(df: DataFrame, group: str, k: int) -> DataFrame:
@@ -105,7 +160,7 @@ def grouped_folds(df: DataFrame, group: str, k: int) -> DataFrame:
             for t in level[: left if rounds == 1 else None]:
                 starts.append((size, rank, rank + rounds, t))
                 rank, left, load[t] = rank + rounds, left - rounds, load[t] + size * rounds
-    placed = with_bucket(sizes, [], group, "__place")
+    placed = with_range(sizes, [], group, "__place")
     ranked = sums_before(placed, ["__size"], F.col("__place"), [F.col(group)], {"__rank": F.lit(1)})
     runs = df.sparkSession.createDataFrame(starts, "__s long, __from long, __to long, fold int")
     return ranked.join(runs, (F.col("__size") == F.col("__s")) & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to"))).select(group, "fold")
@@ -122,13 +177,40 @@ def incremental_gain(df: DataFrame, group: str, outcome: str, base: str, more: s
 
 
 def compared(df: DataFrame, sets: dict[str, Sequence[str]], outcome: str, group: str, keep: Sequence[str], k: int = 5, c: float = 1.0) -> DataFrame:
-    """keep columns, group, outcome and p_<name> of each predictor set, all over the same folds of whole groups."""
-    folds = df.join(grouped_folds(df, group, k), group)
-    out = None
-    for name, features in sets.items():
-        found = cross_validated(folds, features, outcome, "fold", [*keep, group], k, c).withColumnRenamed("p", f"p_{name}")
-        out = found.drop("fold") if out is None else out.join(found.select(*keep, f"p_{name}"), list(keep))
-    return out
+    """keep columns, group, outcome and p_<name> of each predictor set, all over the same folds of whole groups and fitted together."""
+    needed = df.select(*dict.fromkeys([*keep, group, outcome, *(x for features in sets.values() for x in features)]))
+    folds = needed.join(grouped_folds(needed, group, k), group)
+    return scored(folds, sets, outcome, "fold", [*keep, group], k, c).drop("fold")
+
+
+#: Why no claim is made.
+FEW, ONE_CLASS = "insufficient outcome variation or history groups; no claim", "one-class training fold; no claim"
+
+
+def claim(df: DataFrame, sets: dict[str, Sequence[str]], base: str, more: str, outcome: str, group: str, keep: Sequence[str], k: int = 5, c: float = 1.0, n_draws: int = 200, seed: str = "81004") -> DataFrame:
+    """One row per predictor set: model, available, reason, n, events, its metrics with average precision, and the gain of `more` over `base`.
+
+    The gain is the mean over groups of how much lower the log loss is, with its bootstrap interval, on the row of `more`. Without a claim
+    there is one row with its reason and no model: fewer than five groups, one class, or a training fold of one class.
+    """
+    spark = df.sparkSession
+    df = pinned(df)
+    facts = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col(outcome).cast("long")), F.lit(0)).alias("events"), F.count_distinct(group).alias("groups")).first()
+    kind = "model string, available boolean, reason string, n long, events long, auroc double, average_precision double, prevalence double, brier double, log_loss double, gain double, low double, high double"
+    none = lambda why: spark.createDataFrame([(None, False, why, facts["n"], facts["events"], *[None] * 8)], kind)
+    if facts["groups"] < 5 or not 0 < facts["events"] < facts["n"]:
+        return none(FEW)
+    found = pinned(compared(df, sets, outcome, group, keep, k, c))
+    if not found.filter(F.greatest(*(F.col(f"p_{s}").isNull() for s in sets))).isEmpty():
+        return none(ONE_CLASS)
+    gain = incremental_gain(found, group, outcome, f"p_{base}", f"p_{more}").withColumn("__g", F.lit(0))
+    interval = bootstrap_interval(gain, ["__g"], [group], "gain", n_draws, seed).select(F.lit(more).alias("model"), F.col("mean").alias("gain"), "low", "high")
+    sides = None
+    for s in sets:
+        one = metrics(found, outcome, f"p_{s}").crossJoin(F.broadcast(average_precision(found, outcome, f"p_{s}")))  # one row each
+        one = one.select(F.lit(s).alias("model"), F.lit(True).alias("available"), F.lit(None).cast("string").alias("reason"), "n", F.lit(facts["events"]).alias("events"), "auroc", "average_precision", "prevalence", "brier", "log_loss")
+        sides = one if sides is None else sides.unionByName(one)
+    return sides.join(interval, "model", "left").select(*(x.split()[0] for x in kind.split(", ")))
 
 
 def metrics(df: DataFrame, outcome: str, p: str, group: Sequence[str] = ()) -> DataFrame:

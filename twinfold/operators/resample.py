@@ -16,16 +16,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import sums_before, with_bucket
+from .ordered import sums_before, with_range
+from .pinning import pinned
 
 CHUNK = 1 << 22  # numbers drawn at once
+SENT = 100_000  # rows (a group's key and a few numbers each, some MB) that are sent to every task at most
+SLOTS = 250_000  # slots of a task, about
 
 
 def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """df with i (0 and up within the group, by `order`) and n, the group's rows. Ranks are sums over buckets of the order, so no task holds a group."""
-    placed = with_bucket(df, group, order[0], "__place")
+    """df with i (0 and up within the group, by `order`) and n, the group's rows. Ranks are sums over ranges of the order, so no task holds a group."""
+    placed = with_range(df, group, order[0], "__place")
     ranked = sums_before(placed, group, F.col("__place"), [F.col(c) for c in order], {"i": F.lit(1).cast("long")}).drop("__place")
-    sizes = df.groupBy(*group).agg(F.count("*").alias("n"))
+    sizes = placed.groupBy(*group).agg(F.count("*").alias("n"))
     return ranked.join(sizes, list(group)) if group else ranked.crossJoin(F.broadcast(sizes))
 
 
@@ -36,15 +39,29 @@ def md5_number(*parts: Column) -> Column:
 
 def draws(df: DataFrame, group: Sequence[str], n_draws: int, seed: str) -> DataFrame:
     """(group, draw, i): the rows that each draw takes, with replacement."""
-    sizes = df.groupBy(*group).agg(F.count("*").alias("n"))
-    slots = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1)))).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    return _slots(df.groupBy(*group).agg(F.count("*").alias("n")), group, n_draws, seed)
+
+
+def _slots(sizes: DataFrame, group: Sequence[str], n_draws: int, seed: str, parts: int = 1) -> DataFrame:
+    """As draws, of (group, n); the draws are dealt to `parts` tasks before their slots are made."""
+    each = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
+    each = each.repartition(parts, "draw") if parts > 1 else each
+    slots = each.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     return slots.select(*group, "draw", F.pmod(md5_number(F.lit(seed), F.col("draw"), F.col("slot")), F.col("n")).alias("i"))
 
 
 def bootstrap_means(df: DataFrame, group: Sequence[str], order: Sequence[str], values: Sequence[str], n_draws: int, seed: str) -> DataFrame:
-    """(group, draw, mean of each value) of paired draws: one set of indices for all values."""
-    rows = numbered(df, group, order).select(*group, "i", *values)
-    return draws(df, group, n_draws, seed).join(rows, [*group, "i"]).groupBy(*group, "draw").agg(*(F.avg(v).alias(v) for v in values))
+    """(group, draw, mean of each value) of paired draws: one set of indices for all values.
+
+    The numbered rows are pinned and counted; up to SENT of them are sent to the tasks that make the slots, so these are summed by draw where
+    they are made. More rows meet their slots in a shuffle.
+    """
+    rows = pinned(numbered(df.select(*group, *order, *values), group, order).select(*group, "i", "n", *values))
+    count = rows.count()
+    slots = _slots(rows.filter("i = 0").select(*group, "n"), group, n_draws, seed, min(n_draws, 1 + count * n_draws // SLOTS))
+    found = rows.drop("n")
+    found = F.broadcast(found) if count <= SENT else found
+    return slots.join(found, [*group, "i"]).groupBy(*group, "draw").agg(*(F.avg(v).alias(v) for v in values))
 
 
 def bootstrap_interval(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, n_draws: int = 200, seed: str = "81004", level: float = 0.95) -> DataFrame:
@@ -61,6 +78,19 @@ def ratio_interval(df: DataFrame, group: Sequence[str], order: Sequence[str], nu
     return df.groupBy(*group).agg((F.avg(numerator) / F.avg(denominator)).alias("ratio")).join(ends, list(group))
 
 
+def cluster_interval(df: DataFrame, group: Sequence[str], cluster: str, value: str, n_draws: int = 200, seed: str = "cluster", level: float = 0.95) -> DataFrame:
+    """(group, clusters, n, mean, low, high) over all rows of the clusters that each draw takes, as many as there are, with replacement.
+
+    A draw's mean is the sum of its clusters' sums by the sum of their counts, so clusters may differ in size and only (sum, count) of each
+    is drawn. Null values are left out; a cluster of nulls alone counts as one without rows.
+    """
+    per = pinned(df.groupBy(*group, cluster).agg(F.coalesce(F.sum(F.col(value).cast("double")), F.lit(0.0)).alias("__sum"), F.count(value).alias("__count")))
+    means = bootstrap_means(per, group, [cluster], ["__sum", "__count"], n_draws, seed).withColumn("m", F.try_divide("__sum", "__count"))
+    ends = means.groupBy(*group).agg(F.percentile("m", (1 - level) / 2).alias("low"), F.percentile("m", (1 + level) / 2).alias("high"))
+    facts = per.groupBy(*group).agg(F.count("*").alias("clusters"), F.sum("__count").alias("n"), F.try_divide(F.sum("__sum"), F.sum("__count")).alias("mean"))
+    return facts.join(ends, list(group)) if group else facts.crossJoin(F.broadcast(ends))
+
+
 def sign_flip(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, n_draws: int = 200, seed: str = "flip") -> DataFrame:
     """(group, observed, p): p = (#{|mean| >= |observed|} + 1) / (draws + 1) under random signs of the histories."""
     rows = numbered(df, group, order)

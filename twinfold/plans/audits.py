@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scores, stats, text
 from ..operators import checks, contrasts, design, gates, grouping, joins, ordered, predict, probes, resample, tokens
 from ..operators import pairs as pair_ops
+from ..operators.pinning import pinned
 from ..sources.records import plan_blocks
 from ..streaming.append import progress
 from .base import candidates, families, pairs, query, r6, table, turns
@@ -284,6 +285,20 @@ def gate_natural(spark: SparkSession, sf: str) -> DataFrame:
     return gates.cell_gate(cells, gates.natural_rules()).select("label", "passes", F.array_join("failed", ",").alias("failed"))
 
 
+@query(
+    f"""WITH {_HITS}, g AS (SELECT condition, CAST(label % 2 AS INTEGER) AS query, count(*) AS prompts, avg(CAST(rank = 1 AS DOUBLE)) AS a, avg(rank) AS r, avg(CASE WHEN condition <> 'live' THEN margin END) AS m FROM h GROUP BY ALL)
+    SELECT condition, query, prompts, round(m, 6) AS stale_margin, a >= 0.1 AND r <= 9 AND (m IS NULL OR m > 0) AS passes, concat_ws(',', CASE WHEN a < 0.1 THEN 'full_ok' END, CASE WHEN r > 9 THEN 'rank_ok' END, CASE WHEN m <= 0 THEN 'margin_ok' END) AS failed FROM g""",
+    uses="candidates",
+)
+def gate_natural_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The gate over its exact cells, half of the prompts in two rows; the cells without a stale value pass without a margin."""
+    hits = _hits(spark, sf).select("vec_id", "condition", (c("label") % 2).cast("int").alias("query"), (c("rank") == 1).alias("full"), (c("rank") == 1).alias("right"), "rank", F.when(c("condition") != "live", c("margin")).alias("margin"))
+    expected = design.grid(spark, {"condition": ["live", "superseded", "irrelevant"], "query": [0, 1]})
+    rules = gates.natural_rules() | {"full_ok": c("full_vocab_accuracy") >= 0.1, "candidate_ok": lit(True), "rank_ok": c("mean_rank") <= 9}
+    found = gates.natural_gate(hits.unionByName(hits.filter("vec_id % 2 = 0")), ["condition", "query"], expected, ["vec_id"], rules=rules)
+    return found.select("condition", "query", "prompts", r6("stale_margin", "stale_margin"), "passes", F.array_join("failed", ",").alias("failed"))
+
+
 def _semantic(only: str) -> str:
     return f"""WITH {_HITS}, g AS (SELECT condition, count(*) AS prompts, avg(CAST(rank = 1 AS DOUBLE)) AS a, avg(margin) AS m FROM h GROUP BY 1)
     SELECT condition, prompts, round(a, 6) AS accuracy, a >= 0.1 AND ({only} OR m > 0) AS passes, concat_ws(',', CASE WHEN a < 0.1 THEN 'accuracy_ok' END, CASE WHEN NOT ({only} OR m > 0) THEN 'margin_ok' END) AS failed FROM g"""
@@ -541,6 +556,19 @@ def prediction_increment(spark: SparkSession, sf: str) -> DataFrame:
     return sides[0].unionByName(sides[1]).crossJoin(F.broadcast(interval))  # one row
 
 
+@query()
+def prediction_claims(spark: SparkSession, sf: str) -> DataFrame:
+    """The claim for each language and outcome: three predictor sets in one fit, or the reason why there is none."""
+    docs = table(spark, sf, "documents").select("doc_id", "source", "lang", F.log1p("n_chars").alias("size"), (F.regexp_count("text", lit(r"[|$!]")) / (c("n_chars") + 1)).alias("marks"), (F.regexp_count("text", lit("[.]")) / (c("n_chars") + 1)).alias("stops"))
+    rows = pinned(docs.join(table(spark, sf, "labels"), "doc_id").dropna(subset=["size", "marks", "stops", "source", "lang"]))
+    sets, out = {"base": ["size"], "more": ["size", "marks"], "contemporaneous": ["stops"]}, None
+    for lang, outcome in (("en", "quality"), ("de", "toxic"), ("none", "quality")):  # the last has no row: no claim
+        found = predict.claim(rows.filter(c("lang") == lang).dropna(subset=[outcome]), sets, "base", "more", outcome, "source", ["doc_id"])
+        found = found.select(lit(lang).alias("lang"), lit(outcome).alias("outcome"), "*")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query()
 def grouped_probe_folds(spark: SparkSession, sf: str) -> DataFrame:
     """Two slots (slices of the vector) of each of two queries, probed in five folds of whole groups."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import checks, contrasts, resample
+from ..operators.pinning import pinned
 from .base import cells, pairs, query, r6
 
 DRAWS = 100
@@ -26,7 +27,7 @@ def condition_contrasts(spark: SparkSession, sf: str) -> DataFrame:
     """Contrasts of conditions per supplier, summarised with a 97.5 % portable bootstrap interval."""
     wide = contrasts.pivot_cells(pairs(spark, sf), ["history"], "condition", {"a": "A", "n": "N", "r": "R"}, "effect")
     both = wide.select("history", (F.col("a") - F.col("r")).alias("a_minus_r"), (F.col("n") - F.col("r")).alias("n_minus_r"))
-    long = both.unpivot("history", ["a_minus_r", "n_minus_r"], "contrast", "v").filter("v is not null")
+    long = pinned(both.unpivot("history", ["a_minus_r", "n_minus_r"], "contrast", "v").filter("v is not null"))
     ends = resample.bootstrap_interval(long, ["contrast"], ["history"], "v", DRAWS, "81004", 0.975).drop("mean")
     v = F.col("v")
     facts = long.groupBy("contrast").agg(F.count("*").alias("n"), r6(F.avg(v), "mean"), r6(F.median(v), "median"), r6(stats.fraction_positive(v), "fraction_positive"))

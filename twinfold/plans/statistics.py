@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, stats, text
 from ..operators import design, gates, grouping, ordered, predict, resample
-from ..sources.records import flatten_json
+from ..sources.records import flatten_json, text_tail
 from .base import candidates, cells, families, family_pairs, pairs, query, r6, table
 
 _MARGINS = "margins AS (SELECT vec_id, label, v[answer + 1] - list_max(list_concat(v[1:answer], v[answer + 2:8])) AS margin, v[answer + 1] >= list_max(v) AS hit FROM candidates)"
@@ -154,7 +154,8 @@ _LABELS = (
     r"""WITH h AS (SELECT conv_id, turn, """ + _STRIP.format("chr(9) || role || chr(10)") + r""" AS role, regexp_matches(text, '(^|[^\p{L}\p{N}_])the([^\p{L}\p{N}_]|\z)') AS a, regexp_matches(text, '(^|[^\p{L}\p{N}_])and([^\p{L}\p{N}_]|\z)') AS b FROM conversations)
     SELECT conv_id, turn, CASE WHEN role IN ('user', 'assistant') THEN role END AS strict, CASE WHEN a AND NOT b THEN 'the' WHEN b AND NOT a THEN 'and' END AS relaxed"""
 )
-_ANSWERS = r"""SELECT conv_id, turn, lower(regexp_replace(regexp_replace(t, '^[\x20"''`.,;:!?]+', ''), '[\x20"''`.,;:!?]+\z', '')) AS answer, CASE WHEN starts_with(lower(text), 'the') THEN 'The' WHEN starts_with(lower(text), 'and') THEN 'And' END AS starts_with
+#: The sharp s is the one letter of these texts whose folded form isn't its small one.
+_ANSWERS = r"""SELECT conv_id, turn, replace(lower(regexp_replace(regexp_replace(t, '^[\x20"''`.,;:!?]+', ''), '[\x20"''`.,;:!?]+\z', '')), 'ß', 'ss') AS answer, CASE WHEN starts_with(lower(text), 'the') THEN 'The' WHEN starts_with(lower(text), 'and') THEN 'And' END AS starts_with
     FROM (SELECT *, """ + _STRIP.format("text") + r""" AS t FROM conversations)"""
 
 
@@ -187,6 +188,26 @@ def complete_answer_whole_text(spark: SparkSession, sf: str) -> DataFrame:
     return complete_answer_parse(spark, sf)
 
 
+@query(
+    """SELECT doc_id, CASE WHEN a = lower(source) || 'ss' THEN 'correct' WHEN a = 'src0ss' THEN 'stale' ELSE 'other' END AS category
+    FROM (SELECT doc_id, source, CASE doc_id % 3 WHEN 0 THEN upper(source) || 'SS' WHEN 1 THEN 'SRC0SS' ELSE lang END AS x FROM documents), LATERAL (SELECT lower(x) AS a)"""
+)
+def answer_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers in capitals, where the sharp s is two letters, against expected ones in small letters."""
+    d = table(spark, sf, "documents").select("doc_id", "source", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(' "'), F.upper("source"), F.lit('SS!" '))).when(F.col("doc_id") % 3 == 1, "SRC0SS.").otherwise(F.col("lang")).alias("x"))
+    return d.select("doc_id", text.answer_class(F.col("x"), F.concat("source", F.lit("\u00df")), F.lit("src0\u00df")).alias("category"))
+
+
+@query(
+    """WITH t AS (SELECT doc_id, substr(text, 1, length(text) * 2 // 3) AS t FROM documents WHERE text IS NOT NULL), x AS (SELECT doc_id, t, string_split(t, chr(10))[-1] AS tail FROM t)
+    SELECT doc_id, strlen(t) - strlen(tail) AS offset, strlen(tail) AS length, sha256(tail) AS sha256 FROM x WHERE tail <> ''"""
+)
+def truncated_tails(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts cut off at two thirds, as an interrupted writer leaves a file: what stands behind the last line end."""
+    cut = table(spark, sf, "documents").filter("text is not null").select("doc_id", F.expr("substring(text, 1, CAST(length(text) * 2 DIV 3 AS INT))").alias("t"))
+    return cut.select("doc_id", text_tail(F.col("t")).alias("tail")).filter("tail is not null").select("doc_id", "tail.*")
+
+
 @query(f"WITH {_MARGINS} SELECT vec_id, CASE WHEN hit THEN 'correct' WHEN margin > -0.1 THEN 'near' WHEN label > 7 THEN 'outside' ELSE 'far' END AS kind FROM margins", uses="candidates")
 def error_taxonomy(spark: SparkSession, sf: str) -> DataFrame:
     m = candidates(spark, sf).withColumn("margin", scores.competitor_margin(F.col("v"), F.col("answer")))
@@ -268,6 +289,18 @@ def bootstrap_mean_portable(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("g", *(r6(c, c) for c in ("mean", "low", "high")), stats.interval_verdict(F.col("low"), F.col("high")).alias("verdict"))
 
 
+@query(
+    """WITH p AS (SELECT event_type AS g, user_id, sum(value) AS s, count(value) AS c FROM events GROUP BY ALL), x AS (SELECT g, s, c, row_number() OVER (PARTITION BY g ORDER BY user_id) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM p),
+    t AS (SELECT g, draw, CAST('0x' || substr(md5('35:' || draw || ':' || slot), 1, 8) AS BIGINT) % n AS i FROM (SELECT g, n, draw, unnest(range(n)) AS slot FROM (SELECT g, n, unnest(range(100)) AS draw FROM (SELECT DISTINCT g, n FROM x)))),
+    m AS (SELECT t.g, draw, sum(s) / sum(c) AS m FROM t JOIN x ON x.g = t.g AND x.i = t.i GROUP BY ALL), q AS (SELECT g, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY 1)
+    SELECT x.g, count(*) AS clusters, CAST(sum(c) AS BIGINT) AS n, round(sum(s) / sum(c), 6) AS mean, round(any_value(low), 6) AS low, round(any_value(high), 6) AS high FROM x JOIN q ON q.g = x.g GROUP BY 1"""
+)
+def cluster_bootstrap_portable(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean event value by type with an interval over users, who have different numbers of events."""
+    found = resample.cluster_interval(table(spark, sf, "events").select(F.col("event_type").alias("g"), "user_id", "value"), ["g"], "user_id", "value", 100, "35")
+    return found.select("g", "clusters", "n", *(r6(c, c) for c in ("mean", "low", "high")))
+
+
 _RATIO = _DRAWS.replace("effect, row_number", "score, member, row_number").replace("FROM family_pairs WHERE effect IS NOT NULL", "FROM families WHERE member = 1")
 
 

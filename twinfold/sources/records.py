@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import stripped
-from ..operators.ordered import sums_before, with_bucket
+from ..operators.ordered import sums_before, with_bucket, with_range
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str | T.StructType) -> DataFrame:
@@ -195,7 +195,7 @@ def plan_blocks(lines: DataFrame, order: str = "ord", text: str = "line", fields
     header = F.regexp_extract(text, r"^### +(\S+)\b", 1)
     field = [F.regexp_extract(text, r"^- (" + "|".join(fields) + r"):\s*(.*)$", i) for i in (1, 2)]
     marked = lines.select(order, F.nullif(header, F.lit("")).alias("id"), F.nullif(field[0], F.lit("")).alias("field"), stripped(field[1]).alias("value"))
-    placed = with_bucket(marked.filter("id is not null or field is not null"), [], order, "__place")
+    placed = with_range(marked.filter("id is not null or field is not null"), [], order, "__place")
     counted = sums_before(placed, [], F.col("__place"), [F.col(order)], {"__before": F.col("id").isNotNull().cast("long")})
     block = F.col("__before") + F.col("id").isNotNull().cast("long")
     last = lambda f: F.max_by(F.when(F.col("field") == f, F.col("value")), F.when(F.col("field") == f, F.col(order)))
