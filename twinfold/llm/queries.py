@@ -100,10 +100,11 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.root, w.doc_id) AS c
 """
 
 _URLS = r"""
-WITH h AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-p AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM h),
+WITH h AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, html, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM h),
 c AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^www\.|:(80|443)$', '') || regexp_replace(path, '(/|\.html)$', '') END AS canonical FROM p),
-spam AS (SELECT DISTINCT canonical FROM c WHERE regexp_matches(host, '(^|[.-])(casino|pills|bets|ads)([.-]|$)')),
+m AS (SELECT canonical, min(page_id) AS page_id, md5(CASE WHEN contains(html, '<article>') AND contains(string_split(html, '<article>')[-1], '</article>') THEN nullif(string_split(string_split(html, '<article>')[-1], '</article>')[1], '') END) AS digest FROM c WHERE canonical IS NOT NULL GROUP BY ALL),
+spam AS (SELECT DISTINCT m.canonical FROM m JOIN m o ON o.digest = m.digest AND o.canonical <> m.canonical AND (o.page_id, o.canonical) < (m.page_id, m.canonical)),
 rules(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
 f AS (SELECT page_id, max({'n': length(h || p), 'rule': h || p, 'verdict': verdict}) AS best FROM c JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY 1)
 SELECT c.page_id, host, path, best.rule AS rule, CASE WHEN best IS NOT NULL THEN best.verdict WHEN spam.canonical IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, c.canonical FROM c LEFT JOIN f ON f.page_id = c.page_id LEFT JOIN spam ON spam.canonical = c.canonical
