@@ -30,14 +30,14 @@ TOP = 50
 SCALE, SMOOTH = 1_000_000_000, 5
 BLOCK = 1024  # terms compared together, about
 SOURCES = 128  # sources compared together with as many others
-HELD = 400_000  # counted rows of a task that wait to be combined
+HELD = 1_000_000  # counted rows of a task that wait to be combined
 
 #: Term letters: ASCII letters in lower case and all bytes of other characters; every other byte is a space.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 0x80 else 32 for b in range(256))
 
 
 def term_counts(documents: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """lang, source, term, n (occurrences), docs (documents with it): one row each, summed over the table."""
+    """lang, source, term, n (occurrences), docs (documents with it): one row each, summed over the table and dealt by (lang, term)."""
     keys = ["lang", "source", "term"]
 
     def combined(tables: list[pa.Table]) -> pa.Table:
@@ -71,7 +71,9 @@ def term_counts(documents: DataFrame, text: str = "text", lang: str = "lang", so
 
     named = documents.select(F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("text"))
     counted = mapped(named, run, "lang string, source string, term binary, n long, docs long")
-    return counted.groupBy("lang", "source", F.col("term").cast("string").alias("term")).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # tasks have combined their rows: of a term there are as many as tasks and sources, so its sources can be dealt together
+    dealt = counted.withColumn("term", F.col("term").cast("string")).repartition("lang", "term")
+    return dealt.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(count: Column, total: Column) -> Column:
@@ -150,13 +152,18 @@ def pair_sums(groups: DataFrame, kept: DataFrame, blocks: DataFrame) -> DataFram
 
 def audit(documents: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least: int = DOCUMENTS, top: int = TOP) -> DataFrame:
     """lang, source, part (`pair` or `term`), item, value, rank; see the module's text."""
-    counts = pinned(term_counts(documents, text, lang, source))
-    terms = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.sum(F.shiftright(F.xxhash64("source", "n"), 24)).alias("pattern")).filter(F.col("docs") >= least).drop("docs")
-    per_lang = terms.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("n_lang"))
+    counts = term_counts(documents, text, lang, source)
+    of_term = Window.partitionBy("lang", "term")  # its rows are one per source
+    pattern = F.shiftright(F.xxhash64("source", "n"), 24)
+    counts = counts.select("lang", "source", "term", "n", *(F.sum(c).over(of_term).alias(n) for n, c in (("docs", F.col("docs")), ("n_all", F.col("n")), ("pattern", pattern))))
+    counts = pinned(counts.filter(F.col("docs") >= least).drop("docs"))
+    terms = counts.groupBy("lang", "term").agg(F.max("n_all").alias("total"), F.max("pattern").alias("pattern"))
+    per_lang = pinned(terms.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("n_lang")))
     n_blocks = F.greatest(F.lit(1), F.ceil(F.coalesce("v", F.lit(0)) / BLOCK)).cast("int")
-    dealt = pinned(terms.join(per_lang, "lang").withColumn("n_blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("lang", "term"), F.col("n_blocks")).cast("int")))
-    kept = counts.select("lang", "source", "term", "n").join(dealt.select("lang", "term", "block", F.col("total").alias("n_all"), "v", "n_lang"), ["lang", "term"])
-    kept = pinned(kept)
+    block = F.pmod(F.xxhash64("lang", "term"), F.col("n_blocks")).cast("int").alias("block")
+    sized = per_lang.withColumn("n_blocks", n_blocks)
+    dealt = terms.join(sized, "lang").select("lang", "term", block, "total", "pattern")
+    kept = counts.join(sized, "lang").select("lang", "source", "term", "n", "n_all", "v", "n_lang", block)
 
     shown = documents.select(F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(source), F.lit("")).alias("source")).distinct()
     sizes = kept.groupBy("lang", "source").agg(F.sum("n").alias("n_group"))
@@ -165,7 +172,7 @@ def audit(documents: DataFrame, text: str = "text", lang: str = "lang", source:
     per = groups.groupBy("lang").agg(F.ceil(F.count("*") / SOURCES).cast("int").alias("chunks"))
     groups = pinned(groups.join(per, "lang").withColumn("chunk", F.pmod(F.xxhash64("source"), F.col("chunks")).cast("int")))
 
-    pairs = pair_sums(groups, kept.select("lang", "source", "term", "block", "n"), dealt.select("lang", "term", "block", "total", "pattern"))
+    pairs = pair_sums(groups, kept.select("lang", "source", "term", "block", "n"), dealt)
     by_value = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = pairs.select("lang", F.col("a").alias("source"), F.lit("pair").alias("part"), F.col("b").alias("item"), "value").withColumn("rank", F.row_number().over(by_value))
     own = kept.join(groups.select("lang", "source", F.col("total").alias("of")), ["lang", "source"])
