@@ -145,6 +145,126 @@ def fresh_signatures(df: DataFrame, index: str, signature: Callable[[Column, Col
         judged.unpersist()
 
 
+def fresh_keyed(df: DataFrame, index: str, keys: Callable[[Column, Column], Column], used: DataFrame, attempts: int = 1000) -> DataFrame:
+    """(index, attempt, keys): each row's first attempt none of whose keys is used or belongs to a row before it.
+
+    keys: an array of signatures of (index, attempt), such as a target's and its whole history's, or both orientations of a pair. A row has
+    all its keys or none, so a row that goes on frees what it asked for. All rows are settled together, in rounds: each takes its first attempt
+    that the present choices of the rows before it leave free. After n rounds the first n rows are as if drawn one by one, and a round in
+    which no row changes is that result; conflicts are few, so that comes soon. used: a column `signature`. Raises if a row runs out of attempts.
+    """
+    barred = pinned(used.select("signature").distinct().withColumn("__owner", F.lit(None).cast(df.schema[index].dataType)))
+    ids = pinned(df.select(index))
+    chosen, reach = None, 4
+    while True:
+        owners = barred if chosen is None else barred.unionByName(chosen.select(F.explode("keys").alias("signature"), F.col(index).alias("__owner")).groupBy("signature").agg(F.min("__owner").alias("__owner")))
+        asked = ids.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(reach - 1)))).withColumn("keys", keys(F.col(index), F.col("attempt")))
+        met = asked.select(index, "attempt", F.explode("keys").alias("signature")).join(owners, "signature").filter(F.col("__owner").isNull() | (F.col("__owner") < F.col(index))).select(index, "attempt").distinct()
+        first = asked.join(met, [index, "attempt"], "left_anti").groupBy(index).agg(F.min_by(F.struct("attempt", "keys"), "attempt").alias("__a"))
+        now = pinned(ids.join(first, index, "left").select(index, "__a.attempt", "__a.keys"))
+        if not now.filter("attempt is null").isEmpty():
+            if reach >= attempts:
+                raise ValueError(f"no fresh signature in {attempts} attempts")
+            reach = min(attempts, 2 * reach)
+        elif chosen is not None and now.join(chosen.select(index, F.col("attempt").alias("__was")), index).filter("attempt <> __was").isEmpty():
+            return now
+        else:
+            chosen = now
+
+
+def order_ways(items: Sequence[str], before: Sequence[tuple[str, str]]) -> list[int]:
+    """By set of items (a bit each): in how many orders the others can follow once these have stood; 0 if these alone can't stand first."""
+    n = len(items)
+    need = [sum(1 << items.index(a) for a, b in before if b == x) for x in items]
+    ways = [0] * (1 << n)
+    ways[-1] = 1
+    for m in range((1 << n) - 2, -1, -1):
+        if all(m & need[i] == need[i] for i in range(n) if m >> i & 1):
+            ways[m] = sum(ways[m | 1 << i] for i in range(n) if not m >> i & 1 and m & need[i] == need[i])
+    return ways
+
+
+def nth_order(number: Column, items: Sequence[str], before: Sequence[tuple[str, str]]) -> Column:
+    """The order of the items with this number among those that keep the precedence, in the order of `legal_orders`; null beyond them.
+
+    Item by item: the orders that begin with each candidate are counted (see order_ways; a table of 2 ^ items numbers), and the number says
+    into whose share it falls. No list of orders is made.
+    """
+    n = len(items)
+    ways = F.array(*(F.lit(w).cast("long") for w in order_ways(items, before)))
+    need = F.array(*(F.lit(sum(1 << items.index(a) for a, b in before if b == x)) for x in items))
+    names = F.array(*map(F.lit, items))
+
+    def step(at: Column, _: Column) -> Column:
+        def offer(found: Column, i: Column) -> Column:
+            bit = F.call_function("shiftleft", F.lit(1), i)
+            free = (found["item"] < 0) & (at["mask"].bitwiseAND(bit) == 0) & (at["mask"].bitwiseAND(F.get(need, i)) == F.get(need, i))
+            share = F.get(ways, at["mask"].bitwiseOR(bit))
+            here = free & (found["left"] < share)
+            return F.struct(F.when(free & ~here, found["left"] - share).otherwise(found["left"]).alias("left"), F.when(here, i).otherwise(found["item"]).alias("item"))
+
+        taken = F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.struct(at["left"].alias("left"), F.lit(-1).alias("item")), offer)
+        return F.get(F.transform(F.array(taken), lambda taken: moved(at, taken)), 0)  # what is taken is computed once
+
+    def moved(at: Column, taken: Column) -> Column:
+        return F.struct(at["mask"].bitwiseOR(F.call_function("shiftleft", F.lit(1), taken["item"])).alias("mask"), taken["left"].alias("left"), F.concat(at["order"], F.array(F.get(names, taken["item"]))).alias("order"))
+
+    start = F.struct(F.lit(0).alias("mask"), number.cast("long").alias("left"), F.array().cast("array<string>").alias("order"))
+    total = order_ways(items, before)[0]
+    return F.when((number >= 0) & (number < total), F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, step)["order"])
+
+
+def _sampled(values: Sequence[str], n: Column, *seed: Column) -> Column:
+    """n of the values without replacement, by a seeded md5 of each."""
+    order = F.array_sort(F.transform(F.array(*map(F.lit, values)), lambda v: F.struct(F.md5(F.concat_ws(":", *(s.cast("string") for s in seed), v)).alias("k"), v.alias("v"))))
+    return F.transform(F.slice(order, F.lit(1), n), lambda x: x["v"])
+
+
+def version_chains(histories: DataFrame, depth: str, number: str, values: Sequence[str], seed: str, excluded: DataFrame | None = None) -> DataFrame:
+    """Histories of two variables with depth + 1 versions each: history, depth, number, attempt, x, z, orientation, block_order.
+
+    histories: columns depth and number (0 and up within a depth). All versions of a history differ; no two histories, nor one and an
+    `excluded` (a column `signature`), have the same versions in either orientation. Orientations and block orders alternate, so four
+    histories in a row have each pair of them once.
+    """
+    m = F.col(depth) + 1
+    rows = histories.select(depth, number).withColumn("__id", F.struct(F.col(depth).cast("long").alias("d"), F.col(number).cast("long").alias("h")))
+    named = lambda d, x, z: F.concat_ws("|", d.cast("string"), F.array_join(x, ","), F.array_join(z, ","))
+
+    def drawn(i: Column, attempt: Column) -> Column:
+        return _sampled(values, (2 * (i["d"] + 1)).cast("int"), F.lit(seed), i["d"], i["h"], attempt)
+
+    def keys(i: Column, attempt: Column) -> Column:
+        both = drawn(i, attempt)
+        n = (i["d"] + 1).cast("int")
+        x, z = F.slice(both, F.lit(1), n), F.slice(both, n + 1, n)
+        return F.array(named(i["d"], x, z), named(i["d"], z, x))
+
+    none = histories.sparkSession.createDataFrame([], "signature string")
+    found = fresh_keyed(rows.select("__id"), "__id", keys, none if excluded is None else excluded)
+    both = found.withColumn("__v", drawn(F.col("__id"), F.col("attempt"))).select(F.col("__id.d").alias(depth), F.col("__id.h").alias(number), "attempt", "__v")
+    h = F.col(number)
+    return both.select(
+        F.concat(F.lit(seed + ":d"), depth, F.lit(":"), number).alias("history"), depth, number, "attempt", F.slice("__v", F.lit(1), m.cast("int")).alias("x"), F.slice("__v", (m + 1).cast("int"), m.cast("int")).alias("z"),
+        (h % 2).cast("int").alias("orientation"), F.when(F.floor(h / 2) % 2 == 0, F.array(F.lit("x"), F.lit("z"))).otherwise(F.array(F.lit("z"), F.lit("x"))).alias("block_order"),
+    )
+
+
+def chain_members(chains: DataFrame, depth: str, values: Sequence[str], seed: str) -> DataFrame:
+    """Each history's rows: every version of either variable edited or not (direction 0 and 1), asked for either variable's newest version.
+
+    history, depth, variable, version, age (from the newest), query, direction, source, replacement (a value that the history lacks), answer.
+    """
+    sides = F.explode(F.array(F.struct(F.lit("x").alias("variable"), F.col("x").alias("own")), F.struct(F.lit("z").alias("variable"), F.col("z").alias("own")))).alias("s")
+    each = chains.select("history", depth, "x", "z", sides).select("history", depth, "x", "z", "s.*").select("*", F.posexplode("own").alias("version", "source"))
+    spare = F.array_except(F.array(*map(F.lit, values)), F.concat("x", "z"))
+    order = F.array_min(F.transform(spare, lambda v: F.struct(F.md5(F.concat_ws(":", F.lit(seed), "history", "variable", F.col("version").cast("string"), v)).alias("k"), v.alias("v"))))
+    rows = crossed(each.withColumn("replacement", order["v"]), {"query": ["x", "z"], "direction": [0, 1]})
+    newest = F.when(F.col("query") == "x", F.element_at("x", -1)).otherwise(F.element_at("z", -1))
+    edited = (F.col("direction") == 1) & (F.col("query") == F.col("variable")) & (F.col("version") == F.col(depth))
+    return rows.select("history", depth, "variable", "version", (F.col(depth) - F.col("version")).alias("age"), "query", "direction", "source", "replacement", F.when(edited, F.col("replacement")).otherwise(newest).alias("answer"))
+
+
 def partition_ids(df: DataFrame, group: str, size: int, seed: str) -> DataFrame:
     """(group, part): the `size` groups that come first by a seeded md5 are `discovery`, the others `heldout`."""
     names = df.select(group).distinct().withColumn("__k", F.md5(F.concat(F.lit(seed + ":"), F.col(group).cast("string"))))

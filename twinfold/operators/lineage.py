@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import platform
 from collections.abc import Sequence
+from functools import reduce
 from importlib import metadata
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.digests import canonical, native_hash
 from ..functions.text import utc_stamp
-from .checks import ValidationError
+from .checks import Check, ValidationError, enforce
+from .pinning import pinned
 
 
 def file_digests(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -50,6 +52,53 @@ def verify_stages(stages: DataFrame) -> None:
         raise ValidationError("broken lineage at " + ", ".join(r["name"] for r in broken))
 
 
+def lineage_breaks(stages: DataFrame, edges: DataFrame, gates: DataFrame | None = None) -> DataFrame:
+    """(stage, fault, parent) of a graph of stages, in which each has any number of parents; no row if all is as recorded.
+
+    stages: stage, sha256 (of its output now). edges: stage, parent, sha256 (of the parent's output when the stage was made). gates: stage, said
+    and found (a decision as recorded and as computed again from its rows). Faults: `missing_parent`, `stale_parent` (the parent's output has
+    changed since), `cycle` (the stage is its own ancestor), `failed_gate` (found isn't true, or isn't what was said) and `tainted` (parent is
+    one whose fault, or taint, comes down this edge). Ancestors are followed by joins in rounds, as many as the graph is deep; a round has
+    the edges that aren't settled yet.
+    """
+    edges = pinned(edges.select("stage", "parent", "sha256").distinct())
+    known = stages.select(F.col("stage").alias("parent"), F.col("sha256").alias("__now"), F.lit(True).alias("__known"))
+    judged = edges.join(known, "parent", "left")
+    fault = F.when(F.col("__known").isNull(), "missing_parent").when(~F.col("__now").eqNullSafe(F.col("sha256")), "stale_parent")
+    found = judged.select("stage", fault.alias("fault"), "parent").filter("fault is not null")
+    # what has neither a way in from outside nor out again stays when ends are peeled off: cycles and what stands between two
+    ring = edges.select("stage", "parent")
+    while True:
+        inner = pinned(ring.join(ring.select(F.col("parent").alias("stage")).distinct(), "stage", "left_semi").join(ring.select(F.col("stage").alias("parent")).distinct(), "parent", "left_semi").select("stage", "parent"))
+        if inner.count() == ring.count():
+            break
+        ring = inner
+    reach = pinned(ring.select(F.col("stage").alias("a"), F.col("parent").alias("b")).distinct())
+    while True:  # ways of up to twice the length
+        longer = pinned(reach.unionByName(reach.alias("l").join(reach.alias("r"), F.col("l.b") == F.col("r.a")).select("l.a", "r.b")).distinct())
+        if longer.count() == reach.count():
+            break
+        reach = longer
+    found = found.unionByName(reach.filter("a = b").select(F.col("a").alias("stage"), F.lit("cycle").alias("fault"), F.lit(None).cast(edges.schema["parent"].dataType).alias("parent")))
+    if gates is not None:
+        failed = gates.filter(~F.coalesce(F.col("found"), F.lit(False)) | ~F.col("said").eqNullSafe(F.col("found")))
+        found = found.unionByName(failed.select("stage", F.lit("failed_gate").alias("fault"), F.lit(None).cast(edges.schema["parent"].dataType).alias("parent")))
+    found = pinned(found.distinct())
+    bad = new = pinned(found.select("stage").distinct())
+    taints = []
+    while not new.isEmpty():
+        down = pinned(edges.select("stage", "parent").join(new.withColumnRenamed("stage", "parent"), "parent").select("stage", F.lit("tainted").alias("fault"), "parent"))
+        taints.append(down)
+        new = pinned(down.select("stage").distinct().join(bad, "stage", "left_anti"))
+        bad = pinned(bad.unionByName(new))
+    return reduce(DataFrame.unionByName, taints, found)
+
+
+def verify_lineage(stages: DataFrame, edges: DataFrame, gates: DataFrame | None = None) -> None:
+    """Raise if lineage_breaks finds a fault."""
+    enforce([Check("lineage", lineage_breaks(stages, edges, gates))])
+
+
 def code_hash(spark: SparkSession, paths: Sequence[str]) -> str:
     """One digest of a list of files: of their canonical {path: sha256} document. Paths are as given."""
     found = {p: file_digests(spark, p).first()["sha256"] for p in paths}  # a project's few files

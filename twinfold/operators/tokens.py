@@ -76,3 +76,45 @@ def covering_span(starts: Column, ends: Column, start: Column, end: Column) -> C
     at = F.filter(F.sequence(F.lit(0), F.size(starts) - 1), lambda i: (F.get(starts, i) < end) & (F.get(ends, i) > start))
     whole = F.size(at) == F.array_max(at) - F.array_min(at) + 1
     return F.when(F.size(at).cast("boolean") & whole, F.array(F.array_min(at), F.array_max(at)))
+
+
+def pair_spans(baseline: Column, edited: Column) -> Column:
+    """Of two arrays of token ids: struct(start, baseline_end, edited_end, length_delta), what lies between their common beginning and end.
+
+    Both arrays are [0, start) alike, and alike behind their ends (not included); the common end is taken of what the beginning leaves. Equal
+    arrays have empty spans. Null if either is null.
+    """
+
+    def first_difference(a: Column, b: Column) -> Column:
+        same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
+        at = F.array_position(same, F.lit(False))
+        return F.when(at == 0, F.size(same)).otherwise(at - 1).cast("int")
+
+    def spans(start: Column) -> Column:
+        rest = lambda x: F.reverse(F.slice(x, start + 1, F.size(x)))
+        behind = F.least(first_difference(rest(baseline), rest(edited)), F.size(baseline) - start, F.size(edited) - start)
+        return F.get(F.transform(F.array(behind), lambda k: F.struct(start.alias("start"), (F.size(baseline) - k).alias("baseline_end"), (F.size(edited) - k).alias("edited_end"), (F.size(edited) - F.size(baseline)).alias("length_delta"))), 0)
+
+    found = F.get(F.transform(F.array(F.least(first_difference(baseline, edited), F.size(baseline), F.size(edited))), spans), 0)
+    return F.when(baseline.isNotNull() & edited.isNotNull(), found)
+
+
+def pair_audit(pairs: DataFrame, key: Sequence[str], baseline: str, edited: str, span: tuple[str, str] | None = None) -> DataFrame:
+    """key, start, baseline_end, edited_end, length_delta, baseline_ids and edited_ids of each pair of id arrays.
+
+    span: columns with the first and last place of the baseline's edited tokens; a pair that differs outside it raises, and so does one
+    without a difference.
+    """
+    found = pairs.withColumn("__s", pair_spans(F.col(baseline), F.col(edited)))
+    bad = [checks.Check("unchanged_pair", found.filter(F.coalesce((F.col("__s.start") == F.col("__s.baseline_end")) & (F.col("__s.length_delta") == 0), F.lit(True))))]
+    if span is not None:
+        bad.append(checks.Check("edit_outside_span", found.filter((F.col("__s.start") < F.col(span[0])) | (F.col("__s.baseline_end") > F.col(span[1]) + 1))))
+    checks.enforce(bad)
+    part = lambda c, end: F.slice(c, F.col("__s.start") + 1, F.col(end) - F.col("__s.start"))
+    return found.select(*key, "__s.*", part(baseline, "__s.baseline_end").alias("baseline_ids"), part(edited, "__s.edited_end").alias("edited_ids"))
+
+
+def token_counts(df: DataFrame, family: str, ids: str) -> DataFrame:
+    """(family, least, most, mean) numbers of tokens."""
+    n = F.size(ids)
+    return df.groupBy(family).agg(F.min(n).alias("least"), F.max(n).alias("most"), F.avg(n).alias("mean"))

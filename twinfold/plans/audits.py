@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores, stats, text
-from ..operators import checks, contrasts, design, gates, grouping, joins, ordered, predict, probes, resample, tokens
+from ..operators import checks, contrasts, design, gates, grouping, joins, lineage, ordered, predict, probes, resample, tokens
 from ..operators import pairs as pair_ops
 from ..operators.pinning import pinned
 from ..sources.records import plan_blocks
@@ -515,6 +515,91 @@ def fresh_histories(spark: SparkSession, sf: str) -> DataFrame:
     return design.fresh_signatures(rows, "i", draw, used)
 
 
+@query()
+def fresh_two_signatures(spark: SparkSession, sf: str) -> DataFrame:
+    """For each customer a target and a history, neither of which another customer before it or a supplier has."""
+    rows, n = table(spark, sf, "customer").select(c("c_custkey").alias("i")), table(spark, sf, "customer").count()
+    draw = lambda i, a: F.array(F.concat(lit("target:"), resample.md5_number(lit("target"), i, a) % (3 * n)), F.concat(lit("history:"), resample.md5_number(lit("history"), i, a) % (4 * n)))
+    used = table(spark, sf, "supplier").select(F.concat(lit("target:"), c("s_suppkey") * 2).alias("signature"))
+    return design.fresh_keyed(rows, "i", draw, used).select("i", "attempt", c("keys")[0].alias("target"), c("keys")[1].alias("history"))
+
+
+_LINES, _BEFORE = ["x0", "z0", "x1", "z1", "x2", "z2"], [("x0", "x1"), ("x1", "x2"), ("z0", "z1"), ("z1", "z2")]
+
+
+@query(
+    """WITH RECURSIVE o AS (SELECT '' AS s, 0 AS x, 0 AS z UNION ALL SELECT s || CASE WHEN s = '' THEN '' ELSE ' ' END || e, x + CAST(e[1] = 'x' AS INT), z + CAST(e[1] = 'z' AS INT) FROM o, (VALUES ('x'), ('z')) t(v), LATERAL (SELECT v || CASE v WHEN 'x' THEN x ELSE z END AS e) WHERE (v = 'x' AND x < 3) OR (v = 'z' AND z < 3)),
+    m AS (SELECT s, row_number() OVER (ORDER BY list_transform(string_split(s, ' '), lambda i: list_position(['x0', 'z0', 'x1', 'z1', 'x2', 'z2'], i))) - 1 AS k FROM o WHERE x = 3 AND z = 3)
+    SELECT o_orderkey, s AS line_order FROM orders JOIN m ON m.k = o_orderkey % 20"""
+)
+def nth_legal_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Each order row's order of six lines under precedence, by number."""
+    return table(spark, sf, "orders").select("o_orderkey", F.array_join(design.nth_order(c("o_orderkey") % 20, _LINES, _BEFORE), " ").alias("line_order"))
+
+
+def _chain_values(spark: SparkSession, sf: str) -> list[str]:
+    return [r[0] for r in table(spark, sf, "nation").select("n_name").distinct().orderBy("n_name").collect()]  # 25 names: the protocol's values
+
+
+_CHAINS = """v AS (SELECT DISTINCT n_name AS v FROM nation), h AS (SELECT s_suppkey // 3 AS h, s_suppkey % 3 + 1 AS d FROM supplier),
+    r AS (SELECT d, h, v, row_number() OVER (PARTITION BY d, h ORDER BY md5('chain:' || d || ':' || h || ':0:' || v), v) AS k FROM h, v),
+    x AS (SELECT d, h, list(v ORDER BY k) FILTER (k <= d + 1) AS x, list(v ORDER BY k) FILTER (k > d + 1 AND k <= 2 * d + 2) AS z FROM r GROUP BY ALL)"""
+
+
+@query(f"WITH {_CHAINS} SELECT 'chain:d' || d || ':' || h AS history, d AS depth, array_to_string(x, ',') AS x, array_to_string(z, ',') AS z, CAST(h % 2 AS INTEGER) AS orientation, CASE WHEN h // 2 % 2 = 0 THEN 'xz' ELSE 'zx' END AS block_order FROM x")
+def version_chain_histories(spark: SparkSession, sf: str) -> DataFrame:
+    """Chains of one to three updates, a history per supplier. The SQL has first attempts alone, which are all fresh on these tables."""
+    rows = table(spark, sf, "supplier").select((c("s_suppkey") % 3 + 1).alias("depth"), F.floor(c("s_suppkey") / 3).alias("number"))
+    found = design.version_chains(rows, "depth", "number", _chain_values(spark, sf), "chain")
+    return found.select("history", "depth", F.array_join("x", ",").alias("x"), F.array_join("z", ",").alias("z"), "orientation", F.array_join("block_order", "").alias("block_order"))
+
+
+@query(
+    f"""WITH {_CHAINS}, s AS (SELECT 'chain:d' || d || ':' || h AS history, d, x, z, variable, version, CASE variable WHEN 'x' THEN x[version + 1] ELSE z[version + 1] END AS source FROM x, (VALUES ('x'), ('z')) a(variable), LATERAL (SELECT unnest(range(d + 1)) AS version)),
+    p AS (SELECT s.history, s.variable, s.version, v, row_number() OVER (PARTITION BY s.history, s.variable, s.version ORDER BY md5('swap:' || s.history || ':' || s.variable || ':' || s.version || ':' || v), v) AS k FROM s, v WHERE NOT list_contains(list_concat(x, z), v))
+    SELECT s.history, d AS depth, s.variable, CAST(s.version AS INTEGER) AS version, d - s.version AS age, query, direction, source, p.v AS replacement, CASE WHEN direction = 1 AND query = s.variable AND s.version = d THEN p.v WHEN query = 'x' THEN x[-1] ELSE z[-1] END AS answer
+    FROM s JOIN p ON p.history = s.history AND p.variable = s.variable AND p.version = s.version AND k = 1, (VALUES ('x'), ('z')) q(query), (VALUES (0), (1)) e(direction)"""
+)
+def version_chain_members(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "supplier").select((c("s_suppkey") % 3 + 1).alias("depth"), F.floor(c("s_suppkey") / 3).alias("number"))
+    values = _chain_values(spark, sf)
+    return design.chain_members(design.version_chains(rows, "depth", "number", values, "chain"), "depth", values, "swap")
+
+
+@query(
+    """WITH RECURSIVE n AS (SELECT p_partkey AS stage, md5(CAST(p_partkey AS VARCHAR)) AS sha256 FROM part),
+    e AS (SELECT stage, stage // 2 AS parent FROM n WHERE stage > 1 UNION SELECT stage, stage // 3 FROM n WHERE stage > 2 UNION SELECT stage // 2, stage FROM n WHERE stage % 501 = 500 UNION SELECT stage, -stage FROM n WHERE stage % 701 = 700),
+    f AS (SELECT stage, CASE WHEN parent NOT IN (SELECT stage FROM n) THEN 'missing_parent' ELSE 'stale_parent' END AS fault, parent FROM e WHERE parent NOT IN (SELECT stage FROM n) OR (stage % 97 = 0 AND parent = stage // 3)
+    UNION SELECT unnest([stage, stage // 2]), 'cycle', NULL FROM n WHERE stage % 501 = 500 UNION SELECT stage, 'failed_gate', NULL FROM n WHERE stage % 303 = 302),
+    t AS (SELECT DISTINCT stage FROM f UNION SELECT e.stage FROM t JOIN e ON e.parent = t.stage)
+    SELECT stage, fault, parent FROM f UNION ALL SELECT DISTINCT e.stage, 'tainted', e.parent FROM e JOIN t ON t.stage = e.parent"""
+)
+def lineage_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """A graph in which each part comes from two others, with stale, missing and circular parents and failed gates planted."""
+    p = c("p_partkey").cast("long")
+    parts = table(spark, sf, "part").select(p.alias("stage"), F.md5(p.cast("string")).alias("sha256"))
+    s = c("stage")
+    half, third = F.floor(s / 2), F.floor(s / 3)
+    links = [parts.filter(s > 1).select("stage", half.alias("parent")), parts.filter(s > 2).select("stage", third.alias("parent")), parts.filter(s % 501 == 500).select(half.alias("stage"), s.alias("parent")), parts.filter(s % 701 == 700).select("stage", (-s).alias("parent"))]
+    edges = links[0].unionByName(links[1]).unionByName(links[2]).unionByName(links[3]).distinct()
+    old = F.when((s % 97 == 0) & (c("parent") == third), "old").otherwise(F.md5(c("parent").cast("string")))
+    gates_ = parts.filter(s % 303 == 302).select("stage", lit(True).alias("said"), lit(False).alias("found"))
+    return lineage.lineage_breaks(parts, edges.withColumn("sha256", old), gates_)
+
+
+@query(
+    """WITH t AS (SELECT conv_id, turn, text AS a, replace(text, ' the ', ' some ') AS b FROM conversations WHERE contains(text, ' the ')), x AS (SELECT conv_id, turn, regexp_extract_all(hex(encode(a)), '..') AS a, regexp_extract_all(hex(encode(b)), '..') AS b FROM t),
+    p AS (SELECT *, coalesce(list_position(list_transform(list_zip(a, b), lambda q: q[1] IS NOT DISTINCT FROM q[2]), false) - 1, len(a)) AS s FROM x),
+    q AS (SELECT *, coalesce(list_position(list_transform(list_zip(list_reverse(a[s + 1:]), list_reverse(b[s + 1:])), lambda q: q[1] IS NOT DISTINCT FROM q[2]), false) - 1, 0) AS e FROM p)
+    SELECT conv_id, turn, CAST(s AS INTEGER) AS start, CAST(len(a) - e AS INTEGER) AS baseline_end, CAST(len(b) - e AS INTEGER) AS edited_end, CAST(len(b) - len(a) AS INTEGER) AS length_delta FROM q"""
+)
+def token_pair_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts and their edited forms as bytes: where they differ."""
+    t = table(spark, sf, "conversations").filter(F.contains("text", lit(" the "))).select("conv_id", "turn", "text", F.replace("text", lit(" the "), lit(" some ")).alias("b"))
+    both = tokens.encoded(tokens.encoded(t, "text", tokens.utf8_bytes, "x"), "b", tokens.utf8_bytes, "y")
+    return tokens.pair_audit(both, ["conv_id", "turn"], "x", "y").drop("baseline_ids", "edited_ids")
+
+
 # ---- prediction
 
 
