@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores, stats, text
-from ..operators import checks, contrasts, design, gates, grouping, joins, lineage, ordered, predict, probes, resample, tokens
+from ..operators import checks, contrasts, design, gates, grouping, joins, lineage, ordered, positions, predict, probes, resample, tokens
 from ..operators import pairs as pair_ops
 from ..operators.pinning import pinned
 from ..sources.records import plan_blocks
@@ -600,6 +600,45 @@ def token_pair_spans(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.pair_audit(both, ["conv_id", "turn"], "x", "y").drop("baseline_ids", "edited_ids")
 
 
+_CELLS = """m AS (SELECT l_suppkey % 40 AS history, l_linenumber AS layer, l_partkey % 16 AS position, CASE WHEN l_linestatus = 'O' THEN 'x' ELSE 'z' END AS query, CASE l_orderkey % 7 WHEN 0 THEN 'old' WHEN 1 THEN 'current' WHEN 2 THEN 'question' ELSE 'other_position' END AS role, l_quantity AS effect, l_returnflag AS token_text FROM lineitem WHERE l_orderkey % 3 > 0 OR l_linestatus = 'O'),
+    w AS (SELECT history, layer, position, avg(effect) FILTER (query = 'x') AS ex, avg(effect) FILTER (query = 'z') AS ez, list_sort(list(DISTINCT role) FILTER (query = 'x')) AS rx, list_sort(list(DISTINCT role) FILTER (query = 'z')) AS rz FROM m GROUP BY ALL),
+    s AS (SELECT DISTINCT history, layer, position, ex - ez AS difference, role FROM (SELECT *, unnest(list_concat(coalesce(rx, []), coalesce(rz, []))) AS role FROM w) WHERE role <> 'other_position')"""
+_XZ = ("x", "z")
+
+
+def _measured(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items as measurements: supplier groups are histories, line numbers layers, parts positions, order numbers give roles."""
+    items = table(spark, sf, "lineitem").filter((c("l_orderkey") % 3 > 0) | (c("l_linestatus") == "O"))
+    role = F.when(c("l_orderkey") % 7 == 0, "old").when(c("l_orderkey") % 7 == 1, "current").when(c("l_orderkey") % 7 == 2, "question").otherwise(positions.OTHER)
+    return items.select((c("l_suppkey") % 40).alias("history"), c("l_linenumber").alias("layer"), (c("l_partkey") % 16).alias("position"), F.when(c("l_linestatus") == "O", "x").otherwise("z").alias("query"), role.alias("role"), c("l_quantity").alias("effect"), c("l_returnflag").alias("token_text"))
+
+
+@query(f"WITH {_CELLS} SELECT history, layer, position, round(ex, 6) AS effect_x, round(ez, 6) AS effect_z, round(ex - ez, 6) AS difference, array_to_string(coalesce(rx, []), '|') AS roles_x, array_to_string(coalesce(rz, []), '|') AS roles_z FROM w")
+def positions_paired(spark: SparkSession, sf: str) -> DataFrame:
+    w = positions.paired_positions(_measured(spark, sf), ["history", "layer"], _XZ)
+    return w.select("history", "layer", "position", *(r6(n, n) for n in ("effect_x", "effect_z", "difference")), *(F.array_join(n, "|").alias(n) for n in ("roles_x", "roles_z")))
+
+
+@query(f"WITH {_CELLS}, o AS (SELECT history, layer, role, avg(difference) AS m FROM s GROUP BY ALL) SELECT layer, role, round(avg(m), 6) AS mean, round(median(m), 6) AS median, count(m) AS n FROM o GROUP BY ALL")
+def positions_by_role(spark: SparkSession, sf: str) -> DataFrame:
+    split = positions.split_roles(positions.paired_positions(_measured(spark, sf), ["history", "layer"], _XZ), ["history", "layer"], _XZ)
+    return positions.by_role(split, "history", ["layer"]).select("layer", "role", r6("mean", "mean"), r6("median", "median"), "n")
+
+
+@query(f"WITH {_CELLS} SELECT role, count(DISTINCT history) AS histories, min(position) AS least, max(position) AS most, count(DISTINCT position) AS positions FROM s GROUP BY 1")
+def role_position_variation(spark: SparkSession, sf: str) -> DataFrame:
+    return positions.role_places(positions.split_roles(positions.paired_positions(_measured(spark, sf), ["history", "layer"], _XZ), ["history", "layer"], _XZ), "history")
+
+
+@query(
+    f"""WITH {_CELLS}, g AS (SELECT position, list_sort(list(DISTINCT token_text) FILTER (query = 'x')) AS tx, list_sort(list(DISTINCT token_text) FILTER (query = 'z')) AS tz, list_sort(list(DISTINCT role) FILTER (query = 'x')) AS rx, list_sort(list(DISTINCT role) FILTER (query = 'z')) AS rz, list_sort(list(DISTINCT role) FILTER (role <> 'other_position')) AS r FROM m GROUP BY 1)
+    SELECT position, array_to_string(tx, ' | ') AS token_text_x, array_to_string(tz, ' | ') AS token_text_z, array_to_string(rx, ' | ') AS roles_x, array_to_string(rz, ' | ') AS roles_z, coalesce(array_to_string(r, ' | '), 'other_position') AS role,
+    coalesce(array_to_string(list_sort(list_distinct(list_transform(r, lambda q: CASE q WHEN 'old' THEN 'assignment' WHEN 'current' THEN 'assignment' ELSE 'rendered_text_unclassified' END))), ' | '), 'rendered_text_unclassified') AS region FROM g"""
+)
+def position_legend(spark: SparkSession, sf: str) -> DataFrame:
+    return positions.legend(_measured(spark, sf), _XZ, {"old": "assignment", "current": "assignment"})
+
+
 # ---- prediction
 
 
