@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks, mapped, pinned
+from .common import as_bytes, chunks, hint_small, mapped, pinned
 
 DOCUMENTS = 30  # of a language that must have a term
 TOP = 50
@@ -161,21 +161,22 @@ def audit(documents: DataFrame, text: str = "text", lang: str = "lang", source:
     per_lang = pinned(terms.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("n_lang")))
     n_blocks = F.greatest(F.lit(1), F.ceil(F.coalesce("v", F.lit(0)) / BLOCK)).cast("int")
     block = F.pmod(F.xxhash64("lang", "term"), F.col("n_blocks")).cast("int").alias("block")
-    sized = per_lang.withColumn("n_blocks", n_blocks)
+    langs = per_lang.count()
+    sized = hint_small(per_lang.withColumn("n_blocks", n_blocks), langs)  # a language with most of the rows must not be one task
     dealt = terms.join(sized, "lang").select("lang", "term", block, "total", "pattern")
     kept = counts.join(sized, "lang").select("lang", "source", "term", "n", "n_all", "v", "n_lang", block)
 
     shown = documents.select(F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(source), F.lit("")).alias("source")).distinct()
     sizes = kept.groupBy("lang", "source").agg(F.sum("n").alias("n_group"))
-    groups = shown.join(sizes, ["lang", "source"], "left").join(per_lang, "lang", "left")
+    groups = shown.join(sizes, ["lang", "source"], "left").join(hint_small(per_lang, langs), "lang", "left")
     groups = groups.select("lang", "source", (F.coalesce("n_group", F.lit(0)) + SMOOTH * F.coalesce("v", F.lit(0))).alias("total"), n_blocks.alias("n_blocks"), F.coalesce("v", F.lit(0)).alias("v"))
     per = groups.groupBy("lang").agg(F.ceil(F.count("*") / SOURCES).cast("int").alias("chunks"))
-    groups = pinned(groups.join(per, "lang").withColumn("chunk", F.pmod(F.xxhash64("source"), F.col("chunks")).cast("int")))
+    groups = pinned(groups.join(hint_small(per, langs), "lang").withColumn("chunk", F.pmod(F.xxhash64("source"), F.col("chunks")).cast("int")))
 
     pairs = pair_sums(groups, kept.select("lang", "source", "term", "block", "n"), dealt)
     by_value = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = pairs.select("lang", F.col("a").alias("source"), F.lit("pair").alias("part"), F.col("b").alias("item"), "value").withColumn("rank", F.row_number().over(by_value))
-    own = kept.join(groups.select("lang", "source", F.col("total").alias("of")), ["lang", "source"])
+    own = kept.join(hint_small(groups.select("lang", "source", F.col("total").alias("of")), groups.count()), ["lang", "source"])
     own = own.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (share(F.col("n") + SMOOTH, F.col("of")) - share(F.col("n_all") + SMOOTH, F.col("n_lang") + SMOOTH * F.col("v"))).alias("value"))
     terms_ = own.filter("value > 0").withColumn("rank", F.row_number().over(by_value)).filter(F.col("rank") <= top)
     return pairs.unionByName(terms_)
