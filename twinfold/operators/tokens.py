@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from . import checks
 from .joins import proper_prefixes
+from .pinning import pinned
 
 Encode = Callable[[list[str]], list[list[int]]]
 
@@ -46,12 +47,14 @@ def surface_events(df: DataFrame, key: str, prompt: str, values: Sequence[str],
     A form counts only if the prompt's own tokens stay as they are; a spaced form that changes them raises, and so do two values that share
     a continuation.
     """
+    whole = encoded(df.select(key, prompt), prompt, encode, "__prefix")  # a prompt's own tokens are made once
     values_ = F.explode(F.array(*map(F.lit, values)))
-    forms = df.select(key, prompt, values_.alias("value")).withColumn("s", F.explode(surfaces(F.col("value")))).select(key, prompt, "value", "s.*")
-    both = encoded(encoded(forms.withColumn("__full", F.concat(prompt, "surface")), prompt, encode, "__prefix"), "__full", encode, "__all")
+    forms = whole.select(key, prompt, "__prefix", values_.alias("value")).withColumn("s", F.explode(surfaces(F.col("value")))).select(key, prompt, "__prefix", "value", "s.*")
+    both = encoded(forms.withColumn("__full", F.concat(prompt, "surface")), "__full", encode, "__all")
     n = F.size("__prefix")
     kept = (F.slice("__all", F.lit(1), n) == F.col("__prefix")) & (F.size("__all") > n)
     marked = both.select(key, "value", "form", "surface", "required", kept.alias("kept"), F.slice("__all", n + 1, F.greatest(F.lit(0), F.size("__all") - n)).alias("ids"))
+    marked = pinned(marked)
     good = marked.filter("kept")
     shared = good.groupBy(key, "ids").agg(F.count_distinct("value").alias("n")).filter("n > 1")
     checks.enforce([checks.Check("retokenized_prefix", marked.filter("required and not kept")), checks.Check("collision", shared)])
