@@ -52,3 +52,22 @@ def test_tables_by_ending(spark, tmp_path):
     lines = str(tmp_path / "t.jsonl")
     records.write_jsonl(df, lines)
     assert records.read_by_suffix(spark, lines, "id string, v double").count() == 2
+
+
+def test_update_control_by_hand(spark):
+    from twinfold.operators import contrasts
+
+    rows, base = [], {"superseded": 3.0, "other_updated": 2.0, "other_static": 0.5}
+    for c, size in base.items():
+        for ho in (0, 1):
+            for co in (0, 1):
+                for ev in "xz":
+                    for qv in "xz":
+                        rows.append(("h", c, ho, co, ev, qv, size * (2 if ho == co else 1) if ev == qv else 0.25))
+    rows.append(("gap", "superseded", 0, 0, "x", "x", 1.0))
+    got = {(r.h, r.order): r for r in contrasts.update_control(spark.createDataFrame(rows, "h string, c string, ho int, co int, ev string, qv string, e double"), "h", "c", "ho", "co", "ev", "qv", "e").collect()}
+    for order, times in (("all", 1.5), ("aligned", 2.0), ("reversed", 1.0)):
+        r = got["h", order]
+        assert [r[f"R_{c}"] for c in base] == pytest.approx([v * times - 0.25 for v in base.values()])
+        assert (r.superseded_minus_other_updated, r.other_updated_minus_other_static, r.superseded_minus_other_static) == pytest.approx((times, 1.5 * times, 2.5 * times))
+    assert set(got) == {("h", "all"), ("h", "aligned"), ("h", "reversed"), ("gap", "all"), ("gap", "aligned")} and got["gap", "all"].R_superseded is None

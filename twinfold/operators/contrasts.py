@@ -117,3 +117,23 @@ def late_fractions(df: DataFrame, site: str, layer: str, value: str) -> DataFram
     means = df.groupBy(site, layer).agg(F.avg(value).alias("mean"))
     late = means.groupBy(site).agg(F.max_by("mean", layer).alias("late"))
     return means.join(late, site).select(site, layer, "mean", F.try_divide("mean", "late").alias("fraction"))
+
+
+#: The update control's constructions, from the edited record's own update to none.
+CONSTRUCTIONS = ("superseded", "other_updated", "other_static")
+
+
+def update_control(df: DataFrame, history: str, condition: str, historical: str, current: str, edited: str, asked: str, value: str, constructions: tuple[str, str, str] = CONSTRUCTIONS) -> DataFrame:
+    """history, order (all, aligned or reversed), R of each construction and their three differences, first less second.
+
+    df: a pair's effect per history, construction, both order bits, edited and queried variable (x or z). Aligned orders are those whose bits
+    are equal. R is half of (x/x - x/z) + (z/z - z/x), edited/queried, each the mean of its pairs; without one of them it is null, as are its
+    differences. Orders and cells are conditional means of one aggregation by history.
+    """
+    orders = F.array(F.lit("all"), F.when(F.col(historical) == F.col(current), "aligned").otherwise("reversed"))
+    long = df.select(history, F.explode(orders).alias("order"), F.col(condition).alias("__c"), F.concat(edited, asked).alias("__cell"), F.col(value).alias("__v"))
+    mean = lambda c, cell: F.avg(F.when((F.col("__c") == c) & (F.col("__cell") == cell), F.col("__v")))
+    relevance = [(((mean(c, "xx") - mean(c, "xz")) + (mean(c, "zz") - mean(c, "zx"))) / 2).alias(f"R_{c}") for c in constructions]
+    found = long.groupBy(history, "order").agg(*relevance)
+    a, b, c = constructions
+    return found.select("*", *((F.col(f"R_{p}") - F.col(f"R_{q}")).alias(f"{p}_minus_{q}") for p, q in ((a, b), (b, c), (a, c))))

@@ -600,6 +600,26 @@ def token_pair_spans(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.pair_audit(both, ["conv_id", "turn"], "x", "y").drop("baseline_ids", "edited_ids")
 
 
+_UPDATE = ", ".join(
+    f"(avg(v) FILTER (c = '{k}' AND q = 'xx') - avg(v) FILTER (c = '{k}' AND q = 'xz') + avg(v) FILTER (c = '{k}' AND q = 'zz') - avg(v) FILTER (c = '{k}' AND q = 'zx')) / 2 AS {n}" for k, n in (("superseded", "s"), ("other_updated", "u"), ("other_static", "t"))
+)
+
+
+@query(
+    f"""WITH e AS (SELECT l_suppkey % 25 AS history, CASE l_orderkey % 3 WHEN 0 THEN 'superseded' WHEN 1 THEN 'other_updated' ELSE 'other_static' END AS c, CASE WHEN l_partkey % 2 = l_linenumber % 2 THEN 'aligned' ELSE 'reversed' END AS o, CASE WHEN l_returnflag = 'N' THEN 'x' ELSE 'z' END || CASE WHEN l_quantity > 25 THEN 'x' ELSE 'z' END AS q, l_extendedprice / 1000 AS v FROM lineitem),
+    g AS (SELECT history, o AS "order", {_UPDATE} FROM (SELECT * FROM e UNION ALL SELECT history, c, 'all', q, v FROM e) GROUP BY ALL)
+    SELECT history, "order", round(s, 6) AS superseded, round(u, 6) AS other_updated, round(t, 6) AS other_static, round(s - u, 6) AS superseded_minus_other_updated, round(u - t, 6) AS other_updated_minus_other_static, round(s - t, 6) AS superseded_minus_other_static FROM g"""
+)
+def update_control_contrasts(spark: SparkSession, sf: str) -> DataFrame:
+    """Three constructions and their differences per supplier group and order."""
+    items = table(spark, sf, "lineitem")
+    kind = F.when(c("l_orderkey") % 3 == 0, "superseded").when(c("l_orderkey") % 3 == 1, "other_updated").otherwise("other_static")
+    side = lambda w: F.when(w, "x").otherwise("z")
+    rows = items.select((c("l_suppkey") % 25).alias("history"), kind.alias("condition"), (c("l_partkey") % 2).alias("ho"), (c("l_linenumber") % 2).alias("co"), side(c("l_returnflag") == "N").alias("ev"), side(c("l_quantity") > 25).alias("qv"), (c("l_extendedprice") / 1000).alias("e"))
+    found = contrasts.update_control(rows, "history", "condition", "ho", "co", "ev", "qv", "e")
+    return found.select("history", "order", *(r6(f"R_{k}", k) for k in contrasts.CONSTRUCTIONS), *(r6(k, k) for k in found.columns if "_minus_" in k))
+
+
 _CELLS = """m AS (SELECT l_suppkey % 40 AS history, l_linenumber AS layer, l_partkey % 16 AS position, CASE WHEN l_linestatus = 'O' THEN 'x' ELSE 'z' END AS query, CASE l_orderkey % 7 WHEN 0 THEN 'old' WHEN 1 THEN 'current' WHEN 2 THEN 'question' ELSE 'other_position' END AS role, l_quantity AS effect, l_returnflag AS token_text FROM lineitem WHERE l_orderkey % 3 > 0 OR l_linestatus = 'O'),
     w AS (SELECT history, layer, position, avg(effect) FILTER (query = 'x') AS ex, avg(effect) FILTER (query = 'z') AS ez, list_sort(list(DISTINCT role) FILTER (query = 'x')) AS rx, list_sort(list(DISTINCT role) FILTER (query = 'z')) AS rz FROM m GROUP BY ALL),
     s AS (SELECT DISTINCT history, layer, position, ex - ez AS difference, role FROM (SELECT *, unnest(list_concat(coalesce(rx, []), coalesce(rz, []))) AS role FROM w) WHERE role <> 'other_position')"""
