@@ -20,6 +20,15 @@ def pivot_cells(df: DataFrame, keys: Sequence[str], cell: str, cells: Mapping[st
     return df.groupBy(*keys).agg(*(cell_mean(F.col(cell) == v, value).alias(name) for name, v in cells.items()))
 
 
+def averaged_orders(df: DataFrame, keys: Sequence[str], nuisance: Sequence[str], orders: int, value: str) -> DataFrame:
+    """(keys, value): the mean over nuisance orders of each order's own mean, however many rows an order has, for contrasts that come after.
+
+    Null for keys that lack one of so many orders, or that have a value of none in one: their contrasts would compare different orders.
+    """
+    each = df.groupBy(*keys, *nuisance).agg(F.avg(value).alias("__m"))
+    return each.groupBy(*keys).agg(F.when(F.count("__m") == orders, F.avg("__m")).alias(value))
+
+
 def symmetric_relevance(df: DataFrame, keys: Sequence[str], edited: str, query: str, value: str, axes: tuple[str, str]) -> DataFrame:
     """R = ((E_xx - E_xz) + (E_zz - E_zx)) / 2 per key; E_eq is the mean effect of editing e under query q. Null if a cell is missing."""
     x, z = axes

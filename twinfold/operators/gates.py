@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,6 +90,30 @@ def shallowest_in_window(cells: DataFrame, depth: str, accuracy: str, low: float
     return cells.filter(F.col(accuracy).between(low, high)).agg(F.min(depth).alias(depth))
 
 
+def perfect_gate(rows: DataFrame, variant: str, cell: Sequence[str], expected: DataFrame, accuracies: Sequence[str], ranks: Sequence[str], aligned: str, least: float = 1.0) -> DataFrame:
+    """One row per variant: cells, missing_cells, unexpected_cells, failed_cells, aligned and passes.
+
+    A variant passes if its cells are those of `expected` (a protocol's design), each one's accuracies reach `least` with no rank but 1, and all
+    its rows have aligned tokens. A cell with a null accuracy or rank among its rows fails, and a row of unknown alignment isn't aligned.
+    Accuracies must be 0 or 1 and ranks 1 or more: what isn't raises.
+    """
+    enforce([
+        not_empty(rows), *(rule(rows, f"{a}_is_0_or_1", F.col(a).isNull() | F.col(a).cast("double").isin(0.0, 1.0)) for a in accuracies),
+        *(rule(rows, f"{r}_from_1", F.col(r).isNull() | (F.col(r) >= 1)) for r in ranks),
+    ])
+    mean = lambda a: F.avg(F.coalesce(F.col(a).cast("double"), F.lit(0.0)))
+    good = reduce(lambda a, b: a & b, [*(mean(a) >= least for a in accuracies), *(F.bool_and(F.coalesce(F.col(r) == 1, F.lit(False))) for r in ranks)])
+    found = rows.groupBy(variant, *cell).agg(good.alias("__good"), F.bool_and(F.coalesce(F.col(aligned), F.lit(False))).alias("__aligned"))
+    design = expected.select(*(F.col(c).alias(f"__{c}") for c in cell)).distinct().withColumn("__known", F.lit(True))
+    n = design.count()
+    known = found.join(F.broadcast(design), [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in cell], "left").groupBy(variant)
+    cells = known.agg(
+        F.count("*").alias("cells"), (n - F.count("__known")).alias("missing_cells"), F.count_if(F.col("__known").isNull()).alias("unexpected_cells"),
+        F.count_if(~F.col("__good")).alias("failed_cells"), F.bool_and("__aligned").alias("aligned"),
+    )
+    return cells.withColumn("passes", F.expr("missing_cells = 0 and unexpected_cells = 0 and failed_cells = 0 and aligned"))
+
+
 def preferred(cells: DataFrame, variant: str, passes: str, order: Sequence[str]) -> DataFrame:
     """The first variant in the stated order that passes."""
     place = F.array_position(F.array(*map(F.lit, order)), F.col(variant))

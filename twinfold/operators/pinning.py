@@ -6,6 +6,7 @@ import atexit
 import re
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +28,12 @@ def shared_checkpoints(spark: SparkSession) -> None:
     sc.setCheckpointDir(where)
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new path in the shared checkpoint folder, for tables that a query writes and reads again."""
+    shared_checkpoints(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+
+
 def pinned(df: DataFrame) -> DataFrame:
     """The rows of df, computed once, in the shared checkpoint folder: lost executors cannot take them along."""
     shared_checkpoints(df.sparkSession)

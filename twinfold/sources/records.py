@@ -114,6 +114,25 @@ def discover(spark: SparkSession, folder: str, allow: Sequence[str], deny: Seque
     return files.filter(has(allow) & (~has(deny) if deny else F.lit(True))).orderBy("path")
 
 
+def first_records(spark: SparkSession, folder: str, schema: str | T.StructType, allow: Sequence[str], deny: Sequence[str] = ()) -> DataFrame:
+    """(path, fields of schema) of the first record of each .jsonl file, and of each .json bundle's rows, among what `discover` finds.
+
+    For discovery by content: a filter on the fields tells which files hold what is sought. A file without a record has nulls. Lines are read
+    where they lie, and one per file and task is shuffled; a first record that doesn't parse raises.
+    """
+    row = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    meta, name = F.col("_metadata"), F.lower(F.col("_metadata.file_name"))
+    has = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(name, w))
+    wanted = has(allow) & (~has(deny) if deny else F.lit(True))
+    reader = lambda ending: spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", ending)
+    lines = reader("*.jsonl").option("lineSep", "\n").text(folder).filter(wanted)
+    placed = lines.select(meta["file_path"].alias("path"), F.struct(meta["file_block_start"], F.monotonically_increasing_id()).alias("place"), F.when(F.trim("value") != "", F.col("value")).alias("value"))
+    first = placed.groupBy("path").agg(F.min_by("value", F.when(F.col("value").isNotNull(), F.col("place"))).alias("value"))
+    of_lines = first.select("path", F.from_json("value", row, {"mode": "FAILFAST"}).alias("r"))
+    bundles = reader("*.json").schema(T.StructType([T.StructField("rows", T.ArrayType(row))])).option("multiLine", True).option("mode", "FAILFAST").json(folder).filter(wanted)
+    return of_lines.unionByName(bundles.select(meta["file_path"].alias("path"), F.get("rows", 0).alias("r"))).select("path", "r.*")
+
+
 def complete_units(lines: DataFrame, key: str, expected: Column) -> DataFrame:
     """Rows of units whose marker count equals their row count; a truncated unit's rows go, whole units stay.
 
