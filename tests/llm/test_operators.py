@@ -477,6 +477,17 @@ def test_predictions_equal_brute_force(docs, local, spark):
         assert (r.lang_pred, r.accepted) == (lang, accepted) and r.score == pytest.approx(score, abs=1e-9), texts[r.doc_id]
 
 
+def test_language_sample_is_bounded_in_features(spark, docs, monkeypatch):
+    """Long documents: fewer are drawn, of every language, and a bound that isn't reached changes nothing."""
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda rows, check, **_: seen.append([(x[0], len(x[1])) for x in [*rows, *check]]))
+    for most in (langid.MOST_FEATURES, 1 << 40, 150_000):
+        langid.fit(docs, most_features=most)
+    whole, same, few = seen
+    assert whole == same and 0 < sum(n for _, n in few) <= 150_000 < sum(n for _, n in whole)
+    assert {x for x, _ in few} == {x for x, _ in whole}
+
+
 def test_language_edges(docs, odd, none):
     model = langid.fit(docs, 40)
     got = {(r.doc_id, r.lang_pred, r.accepted) for r in langid.predict(odd, model).collect()}

@@ -4,7 +4,8 @@ A text's features are the hashed byte n-grams (2 to 4, with word borders, A-Z lo
 a linear softmax gives the languages' probabilities. Embeddings and weights are trained by stochastic gradient descent in numpy on
 about `per_language` labelled documents a language (the documented bound; which ones is settled by a hash of the id), of which a fifth
 calibrates the softmax's temperature and the score below which a prediction is rejected. Spark extracts the sample's features, at most
-BUCKETS numbers a document, and predicts all documents in their partitions; the model is BUCKETS x languages numbers.
+BUCKETS numbers a document, and predicts all documents in their partitions; the model is BUCKETS x languages numbers. A language has an
+equal part of MOST_FEATURES: of one whose documents are so long that `per_language` of them could have more, fewer are drawn.
 
 Nulls: a null text, or one without a letter, is `und` with score 0 and rejected. Rows with null id or label teach nothing. If no row can
 teach, everything is `und`. Repeated rows are predicted one by one, very long texts whole. Only the named columns are read; `keep` columns
@@ -27,6 +28,7 @@ from .common import as_bytes, mapped, mix64
 
 BUCKETS, DIM, ORDERS = 1 << 14, 16, (2, 3, 4)
 PER_LANGUAGE, MOST_LANGUAGES = 500, 500
+MOST_FEATURES = 1 << 26  # of the sample, 8 bytes each where they are gathered
 MAYBE = re.compile(r"[^\W\d_]")  # letters, and numerals that aren't decimal digits
 
 
@@ -127,14 +129,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(documents: DataFrame, per_language: int = PER_LANGUAGE, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", most_languages: int = MOST_LANGUAGES) -> Model | None:
-    """A model learned from text and language of documents that are not held out: about `per_language` of each of the `most_languages` commonest."""
+def fit(documents: DataFrame, per_language: int = PER_LANGUAGE, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", most_languages: int = MOST_LANGUAGES, most_features: int = MOST_FEATURES) -> Model | None:
+    """A model learned from text and language of documents that are not held out: about `per_language` of each of the `most_languages` commonest.
+
+    most_features bounds what the sample may have, a document's features being at most BUCKETS and three for each byte and border.
+    """
     fold = F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
     known = documents.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter((fold != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}  # one row a language
+    features = F.sum(F.least(F.lit(BUCKETS), 3 * (F.octet_length("text") + 2)).cast("long"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"), features.alias("features")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()  # one row a language
     if not counts:
         return None
-    share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, per_language / n))])
+    part = most_features / len(counts)
+    share = F.create_map(*[F.lit(x) for r in sorted(counts, key=lambda r: r["lang"]) for x in (r["lang"], min(1.0, per_language / r["n"], part / r["features"]))])
     drawn = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)) * (1 << 20))
     schema = "lang string, checks boolean, at array<int>, share array<float>"
 

@@ -45,7 +45,8 @@ def classified(documents: DataFrame, labels: DataFrame, order: int = ORDER, quan
     overall = trusted.agg(mean.alias("mean")).first()["mean"]
 
     def with_language(left: DataFrame, facts: DataFrame) -> DataFrame:
-        return left.join(facts.withColumnRenamed("lang", "own_lang"), F.col("lang").eqNullSafe(F.col("own_lang")), "left").drop("own_lang")
+        facts = pinned(facts.withColumnRenamed("lang", "own_lang"))  # a row a language: sent where they are few, so that no language is one task
+        return left.join(hint_small(facts, facts.count()), F.col("lang").eqNullSafe(F.col("own_lang")), "left").drop("own_lang")
 
     means = trusted.groupBy("lang").agg(mean.alias("own_mean"))
     judged = F.when(F.col("n_symbols") > 0, F.exp((F.log("perplexity") * F.col("n_symbols") + prior * F.coalesce("own_mean", F.lit(overall).cast("double"))) / (F.col("n_symbols") + prior))).otherwise(0.0)
