@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -42,23 +42,32 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 100)
     return w
 
 
-def _sums(rows: DataFrame, run, length: int) -> np.ndarray:
-    """The sum over all rows of a vector that run(features, outcome, fold) gives for each batch: one vector a task, added up by Spark."""
+def summed(rows: DataFrame, run: Callable[[pa.RecordBatch], np.ndarray], length: int) -> np.ndarray:
+    """The sum over all rows of a vector that run gives for each Arrow batch: one vector a task, added up by Spark."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(length)
         for b in batches:
-            columns = [c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns]
-            if len(columns[0]):
-                total += run(np.column_stack(columns[2:]), columns[0], columns[1].astype(int))
+            if b.num_rows:
+                total += run(b)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(length, dtype=np.int32)), pa.array(total)], ["pos", "value"])
 
+    found = rows.mapInArrow(task, "pos int, value double").groupBy("pos").agg(F.sum("value").alias("value")).toArrow()  # `length` rows
     out = np.zeros(length)
-    for r in rows.mapInArrow(task, "pos int, value double").groupBy("pos").agg(F.sum("value").alias("value")).collect():  # `length` rows
-        out[r["pos"]] = r["value"]
+    out[found["pos"].to_numpy()] = found["value"].to_numpy()
     return out
 
 
+def _sums(rows: DataFrame, run: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], length: int) -> np.ndarray:
+    """summed, for run(features, outcome, fold) of a batch's columns."""
+
+    def each(b: pa.RecordBatch) -> np.ndarray:
+        columns = [c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns]
+        return run(np.column_stack(columns[2:]), columns[0], columns[1].astype(int))
+
+    return summed(rows, each, length)
+
+
 def fitted(rows: DataFrame, sets: Mapping[str, Sequence[str]], k: int, c: float = 1.0, steps: int = 25) -> dict[tuple[str, int], np.ndarray | None]:
     """(set, fold) -> weights of the set's features, intercept last, of a ridge logistic model (see fit_logistic) of the other folds' rows.
 
