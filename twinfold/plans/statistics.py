@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores, stats, text
-from ..operators import design, gates, grouping, ordered, predict, resample
+from ..operators import design, gates, grouping, ordered, predict, resample, streams
 from ..sources.records import flatten_json, text_tail
 from .base import candidates, cells, families, family_pairs, pairs, query, r6, table
 
@@ -335,12 +335,12 @@ def two_sample_diff_portable(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def bootstrap_mean_exact(spark: SparkSession, sf: str) -> DataFrame:
-    return resample.by_group(_effects(spark, sf), ["g"], ["history"], "effect", lambda x: resample.exact_interval(x, 2000, 81004, 0.975), "g string, n long, mean double, low double, high double")
+    return streams.exact_intervals(_effects(spark, sf), ["g"], ["history"], "effect", 2000, 81004, 0.975)
 
 
 @query()
 def summary_exact(spark: SparkSession, sf: str) -> DataFrame:
-    return resample.by_group(pairs(spark, sf).filter("effect is not null"), ["condition"], ["history"], "effect", resample.exact_summary, "condition string, n long, mean double, median double, trimmed double, fraction_positive double, low double, high double")
+    return streams.exact_summaries(pairs(spark, sf).filter("effect is not null"), ["condition"], ["history"], "effect")
 
 
 # ---- prediction
