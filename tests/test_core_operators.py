@@ -2,6 +2,8 @@
 
 import json
 import math
+import random
+import time
 
 import numpy as np
 import pytest
@@ -364,3 +366,43 @@ def test_score_helpers(spark):
         scores.inverse_map(F.create_map(F.lit("s"), F.lit("go"), F.lit("r"), F.lit("go")), F.lit("go")).alias("i"), scores.set_key(F.create_map(F.lit("s"), F.lit("x")), F.lit("s"), F.lit("y")).alias("k"), scores.normalized_depth(F.lit(3), F.lit(4)).alias("d"),
     ).first()
     assert row.m["a"] == pytest.approx(math.log(2)) and (row.a, row.b, row.i, row.k, row.d) == ("historical", "none", ["r", "s"], {"s": "y"}, 1.0)
+
+
+def test_name_value_distance_equals_its_definition(spark):
+    """Against the rule itself: repeated, overlapping, empty and missing words over tokens that split them."""
+    rng = random.Random(3)
+    rows = [(i, [rng.choice(["a", "b", "ab", "", "é", None, "ba"]) for _ in range(rng.randrange(8))], rng.choice(["a", "ab", "é", "", "bab", None]), rng.choice(["b", "aa", "ba", "", "é", None])) for i in range(400)]
+
+    def want(pieces, name, value):
+        joined = lambda a, b: "".join(p for p in pieces[a:b] if p is not None)
+        end = lambda w: next((k for k in range(len(pieces) + 1) if w is not None and w in joined(0, k)), None)
+        if end(name) is None or not end(value):
+            return None
+        return max(k for k in range(end(value)) if value in joined(k, end(value))) - end(name)
+
+    df = spark.createDataFrame(rows, "i int, p array<string>, n string, v string")
+    got = {r.i: r.d for r in df.select("i", text.name_value_distance(F.col("p"), F.col("n"), F.col("v")).alias("d")).collect()}
+    assert got == {i: want(p, n, v) for i, p, n, v in rows}
+
+
+def test_long_token_arrays_cost_one_pass(spark):
+    """2,000 tokens a row: joining every prefix took time of their number's square."""
+    df = spark.range(40).select(F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda k: k.cast("string")).alias("p"))
+    began = time.time()
+    assert {r[0] for r in df.select(text.name_value_distance(F.col("p"), F.lit("5051"), F.lit("19981999"))).collect()} == {1997 - 51}
+    assert time.time() - began < 30
+
+
+def test_exploded_rows_are_not_sent_to_all(spark):
+    """Spark takes rows for the size that they have before an explode: none of these joins may be broadcast for it."""
+    from twinfold.operators import joins, resample
+
+    rows = spark.createDataFrame([("g", i, float(i)) for i in range(50)], "g string, k long, v double")
+    lists = spark.createDataFrame([(1, [1]), (2, [1, 2]), (3, [2])], "k int, t array<int>")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(resample, "SENT", 0)
+        frames = [resample.bootstrap_means(rows, ["g"], ["k"], ["v"], 5, "s"), joins.proper_prefixes(lists, "k", "t")]
+    for found in frames:
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert [tuple(r) for r in frames[1].collect()] == [(1, 2)]

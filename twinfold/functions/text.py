@@ -130,11 +130,22 @@ def name_value_distance(pieces: Column, name: Column, value: Column) -> Column:
     pieces: the tokens' own strings. The name ends with the first token that completes it; so does the value, which begins with the last
     token from which it is still whole.
     """
-    n = F.size(pieces)
-    joined = lambda start, length: F.array_join(F.slice(pieces, start, length), "")
-    ends = lambda word: F.get(F.filter(F.sequence(F.lit(0), n), lambda k: F.contains(joined(F.lit(1), k), word)), 0)
-    value_start = lambda end: F.array_max(F.filter(F.sequence(F.lit(0), end - 1), lambda k: F.contains(joined(k + 1, end - k), value)))
-    return F.when(ends(name).isNotNull() & (ends(value) > 0), value_start(ends(value)) - ends(name))
+    bound = lambda x, f: F.get(F.transform(F.array(x), f), 0)  # noqa: E731  (x is computed once)
+    ends = F.aggregate(pieces, F.array(F.lit(0)), lambda a, p: F.array_append(a, F.element_at(a, -1) + F.coalesce(F.length(p), F.lit(0))))  # of the tokens in the text, after 0
+
+    def completed(s: Column, word: Column) -> Column:
+        at = F.instr(s["text"], word)
+        return F.when(at > 0, F.size(F.filter(s["ends"], lambda e: e < at - 1 + F.length(word))))
+
+    def begun(s: Column, end: Column) -> Column:
+        upto = F.substring(s["text"], F.lit(1), F.get(s["ends"], end))
+        last = F.length(upto) - F.instr(F.reverse(upto), F.reverse(value)) + 1 - F.length(value)  # letters before the value's last occurrence
+        return F.size(F.filter(F.slice(s["ends"], F.lit(1), end), lambda e: e <= last)) - 1
+
+    def distance(s: Column) -> Column:
+        return bound(completed(s, value), lambda end: F.when(end > 0, begun(s, end) - completed(s, name)))
+
+    return bound(F.struct(ends.alias("ends"), F.array_join(pieces, "").alias("text")), distance)
 
 
 def utc_stamp(time: Column | None = None) -> Column:

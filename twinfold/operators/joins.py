@@ -57,12 +57,15 @@ def metadata_of(df: DataFrame, history: str, columns: Sequence[str]) -> DataFram
     return df.groupBy(history).agg(*(F.any_value(c).alias(c) for c in columns))
 
 
-def proper_prefixes(candidates: DataFrame, key: str, tokens: str) -> DataFrame:
-    """(shorter, longer) keys where one token list is a proper prefix of another: each list's own prefixes, joined on the whole prefix."""
-    a = candidates.select(F.col(key).alias("shorter"), F.col(tokens).alias("prefix"))
+def proper_prefixes(candidates: DataFrame, key: str, tokens: str, within: Sequence[str] = ()) -> DataFrame:
+    """(shorter, longer) keys where one token list is a proper prefix of another: each list's own prefixes, joined on the whole prefix.
+
+    within: columns in which both must agree. Both sides are sorted: Spark knows lists by their size before prefixes are taken, and would send them all.
+    """
+    a = candidates.select(*within, F.col(key).alias("shorter"), F.col(tokens).alias("prefix"))
     own = F.transform(F.sequence(F.lit(1), F.size(tokens) - 1), lambda n: F.slice(tokens, F.lit(1), n))
-    b = candidates.filter(F.size(tokens) > 1).select(F.col(key).alias("longer"), F.explode(own).alias("prefix"))
-    return a.join(b, "prefix").select("shorter", "longer")
+    b = candidates.filter(F.size(tokens) > 1).select(*within, F.col(key).alias("longer"), F.explode(own).alias("prefix"))
+    return a.join(b.hint("merge"), [*within, "prefix"]).select("shorter", "longer")
 
 
 def with_legend(df: DataFrame, legend: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -22,6 +22,7 @@ from .pinning import pinned
 CHUNK = 1 << 22  # numbers drawn at once
 SENT = 100_000  # rows (a group's key and a few numbers each, some MB) that are sent to every task at most
 SLOTS = 250_000  # slots of a task, about
+TASKS = 2_000  # tasks that make slots, at most
 
 
 def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -43,10 +44,10 @@ def draws(df: DataFrame, group: Sequence[str], n_draws: int, seed: str) -> DataF
 
 
 def _slots(sizes: DataFrame, group: Sequence[str], n_draws: int, seed: str, parts: int = 1) -> DataFrame:
-    """As draws, of (group, n); the draws are dealt to `parts` tasks before their slots are made."""
-    each = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
-    each = each.repartition(parts, "draw") if parts > 1 else each
-    slots = each.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    """As draws, of (group, n); runs of SLOTS slots of a draw are dealt to `parts` tasks before the slots are made, so no row lists a group's."""
+    each = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1)))).withColumn("__run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / SLOTS))))
+    each = each.repartition(parts, "draw", "__run") if parts > 1 else each
+    slots = each.withColumn("slot", F.explode(F.sequence(F.col("__run") * SLOTS, F.least(F.col("n"), (F.col("__run") + 1) * SLOTS) - 1)))
     return slots.select(*group, "draw", F.pmod(md5_number(F.lit(seed), F.col("draw"), F.col("slot")), F.col("n")).alias("i"))
 
 
@@ -54,13 +55,12 @@ def bootstrap_means(df: DataFrame, group: Sequence[str], order: Sequence[str], v
     """(group, draw, mean of each value) of paired draws: one set of indices for all values.
 
     The numbered rows are pinned and counted; up to SENT of them are sent to the tasks that make the slots, so these are summed by draw where
-    they are made. More rows meet their slots in a shuffle.
+    they are made. More rows meet their slots in a shuffle: Spark knows slots by the size they have before they are made, and would send them all.
     """
     rows = pinned(numbered(df.select(*group, *order, *values), group, order).select(*group, "i", "n", *values))
     count = rows.count()
-    slots = _slots(rows.filter("i = 0").select(*group, "n"), group, n_draws, seed, min(n_draws, 1 + count * n_draws // SLOTS))
-    found = rows.drop("n")
-    found = F.broadcast(found) if count <= SENT else found
+    slots = _slots(rows.filter("i = 0").select(*group, "n"), group, n_draws, seed, min(TASKS, 1 + count * n_draws // SLOTS))
+    found = rows.drop("n").hint("broadcast" if count <= SENT else "merge")
     return slots.join(found, [*group, "i"]).groupBy(*group, "draw").agg(*(F.avg(v).alias(v) for v in values))
 
 
