@@ -65,3 +65,16 @@ def test_registered_queries_equal_one_generator(spark, tiny):
         want = resample.exact_summary(x)
         assert all(getattr(r, k) == pytest.approx(v, rel=1e-9) for k, v in want.items())
     assert entry.queries()["bootstrap_mean_exact"](spark, tiny).count() > 0
+
+
+def test_values_meet_their_blocks_in_parts(spark, monkeypatch):
+    """Groups of more values than a task holds, and copies of values that share the blocks; drawn indices are never rows."""
+    for name, v in (("SENT", 0), ("HELD", 256), ("BLOCK", 1 << 12), ("RUN", 2), ("COPIES", 3)):
+        monkeypatch.setattr(streams, name, v)
+    monkeypatch.setattr(streams, "index_draws", None)
+    rng = np.random.default_rng(1)
+    x = {g: rng.normal(size=n) for g, n in (("a", 40), ("b", 256), ("c", 700))}
+    df = spark.createDataFrame([(g, i, float(v)) for g, vs in x.items() for i, v in enumerate(vs)], "g string, i int, v double").repartition(5)
+    got = {(r.g, r.draw): r.v for r in streams.exact_means(df, ["g"], ["i"], ["v"], 30, 5).collect()}
+    for g, v in x.items():
+        assert [got[g, d] for d in range(30)] == pytest.approx(list(resample.index_means(v, 30, 5)), rel=1e-9)

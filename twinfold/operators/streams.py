@@ -3,8 +3,9 @@
 numpy draws indices below n from 32-bit numbers, two of each output of PCG64, and passes over a number if the low half of its product with n is
 below 2 ** 32 mod n. Whether a number is taken depends on itself alone, and the generator can be set to any output. So blocks are generated
 apart: a first pass counts what each takes, sums of the counts give each block its place among the draws, and a second pass generates
-the indices with their draw. Up to SENT rows are sent to the tasks, which add up their values by draw; more meet their indices in a join on
-their number, as in the portable forms, so that no task holds a group.
+the indices with their draw. Up to SENT rows are sent to the tasks, which add up their values by draw. Of more, HELD of a group's values at
+most meet in a task with every so many blocks of its stream, which are generated there: indices are neither rows nor shuffled. A group of
+more values has its blocks generated once for each HELD of them.
 """
 
 from __future__ import annotations
@@ -24,6 +25,9 @@ from .resample import SENT, numbered
 BLOCK = 1 << 20  # 32-bit numbers of a block, an even number
 SLICE = 1 << 16  # indices of an Arrow batch
 TASKS = 2_000  # tasks that blocks are dealt to at most
+HELD = 1 << 21  # a group's values that a task holds at most
+RUN = 64  # blocks that one copy of these values meets, about
+COPIES = 64  # of a group's values, at most
 
 
 def taken(block: int, n: int, seed: int) -> np.ndarray:
@@ -106,14 +110,49 @@ def _sent_means(rows: DataFrame, group: Sequence[str], values: Sequence[str], n_
     return sums.groupBy(*group, "draw").agg(*((F.sum(v) / F.sum("__n")).alias(v) for v in values))
 
 
+def _met_means(rows: DataFrame, group: Sequence[str], values: Sequence[str], n_draws: int, seed: int) -> DataFrame:
+    """exact_means of any number of numbered rows: HELD of a group's values and a share of its blocks meet in one call, which adds up by draw."""
+    n = F.col("n")
+    copies = F.least(F.lit(COPIES), F.ceil(n * F.lit(n_draws) / F.lit(RUN * BLOCK))).cast("long")
+    places = [*group, "__chunk", "__copy"]
+    held = rows.select(*group, "i", *(F.col(v).cast("double").alias(v) for v in values), F.floor(F.col("i") / HELD).alias("__chunk"), F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("__copy"))
+    blocks = _blocks(rows.filter("i = 0").select(*group, "n"), group, n_draws, seed)
+    dealt = blocks.select("*", F.pmod("__block", copies).alias("__copy"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / HELD))).alias("__chunk"))
+
+    def add(numbers: pa.Table, streams: pa.Table) -> pa.Table:
+        kinds = {c: streams.schema.field(c).type for c in group}
+        draws, counts, sums = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros((0, len(values)))]
+        if streams.num_rows and numbers.num_rows:
+            first = int(streams.column("__chunk")[0].as_py()) * HELD
+            x = np.empty((numbers.num_rows, len(values)))
+            x[numbers.column("i").to_numpy() - first] = np.column_stack([numbers.column(v).to_numpy() for v in values])
+            for size, block, before in zip(*(streams.column(c).to_pylist() for c in ("n", "__block", "__before")), strict=True):
+                i = taken(block, size, seed)[: max(0, size * n_draws - before)]
+                if len(i):
+                    draw = (before + np.arange(len(i))) // size
+                    if size > HELD:
+                        here = (i >= first) & (i < first + len(x))
+                        i, draw = i[here], draw[here]
+                    low, at = before // size, i - first
+                    got = np.bincount(draw - low)
+                    draws.append(low + np.arange(len(got)))
+                    counts.append(got)
+                    sums.append(np.column_stack([np.bincount(draw - low, x[at, k]) for k in range(len(values))]))
+        draw, total = np.concatenate(draws), np.concatenate(sums)
+        same = {c: pa.array([streams.column(c)[0].as_py()] * len(draw) if len(draw) else [], kinds[c]) for c in group}
+        return pa.table({**same, "draw": pa.array(draw.astype(np.int32)), "__n": pa.array(np.concatenate(counts).astype(np.int64)), **{v: pa.array(np.ascontiguousarray(total[:, k])) for k, v in enumerate(values)}})
+
+    sums = held.groupBy(*places).cogroup(dealt.groupBy(*places)).applyInArrow(add, f"{_kinds(rows, group)}draw int, __n long, " + ", ".join(f"`{v}` double" for v in values))
+    return sums.groupBy(*group, "draw").agg(*((F.sum(v) / F.sum("__n")).alias(v) for v in values))
+
+
 def exact_means(df: DataFrame, group: Sequence[str], order: Sequence[str], values: Sequence[str], n_draws: int, seed: int) -> DataFrame:
     """(group, draw, mean of each value) of numpy's index draws over each group's rows in the stated order, which is part of the result."""
     places = [f"__o{k}" for k in range(len(order))]
     rows = pinned(numbered(df.select(*group, *(F.col(c).alias(p) for c, p in zip(order, places, strict=True)), *values), group, places).select(*group, "i", "n", *values))
     if 0 < rows.count() <= SENT:
         return _sent_means(rows, group, values, n_draws, seed)
-    draws = index_draws(rows.filter("i = 0").select(*group, "n"), group, n_draws, seed)
-    return draws.join(rows.drop("n"), [*group, "i"]).groupBy(*group, "draw").agg(*(F.avg(v).alias(v) for v in values))
+    return _met_means(rows, group, values, n_draws, seed)
 
 
 def _finite(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
