@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from .joins import proper_prefixes
 from .pinning import pinned
 
 Encode = Callable[[list[str]], list[list[int]]]
+PROMPTS = 20_000  # prompts of a task, about
+TEXTS, LETTERS = 256, 1 << 20  # texts and their letters that are encoded at once, at most (but one text)
 
 
 def utf8_bytes(texts: list[str]) -> list[list[int]]:
@@ -28,7 +31,15 @@ def encoded(df: DataFrame, text: str, encode: Encode, name: str = "ids") -> Data
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            yield pd.Series(encode(b.fillna("").tolist()))
+            found, part, letters = [], [], 0  # lists of Python's numbers are made for a few texts at a time
+            for t in b.fillna(""):
+                if part and (len(part) >= TEXTS or letters + len(t) > LETTERS):
+                    found += (np.array(ids, np.int32) for ids in encode(part))
+                    part, letters = [], 0
+                part.append(t)
+                letters += len(t)
+            found += (np.array(ids, np.int32) for ids in encode(part)) if part else ()
+            yield pd.Series(found, dtype=object)
 
     udf = F.pandas_udf(run, "array<int>")
     return df.withColumn(name, udf(F.col(text)))
@@ -47,7 +58,9 @@ def surface_events(df: DataFrame, key: str, prompt: str, values: Sequence[str],
     A form counts only if the prompt's own tokens stay as they are; a spaced form that changes them raises, and so do two values that share
     a continuation.
     """
-    whole = encoded(df.select(key, prompt), prompt, encode, "__prefix")  # a prompt's own tokens are made once
+    spread = df.select(key, prompt)
+    spread = spread.repartition(1 + spread.count() // PROMPTS)  # a table of few files has few tasks
+    whole = encoded(spread, prompt, encode, "__prefix")  # a prompt's own tokens are made once
     values_ = F.explode(F.array(*map(F.lit, values)))
     forms = whole.select(key, prompt, "__prefix", values_.alias("value")).withColumn("s", F.explode(surfaces(F.col("value")))).select(key, prompt, "__prefix", "value", "s.*")
     both = encoded(forms.withColumn("__full", F.concat(prompt, "surface")), "__full", encode, "__all")
@@ -64,8 +77,8 @@ def surface_events(df: DataFrame, key: str, prompt: str, values: Sequence[str],
 
 def prefix_conflicts(events: DataFrame, key: str) -> DataFrame:
     """(shorter, longer): continuations of one prompt of which one is a proper prefix of the other; their probabilities would count twice."""
-    named = events.select(F.struct(key, "ids").alias("event"), F.concat(F.array(F.xxhash64(key).cast("string")), F.transform("ids", lambda i: i.cast("string"))).alias("tokens"))
-    return proper_prefixes(named, "event", "tokens").filter(F.col("shorter")[key] == F.col("longer")[key])
+    named = events.select(F.col(key).alias("__of"), F.struct(key, "ids").alias("event"), F.concat(F.array(F.lit(0)), "ids").alias("tokens"))  # begun alike, so that an empty one begins all
+    return proper_prefixes(named, "event", "tokens", ["__of"])
 
 
 def surface_geometry(events: DataFrame, key: str) -> DataFrame:
