@@ -63,19 +63,19 @@ def lineage_breaks(stages: DataFrame, edges: DataFrame, gates: DataFrame | None
     """
     edges = pinned(edges.select("stage", "parent", "sha256").distinct())
     known = stages.select(F.col("stage").alias("parent"), F.col("sha256").alias("__now"), F.lit(True).alias("__known"))
-    judged = edges.join(known, "parent", "left")
+    judged = edges.join(known.hint("merge"), "parent", "left")
     fault = F.when(F.col("__known").isNull(), "missing_parent").when(~F.col("__now").eqNullSafe(F.col("sha256")), "stale_parent")
     found = judged.select("stage", fault.alias("fault"), "parent").filter("fault is not null")
     # what has neither a way in from outside nor out again stays when ends are peeled off: cycles and what stands between two
     ring = edges.select("stage", "parent")
     while True:
-        inner = pinned(ring.join(ring.select(F.col("parent").alias("stage")).distinct(), "stage", "left_semi").join(ring.select(F.col("stage").alias("parent")).distinct(), "parent", "left_semi").select("stage", "parent"))
+        inner = pinned(ring.join(ring.select(F.col("parent").alias("stage")).distinct().hint("merge"), "stage", "left_semi").join(ring.select(F.col("stage").alias("parent")).distinct().hint("merge"), "parent", "left_semi").select("stage", "parent"))
         if inner.count() == ring.count():
             break
         ring = inner
     reach = pinned(ring.select(F.col("stage").alias("a"), F.col("parent").alias("b")).distinct())
     while True:  # ways of up to twice the length
-        longer = pinned(reach.unionByName(reach.alias("l").join(reach.alias("r"), F.col("l.b") == F.col("r.a")).select("l.a", "r.b")).distinct())
+        longer = pinned(reach.unionByName(reach.alias("l").join(reach.alias("r").hint("merge"), F.col("l.b") == F.col("r.a")).select("l.a", "r.b")).distinct())
         if longer.count() == reach.count():
             break
         reach = longer
@@ -87,9 +87,9 @@ def lineage_breaks(stages: DataFrame, edges: DataFrame, gates: DataFrame | None
     bad = new = pinned(found.select("stage").distinct())
     taints = []
     while not new.isEmpty():
-        down = pinned(edges.select("stage", "parent").join(new.withColumnRenamed("stage", "parent"), "parent").select("stage", F.lit("tainted").alias("fault"), "parent"))
+        down = pinned(edges.select("stage", "parent").join(new.withColumnRenamed("stage", "parent").hint("merge"), "parent").select("stage", F.lit("tainted").alias("fault"), "parent"))
         taints.append(down)
-        new = pinned(down.select("stage").distinct().join(bad, "stage", "left_anti"))
+        new = pinned(down.select("stage").distinct().join(bad.hint("merge"), "stage", "left_anti"))
         bad = pinned(bad.unionByName(new))
     return reduce(DataFrame.unionByName, taints, found)
 
