@@ -135,7 +135,7 @@ def fresh_signatures(df: DataFrame, index: str, signature: Callable[[Column, Col
         proposed = asked.select(index, "attempt", signature(F.col(index), F.col("attempt")).alias("signature"))
         first = proposed.groupBy("signature").agg(F.min(index).alias("__first"))
         barred = used.select("signature", F.lit(True).alias("__used")).distinct()
-        judged = proposed.join(first, "signature").join(barred, "signature", "left").withColumn("__lost", (F.col(index) != F.col("__first")) | F.col("__used").isNotNull()).persist()
+        judged = proposed.join(first.hint("merge"), "signature").join(barred.hint("merge"), "signature", "left").withColumn("__lost", (F.col(index) != F.col("__first")) | F.col("__used").isNotNull()).persist()
         facts = judged.agg(F.count_if(F.col("__lost")).alias("lost"), F.max("attempt").alias("most")).first()
         if not facts["lost"]:
             return judged.select(index, "attempt", "signature")
@@ -152,6 +152,7 @@ def fresh_keyed(df: DataFrame, index: str, keys: Callable[[Column, Column], Colu
     all its keys or none, so a row that goes on frees what it asked for. All rows are settled together, in rounds: each takes its first attempt
     that the present choices of the rows before it leave free. After n rounds the first n rows are as if drawn one by one, and a round in
     which no row changes is that result; conflicts are few, so that comes soon. used: a column `signature`. Raises if a row runs out of attempts.
+    All joins sort both sides: none is small where df is large, and Spark takes rows before their attempts and keys are exploded for their size.
     """
     barred = pinned(used.select("signature").distinct().withColumn("__owner", F.lit(None).cast(df.schema[index].dataType)))
     ids = pinned(df.select(index))
@@ -159,14 +160,14 @@ def fresh_keyed(df: DataFrame, index: str, keys: Callable[[Column, Column], Colu
     while True:
         owners = barred if chosen is None else barred.unionByName(chosen.select(F.explode("keys").alias("signature"), F.col(index).alias("__owner")).groupBy("signature").agg(F.min("__owner").alias("__owner")))
         asked = ids.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(reach - 1)))).withColumn("keys", keys(F.col(index), F.col("attempt")))
-        met = asked.select(index, "attempt", F.explode("keys").alias("signature")).join(owners, "signature").filter(F.col("__owner").isNull() | (F.col("__owner") < F.col(index))).select(index, "attempt").distinct()
-        first = asked.join(met, [index, "attempt"], "left_anti").groupBy(index).agg(F.min_by(F.struct("attempt", "keys"), "attempt").alias("__a"))
-        now = pinned(ids.join(first, index, "left").select(index, "__a.attempt", "__a.keys"))
+        met = asked.select(index, "attempt", F.explode("keys").alias("signature")).join(owners.hint("merge"), "signature").filter(F.col("__owner").isNull() | (F.col("__owner") < F.col(index))).select(index, "attempt").distinct()
+        first = asked.join(met.hint("merge"), [index, "attempt"], "left_anti").groupBy(index).agg(F.min_by(F.struct("attempt", "keys"), "attempt").alias("__a"))
+        now = pinned(ids.join(first.hint("merge"), index, "left").select(index, "__a.attempt", "__a.keys"))
         if not now.filter("attempt is null").isEmpty():
             if reach >= attempts:
                 raise ValueError(f"no fresh signature in {attempts} attempts")
             reach = min(attempts, 2 * reach)
-        elif chosen is not None and now.join(chosen.select(index, F.col("attempt").alias("__was")), index).filter("attempt <> __was").isEmpty():
+        elif chosen is not None and now.join(chosen.select(index, F.col("attempt").alias("__was")).hint("merge"), index).filter("attempt <> __was").isEmpty():
             return now
         else:
             chosen = now
