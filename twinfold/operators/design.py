@@ -221,12 +221,12 @@ def _sampled(values: Sequence[str], n: Column, *seed: Column) -> Column:
     return F.transform(F.slice(order, F.lit(1), n), lambda x: x["v"])
 
 
-def version_chains(histories: DataFrame, depth: str, number: str, values: Sequence[str], seed: str, excluded: DataFrame | None = None) -> DataFrame:
+def version_chains(histories: DataFrame, depth: str, number: str, values: Sequence[str], seed: str, excluded: DataFrame | None = None, fresh: bool = True) -> DataFrame:
     """Histories of two variables with depth + 1 versions each: history, depth, number, attempt, x, z, orientation, block_order.
 
     histories: columns depth and number (0 and up within a depth). All versions of a history differ; no two histories, nor one and an
     `excluded` (a column `signature`), have the same versions in either orientation. Orientations and block orders alternate, so four
-    histories in a row have each pair of them once.
+    histories in a row have each pair of them once. Without `fresh` each history has its first attempt, whatever others have.
     """
     m = F.col(depth) + 1
     rows = histories.select(depth, number).withColumn("__id", F.struct(F.col(depth).cast("long").alias("d"), F.col(number).cast("long").alias("h")))
@@ -242,7 +242,7 @@ def version_chains(histories: DataFrame, depth: str, number: str, values: Sequen
         return F.array(named(i["d"], x, z), named(i["d"], z, x))
 
     none = histories.sparkSession.createDataFrame([], "signature string")
-    found = fresh_keyed(rows.select("__id"), "__id", keys, none if excluded is None else excluded)
+    found = fresh_keyed(rows.select("__id"), "__id", keys, none if excluded is None else excluded) if fresh else rows.select("__id", F.lit(0).alias("attempt"))
     both = found.withColumn("__v", drawn(F.col("__id"), F.col("attempt"))).select(F.col("__id.d").alias(depth), F.col("__id.h").alias(number), "attempt", "__v")
     h = F.col(number)
     return both.select(
