@@ -3,6 +3,7 @@
 import hashlib
 import random
 from collections import Counter
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,3 +117,26 @@ def test_spans_of_token_pairs(spark):
         with pytest.raises(ValidationError, match=why):
             tokens.pair_audit(bad, ["k"], "a", "b", ("lo", "hi"))
     assert [tuple(r) for r in tokens.token_counts(pairs.withColumn("f", F.lit("x")), "f", "b").collect()] == [("x", 4, 4, 4.0)]
+
+
+def test_chains_without_fresh_are_first_attempts(spark):
+    """Few values for many histories: first attempts repeat, and stay as they are where that is asked."""
+    rows = spark.range(60).selectExpr("1 as depth", "id as number")
+    first = design.version_chains(rows, "depth", "number", ["a", "b", "c", "d", "e"], "s", fresh=False).collect()
+    again = {r.number: r for r in design.version_chains(rows, "depth", "number", ["a", "b", "c", "d", "e"], "s").collect()}
+    assert len(first) == 60 and {r.attempt for r in first} == {0} and len({frozenset([tuple(r.x), tuple(r.z)]) for r in first}) < 60
+    assert len({frozenset([tuple(r.x), tuple(r.z)]) for r in again.values()}) == 60
+    assert all(again[r.number] == r for r in first if again[r.number].attempt == 0)
+
+
+def test_means_of_twenty_are_no_more_than_twenty(spark, tmp_path):
+    import datetime
+
+    from twinfold.plans import effects
+
+    values = [19.69, 20.85, 19.59, 19.87]
+    assert reduce(float.__add__, values) / 4 > 20  # by rounding alone
+    t = datetime.datetime(2024, 1, 2)
+    rows = [(i, t, 1, "click", v) for i, v in enumerate(values)] + [(9, t, 2, "click", 20.01)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(r) for r in effects.tracked_histories_semi(spark, str(tmp_path)).collect()] == [(2, 1)]

@@ -217,7 +217,8 @@ def leakage_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT history, count(*) AS n FROM families WHERE history IN (SELECT history FROM families GROUP BY 1 HAVING bool_and(score > 20)) GROUP BY ALL", uses="families")
 def tracked_histories_semi(spark: SparkSession, sf: str) -> DataFrame:
-    return joins.where_all(families(spark, sf), "history", F.col("score") > 20).groupBy("history").agg(F.count("*").alias("n"))
+    """A mean of cents that is 20 sums up to a little more or less, by the order of its rows: means are compared to nine decimals."""
+    return joins.where_all(families(spark, sf), "history", F.round("score", 9) > 20).groupBy("history").agg(F.count("*").alias("n"))
 
 
 @query(
