@@ -45,6 +45,11 @@ def encoded(df: DataFrame, text: str, encode: Encode, name: str = "ids") -> Data
     return df.withColumn(name, udf(F.col(text)))
 
 
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """df dealt to tasks of about so many rows, which are counted first: a table of few files has few tasks, and their Python full batches."""
+    return df.repartition(1 + df.count() // rows)
+
+
 def surfaces(value: Column) -> Column:
     """A value's written forms, spaced ones first: (text, whether it must keep the prompt's tokens)."""
     title = F.initcap(value)
@@ -58,9 +63,7 @@ def surface_events(df: DataFrame, key: str, prompt: str, values: Sequence[str],
     A form counts only if the prompt's own tokens stay as they are; a spaced form that changes them raises, and so do two values that share
     a continuation.
     """
-    spread = df.select(key, prompt)
-    spread = spread.repartition(1 + spread.count() // PROMPTS)  # a table of few files has few tasks
-    whole = encoded(spread, prompt, encode, "__prefix")  # a prompt's own tokens are made once
+    whole = encoded(spread(df.select(key, prompt), PROMPTS), prompt, encode, "__prefix")  # a prompt's own tokens are made once
     values_ = F.explode(F.array(*map(F.lit, values)))
     forms = whole.select(key, prompt, "__prefix", values_.alias("value")).withColumn("s", F.explode(surfaces(F.col("value")))).select(key, prompt, "__prefix", "value", "s.*")
     both = encoded(forms.withColumn("__full", F.concat(prompt, "surface")), "__full", encode, "__all")
