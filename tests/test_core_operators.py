@@ -401,7 +401,7 @@ def test_exploded_rows_are_not_sent_to_all(spark):
     lists = spark.createDataFrame([(1, [1]), (2, [1, 2]), (3, [2])], "k int, t array<int>")
     with pytest.MonkeyPatch.context() as m:
         m.setattr(resample, "SENT", 0)
-        frames = [resample.bootstrap_means(rows, ["g"], ["k"], ["v"], 5, "s"), joins.proper_prefixes(lists, "k", "t")]
+        frames = [resample.bootstrap_means(rows, ["g"], ["k"], ["v"], 5, "s"), joins.proper_prefixes(lists, "k", "t"), records.complete_units(rows, "k", F.col("v"))]
     for found in frames:
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

@@ -277,7 +277,7 @@ def recover_complete_pairs(spark: SparkSession, sf: str) -> DataFrame:
     from ..sources.records import complete_units
 
     lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").cast("long").alias("n"))
-    known = lines.join(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", "left_semi")
+    known = lines.join(table(spark, sf, "orders").select("o_orderkey").hint("merge"), "o_orderkey", "left_semi")
     return complete_units(known, "o_orderkey", F.col("n")).groupBy("o_orderkey").agg(F.count("*").alias("lines"))
 
 

@@ -139,7 +139,7 @@ def complete_units(lines: DataFrame, key: str, expected: Column) -> DataFrame:
     lines: unit rows with a column that is the number of rows which the unit says it has (null in rows without a marker).
     """
     found = lines.groupBy(key).agg(F.max(expected).alias("__said"), F.count("*").alias("__rows")).filter(F.col("__said") == F.col("__rows")).select(key)
-    return lines.join(found, key, "left_semi")
+    return lines.join(found.hint("merge"), key, "left_semi")  # units grow with the lines: they are never sent to all tasks
 
 
 def file_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
