@@ -417,6 +417,55 @@ def test_links_are_found_at_the_threshold(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, 3, 83).collect()} == want
 
 
+def test_a_large_group_takes_few_stages(spark, monkeypatch):
+    """Each stage leaves files and events for every partition: a group of many blocks takes few of them, and no link is lost."""
+    rng = np.random.default_rng(11)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for k in rng.integers(0, len(w), i % 9):
+            w[k] = f"e{i}_{k}"
+        rows.append((500 - i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(neardup, "BLOCK", 12), monkeypatch.setattr(neardup, "WIDE", 30)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("a large group", "")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, 3, 85).collect()}
+    jobs = tracker.getJobIdsForGroup("a large group")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == brute_components(rows, 3, 85)
+    assert 0 < len(jobs) < 115  # 139 with components found one after another
+
+
+def test_components_equal_union_find(spark, monkeypatch):
+    """Chains, stars to the least and to the largest id, cycles and repeated links, with a broadcast and without."""
+    rng = np.random.default_rng(12)
+    chain = list(zip(range(0, 60), range(1, 61), strict=True))
+    mixed = [int(x) + 100 for x in rng.permutation(60)]
+    links = chain + list(zip(mixed, mixed[1:], strict=False)) + [(200, 200 + k) for k in range(1, 40)] + [(399, 300 + k) for k in range(40)] + [(501, 502), (502, 503), (503, 501), (501, 502), (502, 501)]
+    links += [(int(a), int(b)) for a, b in rng.integers(1000, 1400, (250, 2)) if a != b]
+    parent = {x: x for p in links for x in p}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    want = {x: find(x) for x in parent if find(x) != x}
+    df = spark.createDataFrame(links, "a long, b long")
+    for n in (len(links), 10**9):
+        got = neardup.components(df, n).collect()
+        assert len(got) == len(want) and {r.id: r.label for r in got} == want
+    some = neardup.components(df.filter("a % 3 > 0"), len(links))
+    assert {r.id: r.label for r in neardup.merged(some, df.filter("a % 3 = 0"), 10**9).collect()} == want
+    assert {r.id: r.label for r in neardup.with_least(some).collect() if r.id == r.label}.keys() == {r.label for r in some.collect()}
+    assert neardup.components(df.limit(0), 0).count() == 0
+
+
 def test_estimates_are_near_the_truth():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 63, 400, dtype=np.uint64)

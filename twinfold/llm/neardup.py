@@ -9,7 +9,8 @@
    the collision-corrected similarity (matches - c) / (1 - c) with c = 2**-BITS; candidates more than MARGIN standard errors below the
    threshold go, which loses a link with probability under 1e-4, and so does a set size that rules the threshold out.
 4. Links are confirmed on the full sets, in the task that compares a block of a bucket; pairs never leave the task, which hands on only
-   the links that join groups not yet joined: at most one per member. Buckets of up to BLOCK members are one block and done with that.
+   what they join: each component that is no longer the smallest of its group, with the smallest. Buckets of up to BLOCK members are one
+   block and done with that.
 5. A larger bucket is dealt to blocks, each member to one. After the components of the links found, only buckets with several components
    are taken up again: first one representative of each, then, with no cap, every member outside the bucket's largest component
    against every other member, in pairs of blocks of WIDE. Members of one component aren't compared again; that changes no component.
@@ -219,7 +220,7 @@ class Block:
         self.signature, self.bands = (table[c].combine_chunks().flatten().to_numpy().reshape(len(table), -1) for c in ("signature", "bands"))
         self.bucket, self.text = table["bucket"].to_numpy(), table["text"]
         self.key = table["key"].to_numpy()
-        self.root = np.unique(self.label, return_inverse=True)[1]
+        self.labels, self.first, self.root = np.unique(self.label, return_index=True, return_inverse=True)
         self.sets: dict[int, np.ndarray] = {}
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -255,9 +256,8 @@ class Block:
             if ok.any():
                 yield x[ok], y[ok]
 
-    def links(self) -> tuple[list[int], list[int]]:
-        """Node numbers of links, confirmed on the full sets, that join what was not joined."""
-        a, b = [], []
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """Labels that links, confirmed on the full sets, join with a smaller one, and the smallest that each is joined with."""
         for x, y in self.candidates():
             asked = np.setdiff1d(np.unique(np.concatenate([x, y])), list(self.sets))
             for lo in range(0, len(asked), 500):
@@ -268,8 +268,11 @@ class Block:
             for i, j in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
                 if self.root[i] != self.root[j]:
                     self.root[self.root == self.root[j]] = self.root[i]
-                    a.append(int(self.node[i])), b.append(int(self.node[j]))
-        return a, b
+        group = self.root[self.first]
+        least = np.full(len(group), np.iinfo(np.int64).max)
+        np.minimum.at(least, group, self.labels)
+        moved = least[group] != self.labels
+        return self.labels[moved], least[group][moved]
 
     def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Sizes of the intersections of the pairs' sets (x sorted)."""
@@ -292,7 +295,7 @@ class Block:
 
 
 def linked(dealt: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b): links of members (key, side, bucket, node, label, n, bands, signature, text) of whole blocks, a block's key being dealt to one task."""
+    """(a, b): labels joined by links of members (key, side, bucket, node, label, n, bands, signature, text) of whole blocks, a block's key being dealt to one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -326,31 +329,27 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 # ---- components
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, label): the smallest id that each linked id reaches.
+def components(links: DataFrame, n: int) -> DataFrame:
+    """(id, label): the smallest id that each linked id reaches, without the ids that reach no smaller one. n: rows of links, or more.
 
-    Labels move along links to the smaller one and then jump to their label's label, until nothing changes.
+    Each id's smaller neighbours are linked to the least of them, or to that one's own least neighbour, instead of to the id, and the id
+    too. No path is lost and no link is added, until every id has one neighbour, which has none. An id that many others are linked to
+    has no row for each: these are told apart by the larger end.
     """
-    both = pinned(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
-    labels = pinned(both.select(F.col("u").alias("id")).distinct().withColumn("label", F.col("id")))
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     while True:
-        near = both.join(labels.select(F.col("id").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("least"))
-        moved = labels.join(near.withColumnRenamed("u", "id"), "id", "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("least", "label")).alias("label"))
-        # what a label's own id has moved to, and any smaller label that its members have met
-        met = moved.groupBy(F.col("old").alias("at")).agg(F.min("label").alias("to"))
-        now = pinned(moved.join(met, moved["label"] == met["at"], "left").select("id", "old", F.least("label", F.coalesce("to", "label")).alias("label")))
-        if now.filter("label != old").isEmpty():
-            return now.select("id", "label")
-        labels = now.select("id", "label")
+        near = pinned(edges.groupBy("u").agg(F.collect_set("v").alias("all")).select("u", F.array_min("all").alias("v"), "all"))
+        up = near.select(F.col("u").alias("v"), F.col("v").alias("top"))
+        moved = near.join(hint_small(up, n), "v", "left")
+        if near.filter(F.size("all") > 1).isEmpty() and moved.filter("top is not null").isEmpty():
+            return near.select(F.col("u").alias("id"), F.col("v").alias("label"))
+        from_ = F.explode(F.concat(F.array("u"), F.array_remove("all", F.col("v"))))
+        edges = moved.select(from_.alias("u"), F.coalesce("top", "v").alias("v"))
 
 
-def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels (id, label) after more links: components of components, and ids that had no label."""
-    name = labels.select(F.col("id"), F.col("label").alias("to"))
-    ends = links.join(name.select(F.col("id").alias("a"), F.col("to").alias("x")), "a", "left").join(name.select(F.col("id").alias("b"), F.col("to").alias("y")), "b", "left")
-    top = components(ends.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).distinct()).select(F.col("id").alias("label"), F.col("label").alias("to"))
-    every = labels.unionByName(links.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(labels, "id", "left_anti").withColumn("label", F.col("id")))
-    return pinned(every.join(top, "label", "left").select("id", F.coalesce("to", "label").alias("label")))
+def merged(labels: DataFrame, links: DataFrame, n: int) -> DataFrame:
+    """labels (id, label) after more links; n: rows of both, or more."""
+    return components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(links), n)
 
 
 def blocks_of(members: Column, shingles: Column, most: int) -> Column:
@@ -381,40 +380,54 @@ def class_labels(nodes: DataFrame, width: int, percent: int) -> DataFrame:
     mine = F.pmod(F.xxhash64("node"), F.col("x.blocks"))
     first = own.select(F.xxhash64("x.bucket", mine).alias("key"), F.lit(-1).alias("side"), "x.bucket", "node", "label", "n", "bands", "signature", "text")
     links = pinned(linked(first, width, percent))
-    labels = components(links)
+    n = links.count()
+    labels = components(links, n)
     hot = pinned(nodes.select("node", "n", F.explode("at").alias("x")).filter("x.blocks > 1").select("node", "n", "x.bucket"))
     if hot.isEmpty():
-        return labels
+        return with_least(labels)
     texts = nodes.select("node", "bands", "signature", "text")
 
-    def spread(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Members of hot buckets with their labels, and the buckets that hold several."""
-        members = hot.join(labels.select(F.col("id").alias("node"), "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    def spread(labels: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
+        """Members of hot buckets with their labels, the buckets that hold several, and how many such buckets and labels in them there are."""
+        members = hot.join(hint_small(labels.select(F.col("id").alias("node"), "label"), n), "node", "left").withColumn("label", F.coalesce("label", "node"))
         groups = members.groupBy("bucket", "label").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
         most = F.max(F.struct("size", "shingles", "label"))
-        mixed = groups.groupBy("bucket").agg(F.count("*").alias("n_labels"), F.sum("size").alias("size"), F.sum("shingles").alias("shingles"), most.alias("most")).filter("n_labels > 1")
-        return members, mixed
+        mixed = pinned(groups.groupBy("bucket").agg(F.count("*").alias("n_labels"), F.sum("size").alias("size"), F.sum("shingles").alias("shingles"), most.alias("most")).filter("n_labels > 1"))
+        return members, mixed, *mixed.agg(F.count("*"), F.coalesce(F.sum("n_labels"), F.lit(0))).first()
 
     for turn in range(2):  # representatives: one member of each component in a bucket
-        members, mixed = spread(labels)
-        some = members.join(mixed.select("bucket", blocks_of(F.col("n_labels"), F.col("shingles") * F.col("n_labels") / F.col("size"), BLOCK).alias("blocks")), "bucket")
+        members, mixed, buckets, n_labels = spread(labels)
+        if not buckets:
+            return with_least(labels)
+        sized = mixed.select("bucket", blocks_of(F.col("n_labels"), F.col("shingles") * F.col("n_labels") / F.col("size"), BLOCK).alias("blocks"))
+        some = members.join(hint_small(sized, buckets), "bucket")
         chosen = some.groupBy("bucket", "label", "blocks").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n")).alias("x")).select("bucket", "label", "blocks", "x.node", "x.n")
-        dealt = chosen.withColumn("key", F.xxhash64("bucket", F.pmod(F.xxhash64("label", F.lit(turn)), F.col("blocks")))).withColumn("side", F.lit(-1))
-        links = pinned(linked(dealt.join(texts, "node"), width, percent))
-        if links.isEmpty():
+        dealt = chosen.withColumn("key", F.xxhash64("bucket", F.pmod(F.xxhash64("label", F.lit(turn)), F.col("blocks")))).withColumn("side", F.lit(-1)).drop("blocks")
+        links = pinned(linked(texts.join(hint_small(dealt, n_labels), "node"), width, percent))
+        found = links.count()
+        if not found:
             break
-        labels = merged(labels, links)
-    members, mixed = spread(labels)
+        n += found
+        labels = merged(labels, links, n)
+    members, mixed, buckets, _ = spread(labels)
+    if not buckets:
+        return with_least(labels)
     others = blocks_of(F.col("size") - F.col("most.size"), F.col("shingles") - F.col("most.shingles"), WIDE)
     sized = mixed.select("bucket", F.col("most.label").alias("largest"), others.alias("others"), blocks_of(F.col("most.size"), F.col("most.shingles"), WIDE).alias("rest"))
-    placed = members.join(sized, "bucket").withColumn("outside", F.col("label") != F.col("largest"))
+    placed = members.join(hint_small(sized, buckets), "bucket").withColumn("outside", F.col("label") != F.col("largest"))
     number = F.when(F.col("outside"), F.pmod(F.xxhash64("node"), F.col("others"))).otherwise(F.col("others") + F.pmod(F.xxhash64("node"), F.col("rest")))
     partners = F.sequence(F.lit(0), F.when(F.col("outside"), F.col("others") + F.col("rest")).otherwise(F.col("others")) - 1)
     pairs = placed.withColumn("mine", number.cast("int")).withColumn("other", F.explode(partners))
     side = F.when(F.col("mine") == F.col("other"), -1).when(F.col("mine") < F.col("other"), 0).otherwise(1)
     dealt = pairs.select(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), side.alias("side"), "bucket", "node", "label", "n")
     links = pinned(linked(dealt.join(texts, "node"), width, percent))
-    return labels if links.isEmpty() else merged(labels, links)
+    found = links.count()
+    return with_least(merged(labels, links, n + found) if found else labels)
+
+
+def with_least(labels: DataFrame) -> DataFrame:
+    """labels (id, label) and those ids that are labels themselves."""
+    return labels.unionByName(labels.select(F.col("label").alias("id"), "label").distinct())
 
 
 def groups(documents: DataFrame, width: int, percent: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
