@@ -39,6 +39,20 @@ def test_no_fresh_signature_raises(spark):
     assert design.fresh_keyed(spark.range(0).select(F.col("id").alias("i")), "i", lambda i, a: F.array(F.lit("x")), spark.createDataFrame([], "signature string")).count() == 0
 
 
+def test_rows_without_conflicts_ask_for_one_attempt_alone(spark):
+    """Work follows the attempts that are needed: here the second ones of two rows, whose first are used or another's, and no third one."""
+    keys = lambda i, a: F.when(a > F.when(i.isin(3, 7), 1).otherwise(0), F.raise_error("asked for more")).otherwise(F.array(F.concat_ws("-", F.when((i == 7) & (a == 0), 5).otherwise(i), a)))
+    got = design.fresh_keyed(spark.range(20).select(F.col("id").alias("i")), "i", keys, spark.createDataFrame([("3-0",), (None,)], "signature string")).collect()
+    assert {r.i: (r.attempt, r["keys"]) for r in got} == {i: (int(i in (3, 7)), [f"{i}-{int(i in (3, 7))}"]) for i in range(20)}
+
+
+def test_rows_that_run_out_of_attempts_in_passing_go_on(spark):
+    """Row 2 has no free attempt while row 1 holds m, which row 1 gives up since row 0 has k."""
+    keys = lambda i, a: F.when(i == 0, F.array(F.lit("k"))).when(i == 1, F.when(a == 0, F.array(F.lit("k"), F.lit("m"))).otherwise(F.array(F.lit("z")))).otherwise(F.when(a == 0, F.array(F.lit("m"))).otherwise(F.array(F.lit("k"))))
+    got = design.fresh_keyed(spark.range(3).select(F.col("id").alias("i")), "i", keys, spark.createDataFrame([], "signature string"), 4).collect()
+    assert {r.i: (r.attempt, r["keys"]) for r in got} == {0: (0, ["k"]), 1: (1, ["z"]), 2: (0, ["m"])}
+
+
 @pytest.mark.parametrize(("items", "before"), [(["O_x", "O_z", "C_x", "C_z"], [("O_x", "C_x"), ("O_z", "C_z")]), (list("abcde"), [("e", "a"), ("c", "b")]), (list("abcd"), []), (["a"], [])])
 def test_orders_by_number_are_those_of_the_list(spark, items, before):
     want = design.legal_orders(items, before)

@@ -150,27 +150,28 @@ def fresh_keyed(df: DataFrame, index: str, keys: Callable[[Column, Column], Colu
 
     keys: an array of signatures of (index, attempt), such as a target's and its whole history's, or both orientations of a pair. A row has
     all its keys or none, so a row that goes on frees what it asked for. All rows are settled together, in rounds: each takes its first attempt
-    that the present choices of the rows before it leave free. After n rounds the first n rows are as if drawn one by one, and a round in
-    which no row changes is that result; conflicts are few, so that comes soon. used: a column `signature`. Raises if a row runs out of attempts.
+    that the present choices of the rows before it leave free. A row asks for its first attempt alone, and for twice as many whenever all that it
+    asked for are taken, so most rows are in a round once; it takes the first new one unseen, to be judged in the next round. Where a round
+    changes no row, each row's attempt is free and all before it aren't: by induction on the index that is the result of drawing one by one. It
+    is reached, as a row stands still soon after those before it do. used: a column `signature`. Raises if a row runs out of attempts.
     All joins sort both sides: none is small where df is large, and Spark takes rows before their attempts and keys are exploded for their size.
     """
-    barred = pinned(used.select("signature").distinct().withColumn("__owner", F.lit(None).cast(df.schema[index].dataType)))
-    ids = pinned(df.select(index))
-    chosen, reach = None, 4
+    barred = pinned(used.filter("signature is not null").select("signature", F.lit(None).cast(df.schema[index].dataType).alias("__owner")).distinct())
+    settled = pinned(df.select(index, F.lit(0).alias("attempt"), F.lit(1).alias("__asked")))
     while True:
-        owners = barred if chosen is None else barred.unionByName(chosen.select(F.explode("keys").alias("signature"), F.col(index).alias("__owner")).groupBy("signature").agg(F.min("__owner").alias("__owner")))
-        asked = ids.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(reach - 1)))).withColumn("keys", keys(F.col(index), F.col("attempt")))
-        met = asked.select(index, "attempt", F.explode("keys").alias("signature")).join(owners.hint("merge"), "signature").filter(F.col("__owner").isNull() | (F.col("__owner") < F.col(index))).select(index, "attempt").distinct()
-        first = asked.join(met.hint("merge"), [index, "attempt"], "left_anti").groupBy(index).agg(F.min_by(F.struct("attempt", "keys"), "attempt").alias("__a"))
-        now = pinned(ids.join(first.hint("merge"), index, "left").select(index, "__a.attempt", "__a.keys"))
-        if not now.filter("attempt is null").isEmpty():
-            if reach >= attempts:
+        chosen = settled.filter("attempt is not null").select(F.col(index).alias("__owner"), F.explode(keys(F.col(index), F.col("attempt"))).alias("signature"))
+        owners = chosen.groupBy("signature").agg(F.min("__owner").alias("__owner")).unionByName(barred)
+        asked = settled.select(index, F.explode(F.sequence(F.lit(0), F.col("__asked") - 1)).alias("__a")).select(index, "__a", F.explode(keys(F.col(index), F.col("__a"))).alias("signature"))
+        met = asked.join(owners.hint("merge"), "signature").filter(F.col("__owner").isNull() | (F.col("__owner") < F.col(index))).groupBy(index).agg(F.collect_set("__a").alias("__met"))
+        judged = settled.join(met.hint("merge"), index, "left").withColumn("__free", F.array_min(F.array_except(F.sequence(F.lit(0), F.col("__asked") - 1), F.coalesce("__met", F.array().cast("array<int>")))))
+        attempt = F.coalesce("__free", F.when(F.col("__asked") < attempts, F.col("__asked")))
+        more = F.when(F.col("__free").isNull(), F.least(2 * F.col("__asked"), F.lit(attempts))).otherwise(F.col("__asked"))
+        settled = pinned(judged.select(index, attempt.alias("attempt"), more.alias("__asked"), (~attempt.eqNullSafe(F.col("attempt"))).alias("__moved")))
+        facts = settled.agg(F.count_if("__moved").alias("moved"), F.count_if(F.col("attempt").isNull()).alias("without")).first()
+        if not facts["moved"]:
+            if facts["without"]:
                 raise ValueError(f"no fresh signature in {attempts} attempts")
-            reach = min(attempts, 2 * reach)
-        elif chosen is not None and now.join(chosen.select(index, F.col("attempt").alias("__was")).hint("merge"), index).filter("attempt <> __was").isEmpty():
-            return now
-        else:
-            chosen = now
+            return settled.select(index, "attempt", keys(F.col(index), F.col("attempt")).alias("keys"))
 
 
 def order_ways(items: Sequence[str], before: Sequence[tuple[str, str]]) -> list[int]:
