@@ -53,6 +53,27 @@ def test_rows_that_run_out_of_attempts_in_passing_go_on(spark):
     assert {r.i: (r.attempt, r["keys"]) for r in got} == {0: (0, ["k"]), 1: (1, ["z"]), 2: (0, ["m"])}
 
 
+def test_keys_are_made_once(spark):
+    """However many rounds follow: all 20 rows' first keys and, as these are one, second keys of 19."""
+    made = spark.sparkContext.accumulator(0)
+
+    def key(i, a):
+        made.add(1)
+        return f"{i}-{a}" if a else "first"
+
+    asked = F.udf(key, "string")
+    got = design.fresh_keyed(spark.range(20).select(F.col("id").alias("i")), "i", lambda i, a: F.array(asked(i, a)), spark.createDataFrame([], "signature string")).collect()
+    assert {r.i: r.attempt for r in got} == {i: int(i > 0) for i in range(20)} and made.value == 39
+
+
+def test_rows_that_share_an_index_share_their_keys_and_none_lacks_one(spark):
+    frame, none = lambda ids: spark.createDataFrame([(i,) for i in ids], "i long"), spark.createDataFrame([], "signature string")
+    keys = lambda i, a: F.array(F.when((i == 2) & (a == 0), "1-0").otherwise(F.concat_ws("-", i, a)))
+    assert sorted((r.i, r.attempt) for r in design.fresh_keyed(frame([2, 1, 2, 1, 3]), "i", keys, none).collect()) == [(1, 0), (1, 0), (2, 1), (2, 1), (3, 0)]
+    with pytest.raises(ValueError, match="without i"):
+        design.fresh_keyed(frame([1, None]), "i", keys, none)
+
+
 @pytest.mark.parametrize(("items", "before"), [(["O_x", "O_z", "C_x", "C_z"], [("O_x", "C_x"), ("O_z", "C_z")]), (list("abcde"), [("e", "a"), ("c", "b")]), (list("abcd"), []), (["a"], [])])
 def test_orders_by_number_are_those_of_the_list(spark, items, before):
     want = design.legal_orders(items, before)

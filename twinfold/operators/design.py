@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import set_key
 from .ordered import sums_before
-from .pinning import pinned
+from .pinning import pinned, scratch_folder
 
 
 def grid(spark: SparkSession, factors: Mapping[str, Sequence], replicates: int = 1) -> DataFrame:
@@ -145,6 +145,10 @@ def fresh_signatures(df: DataFrame, index: str, signature: Callable[[Column, Col
         judged.unpersist()
 
 
+#: Rows of `fresh_keyed` whose keys one task makes.
+KEYED = 10_000
+
+
 def fresh_keyed(df: DataFrame, index: str, keys: Callable[[Column, Column], Column], used: DataFrame, attempts: int = 1000) -> DataFrame:
     """(index, attempt, keys): each row's first attempt none of whose keys is used or belongs to a row before it.
 
@@ -153,25 +157,35 @@ def fresh_keyed(df: DataFrame, index: str, keys: Callable[[Column, Column], Colu
     that the present choices of the rows before it leave free. A row asks for its first attempt alone, and for twice as many whenever all that it
     asked for are taken, so most rows are in a round once; it takes the first new one unseen, to be judged in the next round. Where a round
     changes no row, each row's attempt is free and all before it aren't: by induction on the index that is the result of drawing one by one. It
-    is reached, as a row stands still soon after those before it do. used: a column `signature`. Raises if a row runs out of attempts.
-    All joins sort both sides: none is small where df is large, and Spark takes rows before their attempts and keys are exploded for their size.
+    is reached, as a row stands still soon after those before it do. used: a column `signature`. Raises if a row runs out of attempts
+    or has no index; rows of one index have the same keys. Keys are made once, dealt to tasks, and kept as files in the shared checkpoint folder. All joins sort both sides: none is small where df is
+    large, and Spark takes rows before their keys are exploded for their size.
     """
+    spark, asked = df.sparkSession, scratch_folder(df.sparkSession)
     barred = pinned(used.filter("signature is not null").select("signature", F.lit(None).cast(df.schema[index].dataType).alias("__owner")).distinct())
-    settled = pinned(df.select(index, F.lit(0).alias("attempt"), F.lit(1).alias("__asked")))
+    settled = pinned(df.select(index).distinct().select(index, F.lit(0).alias("attempt"), F.lit(0).alias("__before"), F.lit(1).alias("__asked")))
+    if not settled.filter(F.col(index).isNull()).isEmpty():
+        raise ValueError(f"a row without {index}")
+    more, offers = settled.count(), None
     while True:
-        chosen = settled.filter("attempt is not null").select(F.col(index).alias("__owner"), F.explode(keys(F.col(index), F.col("attempt"))).alias("signature"))
-        owners = chosen.groupBy("signature").agg(F.min("__owner").alias("__owner")).unionByName(barred)
-        asked = settled.select(index, F.explode(F.sequence(F.lit(0), F.col("__asked") - 1)).alias("__a")).select(index, "__a", F.explode(keys(F.col(index), F.col("__a"))).alias("signature"))
-        met = asked.join(owners.hint("merge"), "signature").filter(F.col("__owner").isNull() | (F.col("__owner") < F.col(index))).groupBy(index).agg(F.collect_set("__a").alias("__met"))
-        judged = settled.join(met.hint("merge"), index, "left").withColumn("__free", F.array_min(F.array_except(F.sequence(F.lit(0), F.col("__asked") - 1), F.coalesce("__met", F.array().cast("array<int>")))))
-        attempt = F.coalesce("__free", F.when(F.col("__asked") < attempts, F.col("__asked")))
-        more = F.when(F.col("__free").isNull(), F.least(2 * F.col("__asked"), F.lit(attempts))).otherwise(F.col("__asked"))
-        settled = pinned(judged.select(index, attempt.alias("attempt"), more.alias("__asked"), (~attempt.eqNullSafe(F.col("attempt"))).alias("__moved")))
-        facts = settled.agg(F.count_if("__moved").alias("moved"), F.count_if(F.col("attempt").isNull()).alias("without")).first()
+        new = settled.filter("__asked > __before").select(index, F.explode(F.sequence("__before", F.col("__asked") - 1)).alias("attempt")).repartition(1 + more // KEYED)
+        new = new.withColumn("keys", keys(F.col(index), F.col("attempt")))
+        if more or offers is None:
+            new.write.mode("append").parquet(asked)
+            offers = spark.read.schema(new.schema).parquet(asked)
+        chosen = offers.join(settled.select(index, "attempt").hint("merge"), [index, "attempt"])
+        owners = chosen.select(F.col(index).alias("__owner"), F.explode("keys").alias("signature")).groupBy("signature").agg(F.min("__owner").alias("__owner")).unionByName(barred)
+        met = offers.select(index, "attempt", F.explode("keys").alias("signature")).join(owners.hint("merge"), "signature").filter(F.col("__owner").isNull() | (F.col("__owner") < F.col(index)))
+        judged = settled.join(met.groupBy(index).agg(F.collect_set("attempt").alias("__met")).hint("merge"), index, "left")
+        free = F.array_min(F.array_except(F.sequence(F.lit(0), F.col("__asked") - 1), F.coalesce("__met", F.array().cast("array<int>"))))
+        judged = judged.select(index, F.coalesce(free, F.when(F.col("__asked") < attempts, F.col("__asked"))).alias("attempt"), F.col("attempt").alias("__was"), F.col("__asked").alias("__before"), F.when(free.isNull(), F.least(2 * F.col("__asked"), F.lit(attempts))).otherwise(F.col("__asked")).alias("__asked"))
+        settled = pinned(judged)
+        facts = settled.agg(F.count_if(~F.col("attempt").eqNullSafe(F.col("__was"))).alias("moved"), F.count_if(F.col("attempt").isNull()).alias("without"), F.coalesce(F.sum(F.col("__asked") - F.col("__before")), F.lit(0)).alias("more")).first()
+        more = facts["more"]
         if not facts["moved"]:
             if facts["without"]:
                 raise ValueError(f"no fresh signature in {attempts} attempts")
-            return settled.select(index, "attempt", keys(F.col(index), F.col("attempt")).alias("keys"))
+            return df.select(index).join(chosen.hint("merge"), index)
 
 
 def order_ways(items: Sequence[str], before: Sequence[tuple[str, str]]) -> list[int]:
@@ -232,6 +246,7 @@ def version_chains(histories: DataFrame, depth: str, number: str, values: Sequen
     m = F.col(depth) + 1
     rows = histories.select(depth, number).withColumn("__id", F.struct(F.col(depth).cast("long").alias("d"), F.col(number).cast("long").alias("h")))
     named = lambda d, x, z: F.concat_ws("|", d.cast("string"), F.array_join(x, ","), F.array_join(z, ","))
+    sides = lambda d, x, z: F.array(named(d, x, z), named(d, z, x))
 
     def drawn(i: Column, attempt: Column) -> Column:
         return _sampled(values, (2 * (i["d"] + 1)).cast("int"), F.lit(seed), i["d"], i["h"], attempt)
@@ -239,8 +254,7 @@ def version_chains(histories: DataFrame, depth: str, number: str, values: Sequen
     def keys(i: Column, attempt: Column) -> Column:
         both = drawn(i, attempt)
         n = (i["d"] + 1).cast("int")
-        x, z = F.slice(both, F.lit(1), n), F.slice(both, n + 1, n)
-        return F.array(named(i["d"], x, z), named(i["d"], z, x))
+        return F.get(F.transform(F.array(both), lambda both: sides(i["d"], F.slice(both, F.lit(1), n), F.slice(both, n + 1, n))), 0)  # what is drawn is computed once
 
     none = histories.sparkSession.createDataFrame([], "signature string")
     found = fresh_keyed(rows.select("__id"), "__id", keys, none if excluded is None else excluded) if fresh else rows.select("__id", F.lit(0).alias("attempt"))
