@@ -175,3 +175,21 @@ def test_means_of_twenty_are_no_more_than_twenty(spark, tmp_path):
     rows = [(i, t, 1, "click", v) for i, v in enumerate(values)] + [(9, t, 2, "click", 20.01)]
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     assert [tuple(r) for r in effects.tracked_histories_semi(spark, str(tmp_path)).collect()] == [(2, 1)]
+
+
+def test_means_about_twenty_are_as_in_the_sql(spark, tmp_path):
+    """Where the SQL has one answer: cells without values, single values close to 20, two values, NaN and values beyond decimals."""
+    import datetime
+
+    from twinfold.plans import base, effects
+
+    duckdb = pytest.importorskip("duckdb")
+    assert (-100.3 + 140.3) / 2 > 20  # in either order
+    cells = [(1, "click", [30.0]), (1, "view", [None]), (2, "view", [None]), (3, "click", [20.0000000001]), (4, "click", [19.9999999999]), (5, "click", [20.0]), (6, "click", [-100.3, 140.3]), (7, "click", [float("nan"), 1.0, 2.0]), (8, "click", [1e30, 1.0, 2.0])]
+    cells += [(9, "click", [20.0, 20.0, 20.0000000002]), (9, "view", [None, 21.0]), (10, "click", [30.0]), (10, "view", [19.0, None, 20.5])]
+    rows = [(i, datetime.datetime(2024, 1, 2), h, f, v) for i, (h, f, v) in enumerate((h, f, v) for h, f, values in cells for v in values)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(con.sql(base.ORACLES["tracked_histories_semi"]).fetchall())
+    assert sorted(tuple(r) for r in effects.tracked_histories_semi(spark, str(tmp_path)).collect()) == want == [(1, 2), (3, 1), (6, 1), (7, 1), (8, 1), (9, 2)]

@@ -32,9 +32,9 @@ def validated_merge(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(right, list(keys), how)
 
 
-def where_all(df: DataFrame, history: str, holds: Column) -> DataFrame:
-    """Rows of histories all of whose rows satisfy a condition (null counts as false)."""
-    good = df.groupBy(history).agg(F.bool_and(F.coalesce(holds, F.lit(False))).alias("__ok")).filter("__ok").select(history)
+def where_all(df: DataFrame, history: str, holds: Column, unknown: bool = False) -> DataFrame:
+    """Rows of histories all of whose rows satisfy a condition. Null counts as false; with `unknown` it counts neither way, as in SQL's bool_and."""
+    good = df.groupBy(history).agg(F.bool_and(holds if unknown else F.coalesce(holds, F.lit(False))).alias("__ok")).filter("__ok").select(history)
     return df.join(good, history, "left_semi")
 
 

@@ -63,9 +63,10 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paired(cells(spark, sf_dir), ["history", "condition"], "member", ["score"]).select("history", "condition", (F.col("score_1") - F.col("score_0")).alias("effect"))
 
 
-def families(spark: SparkSession, sf_dir: str) -> DataFrame:
+def families(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """history, family, member, score, and more aggregates of the cells' events."""
     events = table(spark, sf_dir, "events")
-    return events.groupBy(F.col("user_id").alias("history"), F.col("event_type").alias("family"), F.when(F.dayofmonth("ts") > 15, 1).otherwise(0).alias("member")).agg(F.avg("value").alias("score"))
+    return events.groupBy(F.col("user_id").alias("history"), F.col("event_type").alias("family"), F.when(F.dayofmonth("ts") > 15, 1).otherwise(0).alias("member")).agg(F.avg("value").alias("score"), *more)
 
 
 def family_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

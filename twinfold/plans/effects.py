@@ -217,8 +217,11 @@ def leakage_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT history, count(*) AS n FROM families WHERE history IN (SELECT history FROM families GROUP BY 1 HAVING bool_and(score > 20)) GROUP BY ALL", uses="families")
 def tracked_histories_semi(spark: SparkSession, sf: str) -> DataFrame:
-    """A mean of cents that is 20 sums up to a little more or less, by the order of its rows: means are compared to nine decimals."""
-    return joins.where_all(families(spark, sf), "history", F.round("score", 9) > 20).groupBy("history").agg(F.count("*").alias("n"))
+    """Cells without values count neither way. The order of three values or more decides whether a mean of 20 sums up to a little more, so the
+    SQL's answer there hangs on its threads: such means are compared as exact decimals. Values that are none (NaN, 1e20) are taken as floats."""
+    n, mean, exact = F.count("value"), F.avg("value"), F.col("value").try_cast("decimal(38, 18)")
+    above = F.coalesce(F.when((n > 2) & (F.count(exact) == n), F.try_sum(exact) > 20 * n), mean > 20)
+    return joins.where_all(families(spark, sf, above.alias("above")), "history", F.col("above"), unknown=True).groupBy("history").agg(F.count("*").alias("n"))
 
 
 @query(
