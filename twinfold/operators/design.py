@@ -158,8 +158,8 @@ def fresh_keyed(df: DataFrame, index: str, keys: Callable[[Column, Column], Colu
     asked for are taken, so most rows are in a round once; it takes the first new one unseen, to be judged in the next round. Where a round
     changes no row, each row's attempt is free and all before it aren't: by induction on the index that is the result of drawing one by one. It
     is reached, as a row stands still soon after those before it do. used: a column `signature`. Raises if a row runs out of attempts
-    or has no index; rows of one index have the same keys. Keys are made once, dealt to tasks, and kept as files in the shared checkpoint folder. All joins sort both sides: none is small where df is
-    large, and Spark takes rows before their keys are exploded for their size.
+    or has no index; rows of one index have the same keys. Keys are made once, dealt to tasks, and kept as files in the shared checkpoint folder.
+    All joins sort both sides: none is small where df is large, and Spark takes rows before their keys are exploded for their size.
     """
     spark, asked = df.sparkSession, scratch_folder(df.sparkSession)
     barred = pinned(used.filter("signature is not null").select("signature", F.lit(None).cast(df.schema[index].dataType).alias("__owner")).distinct())
